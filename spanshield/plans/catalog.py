@@ -1,0 +1,59 @@
+"""Registry of checked queries: ``name -> (spark builder, DuckDB oracle SQL or None)``.
+
+Every query reads the driver tables (or tables Spark derives from them) in full; fixture rows are
+only ever *added* to driver rows. Column names are aliased identically on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanshield.functions.spans import resolve_greedy
+from spanshield.operators import detect as D
+from spanshield.plans import derived
+from spanshield.plans import oracle_sql as O
+
+REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def wrap(fn):
+        REGISTRY[name] = (fn, sql)
+        return fn
+    return wrap
+
+
+MSG_SRC = f"(SELECT msg_id AS id, body AS text FROM {derived.messages_sql()})"
+SPAN_COLS = ["msg_id", "start", "end", "type", "text", "masked"]
+
+
+def _single(detector: str):
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m = derived.messages(spark, sf_dir)
+        col = D.DETECTORS[detector](F.col("body"))
+        if detector == "secret_prefix":
+            col = resolve_greedy(col)
+        return D.explode_detections(m.select("msg_id", col.alias("detections")), keep=["msg_id"]).select(*SPAN_COLS)
+    return build
+
+
+def _single_sql(key: str) -> str:
+    ctes = O.detector_ctes("src")
+    body = O.greedy_self(ctes[key]) if key == "b1" else ctes[key]
+    return (f"WITH src AS (SELECT * FROM {MSG_SRC}) SELECT id AS msg_id, CAST(start AS INTEGER) AS start, "
+            f"CAST(\"end\" AS INTEGER) AS \"end\", type, text, masked FROM {body}")
+
+
+for _name, _det, _key in [("b1_secret_prefix", "secret_prefix", "b1"), ("b2_secret_kv", "secret_kv", "b2"),
+                          ("b3_api_key", "api_key", "b3"), ("b4_fio", "fio", "b4"),
+                          ("b5_email", "email", "b5"), ("b6_phone", "phone", "b6")]:
+    register(_name, _single_sql(_key))(_single(_det))
+
+
+@register("b8_scan", f"SELECT id AS msg_id, ord, start, \"end\", type, text, masked FROM ({O.scan_sql(MSG_SRC)})")
+def b8_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = D.detect(derived.messages(spark, sf_dir), "body")
+    return D.explode_detections(m, keep=["msg_id"])
