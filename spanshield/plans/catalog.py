@@ -57,3 +57,135 @@ for _name, _det, _key in [("b1_secret_prefix", "secret_prefix", "b1"), ("b2_secr
 def b8_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = D.detect(derived.messages(spark, sf_dir), "body")
     return D.explode_detections(m, keep=["msg_id"])
+
+
+# --- C: rewriting ---------------------------------------------------------------------------------
+from spanshield.operators import rewrite as R  # noqa: E402
+from spanshield.operators import vault as V  # noqa: E402
+from spanshield.sources.fixtures import fixture_df, fixture_sql  # noqa: E402
+
+MSG_SQL = derived.messages_sql()
+SCAN_SQL = f"({O.scan_sql(MSG_SRC)})"
+TOKENS_SQL = O.tokens_sql(MSG_SQL)
+
+
+@register("c1_mask_text", f"""SELECT r.id AS msg_id, r.masked_body, CAST(coalesce(n.n, 0) AS INTEGER) AS n_detections
+  FROM {O.rebuild_sql(MSG_SRC, f'(SELECT id, start, "end", masked AS repl FROM {SCAN_SQL})', 'masked_body')} r
+  LEFT JOIN (SELECT id, count(*) AS n FROM {SCAN_SQL} GROUP BY id) n ON n.id = r.id""")
+def c1_mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = R.mask_text(derived.messages(spark, sf_dir), "body", out="masked_body")
+    return m.select("msg_id", "masked_body", F.size("detections").alias("n_detections"))
+
+
+def tokenized_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.tokenize(derived.messages(spark, sf_dir), "body", "user_id", "host")
+
+
+@register("c5_tokens", f"""SELECT msg_id, ord, type, session_key, '[' || core || ']' AS token, core FROM {TOKENS_SQL}""")
+def c5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tokenized_messages(spark, sf_dir)
+    return t.select("msg_id", "session_key", F.posexplode("detections").alias("ord", "d")) \
+        .select("msg_id", "ord", F.col("d.type").alias("type"), "session_key",
+                F.col("d.token").alias("token"), F.col("d.core").alias("core"))
+
+
+TOKENIZED_SQL = O.rebuild_sql(MSG_SRC, f"""(SELECT msg_id AS id, start, "end", '[' || core || ']' AS repl FROM {TOKENS_SQL})""", "tokenized")
+
+
+@register("c5_tokenized_body", f"SELECT id AS msg_id, tokenized FROM {TOKENIZED_SQL}")
+def c5_tokenized_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenized_messages(spark, sf_dir).select("msg_id", "tokenized")
+
+
+# --- D: vault and restoration ------------------------------------------------------------------
+ENTRIES_SQL = f"(SELECT msg_id, ts, session_key, ord, core, text AS value, type, hash FROM {TOKENS_SQL})"
+
+
+def vault_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.token_entries(tokenized_messages(spark, sf_dir))
+
+
+VAULT_SQL = f"""(
+  SELECT core, CAST(NULL AS VARCHAR) AS session_key, value, stored_at, stored_at AS last_access FROM (
+    SELECT core, value, max(ts) OVER (PARTITION BY core) AS stored_at,
+           row_number() OVER (PARTITION BY core ORDER BY ts DESC, msg_id DESC, ord DESC) AS rn FROM {ENTRIES_SQL}) WHERE rn = 1
+  UNION ALL
+  SELECT core, session_key, value, stored_at, stored_at AS last_access FROM (
+    SELECT core, session_key, value, max(ts) OVER (PARTITION BY session_key, core) AS stored_at,
+           row_number() OVER (PARTITION BY session_key, core ORDER BY ts DESC, msg_id DESC, ord DESC) AS rn FROM {ENTRIES_SQL}) WHERE rn = 1)"""
+
+
+@register("d1_build_vault", f"SELECT * FROM {VAULT_SQL}")
+def d1_build_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.build_vault(vault_entries(spark, sf_dir))
+
+
+@register("d8_vault_collisions", f"""SELECT core, count(DISTINCT value) AS n_values, count(DISTINCT hash) AS n_hashes
+  FROM {ENTRIES_SQL} GROUP BY core HAVING count(DISTINCT value) > 1""")
+def d8_vault_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.vault_collisions(vault_entries(spark, sf_dir))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model replies: the tokenized messages echoed back, plus replies with every token form."""
+    t = tokenized_messages(spark, sf_dir).select("msg_id", "session_key", F.col("tokenized").alias("body"))
+    return t.unionByName(fixture_df(spark, "token_replies"))
+
+
+REPLIES_SQL = f"""(SELECT t.id AS msg_id, m.skey AS session_key, t.tokenized AS body FROM {TOKENIZED_SQL} t
+  JOIN (SELECT msg_id, 'map:session:' || coalesce(user_id, 'anon') || ':' || host AS skey FROM {MSG_SQL}) m ON m.msg_id = t.id
+  UNION ALL SELECT * FROM {fixture_sql('token_replies')})"""
+REPLY_SRC = f"(SELECT msg_id AS id, body AS text FROM {REPLIES_SQL})"
+
+
+@register("d3_find_tokens", f"""SELECT id AS msg_id, ord, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end",
+  token_text, core FROM {O.find_tokens_sql(REPLY_SRC)}""")
+def d3_find_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.explode_tokens(replies(spark, sf_dir), "body")
+
+
+def _detok_sql(unknown_redacted: bool) -> str:
+    fallback = "'[REDACTED]'" if unknown_redacted else "t.token_text"
+    spans = f"""(SELECT t.id, t.start, t."end", coalesce(g.value, s.value, {fallback}) AS repl
+      FROM {O.find_tokens_sql(REPLY_SRC)} t
+      JOIN {REPLIES_SQL} r ON r.msg_id = t.id
+      LEFT JOIN (SELECT core, value FROM {VAULT_SQL} WHERE session_key IS NULL) g ON g.core = t.core
+      LEFT JOIN (SELECT core, session_key, value FROM {VAULT_SQL} WHERE session_key IS NOT NULL) s
+        ON s.core = t.core AND s.session_key = r.session_key)"""
+    return f"SELECT id AS msg_id, restored FROM {O.rebuild_sql(REPLY_SRC, spans, 'restored')}"
+
+
+def _detok(unknown):
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        vault = V.build_vault(vault_entries(spark, sf_dir))
+        return V.detokenize(replies(spark, sf_dir), vault, unknown=unknown).select("msg_id", "restored")
+    return build
+
+
+register("d5_detokenize", _detok_sql(True))(_detok(R.P.REDACTED))
+register("d6_detokenize_known", _detok_sql(False))(_detok(None))
+
+
+@register("d2_expire_vault", f"""SELECT * FROM {VAULT_SQL}
+  WHERE last_access >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 30 DAY + INTERVAL 1 DAY""")
+def d2_expire_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vault = V.build_vault(vault_entries(spark, sf_dir))
+    now = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    return V.expire_vault(vault, now)
+
+
+@register("a5_write_vault", f"""SELECT core, session_key, value, stored_at, last_access FROM (
+  SELECT core, session_key, value, max(stored_at) OVER w AS stored_at, max(last_access) OVER w AS last_access,
+         row_number() OVER (PARTITION BY session_key, core ORDER BY stored_at DESC, value DESC) AS rn
+  FROM (SELECT * FROM {VAULT_SQL}
+        UNION ALL SELECT core, session_key, upper(value) AS value, stored_at + INTERVAL 1 HOUR AS stored_at,
+                         stored_at + INTERVAL 1 HOUR AS last_access FROM {VAULT_SQL} WHERE type_hint = 1)
+  WINDOW w AS (PARTITION BY session_key, core)) WHERE rn = 1""".replace(
+    "WHERE type_hint = 1", "WHERE left(core, 3) = 'EML'"))
+def a5_write_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vault = V.build_vault(vault_entries(spark, sf_dir))
+    upd = vault.where(F.left(F.col("core"), F.lit(3)) == "EML").select(
+        "core", "session_key", F.upper("value").alias("value"),
+        (F.col("stored_at") + F.expr("INTERVAL 1 HOUR")).alias("stored_at"),
+        (F.col("stored_at") + F.expr("INTERVAL 1 HOUR")).alias("last_access"))
+    return V.write_vault(vault, upd)

@@ -159,3 +159,39 @@ def scan_sql(src: str, names=None) -> str:
     return ("WITH " + ",\n".join(ctes) +
             f"\nSELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY start) - 1 AS INTEGER) AS ord, "
             f"CAST(start AS INTEGER) AS start, CAST(\"end\" AS INTEGER) AS \"end\", type, text, masked FROM ({union})")
+
+
+def type_prefix(col: str) -> str:
+    return "(CASE " + " ".join(f"WHEN {col} = {q(t)} THEN {q(p)}" for t, _, p in P.VIOLATION_TYPES) + " ELSE 'UNK' END)"
+
+
+def rebuild_sql(src: str, spans: str, out: str = "out") -> str:
+    """Rebuild text: ``src(id, text)``, ``spans(id, start, end, repl)`` sorted, non-overlapping."""
+    return f"""(SELECT s.id, CASE WHEN a.id IS NULL THEN s.text ELSE a.body || substring(s.text, a.last_end + 1) END AS {out}
+      FROM {src} s LEFT JOIN (
+        SELECT r.id, string_agg(substring(s2.text, r.prev_end + 1, r.start - r.prev_end) || r.repl, '' ORDER BY r.start) AS body,
+               max(r."end") AS last_end
+        FROM (SELECT *, coalesce(lag("end") OVER (PARTITION BY id ORDER BY start), 0) AS prev_end FROM {spans}) r
+        JOIN {src} s2 ON s2.id = r.id GROUP BY r.id) a ON a.id = s.id)"""
+
+
+def tokens_sql(messages: str) -> str:
+    """Detections of ``messages`` with session key and token core: msg_id, ord, start, end, type,
+    text, masked, session_key, ts, core, hash."""
+    src = f"(SELECT msg_id AS id, body AS text FROM {messages})"
+    return f"""(SELECT sc.id AS msg_id, sc.ord, sc.start, sc."end", sc.type, sc.text, sc.masked, m.skey AS session_key, m.ts,
+        {type_prefix('sc.type')} || '_' || left(sha256(sc.text || m.skey), {P.TOKEN_HEX_LEN}) AS core,
+        sha256(sc.text || m.skey) AS hash
+      FROM ({scan_sql(src)}) sc
+      JOIN (SELECT msg_id, 'map:session:' || coalesce(user_id, 'anon') || ':' || host AS skey, ts FROM {messages}) m
+        ON m.msg_id = sc.id)"""
+
+
+TOKEN_CORE_RE2 = P.TOKEN_CORE_RE
+
+
+def find_tokens_sql(src: str) -> str:
+    """id, ord, start, end, token_text, core over ``src(id, text)``."""
+    return f"""(SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY start) - 1 AS INTEGER) AS ord,
+        start, "end", text AS token_text, regexp_extract(text, {q(TOKEN_CORE_RE2)}) AS core
+      FROM {spans_cte(src, P.TOKEN_ANY_RE)})"""
