@@ -189,3 +189,275 @@ def a5_write_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("stored_at") + F.expr("INTERVAL 1 HOUR")).alias("stored_at"),
         (F.col("stored_at") + F.expr("INTERVAL 1 HOUR")).alias("last_access"))
     return V.write_vault(vault, upd)
+
+
+# --- F: audit ---------------------------------------------------------------------------------------
+from spanshield.operators import access as AC  # noqa: E402
+from spanshield.operators import audit as AU  # noqa: E402
+from spanshield.operators import metrics as ME  # noqa: E402
+from spanshield.operators import usage as US  # noqa: E402
+
+EVENTS_SQL = f"""(SELECT t.msg_id, t.ord, m.user_id, m.host AS resource, t.type AS violation_type,
+    t.type || ': masked=' || t.masked || ' token=[' || t.core || ']' AS masked_context, '[' || t.core || ']' AS token,
+    m.path AS request_path, m.ts FROM {TOKENS_SQL} t JOIN {MSG_SQL} m ON m.msg_id = t.msg_id)"""
+
+
+def violation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AU.violation_events(tokenized_messages(spark, sf_dir))
+
+
+@register("f1_violation_events", f"SELECT * FROM {EVENTS_SQL}")
+def f1_violation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return violation_events(spark, sf_dir)
+
+
+@register("f2_audit_batches", f"""SELECT tick_start, violation_type, resource, "user", n, sum(n) OVER (PARTITION BY tick_start) AS tick_total
+  FROM (SELECT time_bucket(INTERVAL 5 SECOND, ts) AS tick_start, violation_type, resource, coalesce(user_id, 'anon') AS "user",
+               count(*) AS n FROM {EVENTS_SQL} GROUP BY ALL)""")
+def f2_audit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AU.audit_batches(violation_events(spark, sf_dir))
+
+
+@register("f3_detection_summary", f"""SELECT msg_id,
+  count(DISTINCT CASE WHEN type = 'SECRET' THEN core END) AS secret, count(DISTINCT CASE WHEN type = 'PII_FIO' THEN core END) AS fio,
+  count(DISTINCT CASE WHEN type = 'PII_COMPANY' THEN core END) AS company, count(DISTINCT CASE WHEN type = 'PII_EMAIL' THEN core END) AS email,
+  count(DISTINCT CASE WHEN type = 'PII_PHONE' THEN core END) AS phone, count(DISTINCT core) AS total FROM {TOKENS_SQL} GROUP BY msg_id""")
+def f3_detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AU.detection_summary(c5_tokens(spark, sf_dir))
+
+
+@register("f4_query_audit", f"""SELECT * FROM {EVENTS_SQL} WHERE ts >= TIMESTAMP '2024-01-01 03:00:00'
+  AND ts < TIMESTAMP '2024-01-01 15:00:00' AND violation_type IN ('SECRET', 'PII_EMAIL')""")
+def f4_query_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AU.query_audit(violation_events(spark, sf_dir), "2024-01-01 03:00:00", "2024-01-01 15:00:00",
+                          violation_type=["SECRET", "PII_EMAIL"])
+
+
+# --- G: usage, quotas, reports -----------------------------------------------------------------
+LOG_SQL = derived.request_log_sql()
+USERS_SQL = derived.users_sql()
+USAGE_SQL = f"""(SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS req, CAST(sum(tok_in) AS BIGINT) AS tok_in,
+  CAST(sum(tok_out) AS BIGINT) AS tok_out, CAST(sum(bytes_in) AS BIGINT) AS bytes_in, CAST(sum(bytes_out) AS BIGINT) AS bytes_out
+  FROM {LOG_SQL} GROUP BY user_id, CAST(ts AS DATE))"""
+TOTALS_SQL = f"""(SELECT user_id, CAST(coalesce(sum(req), 0) AS BIGINT) AS req, CAST(coalesce(sum(tok_in), 0) AS BIGINT) AS tok_in,
+  CAST(coalesce(sum(tok_out), 0) AS BIGINT) AS tok_out, CAST(coalesce(sum(bytes_in), 0) AS BIGINT) AS bytes_in,
+  CAST(coalesce(sum(bytes_out), 0) AS BIGINT) AS bytes_out FROM {USAGE_SQL} GROUP BY user_id)"""
+REPORT_DAY = "2024-01-15"
+TODAY_SQL = f"(SELECT * FROM {USAGE_SQL} WHERE day = DATE '{REPORT_DAY}')"
+
+
+def _usage(spark, sf_dir):
+    return US.usage_daily(derived.request_log(spark, sf_dir))
+
+
+def _today(spark, sf_dir):
+    return _usage(spark, sf_dir).where(F.col("day") == F.lit(REPORT_DAY).cast("date"))
+
+
+register("g3_usage_daily", f"SELECT * FROM {USAGE_SQL}")(lambda spark, sf_dir: _usage(spark, sf_dir))
+register("g4_usage_total", f"SELECT * FROM {TOTALS_SQL}")(lambda spark, sf_dir: US.usage_total(_usage(spark, sf_dir)))
+
+
+@register("g5_usage_on_day", f"""SELECT u.id AS user_id, coalesce(d.req, 0) AS req, coalesce(d.tok_in, 0) AS tok_in,
+  coalesce(d.tok_out, 0) AS tok_out, coalesce(d.bytes_in, 0) AS bytes_in, coalesce(d.bytes_out, 0) AS bytes_out
+  FROM {USERS_SQL} u LEFT JOIN {TODAY_SQL} d ON d.user_id = u.id""")
+def g5_usage_on_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return US.usage_on_day(derived.users(spark, sf_dir), _usage(spark, sf_dir), REPORT_DAY)
+
+
+def fmt_tokens_sql(x: str) -> str:
+    return (f"(CASE WHEN {x} < 1000 THEN CAST({x} AS VARCHAR) WHEN {x} < 1000000 THEN printf('%.1fK', {x} / 1000.0) "
+            f"ELSE printf('%.1fM', {x} / 1000000.0) END)")
+
+
+def fmt_bytes_sql(x: str) -> str:
+    return (f"(CASE WHEN {x} < 1024 THEN CAST({x} AS VARCHAR) || ' B' WHEN {x} < 1048576 THEN printf('%.1f KB', {x} / 1024.0) "
+            f"WHEN {x} < 1073741824 THEN printf('%.1f MB', {x} / 1048576.0) WHEN {x} < 1099511627776 THEN printf('%.1f GB', {x} / 1073741824.0) "
+            f"ELSE printf('%.1f TB', {x} / 1099511627776.0) END)")
+
+
+@register("g6_user_metrics", f"""SELECT u.id, u.username, u.status, u.role, coalesce(t.req, 0) AS req, coalesce(t.tok_in, 0) AS tok_in,
+  coalesce(t.tok_out, 0) AS tok_out, coalesce(t.bytes_in, 0) AS bytes_in, coalesce(t.bytes_out, 0) AS bytes_out,
+  {fmt_tokens_sql('coalesce(t.tok_in, 0)')} AS tok_in_fmt, {fmt_tokens_sql('coalesce(t.tok_out, 0)')} AS tok_out_fmt,
+  {fmt_bytes_sql('coalesce(t.bytes_in, 0)')} AS bytes_in_fmt, {fmt_bytes_sql('coalesce(t.bytes_out, 0)')} AS bytes_out_fmt
+  FROM {USERS_SQL} u LEFT JOIN {TOTALS_SQL} t ON t.user_id = u.id ORDER BY u.username""")
+def g6_user_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return US.user_metrics(derived.users(spark, sf_dir), _usage(spark, sf_dir))
+
+
+def quota_status_sql(u: str, d: str) -> str:
+    parts = [f"WHEN {u}.{qc} IS NOT NULL AND coalesce({d}.{uc}, 0) >= {u}.{qc} THEN '{name}'"
+             for name, qc, uc in zip(US.QUOTA_NAMES, US.QUOTA_COLS, US.USAGE_METRICS)]
+    return "(CASE " + " ".join(parts) + " ELSE 'ok' END)"
+
+
+@register("g7_check_quota", f"""SELECT u.id, u.username, {quota_status_sql('u', 'd')} AS quota_status
+  FROM {USERS_SQL} u LEFT JOIN {TODAY_SQL} d ON d.user_id = u.id""")
+def g7_check_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return US.check_quota(derived.users(spark, sf_dir), _today(spark, sf_dir))
+
+
+def _report_sql() -> str:
+    rows = []
+    for i, (label, uc, qc, kind) in enumerate(US.REPORT_ROWS):
+        used = f"coalesce(d.{uc}, 0)"
+        used_txt = fmt_tokens_sql(used) if kind == "tokens" else fmt_bytes_sql(used) if kind == "bytes" else f"CAST({used} AS VARCHAR)"
+        pv = f"(CASE WHEN u.{qc} IS NULL THEN 0.0 WHEN u.{qc} = 0 THEN 100.0 ELSE {used} / u.{qc} * 100.0 END)"
+        filled = f"CAST(floor(least(greatest({pv}, 0.0), 100.0) / 12.5) AS INTEGER)"
+        rows.append(f"""SELECT u.id, u.username, {i} AS pos, '{label}' AS metric, coalesce(CAST(u.{qc} AS VARCHAR), '∞') AS limit_text,
+          {used_txt} AS used_text,
+          CASE WHEN u.{qc} IS NULL THEN '—' WHEN u.{qc} = 0 THEN '100' ELSE printf('%.0f', {used} / u.{qc} * 100.0) || '%' END AS pct,
+          repeat('█', {filled}) || repeat('░', 8 - {filled}) AS bar
+          FROM {USERS_SQL} u LEFT JOIN {TODAY_SQL} d ON d.user_id = u.id""")
+    return " UNION ALL ".join(rows)
+
+
+@register("g9_quota_report", _report_sql())
+def g9_quota_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return US.quota_report(derived.users(spark, sf_dir), _today(spark, sf_dir))
+
+
+@register("g11_login_counters", f"""SELECT username, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS n_ok,
+  CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS n_fail, max(CASE WHEN ok THEN ts END) AS last_ok
+  FROM {derived.login_attempts_sql()} GROUP BY username""")
+def g11_login_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return US.login_counters(derived.login_attempts(spark, sf_dir))
+
+
+@register("g13_billing_monthly", f"""SELECT user_id, date_trunc('month', ts) AS month, count(*) AS requests,
+  CAST(sum(tok_in) AS BIGINT) AS tok_in, CAST(sum(tok_out) AS BIGINT) AS tok_out, CAST(sum(bytes_in) AS BIGINT) AS bytes_in,
+  CAST(sum(bytes_out) AS BIGINT) AS bytes_out, CAST(count(*) FILTER (WHERE status >= 400) AS BIGINT) AS failed
+  FROM {LOG_SQL} GROUP BY ALL""")
+def g13_billing_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return US.billing_ledger_monthly(derived.request_log(spark, sf_dir))
+
+
+@register("a3_read_users", f"SELECT * FROM {USERS_SQL} ORDER BY username")
+def a3_read_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return US.read_users(derived.users(spark, sf_dir))
+
+
+@register("a6_write_usage", f"""SELECT user_id, day, CAST(sum(req) AS BIGINT) AS req, CAST(sum(tok_in) AS BIGINT) AS tok_in,
+  CAST(sum(tok_out) AS BIGINT) AS tok_out, CAST(sum(bytes_in) AS BIGINT) AS bytes_in, CAST(sum(bytes_out) AS BIGINT) AS bytes_out
+  FROM (SELECT * FROM {USAGE_SQL} UNION ALL SELECT user_id, day + 1 AS day, req, tok_in, tok_out, bytes_in, bytes_out FROM {USAGE_SQL})
+  GROUP BY user_id, day""")
+def a6_write_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = _usage(spark, sf_dir)
+    return US.write_usage(u, u.withColumn("day", F.date_add("day", 1)))
+
+
+@register("a7_delete_user", f"""SELECT * FROM {USAGE_SQL} WHERE user_id NOT IN (SELECT id FROM {USERS_SQL} WHERE status = 'disabled')""")
+def a7_delete_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = derived.users(spark, sf_dir)
+    _, usage = US.delete_users(users, _usage(spark, sf_dir), users.where(F.col("status") == "disabled"))
+    return usage
+
+
+@register("a8_update_users", f"""SELECT id, username, CASE WHEN status = 'disabled' THEN 'active' ELSE status END AS status,
+  CASE WHEN status = 'disabled' THEN 'admin' ELSE role END AS role,
+  CASE WHEN status = 'disabled' THEN CAST(10 AS BIGINT) ELSE quota_req_day END AS quota_req_day,
+  CASE WHEN status = 'disabled' THEN CAST(NULL AS BIGINT) ELSE quota_tok_in END AS quota_tok_in,
+  CASE WHEN status = 'disabled' THEN CAST(NULL AS BIGINT) ELSE quota_tok_out END AS quota_tok_out,
+  CASE WHEN status = 'disabled' THEN CAST(5000 AS BIGINT) ELSE quota_bytes_in END AS quota_bytes_in,
+  CASE WHEN status = 'disabled' THEN CAST(NULL AS BIGINT) ELSE quota_bytes_out END AS quota_bytes_out FROM {USERS_SQL}""")
+def a8_update_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = derived.users(spark, sf_dir)
+    changes = users.where(F.col("status") == "disabled").select(
+        "id", F.lit("active").alias("status"), F.lit("admin").alias("role"), F.lit(True).alias("set_quota"),
+        F.lit(10).cast("long").alias("quota_req_day"), F.lit(5000).cast("long").alias("quota_bytes_in"))
+    return US.update_users(users, changes)
+
+
+# --- H: metrics, I: access ----------------------------------------------------------------------
+TARGETS_SQL = "(SELECT host, coalesce(port, 443) AS port, coalesce(tls, TRUE) AS tls FROM (VALUES " + ", ".join(
+    f"('{h}', {p if p is not None else 'NULL'}, {('TRUE' if t else 'FALSE') if t is not None else 'NULL'})"
+    for h, p, t in AC.TARGETS) + ") AS t(host, port, tls))"
+RESOLVED_SQL = f"""(SELECT l.*, split_part(l.host, ':', 1) AS target, coalesce(t.port, 443) AS target_port,
+  coalesce(t.tls, TRUE) AS target_tls, t.host IS NOT NULL AS inspected
+  FROM {LOG_SQL} l LEFT JOIN {TARGETS_SQL} t ON t.host = split_part(l.host, ':', 1))"""
+
+
+def resolved_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AC.resolve_target(derived.request_log(spark, sf_dir), AC.load_targets(spark))
+
+
+register("i1_resolve_target", f"SELECT req_id, target, target_port, target_tls, inspected FROM {RESOLVED_SQL}")(
+    lambda spark, sf_dir: resolved_log(spark, sf_dir).select("req_id", "target", "target_port", "target_tls", "inspected"))
+register("i2_drop_loopback", f"""SELECT req_id, host FROM {LOG_SQL}
+  WHERE lower(split_part(host, ':', 1)) NOT IN ({', '.join(O.q(h) for h in AC.LOOPBACK)})""")(
+    lambda spark, sf_dir: AC.drop_loopback(derived.request_log(spark, sf_dir)).select("req_id", "host"))
+
+register("h1_requests_by", f"SELECT method, target, inspected, count(*) AS requests FROM {RESOLVED_SQL} GROUP BY ALL")(
+    lambda spark, sf_dir: ME.requests_by(resolved_log(spark, sf_dir)))
+register("h2_bytes_by_direction", f"""SELECT 'request' AS direction, CAST(sum(bytes_in) AS BIGINT) AS bytes FROM {LOG_SQL}
+  UNION ALL SELECT 'response', CAST(sum(bytes_out) AS BIGINT) FROM {LOG_SQL}""")(
+    lambda spark, sf_dir: ME.bytes_by_direction(derived.request_log(spark, sf_dir)))
+register("h3_latency_histogram", "SELECT target, " + ", ".join(
+    f"CAST(count(*) FILTER (WHERE duration_s <= {b}) AS BIGINT) AS le_{f'{b:g}'.replace('.', '_')}" for b in ME.LATENCY_BOUNDS)
+    + f", count(*) AS le_inf, sum(duration_s) AS sum_s FROM {RESOLVED_SQL} GROUP BY target")(
+    lambda spark, sf_dir: ME.latency_histogram(resolved_log(spark, sf_dir)))
+register("h4_violations_by", f"SELECT lower(violation_type) AS type, resource AS target, count(*) AS violations FROM {EVENTS_SQL} GROUP BY ALL")(
+    lambda spark, sf_dir: ME.violations_by(violation_events(spark, sf_dir)))
+register("h6_active_connections", f"""SELECT t AS ts, CAST(sum(d) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS active FROM (
+  SELECT t, sum(d) AS d FROM (SELECT ts AS t, 1 AS d FROM {LOG_SQL}
+    UNION ALL SELECT ts + to_microseconds(CAST(round(duration_s * 1000000) AS BIGINT)) AS t, -1 AS d FROM {LOG_SQL}) GROUP BY t)""")(
+    lambda spark, sf_dir: ME.active_connections(derived.request_log(spark, sf_dir)))
+register("h7_active_users", f"SELECT target, count(DISTINCT user_id) AS active_users FROM {RESOLVED_SQL} GROUP BY target")(
+    lambda spark, sf_dir: ME.active_users(resolved_log(spark, sf_dir)))
+register("h8_errors_by_target", f"SELECT target, count(*) AS errors FROM {RESOLVED_SQL} WHERE status >= 500 GROUP BY target")(
+    lambda spark, sf_dir: ME.errors_by_target(resolved_log(spark, sf_dir)))
+
+MSG_RESOLVED_SQL = f"""(SELECT m.msg_id, t.host IS NOT NULL AS inspected, strlen(m.body) > {AC.MAX_BODY_BYTES} AS too_large,
+  contains(m.body, '{AC.STREAM_MARKER}') AS streaming FROM {MSG_SQL} m LEFT JOIN {TARGETS_SQL} t ON t.host = split_part(m.host, ':', 1))"""
+
+
+@register("i3_split_inspected", f"SELECT msg_id, inspected, too_large, streaming, inspected AND NOT too_large AS scan FROM {MSG_RESOLVED_SQL}")
+def i3_split_inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = AC.resolve_target(derived.messages(spark, sf_dir), AC.load_targets(spark))
+    return AC.split_inspected(m).select("msg_id", "inspected", "too_large", "streaming", "scan")
+
+
+def _key_match_sql(pattern: str, path: str) -> str:
+    prefix = f"regexp_extract({pattern}, '^(.*)/\\*$', 1)"
+    return (f"({pattern} = '*' OR (ends_with({pattern}, '/*') AND ({path} = {prefix} OR starts_with({path}, {prefix} || '/'))) "
+            f"OR (NOT ends_with({pattern}, '/*') AND {pattern} = {path}))")
+
+
+POLICIES_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{p}', '{m}')" for r, p, m in AC.POLICIES) + ") AS p(p_role, pattern, p_method))"
+
+
+@register("i4_enforce_policies", f"""SELECT l.req_id, coalesce(u.role, 'user') AS role,
+  EXISTS (SELECT 1 FROM {POLICIES_SQL} p WHERE p.p_role = coalesce(u.role, 'user') AND {_key_match_sql('p.pattern', 'l.path')}
+          AND (p.p_method = '*' OR p.p_method = l.method)) AS allowed
+  FROM {LOG_SQL} l LEFT JOIN {USERS_SQL} u ON u.id = l.user_id""")
+def i4_enforce_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = AC.enforce_policies(derived.request_log(spark, sf_dir), derived.users(spark, sf_dir), AC.load_policies(spark))
+    return r.select("req_id", "role", "allowed")
+
+
+@register("i5_drop_revoked", f"""SELECT req_id, user_id FROM {LOG_SQL} WHERE user_id NOT IN (
+  SELECT id FROM {USERS_SQL} WHERE CAST(substring(id, 2) AS BIGINT) % 10 = 3)""")
+def i5_drop_revoked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = derived.users(spark, sf_dir)
+    revoked = users.where(F.substring("id", 2, 100).cast("long") % 10 == 3)
+    return AC.drop_revoked(derived.request_log(spark, sf_dir), revoked).select("req_id", "user_id")
+
+
+@register("i6_only_active", f"SELECT req_id, user_id FROM {LOG_SQL} WHERE user_id IN (SELECT id FROM {USERS_SQL} WHERE status = 'active')")
+def i6_only_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AC.only_active(derived.request_log(spark, sf_dir), derived.users(spark, sf_dir)).select("req_id", "user_id")
+
+
+def _route_sql() -> str:
+    h = "split_part(l.host, ':', 1)"
+    direct = (f"(strpos({h}, '.') = 0 OR regexp_matches({h}, '^localhost$') OR regexp_matches({h}, '^127\\..*$') "
+              f"OR regexp_matches({h}, '^10\\..*$') OR regexp_matches({h}, '^192\\.168\\..*$') "
+              f"OR (regexp_matches({h}, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') AND split_part({h}, '.', 1) = '172' "
+              f"AND TRY_CAST(split_part({h}, '.', 2) AS INTEGER) BETWEEN 16 AND 31))")
+    proxied = f"EXISTS (SELECT 1 FROM {TARGETS_SQL} t WHERE ends_with({h}, '.' || t.host))"
+    return f"SELECT l.req_id, CASE WHEN {direct} OR NOT {proxied} THEN 'DIRECT' ELSE 'PROXY' END AS route FROM {LOG_SQL} l"
+
+
+@register("i9_route_class", _route_sql())
+def i9_route_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AC.route_class(derived.request_log(spark, sf_dir), AC.load_targets(spark)).select("req_id", "route")

@@ -18,7 +18,7 @@ from spanshield.sources.fixtures import fixture_df, fixture_sql
 from spanshield.sources.tables import read_table
 
 HOSTS = ["api.openai.com", "api.anthropic.com", "api.deepseek.com:443", "api.qwen.ai",
-         "localhost:8080", "example.org"]
+         "localhost:8080", "example.org", "eu.api.deepseek.com", "10.0.0.5:8080", "172.20.1.1", "httpbin.org:80"]
 PATHS = ["/v1/chat/completions", "/api/users", "/api/users/42", "/api/metrics/self",
          "/api/quota/self", "/api/roles/admin", "/api/metrics"]
 ROLES = ["admin", "user", "viewer"]
@@ -127,3 +127,20 @@ def users_sql() -> str:
         {quota(3, 200, 300)} AS quota_bytes_in,
         {quota(8, 600, 900)} AS quota_bytes_out
       FROM (SELECT DISTINCT user_id FROM events))"""
+
+
+# --- login attempts ------------------------------------------------------------------------------
+def login_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One login attempt per event: failed when the event is an error."""
+    ev = read_table(spark, sf_dir, "events")
+    u = F.col("user_id")
+    return ev.select(F.col("event_id").alias("attempt_id"), "ts",
+                     F.concat(F.lit("user"), F.lpad(u.cast("string"), 4, "0")).alias("username"),
+                     F.concat(F.lit("10.0."), (u % 7).cast("string"), F.lit("."), (u % 11).cast("string")).alias("ip"),
+                     (F.col("event_type") != "error").alias("ok"))
+
+
+def login_attempts_sql() -> str:
+    return """(SELECT event_id AS attempt_id, ts, 'user' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS username,
+        '10.0.' || CAST(user_id % 7 AS VARCHAR) || '.' || CAST(user_id % 11 AS VARCHAR) AS ip,
+        event_type <> 'error' AS ok FROM events)"""
