@@ -127,8 +127,8 @@ def _glob_to_regex(g: str) -> str:
 def in_private_172(host: Column) -> Column:
     parts = F.split(host, "\\.")
     ipv4 = host.rlike("^[0-9]{1,3}(\\.[0-9]{1,3}){3}$")
-    second = F.element_at(parts, 2).try_cast("int")
-    return ipv4 & (F.element_at(parts, 1) == "172") & (second >= 16) & (second <= 31)
+    second = F.try_element_at(parts, F.lit(2)).try_cast("int")
+    return ipv4 & (F.try_element_at(parts, F.lit(1)) == "172") & (second >= 16) & (second <= 31)
 
 
 def route_class(log: DataFrame, targets: DataFrame, host_col: str = "host") -> DataFrame:

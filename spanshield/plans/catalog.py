@@ -461,3 +461,31 @@ def _route_sql() -> str:
 @register("i9_route_class", _route_sql())
 def i9_route_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AC.route_class(derived.request_log(spark, sf_dir), AC.load_targets(spark)).select("req_id", "route")
+
+
+# --- flagship: protected documents summary ------------------------------------------------------
+def protected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> scan -> tokenize (session = doc user and host); one row per document."""
+    docs = derived.messages(spark, sf_dir, with_fixtures=False)
+    lang = read_table_cols(spark, sf_dir)
+    return R.tokenize(docs.join(lang, "msg_id"), "body", "user_id", "host")
+
+
+def read_table_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanshield.sources.tables import read_table
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), "lang")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections per language and type: documents, spans and distinct tokens."""
+    t = protected_documents(spark, sf_dir)
+    ex = t.select("msg_id", "lang", F.inline("detections"))
+    return ex.groupBy("lang", "type").agg(F.count_distinct("msg_id").alias("documents"),
+                                          F.count(F.lit(1)).alias("detections"),
+                                          F.count_distinct("core").alias("distinct_tokens"))
+
+
+_DOC_MSG_SQL = derived.messages_sql(with_fixtures=False)
+register("protect_summary", f"""SELECT d.lang, t.type, count(DISTINCT t.msg_id) AS documents, count(*) AS detections,
+  count(DISTINCT t.core) AS distinct_tokens FROM {O.tokens_sql(_DOC_MSG_SQL)} t JOIN documents d ON d.doc_id = t.msg_id
+  GROUP BY d.lang, t.type""")(flagship)
