@@ -56,9 +56,32 @@ def find_spans(text: Column, pattern: str) -> Column:
         )
 
     found = F.aggregate(pairs, init, step, lambda acc: acc["spans"])
-    # cheap guard: a row without any match skips the split and the fold
+    return F.when(text.isNull(), empty_array(SPAN_TYPE)).otherwise(found)
+
+
+def find_spans_located(text: Column, pattern: str) -> Column:
+    """Like ``find_spans`` for *context-free* patterns (no anchors, ``\\b`` or look-around).
+
+    For such a pattern the leftmost occurrence of a match's text after the previous match end is
+    the match itself (an earlier occurrence would have matched first), so positions come from
+    ``locate`` and the second regex pass (``split``) is not needed.
+    """
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    init = F.struct(F.lit(0).alias("pos"), empty_array(SPAN_TYPE).alias("spans"))
+
+    def step(acc, m):
+        start = F.call_function("locate", m, text, acc["pos"] + 1) - 1
+        end = start + F.length(m)
+        span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), m.alias("text"))
+        return F.struct(end.cast("int").alias("pos"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
     return F.when(text.isNull(), empty_array(SPAN_TYPE)).otherwise(
-        F.when(F.size(matches) == 0, empty_array(SPAN_TYPE)).otherwise(found))
+        F.aggregate(matches, init, step, lambda acc: acc["spans"]))
+
+
+def guarded(cond: Column, spans: Column, element_type: T.DataType = SPAN_TYPE) -> Column:
+    """Evaluate ``spans`` only where the cheap necessary condition ``cond`` holds."""
+    return F.when(F.coalesce(cond, F.lit(False)), spans).otherwise(empty_array(element_type))
 
 
 def overlaps(a, b) -> Column:
@@ -116,3 +139,19 @@ def utf8_prefix_bytes(s: Column, max_bytes: int) -> Column:
         lambda acc: acc["out"],
     )
     return F.when(F.octet_length(head) <= max_bytes, head).otherwise(cut)
+
+
+def explode_spans(df, col: str, keep, pos: str | None = None):
+    """One row per array element (rows with an empty array vanish), without re-evaluating ``col``.
+
+    A plain ``explode``/``inline`` makes Catalyst infer ``size(col) > 0`` and push it below the
+    projection that computes ``col``, which copies the whole detection expression into a Filter
+    (the scan would run twice). The ``_outer`` generators are exempt from that rule; the empty
+    rows they emit are dropped by a filter on the generated column, which cannot move below.
+    """
+    from pyspark.sql import functions as F  # local: keep module import surface small
+    if pos is None:
+        out = df.select(*keep, F.explode_outer(col).alias("_e")).where(F.col("_e").isNotNull())
+    else:
+        out = df.select(*keep, F.posexplode_outer(col).alias(pos, "_e")).where(F.col("_e").isNotNull())
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanshield import patterns as P
+from spanshield.functions.spans import explode_spans
 
 AUDIT_COLS = ["user_id", "resource", "violation_type", "masked_context", "token", "request_path", "ts"]
 
@@ -14,8 +15,8 @@ def violation_events(tokenized: DataFrame, det_col: str = "detections", user_col
                      resource_col: str = "host", path_col: str = "path", ts_col: str = "ts",
                      id_col: str = "msg_id") -> DataFrame:
     """one event per detection: ``TYPE: masked=… token=…`` (never the original value)."""
-    d = F.col("d")
-    return tokenized.select(id_col, user_col, resource_col, path_col, ts_col, F.posexplode(det_col).alias("ord", "d")) \
+    d = F.col("_e")
+    return explode_spans(tokenized, det_col, [id_col, user_col, resource_col, path_col, ts_col], pos="ord") \
         .select(id_col, "ord",
                 F.col(user_col).alias("user_id"), F.col(resource_col).alias("resource"),
                 d["type"].alias("violation_type"),

@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 from spanshield import patterns as P
 from spanshield.functions import masks
+from spanshield.functions.parallel import spread
 from spanshield.functions.spans import (
     DETECTION_TYPE,
     empty_array,
+    explode_spans,
     find_spans,
+    find_spans_located,
+    guarded,
     resolve_greedy,
     sort_by_start,
     utf8_prefix_bytes,
@@ -25,6 +29,44 @@ from spanshield.functions.spans import (
 MAX_INT = 2147483647
 
 
+def _has(text: Column, *needles: str) -> Column:
+    cond = None
+    for n in needles:
+        c = F.instr(text, n) > 0
+        cond = c if cond is None else (cond | c)
+    return cond
+
+
+# Necessary conditions per detector (exact: a row failing one cannot hold a match). ``instr`` is a
+# byte search, far cheaper than a regex pass, and most rows fail every one of them.
+def prefilter_secret_prefix(text: Column) -> Column:
+    return _has(text, "k-", "K-", ":")  # sk-/pk- in any case, or authorization: / x-api-key:
+
+
+def prefilter_secret_kv(text: Column) -> Column:
+    return _has(text, ":", "=")
+
+
+def prefilter_api_key(text: Column) -> Column:
+    return _has(text, "k-")
+
+
+def prefilter_fio(text: Column) -> Column:
+    return text.rlike("[А-ЯЁ]")
+
+
+def prefilter_email(text: Column) -> Column:
+    return _has(text, "@")
+
+
+def prefilter_phone(text: Column) -> Column:
+    return _has(text, "8", "+7")
+
+
+def prefilter_company(text: Column) -> Column:
+    return text.rlike("[А-Яа-яЁё]")
+
+
 def _detection(start: Column, end: Column, vtype: str, text: Column, masked: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"),
                     F.lit(vtype).alias("type"), text.alias("text"), masked.alias("masked"))
@@ -39,7 +81,7 @@ def _as_detections(spans: Column, vtype: str, mask_fn, keep=None) -> Column:
 # --- B1 -------------------------------------------------------------------------------------------
 def secret_prefix_detections(text: Column) -> Column:
     """Prefix secrets: ``sk-``/``pk-``/``authorization:``/``x-api-key:`` + value of >= 16 bytes."""
-    prefixes = find_spans(text, P.SECRET_PREFIX_RE)
+    prefixes = guarded(prefilter_secret_prefix(text), find_spans_located(text, P.SECRET_PREFIX_RE))
 
     def candidate(p):
         rest = F.substring(text, p["end"] + 1, MAX_INT)
@@ -56,11 +98,13 @@ def secret_prefix_detections(text: Column) -> Column:
 
 # --- B2, B3 ---------------------------------------------------------------------------------------
 def secret_kv_detections(text: Column) -> Column:
-    return _as_detections(find_spans(text, P.SECRET_KV_RE), "SECRET", masks.mask_secret_kv)
+    return _as_detections(guarded(prefilter_secret_kv(text), find_spans_located(text, P.SECRET_KV_RE)),
+                          "SECRET", masks.mask_secret_kv)
 
 
 def api_key_detections(text: Column) -> Column:
-    return _as_detections(find_spans(text, P.API_KEY_RE), "SECRET", masks.mask_secret)
+    return _as_detections(guarded(prefilter_api_key(text), find_spans_located(text, P.API_KEY_RE)),
+                          "SECRET", masks.mask_secret)
 
 
 # --- B4 -------------------------------------------------------------------------------------------
@@ -74,7 +118,8 @@ def fio_detections(text: Column, names=None) -> Column:
     def keep(s):
         words = F.slice(F.split(s["text"], f"{P.WS}+", -1), 1, 2)
         return F.exists(words, lambda w: is_first_name(w, names))
-    return _as_detections(find_spans(text, P.FIO_RE), "PII_FIO", masks.mask_fio, keep)
+    return _as_detections(guarded(prefilter_fio(text), find_spans_located(text, P.FIO_RE)),
+                          "PII_FIO", masks.mask_fio, keep)
 
 
 # --- B5 -------------------------------------------------------------------------------------------
@@ -104,7 +149,7 @@ def is_service_address(email: Column, text: Column, start: Column) -> Column:
 
 
 def email_detections(text: Column) -> Column:
-    return _as_detections(find_spans(text, P.EMAIL_RE), "PII_EMAIL", masks.mask_email,
+    return _as_detections(guarded(prefilter_email(text), find_spans(text, P.EMAIL_RE)), "PII_EMAIL", masks.mask_email,
                           lambda s: ~is_service_address(s["text"], text, s["start"]))
 
 
@@ -117,13 +162,14 @@ def is_valid_phone(s: Column) -> Column:
 
 
 def phone_detections(text: Column) -> Column:
-    return _as_detections(find_spans(text, P.PHONE_RE), "PII_PHONE", masks.mask_phone,
+    return _as_detections(guarded(prefilter_phone(text), find_spans_located(text, P.PHONE_RE)), "PII_PHONE", masks.mask_phone,
                           lambda s: is_valid_phone(s["text"]))
 
 
 # --- B7 -------------------------------------------------------------------------------------------
 def company_detections(text: Column) -> Column:
-    return _as_detections(find_spans(text, P.COMPANY_RE), "PII_COMPANY", masks.mask_company)
+    return _as_detections(guarded(prefilter_company(text), find_spans(text, P.COMPANY_RE)), "PII_COMPANY",
+                          masks.mask_company)
 
 
 # --- B8 -------------------------------------------------------------------------------------------
@@ -150,8 +196,9 @@ DETECTORS = {
 
 
 def detect(df: DataFrame, text_col: str, out: str = "detections", detector: str | None = None,
-           **kw) -> DataFrame:
+           key: str | None = "msg_id", **kw) -> DataFrame:
     """Add ``out`` = the detections of ``text_col`` (one detector, or the full ``scan``)."""
+    df = spread(df, key if key in df.columns else None)
     text = F.col(text_col)
     col = scan(text, **kw) if detector is None else DETECTORS[detector](text)
     return df.withColumn(out, col)
@@ -160,9 +207,8 @@ def detect(df: DataFrame, text_col: str, out: str = "detections", detector: str
 def explode_detections(df: DataFrame, col: str = "detections", keep: list[str] | None = None) -> DataFrame:
     """One row per detection with its ordinal (0-based, by start). Rows without any vanish.
 
-    ``inline``/``posexplode`` is a Generate node: it drops empty arrays itself, so no Filter on the
-    array size is needed (such a filter would make Catalyst evaluate the extraction twice).
+    Uses ``explode_spans`` so the scan expression is evaluated once (see there).
     """
     keep = keep if keep is not None else [c for c in df.columns if c != col]
-    return df.select(*keep, F.posexplode(col).alias("ord", "d")) \
-        .select(*keep, "ord", "d.start", "d.end", "d.type", "d.text", "d.masked")
+    return explode_spans(df, col, keep, pos="ord") \
+        .select(*keep, "ord", "_e.start", "_e.end", "_e.type", "_e.text", "_e.masked")

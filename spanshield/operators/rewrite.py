@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanshield import patterns as P
-from spanshield.functions.spans import rebuild
+from spanshield.functions.parallel import spread
+from spanshield.functions.spans import explode_spans, rebuild
 from spanshield.operators.detect import scan
 
 
@@ -39,8 +40,9 @@ def token_of(vtype: Column, value: Column, skey: Column) -> Column:
 
 
 def mask_text(df: DataFrame, text_col: str, out: str = "masked_text", det_col: str = "detections",
-              **scan_kw) -> DataFrame:
+              key: str | None = "msg_id", **scan_kw) -> DataFrame:
     """Replace each detected span by its masked form; keep the detections."""
+    df = spread(df, key if key in df.columns else None)
     return (df.withColumn(det_col, scan(F.col(text_col), **scan_kw))
             .withColumn(out, rebuild(F.col(text_col), F.col(det_col), "masked")))
 
@@ -53,12 +55,14 @@ def add_tokens(dets: Column, skey: Column) -> Column:
 
 
 def tokenize(df: DataFrame, text_col: str, user_col: str = "user_id", domain_col: str = "host",
-             out: str = "tokenized", det_col: str = "detections", keep=None, **scan_kw) -> DataFrame:
+             out: str = "tokenized", det_col: str = "detections", keep=None, key: str | None = "msg_id",
+             **scan_kw) -> DataFrame:
     """Replace each detection by ``[TYPE_hex6]`` (deterministic per value and session).
 
     ``keep``: optional boolean lambda over a detection; detections where it is false are put back
     unchanged (C7: verdict-rejected detections restored before the rebuild, one pass).
     """
+    df = spread(df, key if key in df.columns else None)
     skey = session_key(F.col(user_col), F.col(domain_col))
     dets = add_tokens(scan(F.col(text_col), **scan_kw), skey)
     if keep is not None:
@@ -76,9 +80,9 @@ def restore_rejected(df: DataFrame, text_col: str, verdicts: DataFrame, key_cols
     detections and folded back per message.
     """
     keys = list(key_cols)
-    ex = df.select(*keys, F.posexplode(det_col).alias("ord", "d"))
+    ex = explode_spans(df, det_col, keys, pos="ord")
     kept = (ex.join(verdicts, keys + ["ord"], "left")
             .where(F.coalesce(F.col("keep"), F.lit(True)))
-            .groupBy(*keys).agg(F.array_sort(F.collect_list("d")).alias("kept")))
+            .groupBy(*keys).agg(F.array_sort(F.collect_list("_e")).alias("kept")))
     base = df.join(kept, keys, "left").withColumn("kept", F.coalesce(F.col("kept"), F.filter(F.col(det_col), lambda d: F.lit(False))))
     return base.withColumn(out, rebuild(F.col(text_col), F.col("kept"), "token")).drop("kept")

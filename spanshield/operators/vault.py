@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanshield import patterns as P
-from spanshield.functions.spans import find_spans, rebuild
+from spanshield.functions.spans import explode_spans, find_spans_located, guarded, rebuild
 
 VAULT_COLS = ["core", "session_key", "value", "stored_at", "last_access"]
 
@@ -20,9 +20,9 @@ VAULT_COLS = ["core", "session_key", "value", "stored_at", "last_access"]
 def token_entries(tokenized: DataFrame, ts_col: str = "ts", id_col: str = "msg_id",
                   det_col: str = "detections") -> DataFrame:
     """One row per (message, detection): core, session_key, value, ts, full hash."""
-    return tokenized.select(id_col, ts_col, "session_key", F.posexplode(det_col).alias("ord", "d")) \
-        .select(id_col, F.col(ts_col).alias("ts"), "session_key", "ord", F.col("d.core").alias("core"),
-                F.col("d.text").alias("value"), F.col("d.type").alias("type"), F.col("d.hash").alias("hash"))
+    ex = explode_spans(tokenized, det_col, [id_col, ts_col, "session_key"], pos="ord")
+    return ex.select(id_col, F.col(ts_col).alias("ts"), "session_key", "ord", F.col("_e.core").alias("core"),
+                     F.col("_e.text").alias("value"), F.col("_e.type").alias("type"), F.col("_e.hash").alias("hash"))
 
 
 def build_vault(entries: DataFrame, per_session: bool = True) -> DataFrame:
@@ -68,8 +68,8 @@ def expire_vault(vault: DataFrame, now: Column, ttl_seconds: int = 2_592_000, ha
 
 def find_tokens(text: Column) -> Column:
     """D3: all written token forms as ``array<struct<start, end, text, core>>`` (leftmost, longest)."""
-    return F.transform(find_spans(text, P.TOKEN_ANY_RE),
-                       lambda s: s.withField("core", token_core(s["text"])))
+    spans = guarded(F.instr(text, "_") > 0, find_spans_located(text, P.TOKEN_ANY_RE))  # every form has "_"
+    return F.transform(spans, lambda s: s.withField("core", token_core(s["text"])))
 
 
 def token_core(token: Column) -> Column:
@@ -79,23 +79,32 @@ def token_core(token: Column) -> Column:
 
 
 def explode_tokens(df: DataFrame, text_col: str, keep=("msg_id",)) -> DataFrame:
-    return df.select(*keep, F.posexplode(find_tokens(F.col(text_col))).alias("ord", "t")) \
-        .select(*keep, "ord", F.col("t.start").alias("start"), F.col("t.end").alias("end"),
-                F.col("t.text").alias("token_text"), F.col("t.core").alias("core"))
+    t = df.select(*keep, find_tokens(F.col(text_col)).alias("_toks"))
+    return explode_spans(t, "_toks", list(keep), pos="ord") \
+        .select(*keep, "ord", F.col("_e.start").alias("start"), F.col("_e.end").alias("end"),
+                F.col("_e.text").alias("token_text"), F.col("_e.core").alias("core"))
 
 
 def detokenize(replies: DataFrame, vault: DataFrame, text_col: str = "body", id_col: str = "msg_id",
                session_col: str = "session_key", request_map: DataFrame | None = None,
-               unknown: str | None = P.REDACTED, out: str = "restored") -> DataFrame:
+               unknown: str | None = P.REDACTED, out: str = "restored",
+               num_partitions: int | None = None) -> DataFrame:
     """D5 (and D6 with ``unknown=None``): replace every token by its value.
 
     Lookup order: request map -> global vault -> session vault -> ``[REDACTED]`` (D6 keeps the
-    token text). Replies without any token pass through untouched (no shuffle for them); only the
-    token rows are joined, and only the vault rows of referenced cores take part.
+    token text).
+
+    Plan: the replies are hash-partitioned by id once; the token rows derived from them keep that
+    partitioning, so the regroup by id and the join back to the replies add no shuffle of the
+    reply bodies (both branches read the same exchange). Only token rows (id, span, core) meet the
+    vault, and only vault rows of referenced cores survive the join.
     """
-    has = replies.where(F.col(text_col).rlike(P.TOKEN_CORE_RE))
-    none = replies.where(~F.col(text_col).rlike(P.TOKEN_CORE_RE) | F.col(text_col).isNull())
-    toks = explode_tokens(has, text_col, keep=(id_col, session_col))
+    spark = replies.sparkSession
+    n = num_partitions or max(spark.sparkContext.defaultParallelism,
+                              int(spark.conf.get("spark.sql.shuffle.partitions")))
+    r = replies.repartition(n, id_col).withColumn("_toks", find_tokens(F.col(text_col)))
+    toks = explode_spans(r, "_toks", [id_col, session_col]) \
+        .select(id_col, session_col, "_e.start", "_e.end", F.col("_e.text").alias("token_text"), "_e.core")
     glob = vault.where(F.col("session_key").isNull()).select("core", F.col("value").alias("v_global"))
     sess = vault.where(F.col("session_key").isNotNull()) \
         .select(F.col("session_key").alias(session_col), "core", F.col("value").alias("v_session"))
@@ -106,12 +115,12 @@ def detokenize(replies: DataFrame, vault: DataFrame, text_col: str = "body", id_
         j = j.join(rm, [id_col, "core"], "left")
         vals = [F.col("v_request")] + vals
     fallback = F.lit(unknown) if unknown is not None else F.col("token_text")
-    j = j.withColumn("value", F.coalesce(*vals, fallback))
     per_msg = j.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("repl"))
-    restored = has.join(per_msg, id_col, "left") \
-        .withColumn(out, rebuild(F.col(text_col), F.col("repl"), "value")).drop("repl")
-    return restored.unionByName(none.withColumn(out, F.col(text_col)))
+        F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce(*vals, fallback).alias("value")))).alias("_repl"))
+    restored = r.join(per_msg, id_col, "left") \
+        .withColumn(out, F.when(F.col("_repl").isNull(), F.col(text_col))
+                    .otherwise(rebuild(F.col(text_col), F.col("_repl"), "value")))
+    return restored.drop("_toks", "_repl")
 
 
 def vault_collisions(entries: DataFrame) -> DataFrame:

@@ -88,7 +88,9 @@ ANON_USER = "anon"
 
 SECRET_PREFIX_RE = "(?i)(?:" + "|".join(p.replace("-", "\\-") for p in SECRET_PREFIXES) + ")"
 SECRET_VALUE_RE = f"^[^{WS_CHARS}{SECRET_VALUE_STOP}]*"
-SECRET_KV_RE = ("(?iu)(?:" + "|".join(k.replace("-", "\\-") for k in SECRET_KV_KEYS) + ")"
+# the look-ahead on the first letters only prunes start positions cheaply; it accepts every
+# character any key word can start with under Unicode case folding
+SECRET_KV_RE = ("(?iu)(?=[abpst])(?:" + "|".join(k.replace("-", "\\-") for k in SECRET_KV_KEYS) + ")"
                 + f"{WS}*[:=]{WS}*[\"']?[a-zA-Z0-9_\\-.]{{12,}}")
 API_KEY_RE = "(?:sk|pk)-(?:[a-zA-Z0-9]{20,}|[a-zA-Z0-9]{4,}-[a-zA-Z0-9]{16,})"
 FIO_RE = f"[А-ЯЁ][а-яё]+{WS}+[А-ЯЁ][а-яё]+(?:{WS}+[А-ЯЁ][а-яё]+)?"

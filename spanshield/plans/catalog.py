@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanshield.functions.spans import resolve_greedy
+from spanshield.functions.spans import explode_spans, resolve_greedy
 from spanshield.operators import detect as D
 from spanshield.plans import derived
 from spanshield.plans import oracle_sql as O
@@ -84,9 +84,9 @@ def tokenized_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("c5_tokens", f"""SELECT msg_id, ord, type, session_key, '[' || core || ']' AS token, core FROM {TOKENS_SQL}""")
 def c5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tokenized_messages(spark, sf_dir)
-    return t.select("msg_id", "session_key", F.posexplode("detections").alias("ord", "d")) \
-        .select("msg_id", "ord", F.col("d.type").alias("type"), "session_key",
-                F.col("d.token").alias("token"), F.col("d.core").alias("core"))
+    return explode_spans(t, "detections", ["msg_id", "session_key"], pos="ord") \
+        .select("msg_id", "ord", F.col("_e.type").alias("type"), "session_key",
+                F.col("_e.token").alias("token"), F.col("_e.core").alias("core"))
 
 
 TOKENIZED_SQL = O.rebuild_sql(MSG_SRC, f"""(SELECT msg_id AS id, start, "end", '[' || core || ']' AS repl FROM {TOKENS_SQL})""", "tokenized")
@@ -466,20 +466,14 @@ def i9_route_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- flagship: protected documents summary ------------------------------------------------------
 def protected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> scan -> tokenize (session = doc user and host); one row per document."""
-    docs = derived.messages(spark, sf_dir, with_fixtures=False)
-    lang = read_table_cols(spark, sf_dir)
-    return R.tokenize(docs.join(lang, "msg_id"), "body", "user_id", "host")
-
-
-def read_table_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spanshield.sources.tables import read_table
-    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), "lang")
+    docs = derived.messages(spark, sf_dir, with_fixtures=False, extra=[F.col("lang")])
+    return R.tokenize(docs, "body", "user_id", "host")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections per language and type: documents, spans and distinct tokens."""
     t = protected_documents(spark, sf_dir)
-    ex = t.select("msg_id", "lang", F.inline("detections"))
+    ex = explode_spans(t, "detections", ["msg_id", "lang"]).select("msg_id", "lang", "_e.type", "_e.core")
     return ex.groupBy("lang", "type").agg(F.count_distinct("msg_id").alias("documents"),
                                           F.count(F.lit(1)).alias("detections"),
                                           F.count_distinct("core").alias("distinct_tokens"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanshield.functions.parallel import spread
 from spanshield.sources.fixtures import fixture_df, fixture_sql
 from spanshield.sources.tables import read_table
 
@@ -30,7 +31,7 @@ def _arr(values: list[str]) -> str:
 
 
 # --- messages ----------------------------------------------------------------------------------
-def messages(spark: SparkSession, sf_dir: str, with_fixtures: bool = True) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str, with_fixtures: bool = True, extra=()) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     d = docs.select(
         F.col("doc_id").alias("msg_id"),
@@ -40,10 +41,13 @@ def messages(spark: SparkSession, sf_dir: str, with_fixtures: bool = True) -> Da
         F.lit("/v1/chat/completions").alias("path"),
         F.timestamp_seconds(F.lit(EPOCH) + F.col("doc_id") * 60).alias("ts"),
         F.col("text").alias("body"),
+        *extra,
     )
     if with_fixtures:
         d = d.unionByName(fixture_df(spark, "messages"))
-    return d
+    # the driver's tables are single parquet row groups (one task reads all of them): spread the
+    # text over the cores before the regex-heavy projections
+    return spread(d, "msg_id", force=True)
 
 
 def messages_sql(with_fixtures: bool = True) -> str:

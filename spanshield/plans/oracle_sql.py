@@ -17,6 +17,7 @@ def q(s: str) -> str:
 
 
 def re2(pattern: str) -> str:
+    pattern = pattern.replace("(?iu)(?=[abpst])", "(?iu)")  # the look-ahead is a Java speed-up only
     return pattern.replace("(?iu)", "(?i)").replace("(?iU)", "(?i)").replace("(?U)", "")
 
 
