@@ -483,3 +483,132 @@ _DOC_MSG_SQL = derived.messages_sql(with_fixtures=False)
 register("protect_summary", f"""SELECT d.lang, t.type, count(DISTINCT t.msg_id) AS documents, count(*) AS detections,
   count(DISTINCT t.core) AS distinct_tokens FROM {O.tokens_sql(_DOC_MSG_SQL)} t JOIN documents d ON d.doc_id = t.msg_id
   GROUP BY d.lang, t.type""")(flagship)
+
+
+# --- B14, E: verdicts --------------------------------------------------------------------------
+from spanshield.operators import verdict as VE  # noqa: E402
+
+DETS_SQL = f"(SELECT id AS msg_id, ord, start, \"end\", type, text, masked FROM {SCAN_SQL})"
+
+
+def _dets(spark, sf_dir):
+    return b8_scan(spark, sf_dir)
+
+
+def _bodies(spark, sf_dir):
+    return derived.messages(spark, sf_dir).select("msg_id", "body")
+
+
+def context_sql(body: str, needle: str, radius: int = VE.CONTEXT_RADIUS_BYTES) -> str:
+    pos = f"strpos({body}, {needle})"
+    pre = f"substring({body}, 1, {pos} - 1)"
+    post = f"substring({body}, {pos} + length({needle}))"
+    k_pre = f"list_max(list_filter(range(0, {radius + 1}), lambda k: strlen(right({pre}, k)) <= {radius}))"
+    k_post = f"list_max(list_filter(range(0, {radius + 1}), lambda k: strlen(left({post}, k)) <= {radius}))"
+    snippet = f"(right({pre}, {k_pre}) || {needle} || left({post}, {k_post}))"
+    return f"(CASE WHEN {pos} > 0 THEN replace({snippet}, {needle}, '{VE.DETECTED}') ELSE '{VE.NO_CONTEXT}' END)"
+
+
+@register("b14_context_window", f"""SELECT d.msg_id, d.ord, {context_sql('m.body', 'd.text')} AS context
+  FROM {DETS_SQL} d JOIN {MSG_SQL} m ON m.msg_id = d.msg_id""")
+def b14_context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _dets(spark, sf_dir).join(_bodies(spark, sf_dir), "msg_id")
+    return d.select("msg_id", "ord", VE.context_around(F.col("body"), F.col("text")).alias("context"))
+
+
+def _label_sql(t: str) -> str:
+    return "(CASE " + " ".join(f"WHEN {t} = '{k}' THEN '{v}'" for k, v in VE.LABELS.items()) + " ELSE 'OTHER' END)"
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+REQUESTS_SQL = f"""(SELECT msg_id, n_items, prompt, sha256(prompt) AS prompt_hash FROM (
+  SELECT msg_id, max(n_pii) AS n_items, {_q(VE.PROMPT_HEADER)} || string_agg(line, '' ORDER BY item) || {_q(VE.PROMPT_FOOTER)} AS prompt
+  FROM (SELECT d.msg_id, d.item, d.n_pii, CAST(d.item AS VARCHAR) || '. [' || {_label_sql('d.type')} || '] "' || d.text || '" — context: '
+               || {context_sql('m.body', 'd.text')} || chr(10) AS line
+        FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY ord) AS item, count(*) OVER (PARTITION BY msg_id) AS n_pii
+              FROM {DETS_SQL} WHERE type <> 'SECRET') d JOIN {MSG_SQL} m ON m.msg_id = d.msg_id)
+  WHERE n_pii <= {VE.MAX_ITEMS} GROUP BY msg_id))"""
+
+
+@register("e2_verdict_requests", f"SELECT msg_id, n_items, prompt, prompt_hash FROM {REQUESTS_SQL}")
+def e2_verdict_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VE.build_verdict_requests(_dets(spark, sf_dir), _bodies(spark, sf_dir))
+
+
+def judge_responses(requests: DataFrame) -> DataFrame:
+    """Stand-in judge answers derived from each request (formats vary with the hash's first digit:
+    comma, comma-space, newline, prose; some answers one item short or one too many)."""
+    c = F.substring("prompt_hash", 1, 1)
+    k = F.when(c.isin("2", "3"), F.col("n_items") + 1).when(c.isin("6", "7"), F.col("n_items") - 1).otherwise(F.col("n_items"))
+    items = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.when(i % 2 == 1, F.lit("1")).otherwise(F.lit("0")))
+    items = F.slice(items, 1, F.greatest(k, F.lit(0)))
+    raw = (F.when(c.isin("0", "1", "2", "3"), F.array_join(items, ","))
+           .when(c.isin("4", "5", "6", "7"), F.array_join(items, ", "))
+           .when(c.isin("8", "9", "a", "b"), F.array_join(items, "\n"))
+           .otherwise(F.concat(F.lit("Sure, here you go: "), F.array_join(items, ","))))
+    return VE.distinct_requests(requests).select("prompt_hash", raw.alias("raw"))
+
+
+RESPONSES_SQL = f"""(SELECT prompt_hash, CASE
+    WHEN c IN ('0','1','2','3') THEN array_to_string(items, ',') WHEN c IN ('4','5','6','7') THEN array_to_string(items, ', ')
+    WHEN c IN ('8','9','a','b') THEN array_to_string(items, chr(10)) ELSE 'Sure, here you go: ' || array_to_string(items, ',') END AS raw
+  FROM (SELECT prompt_hash, c, list_transform(range(1, k + 1), lambda i: CASE WHEN i % 2 = 1 THEN '1' ELSE '0' END) AS items
+        FROM (SELECT DISTINCT prompt_hash, left(prompt_hash, 1) AS c,
+                CASE WHEN left(prompt_hash, 1) IN ('2','3') THEN n_items + 1 WHEN left(prompt_hash, 1) IN ('6','7') THEN n_items - 1
+                     ELSE n_items END AS k FROM {REQUESTS_SQL})))"""
+
+VERDICTS_SQL = f"""(SELECT prompt_hash, CAST(pos AS INTEGER) AS item, trim(t) = '1' AS keep FROM (
+  SELECT prompt_hash, unnest(parts) AS t, unnest(range(1, len(parts) + 1)) AS pos FROM (
+    SELECT prompt_hash, list_filter(string_split_regex(regexp_replace(raw, '[^0-9,\\n ]', '', 'g'), '[,\\n ]'),
+                                    lambda t: trim(t) IN ('0', '1')) AS parts
+    FROM {RESPONSES_SQL} WHERE left(ltrim(raw), 1) IN ('0', '1', '[', '{{'))))"""
+
+
+@register("e3_parse_verdicts", f"SELECT * FROM {VERDICTS_SQL}")
+def e3_parse_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    req = VE.build_verdict_requests(_dets(spark, sf_dir), _bodies(spark, sf_dir))
+    return VE.parse_verdicts(judge_responses(req))
+
+
+KEEP_SQL = f"""(SELECT d.*, (d.type = 'SECRET' OR r.prompt_hash IS NULL OR coalesce(v.keep, TRUE)) AS keep
+  FROM {DETS_SQL} d
+  LEFT JOIN (SELECT msg_id, ord, row_number() OVER (PARTITION BY msg_id ORDER BY ord) AS item FROM {DETS_SQL} WHERE type <> 'SECRET') p
+    ON p.msg_id = d.msg_id AND p.ord = d.ord
+  LEFT JOIN {REQUESTS_SQL} r ON r.msg_id = d.msg_id
+  LEFT JOIN {VERDICTS_SQL} v ON v.prompt_hash = r.prompt_hash AND v.item = p.item)"""
+
+
+def _kept(spark, sf_dir):
+    dets = _dets(spark, sf_dir)
+    req = VE.build_verdict_requests(dets, _bodies(spark, sf_dir))
+    return VE.apply_verdicts(dets, req, VE.parse_verdicts(judge_responses(req)))
+
+
+@register("e1_apply_verdicts", f"SELECT msg_id, ord, type, text, keep FROM {KEEP_SQL}")
+def e1_apply_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir).select("msg_id", "ord", "type", "text", "keep")
+
+
+@register("c7_restore_rejected", f"""SELECT r.id AS msg_id, r.restored_body FROM {O.rebuild_sql(MSG_SRC,
+    f'(SELECT k.msg_id AS id, k.start, k."end", {chr(39)}[{chr(39)} || t.core || {chr(39)}]{chr(39)} AS repl FROM {KEEP_SQL} k JOIN {TOKENS_SQL} t ON t.msg_id = k.msg_id AND t.ord = k.ord WHERE k.keep)',
+    'restored_body')} r""")
+def c7_restore_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tokenized_messages(spark, sf_dir)
+    verdicts = _kept(spark, sf_dir).select("msg_id", "ord", "keep")
+    return R.restore_rejected(t, "body", verdicts, out="restored_body").select("msg_id", "restored_body")
+
+
+@register("e4_embedding_flag", """WITH ex AS (SELECT label, i, CAST(embedding[i] AS DOUBLE) AS x
+    FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+  c AS (SELECT label, list(x ORDER BY i) AS centroid FROM (SELECT label, i, avg(x) AS x FROM ex GROUP BY label, i) GROUP BY label),
+  s AS (SELECT e.vec_id, max(list_cosine_similarity(list_transform(e.embedding, lambda v: CAST(v AS DOUBLE)), c.centroid)) AS max_cos
+        FROM embeddings e, c GROUP BY e.vec_id)
+  SELECT vec_id, round(max_cos, 4) AS max_cos, max_cos >= 0.65 AS flagged FROM s""")
+def e4_embedding_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanshield.sources.tables import read_table
+    emb = read_table(spark, sf_dir, "embeddings")
+    f = VE.embedding_flags(emb, VE.label_centroids(emb))
+    return f.select("vec_id", F.round("max_cos", 4).alias("max_cos"), "flagged")
