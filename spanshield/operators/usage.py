@@ -139,3 +139,82 @@ def billing_ledger_monthly(log: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("requests"),
                  *[F.sum(c).cast("long").alias(c) for c in USAGE_METRICS[1:]],
                  F.count_if(F.col("status") >= 400).cast("long").alias("failed")))
+
+
+# --- G1, G2, G12: usage from provider bodies --------------------------------------------------------
+def _u64(v: Column) -> Column:
+    """A JSON unsigned integer (as the reference's ``as_u64``): integers >= 0 only, no floats or strings."""
+    return F.when((F.schema_of_variant(v) == "BIGINT") & (F.variant_get(v, "$", "bigint") >= 0),
+                  F.variant_get(v, "$", "bigint"))
+
+
+def _is_object(v: Column) -> Column:
+    return F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+
+
+def usage_record(v: Column) -> Column:
+    """``struct<prompt, completion, model>`` from a parsed provider body, or null (no record).
+
+    ``usage.prompt_tokens/completion_tokens`` if either is present, else
+    ``usage.input_tokens/output_tokens``; ``model`` only when it is a string.
+    """
+    u = F.try_variant_get(v, "$.usage", "variant")
+    p1, c1 = _u64(F.try_variant_get(u, "$.prompt_tokens", "variant")), _u64(F.try_variant_get(u, "$.completion_tokens", "variant"))
+    p2, c2 = _u64(F.try_variant_get(u, "$.input_tokens", "variant")), _u64(F.try_variant_get(u, "$.output_tokens", "variant"))
+    m = F.try_variant_get(v, "$.model", "variant")
+    model = F.when(F.schema_of_variant(m) == "STRING", F.variant_get(m, "$", "string"))
+    first = p1.isNotNull() | c1.isNotNull()
+    second = p2.isNotNull() | c2.isNotNull()
+    rec = F.struct(F.when(first, p1).otherwise(p2).alias("prompt"), F.when(first, c1).otherwise(c2).alias("completion"),
+                   model.alias("model"))
+    ok = v.isNotNull() & _is_object(v) & _is_object(u) & (first | second)
+    return F.when(F.coalesce(ok, F.lit(False)), rec)
+
+
+def parse_usage(df: DataFrame, body_col: str = "body", out: str = "usage") -> DataFrame:
+    """G1: usage record of each JSON body (null when there is none)."""
+    return df.withColumn(out, usage_record(F.try_parse_json(F.col(body_col))))
+
+
+def estimate_tokens(body: Column) -> Column:
+    """ceil(bytes of all message contents / 4) (string content, or ``parts[].text``); 0 -> null."""
+    v = F.try_parse_json(body)
+    msgs = F.try_variant_get(v, "$.messages", "array<variant>")
+
+    def content_bytes(m):
+        c = F.try_variant_get(m, "$.content", "variant")
+        kind = F.schema_of_variant(c)
+        parts = F.try_variant_get(c, "$", "array<variant>")
+        part_bytes = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + F.coalesce(F.when(
+            F.schema_of_variant(F.try_variant_get(p, "$.text", "variant")) == "STRING",
+            F.octet_length(F.try_variant_get(p, "$.text", "string"))), F.lit(0)))
+        return (F.when(kind == "STRING", F.octet_length(F.variant_get(c, "$", "string")).cast("long"))
+                .when(F.startswith(kind, F.lit("ARRAY")), part_bytes).otherwise(F.lit(0).cast("long")))
+
+    n = F.aggregate(F.transform(msgs, content_bytes), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(n > 0, F.ceil(n / F.lit(4.0)).cast("long"))
+
+
+def usage_from_stream(sse: Column) -> Column:
+    """G12 (design-only in the reference): usage from ``data:`` frames of an SSE reply.
+
+    OpenAI: the last frame carrying usage; Anthropic: ``message_start.message.usage.input_tokens``
+    and the last ``message_delta.usage.output_tokens``. Returns ``struct<prompt, completion>``.
+    """
+    lines = F.split(sse, "\n", -1)
+    frames = F.transform(F.filter(lines, lambda ln: F.startswith(ln, F.lit("data: "))),
+                         lambda ln: F.try_parse_json(F.substring(ln, 7, 2147483647)))
+    recs = F.filter(F.transform(frames, usage_record), lambda r: r.isNotNull())
+    last = F.try_element_at(recs, F.lit(-1))
+
+    def typed(t):
+        return F.filter(frames, lambda f: F.coalesce(F.try_variant_get(f, "$.type", "string") == t, F.lit(False)))
+
+    starts = typed("message_start")
+    deltas = typed("message_delta")
+    a_in = F.try_element_at(F.transform(starts, lambda f: _u64(F.try_variant_get(f, "$.message.usage.input_tokens", "variant"))), F.lit(1))
+    a_out = F.try_element_at(F.filter(F.transform(deltas, lambda f: _u64(F.try_variant_get(f, "$.usage.output_tokens", "variant"))),
+                                  lambda x: x.isNotNull()), F.lit(-1))
+    is_anthropic = F.size(starts) > 0
+    return F.when(is_anthropic, F.struct(a_in.alias("prompt"), a_out.alias("completion"))) \
+        .otherwise(F.struct(last["prompt"].alias("prompt"), last["completion"].alias("completion")))

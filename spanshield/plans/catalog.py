@@ -612,3 +612,120 @@ def e4_embedding_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = read_table(spark, sf_dir, "embeddings")
     f = VE.embedding_flags(emb, VE.label_centroids(emb))
     return f.select("vec_id", F.round("max_cos", 4).alias("max_cos"), "flagged")
+
+
+# --- G1, G2, G12: usage from provider bodies ------------------------------------------------------
+import re as _re  # noqa: E402
+
+# provider reply bodies derived from each request (template chosen by req_id % 8)
+REPLY_TEMPLATES = [
+    '{"model":"gpt-4o","usage":{"prompt_tokens":{tin},"completion_tokens":{tout},"total_tokens":{tsum}}}',
+    '{"model":"claude-3-5","usage":{"input_tokens":{tin},"output_tokens":{tout}}}',
+    '{"model":"gpt-4o","choices":[]}',
+    '{"model":"gpt-4o","usage":{}}',
+    '{"usage":{"prompt_tokens":0,"completion_tokens":0}}',
+    '{"usage":{"prompt_tokens":{tin}}}',
+    'upstream error {rid}',
+    '{"model":5,"usage":{"prompt_tokens":-3,"completion_tokens":2.5,"input_tokens":{tin}}}',
+]
+SSE_TEMPLATES = [
+    'data: {"choices":[{"delta":{"content":"Hel"}}]}\n\ndata: {"choices":[{"delta":{"content":"lo"}}]}\n\n'
+    'data: {"choices":[],"usage":{"prompt_tokens":{tin},"completion_tokens":{tout}}}\n\ndata: [DONE]\n\n',
+    'event: message_start\ndata: {"type":"message_start","message":{"usage":{"input_tokens":{tin},"output_tokens":1}}}\n\n'
+    'event: content_block_delta\ndata: {"type":"content_block_delta","delta":{"text":"Hi"}}\n\n'
+    'event: message_delta\ndata: {"type":"message_delta","usage":{"output_tokens":{tout}}}\n\n',
+    'data: {"choices":[{"delta":{"content":"Hi"}}]}\n\ndata: [DONE]\n\n',
+]
+_PH = {"tin": "tok_in", "tout": "tok_out", "tsum": "tok_in + tok_out", "rid": "req_id"}
+
+
+def _template_spark(t: str):
+    parts = []
+    for piece in _re.split(r"(\{tin\}|\{tout\}|\{tsum\}|\{rid\})", t):
+        if piece in ("{tin}", "{tout}", "{tsum}", "{rid}"):
+            parts.append(F.expr(_PH[piece[1:-1]]).cast("string"))
+        elif piece:
+            parts.append(F.lit(piece))
+    return F.concat(*parts)
+
+
+def _template_sql(t: str) -> str:
+    parts = []
+    for piece in _re.split(r"(\{tin\}|\{tout\}|\{tsum\}|\{rid\})", t):
+        if piece in ("{tin}", "{tout}", "{tsum}", "{rid}"):
+            parts.append(f"CAST({_PH[piece[1:-1]]} AS VARCHAR)")
+        elif piece:
+            parts.append(_q(piece).replace("\n", "' || chr(10) || '"))
+    return "(" + " || ".join(parts) + ")"
+
+
+def _pick_spark(templates, key):
+    expr = None
+    for i, t in enumerate(templates):
+        expr = F.when(key == i, _template_spark(t)) if expr is None else expr.when(key == i, _template_spark(t))
+    return expr
+
+
+def _pick_sql(templates, key: str) -> str:
+    return "(CASE " + " ".join(f"WHEN {key} = {i} THEN {_template_sql(t)}" for i, t in enumerate(templates)) + " END)"
+
+
+def provider_replies(spark, sf_dir):
+    log = derived.request_log(spark, sf_dir)
+    return log.select(F.col("req_id").alias("resp_id"), _pick_spark(REPLY_TEMPLATES, F.col("req_id") % 8).alias("body"))
+
+
+REPLIES_BODY_SQL = f"(SELECT req_id AS resp_id, {_pick_sql(REPLY_TEMPLATES, 'req_id % 8')} AS body FROM {LOG_SQL})"
+
+
+def _u64_sql(path: str) -> str:
+    return f"(CASE WHEN json_type(body, '{path}') = 'UBIGINT' THEN CAST(json_extract(body, '{path}') AS BIGINT) END)"
+
+
+@register("g1_parse_usage", f"""SELECT resp_id, CASE WHEN p1 IS NOT NULL OR c1 IS NOT NULL THEN p1 ELSE p2 END AS prompt,
+  CASE WHEN p1 IS NOT NULL OR c1 IS NOT NULL THEN c1 ELSE c2 END AS completion, model FROM (
+  SELECT resp_id, {_u64_sql('$.usage.prompt_tokens')} AS p1, {_u64_sql('$.usage.completion_tokens')} AS c1,
+         {_u64_sql('$.usage.input_tokens')} AS p2, {_u64_sql('$.usage.output_tokens')} AS c2,
+         CASE WHEN json_type(body, '$.model') = 'VARCHAR' THEN json_extract_string(body, '$.model') END AS model
+  FROM {REPLIES_BODY_SQL} WHERE json_valid(body) AND json_type(body) = 'OBJECT' AND json_type(body, '$.usage') = 'OBJECT')
+  WHERE p1 IS NOT NULL OR c1 IS NOT NULL OR p2 IS NOT NULL OR c2 IS NOT NULL""")
+def g1_parse_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = US.parse_usage(provider_replies(spark, sf_dir))
+    return p.where(F.col("usage").isNotNull()).select("resp_id", "usage.prompt", "usage.completion", "usage.model")
+
+
+def _json_str(c):
+    j = F.to_json(F.array(c))
+    return F.substring(j, F.lit(2), F.length(j) - 2)
+
+
+def chat_bodies(spark, sf_dir):
+    """One chat request body per conversation: even turns as string content, odd turns as parts."""
+    from spanshield.sources.tables import read_table
+    conv = read_table(spark, sf_dir, "conversations")
+    content = F.when(F.col("turn") % 2 == 0, _json_str(F.col("text"))).otherwise(F.concat(
+        F.lit('[{"type":"text","text":'), _json_str(F.col("text")),
+        F.lit('},{"type":"image_url","image_url":{"url":"data:image/png;base64,AAAA"}}]')))
+    msg = F.concat(F.lit('{"role":'), _json_str(F.col("role")), F.lit(',"content":'), content, F.lit("}"))
+    g = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", msg.alias("m")))).alias("ms"))
+    return g.select("conv_id", F.concat(F.lit('{"model":"m","messages":['),
+                                        F.array_join(F.transform("ms", lambda x: x["m"]), ","), F.lit("]}")).alias("body"))
+
+
+@register("g2_estimate_tokens", """SELECT conv_id, CASE WHEN coalesce(sum(strlen(text)), 0) > 0
+  THEN CAST(ceil(sum(strlen(text)) / 4.0) AS BIGINT) END AS est_tokens FROM conversations GROUP BY conv_id""")
+def g2_estimate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_bodies(spark, sf_dir).select("conv_id", US.estimate_tokens(F.col("body")).alias("est_tokens"))
+
+
+def _sse_key(host_col, rid):
+    return F.when(F.col(host_col).contains("anthropic"), F.lit(1)).when(rid % 3 == 2, F.lit(2)).otherwise(F.lit(0))
+
+
+@register("g12_usage_from_stream", f"""SELECT req_id, CASE WHEN k = 2 THEN NULL ELSE tok_in END AS prompt,
+  CASE WHEN k = 2 THEN NULL ELSE tok_out END AS completion FROM (
+  SELECT req_id, tok_in, tok_out, CASE WHEN contains(host, 'anthropic') THEN 1 WHEN req_id % 3 = 2 THEN 2 ELSE 0 END AS k FROM {LOG_SQL})""")
+def g12_usage_from_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = derived.request_log(spark, sf_dir)
+    sse = log.select("req_id", _pick_spark(SSE_TEMPLATES, _sse_key("host", F.col("req_id"))).alias("sse"))
+    return sse.select("req_id", US.usage_from_stream(F.col("sse")).alias("u")).select("req_id", "u.prompt", "u.completion")
