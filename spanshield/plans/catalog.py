@@ -729,3 +729,81 @@ def g12_usage_from_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = derived.request_log(spark, sf_dir)
     sse = log.select("req_id", _pick_spark(SSE_TEMPLATES, _sse_key("host", F.col("req_id"))).alias("sse"))
     return sse.select("req_id", US.usage_from_stream(F.col("sse")).alias("u")).select("req_id", "u.prompt", "u.completion")
+
+
+# --- B11-B13, C6 (payloads), H5: attachments ------------------------------------------------------
+from spanshield.operators import attachments as AT  # noqa: E402
+
+
+def attachment_messages(spark, sf_dir):
+    """Each document as a JSON body carrying it as a text attachment, plus attachments of every kind."""
+    docs = derived.messages(spark, sf_dir, with_fixtures=False)
+    body = F.concat(F.lit('{"text":"see attached","file":"data:text/plain;base64,'), AT.b64encode(F.encode("body", "UTF-8")),
+                    F.lit('"}'))
+    d = docs.select("msg_id", "user_id", "host", body.alias("body"))
+    return d.unionByName(fixture_df(spark, "attachments"))
+
+
+ATT_MSG_SQL = f"""(SELECT msg_id, user_id, host, '{{"text":"see attached","file":"data:text/plain;base64,' || to_base64(encode(body)) || '"}}' AS body
+  FROM {derived.messages_sql(with_fixtures=False)} UNION ALL SELECT * FROM {fixture_sql('attachments')})"""
+
+_NONPRINT = "len(list_filter(regexp_extract_all(hex(bytes), '..'), lambda h: h < '09' OR h = '0B' OR (h >= '0E' AND h < '20') OR h = '7F'))"
+_FORMAT_SQL = f"""CASE WHEN octet_length(bytes) = 0 THEN 'binary'
+    WHEN starts_with(hex(bytes), '25504446') OR starts_with(hex(bytes), '504B0304') THEN 'application'
+    WHEN starts_with(hex(bytes), 'FFD8') OR starts_with(hex(bytes), '89504E47') OR starts_with(hex(bytes), '47494638') THEN 'image'
+    WHEN starts_with(hex(bytes), '52494646') AND substring(hex(bytes), 17, 8) = '57454250' THEN 'image'
+    WHEN starts_with(hex(bytes), '424D') THEN 'image'
+    WHEN try(decode(bytes)) IS NOT NULL AND (octet_length(bytes) - {_NONPRINT}) / octet_length(bytes) > {AT.TEXT_PRINTABLE_RATIO} THEN 'text'
+    ELSE 'binary' END"""
+ATT_SQL = f"""(SELECT msg_id, user_id, host, CAST(idx AS INTEGER) AS idx, uri, mime, bytes, {_FORMAT_SQL} AS format,
+    coalesce(try(decode(bytes)), CAST(bytes AS VARCHAR)) AS text FROM (
+  SELECT msg_id, user_id, host, row_number() OVER (PARTITION BY msg_id ORDER BY pos) AS idx, uri,
+         regexp_extract(uri, {_q(AT.DATA_URI_RE)}, 1) AS mime, from_base64(regexp_extract(uri, {_q(AT.DATA_URI_RE)}, 2)) AS bytes
+  FROM (SELECT msg_id, user_id, host, unnest(u) AS uri, unnest(range(1, len(u) + 1)) AS pos
+        FROM (SELECT msg_id, user_id, host, regexp_extract_all(body, {_q(AT.DATA_URI_RE)}) AS u FROM {ATT_MSG_SQL}))
+  WHERE regexp_matches(regexp_extract(uri, {_q(AT.DATA_URI_RE)}, 2), {_q(AT.BASE64_RE)})))"""
+
+
+def _attachments(spark, sf_dir):
+    return AT.extract_attachments(attachment_messages(spark, sf_dir), keep=("msg_id", "user_id", "host"))
+
+
+@register("b11_extract_attachments", f"SELECT msg_id, idx, mime, octet_length(bytes) AS n_bytes, format FROM {ATT_SQL}")
+def b11_extract_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _attachments(spark, sf_dir).select("msg_id", "idx", "mime", F.octet_length("bytes").alias("n_bytes"), "format")
+
+
+_ATT_AS_MSG = f"(SELECT msg_id * 100 + idx AS msg_id, user_id, host, '/attachment' AS path, TIMESTAMP '2024-01-01' AS ts, text AS body FROM {ATT_SQL})"
+_ATT_TOKENS = O.tokens_sql(_ATT_AS_MSG)
+SCANNED_SQL = f"""(SELECT a.msg_id, a.idx, a.format, a.mime, a.uri, coalesce(n.n, 0) AS n_detections,
+    CASE WHEN coalesce(n.n, 0) = 0 THEN 'pass' WHEN a.format = 'text' THEN 'masked' ELSE 'blocked' END AS outcome
+  FROM {ATT_SQL} a LEFT JOIN (SELECT msg_id AS id, count(*) AS n FROM {_ATT_TOKENS} GROUP BY msg_id) n ON n.id = a.msg_id * 100 + a.idx)"""
+
+
+def _scanned(spark, sf_dir):
+    return AT.scan_attachments(_attachments(spark, sf_dir))
+
+
+@register("b13_scan_attachments", f"SELECT msg_id, idx, format, outcome, CAST(n_detections AS INTEGER) AS n_detections FROM {SCANNED_SQL}")
+def b13_scan_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir).select("msg_id", "idx", "format", "outcome", F.size("detections").alias("n_detections"))
+
+
+@register("h5_file_scans_by", f"SELECT format, outcome, count(*) AS scans FROM {SCANNED_SQL} GROUP BY ALL")
+def h5_file_scans_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ME.file_scans_by(_scanned(spark, sf_dir))
+
+
+_ATT_TOKENIZED = O.rebuild_sql(f"(SELECT msg_id AS id, body AS text FROM {_ATT_AS_MSG})",
+                               f"(SELECT msg_id AS id, start, \"end\", '[' || core || ']' AS repl FROM {_ATT_TOKENS})", "tok")
+
+
+@register("c6_rewrite_attachments", f"""SELECT m.msg_id, CASE WHEN r.reps IS NULL THEN m.body
+    ELSE list_reduce(r.reps, lambda acc, x: replace(acc, x.uri, x.rep), m.body) END AS body_out
+  FROM {ATT_MSG_SQL} m LEFT JOIN (
+    SELECT s.msg_id, list({{'uri': s.uri, 'rep': '"data:' || s.mime || ';base64,' ||
+        CASE WHEN s.format = 'text' THEN to_base64(encode(t.tok)) ELSE to_base64(encode('{AT.BLOCKED_TEXT}')) END || '"'}} ORDER BY s.idx) AS reps
+    FROM {SCANNED_SQL} s LEFT JOIN {_ATT_TOKENIZED} t ON t.id = s.msg_id * 100 + s.idx
+    WHERE s.outcome <> 'pass' GROUP BY s.msg_id) r ON r.msg_id = m.msg_id""")
+def c6_rewrite_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AT.rewrite_attachments(attachment_messages(spark, sf_dir), _scanned(spark, sf_dir)).select("msg_id", "body_out")

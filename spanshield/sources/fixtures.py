@@ -69,7 +69,23 @@ TOKEN_REPLIES = [
 ]
 TOKEN_REPLIES_SCHEMA = "msg_id BIGINT, session_key STRING, body STRING"
 
+# (msg_id, user_id, host, body) -- bodies with data-URI attachments of every format and outcome
+ATTACHMENT_MESSAGES = [
+    (-201, 'alice', 'api.openai.com', '{"file":"data:text/plain;base64,SGVsbG8gd29ybGQsIG5vdGhpbmcgdG8gc2Vl"}'),
+    (-202, 'alice', 'api.openai.com', '{"file":"data:text/plain;base64,bXkga2V5IGlzIHNrLTEyMzQ1Njc4OTBhYmNkZWZnaGlqIGFuZCBtYWlsIGl2YW5AY29ycC5leGFtcGxl"}'),
+    (-203, 'bob', 'api.deepseek.com', '{"img":"data:image/png;base64,iVBORw0KGgpwYXNzd29yZD1zdXBlcnNlY3JldDEyMw=="}'),
+    (-204, 'bob', 'api.deepseek.com', '{"doc":"data:application/pdf;base64,JVBERi0xLjQgaGFybWxlc3M="}'),
+    (-205, None, 'api.qwen.ai', '{"bad":"data:text/plain;base64,@@@notbase64"}'),
+    (-206, None, 'api.qwen.ai', '{"a":"data:text/plain;base64,dG9rZW49YWJjZGVmZ2hpamtsbW5vcA==","b":"data:text/plain;base64,dG9rZW49YWJjZGVmZ2hpamtsbW5vcA=="}'),
+    (-207, 'carol', 'api.anthropic.com', '{"bin":"data:application/octet-stream;base64,AAECAwQFBgcICQoLDA0ODxAREhMUFRYXGBkaGxwdHh8="}'),
+    (-208, 'carol', 'api.anthropic.com', '{"gif":"data:image/gif;base64,R0lGODlhIHBsYWlu","webp":"data:image/webp;base64,UklGRgAAAABXRUJQVlA4IHVzZXJAbWFpbC5leGFtcGxlLmNvbQ=="}'),
+    (-209, 'dave', 'api.openai.com', '{"zip":"data:application/zip;base64,UEsDBCB4","jpg":"data:image/jpeg;base64,/9j/","bmp":"data:image/bmp;base64,Qk0gb2s="}'),
+    (-210, 'dave', 'api.openai.com', '{"empty":"data:text/plain;base64,"}'),
+]
+ATTACHMENT_SCHEMA = "msg_id BIGINT, user_id STRING, host STRING, body STRING"
+
 FIXTURES = {
+    "attachments": (ATTACHMENT_MESSAGES, ATTACHMENT_SCHEMA),
     "messages": (MESSAGES, MESSAGES_SCHEMA),
     "token_replies": (TOKEN_REPLIES, TOKEN_REPLIES_SCHEMA),
 }
