@@ -807,3 +807,75 @@ _ATT_TOKENIZED = O.rebuild_sql(f"(SELECT msg_id AS id, body AS text FROM {_ATT_A
     WHERE s.outcome <> 'pass' GROUP BY s.msg_id) r ON r.msg_id = m.msg_id""")
 def c6_rewrite_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AT.rewrite_attachments(attachment_messages(spark, sf_dir), _scanned(spark, sf_dir)).select("msg_id", "body_out")
+
+
+# --- G8, I7, I8: ordered folds --------------------------------------------------------------------
+from spanshield.operators import folds as FO  # noqa: E402
+
+
+def _adm_ok(prefix: str) -> str:
+    cs = [f"{prefix}c{i}" for i in range(1, 6)] if prefix else ["0"] * 5
+    deltas = ["1", "d.tok_in", "d.tok_out", "d.bytes_in", "d.bytes_out"]
+    conds = [f"(d.q{i + 1} IS NULL OR {c} + {dv} <= d.q{i + 1})" for i, (c, dv) in enumerate(zip(cs, deltas))]
+    return "(" + " AND ".join(conds) + ")"
+
+
+def _adm_cols(prefix: str) -> str:
+    cs = [f"{prefix}c{i}" for i in range(1, 6)] if prefix else ["0"] * 5
+    deltas = ["1", "d.tok_in", "d.tok_out", "d.bytes_in", "d.bytes_out"]
+    ok = _adm_ok(prefix)
+    return ", ".join(f"CASE WHEN {ok} THEN {c} + {dv} ELSE {c} END AS c{i + 1}" for i, (c, dv) in enumerate(zip(cs, deltas)))
+
+
+@register("g8_quota_admission", f"""WITH RECURSIVE d AS (
+    SELECT l.req_id, l.user_id, CAST(l.ts AS DATE) AS day, l.tok_in, l.tok_out, l.bytes_in, l.bytes_out,
+           u.quota_req_day AS q1, u.quota_tok_in AS q2, u.quota_tok_out AS q3, u.quota_bytes_in AS q4, u.quota_bytes_out AS q5,
+           row_number() OVER (PARTITION BY l.user_id, CAST(l.ts AS DATE) ORDER BY l.ts, l.req_id) AS rn
+    FROM {LOG_SQL} l LEFT JOIN {USERS_SQL} u ON u.id = l.user_id),
+  r AS (
+    SELECT d.user_id, d.day, d.rn, d.req_id, {_adm_ok('')} AS ok, {_adm_cols('')} FROM d WHERE d.rn = 1
+    UNION ALL
+    SELECT d.user_id, d.day, d.rn, d.req_id, {_adm_ok('r.')} AS ok, {_adm_cols('r.')}
+    FROM r JOIN d ON d.user_id = r.user_id AND d.day = r.day AND d.rn = r.rn + 1)
+  SELECT req_id, user_id, day, ok AS admitted FROM r""")
+def g8_quota_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FO.quota_admission(derived.request_log(spark, sf_dir), derived.users(spark, sf_dir))
+
+
+def _lock_sql(key: str, max_fails: int, lock_s: int) -> str:
+    out = (f"CASE WHEN {{u}} IS NOT NULL AND a.ts < {{u}} THEN 'refused' WHEN a.ok THEN 'ok' "
+           f"WHEN {{f}} + 1 >= {max_fails} THEN 'locked' ELSE 'fail' END")
+    fails = "CASE WHEN {u} IS NOT NULL AND a.ts < {u} THEN {f} WHEN a.ok THEN 0 WHEN {f} + 1 >= %d THEN 0 ELSE {f} + 1 END" % max_fails
+    until = ("CASE WHEN {u} IS NOT NULL AND a.ts < {u} THEN {u} WHEN a.ok THEN NULL "
+             "WHEN {f} + 1 >= %d THEN a.ts + INTERVAL %d SECOND ELSE NULL END") % (max_fails, lock_s)
+    init = dict(u="CAST(NULL AS TIMESTAMP)", f="0")
+    step = dict(u="r.until", f="r.fails")
+    return f"""WITH RECURSIVE a0 AS (
+    SELECT attempt_id, ts, ok, {key} AS key, row_number() OVER (PARTITION BY {key} ORDER BY ts, attempt_id) AS rn
+    FROM {derived.login_attempts_sql()}),
+  r AS (
+    SELECT a.key, a.rn, a.attempt_id, {out.format(**init)} AS outcome, {fails.format(**init)} AS fails, {until.format(**init)} AS until
+    FROM a0 a WHERE a.rn = 1
+    UNION ALL
+    SELECT a.key, a.rn, a.attempt_id, {out.format(**step)}, {fails.format(**step)}, {until.format(**step)}
+    FROM r JOIN a0 a ON a.key = r.key AND a.rn = r.rn + 1)
+  SELECT attempt_id, key, outcome, CASE WHEN outcome IN ('refused', 'locked') THEN until END AS locked_until FROM r"""
+
+
+register("i7_lockout_user", _lock_sql("username", FO.USER_MAX_FAILS, FO.USER_LOCK_S))(
+    lambda spark, sf_dir: FO.lockout(derived.login_attempts(spark, sf_dir), "username"))
+register("i7_lockout_ip", _lock_sql("ip", FO.IP_MAX_FAILS, FO.IP_LOCK_S))(
+    lambda spark, sf_dir: FO.lockout(derived.login_attempts(spark, sf_dir), "ip", FO.IP_MAX_FAILS, FO.IP_LOCK_S))
+
+
+@register("i8_throttle", f"""WITH RECURSIVE e AS (
+    SELECT req_id AS event_id, split_part(host, ':', 1) AS key, ts FROM {LOG_SQL} WHERE status >= 500),
+  nx AS (SELECT a.event_id, (SELECT b.event_id FROM e b WHERE b.key = a.key AND b.ts >= a.ts + INTERVAL {FO.THROTTLE_WINDOW_S} SECOND
+                             ORDER BY b.ts, b.event_id LIMIT 1) AS next_id FROM e a),
+  r AS (SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS rn FROM e) WHERE rn = 1
+        UNION ALL SELECT nx.next_id FROM r JOIN nx ON nx.event_id = r.event_id WHERE nx.next_id IS NOT NULL)
+  SELECT e.event_id, e.key, e.ts FROM r JOIN e ON e.event_id = r.event_id""")
+def i8_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = derived.request_log(spark, sf_dir).where(F.col("status") >= 500) \
+        .withColumn("key", AC.bare_host(F.col("host")))
+    return FO.throttle(errors, "key", id_col="req_id")
