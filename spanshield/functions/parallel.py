@@ -15,6 +15,8 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     inputs known to be one row group (split count overstates the parallelism). Hashing on the
     message id keeps the result deterministic when a lost task is recomputed.
     """
+    if df.isStreaming:  # a stream is partitioned by its source; nothing to inspect here
+        return df
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     if not force and df.rdd.getNumPartitions() >= target:

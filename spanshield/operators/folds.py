@@ -60,26 +60,31 @@ ADMISSION_SCHEMA = "req_id long, user_id string, day date, admitted boolean"
 def quota_admission(log: DataFrame, users: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """Replay each (user, UTC day) in time order; a request is recorded only if usage + delta
     stays within every limit (null = unlimited); rejected requests add nothing."""
+    return _fold(admission_input(log, users), ["user_id", "day"], ["ts", "req_id"], ADMISSION_SCHEMA,
+                 admission_step, num_partitions)
+
+
+def admission_input(log: DataFrame, users: DataFrame) -> DataFrame:
     q = users.select(F.col("id").alias("user_id"), "quota_req_day", "quota_tok_in", "quota_tok_out",
                      "quota_bytes_in", "quota_bytes_out")
-    d = log.withColumn("day", F.to_date("ts")).join(q, "user_id", "left") \
+    return log.withColumn("day", F.to_date("ts")).join(q, "user_id", "left") \
         .select("user_id", "day", "ts", "req_id", "tok_in", "tok_out", "bytes_in", "bytes_out",
                 "quota_req_day", "quota_tok_in", "quota_tok_out", "quota_bytes_in", "quota_bytes_out")
 
-    def make_step():
-        def init():
-            return [0, 0, 0, 0, 0]
-
-        def step(cur, r):
-            delta = (1, r.tok_in, r.tok_out, r.bytes_in, r.bytes_out)
-            limits = (r.quota_req_day, r.quota_tok_in, r.quota_tok_out, r.quota_bytes_in, r.quota_bytes_out)
-            ok = all(pd.isna(lim) or c + dv <= lim for c, dv, lim in zip(cur, delta, limits))
-            if ok:
-                cur = [c + dv for c, dv in zip(cur, delta)]
-            return cur, (r.req_id, r.user_id, r.day, ok)
-        return step, init
 
-    return _fold(d, ["user_id", "day"], ["ts", "req_id"], ADMISSION_SCHEMA, make_step, num_partitions)
+def admission_step():
+    """State: usage so far in the (user, day) group, one integer per quota."""
+    def init():
+        return [0, 0, 0, 0, 0]
+
+    def step(cur, r):
+        delta = (1, r.tok_in, r.tok_out, r.bytes_in, r.bytes_out)
+        limits = (r.quota_req_day, r.quota_tok_in, r.quota_tok_out, r.quota_bytes_in, r.quota_bytes_out)
+        ok = all(pd.isna(lim) or c + dv <= lim for c, dv, lim in zip(cur, delta, limits))
+        if ok:
+            cur = [int(c + dv) for c, dv in zip(cur, delta)]
+        return cur, (r.req_id, r.user_id, r.day, ok)
+    return step, init
 
 
 # --- I7 ------------------------------------------------------------------------------------------
@@ -92,9 +97,15 @@ def lockout(attempts: DataFrame, key_col: str = "username", max_fails: int = USE
     counted; a success clears the counter; reaching ``max_fails`` locks for ``lock_seconds`` and
     resets the counter; failures never age out. (User and IP keys are evaluated independently.)"""
     d = attempts.select("attempt_id", "ts", "ok", F.col(key_col).alias("key"))
+    return _fold(d, ["key"], ["ts", "attempt_id"], LOCKOUT_SCHEMA, lockout_step(max_fails, lock_seconds),
+                 num_partitions)
+
+
+def lockout_step(max_fails: int = USER_MAX_FAILS, lock_seconds: int = USER_LOCK_S):
+    """State: (consecutive failures, locked-until or None)."""
     lock = pd.Timedelta(seconds=lock_seconds)
 
-    def make_step():
+    def make():
         def init():
             return (0, None)
 
@@ -110,8 +121,7 @@ def lockout(attempts: DataFrame, key_col: str = "username", max_fails: int = USE
                 return (0, until), (r.attempt_id, r.key, "locked", until)
             return (fails, None), (r.attempt_id, r.key, "fail", None)
         return step, init
-
-    return _fold(d, ["key"], ["ts", "attempt_id"], LOCKOUT_SCHEMA, make_step, num_partitions)
+    return make
 
 
 # --- I8 ------------------------------------------------------------------------------------------
@@ -122,9 +132,14 @@ def throttle(events: DataFrame, key_col: str, window_s: int = THROTTLE_WINDOW_S,
              num_partitions: int | None = None) -> DataFrame:
     """I8: emit at most once per key per window, measured from the last *emitted* event."""
     d = events.select(F.col(id_col).alias("event_id"), "ts", F.col(key_col).alias("key"))
+    return _fold(d, ["key"], ["ts", "event_id"], THROTTLE_SCHEMA, throttle_step(window_s), num_partitions)
+
+
+def throttle_step(window_s: int = THROTTLE_WINDOW_S):
+    """State: time of the last emitted event or None."""
     window = pd.Timedelta(seconds=window_s)
 
-    def make_step():
+    def make():
         def init():
             return None
 
@@ -133,5 +148,4 @@ def throttle(events: DataFrame, key_col: str, window_s: int = THROTTLE_WINDOW_S,
                 return r.ts, (r.event_id, r.key, r.ts)
             return last, None
         return step, init
-
-    return _fold(d, ["key"], ["ts", "event_id"], THROTTLE_SCHEMA, make_step, num_partitions)
+    return make

@@ -125,3 +125,9 @@ def first_names(path: str | None = None) -> tuple[str, ...]:
         with open(path, encoding="utf-8") as fh:
             text = fh.read()
     return tuple(line.strip() for line in text.splitlines() if line.strip() and not line.startswith("#"))
+
+
+def python_regex(java_pattern: str) -> str:
+    """The same pattern in Python ``re`` syntax (``\\x{HHHH}`` escapes rewritten)."""
+    import re as _re
+    return _re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: "\\u" + m.group(1).rjust(4, "0"), java_pattern)
