@@ -893,3 +893,51 @@ def d7_detokenize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = SR.split_into_chunks(rep)
     sessions = rep.select(F.col("msg_id").alias("stream_id"), "session_key")
     return SR.detokenize_stream(chunks, sessions, vault).select(F.col("stream_id").alias("msg_id"), "restored")
+
+
+# --- B9, C6: JSON bodies ----------------------------------------------------------------------------
+from spanshield.operators import json_scan as JS  # noqa: E402
+
+
+def json_messages(spark, sf_dir):
+    """Every document as the user content of a chat request body, plus the example messages
+    (some JSON, most plain text)."""
+    m = derived.messages(spark, sf_dir, with_fixtures=False)
+    body = F.concat(F.lit('{"model":"m","messages":[{"role":"user","content":'), _json_str(F.col("body")),
+                    F.lit('}],"user":'), _json_str(F.coalesce(F.col("user_id"), F.lit("anon"))), F.lit("}"))
+    d = m.select("msg_id", "user_id", "host", body.alias("body"))
+    return d.unionByName(fixture_df(spark, "messages").select("msg_id", "user_id", "host", "body"))
+
+
+JSON_MSG_SQL = f"""(SELECT msg_id, user_id, host, '{{"model":"m","messages":[{{"role":"user","content":' || to_json(body)
+    || '}}],"user":' || to_json(coalesce(user_id, 'anon')) || '}}' AS body FROM {derived.messages_sql(with_fixtures=False)}
+  UNION ALL SELECT msg_id, user_id, host, body FROM {fixture_sql('messages')})"""
+JSON_VALS_SQL = f"""(SELECT row_number() OVER (ORDER BY msg_id, value_ord) AS id, msg_id, value_ord, text FROM (
+    SELECT m.msg_id, CAST(row_number() OVER (PARTITION BY m.msg_id ORDER BY t.id) - 1 AS INTEGER) AS value_ord,
+           json_extract_string(t.value, '$') AS text
+    FROM {JSON_MSG_SQL} m, json_tree(m.body) t WHERE json_valid(m.body) AND t.type = 'VARCHAR'
+    UNION ALL SELECT msg_id, -1 AS value_ord, body AS text FROM {JSON_MSG_SQL} WHERE NOT json_valid(body)))"""
+
+
+@register("b9_scan_json", f"""SELECT v.msg_id, v.value_ord, s.ord AS det_ord, s.start, s."end", s.type, s.text
+  FROM ({O.scan_sql(f"(SELECT id, text FROM {JSON_VALS_SQL})")}) s JOIN {JSON_VALS_SQL} v ON v.id = s.id""")
+def b9_scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return JS.scan_json(json_messages(spark, sf_dir))
+
+
+@register("c6_tokenize_json", f"""SELECT v.msg_id, v.value_ord, r.out AS new_value FROM {O.rebuild_sql(
+    f"(SELECT id, text FROM {JSON_VALS_SQL})",
+    f'''(SELECT v.id, s.start, s."end", '[' || {O.type_prefix('s.type')} || '_' || left(sha256(s.text || m.skey), 6) || ']' AS repl
+        FROM ({O.scan_sql(f"(SELECT id, text FROM {JSON_VALS_SQL})")}) s JOIN {JSON_VALS_SQL} v ON v.id = s.id
+        JOIN (SELECT msg_id, 'map:session:' || coalesce(user_id, 'anon') || ':' || host AS skey FROM {JSON_MSG_SQL}) m
+          ON m.msg_id = v.msg_id)''', "out")} r JOIN {JSON_VALS_SQL} v ON v.id = r.id
+  WHERE r.out <> v.text""")
+def c6_tokenize_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokenized string values (decoded back from the rewritten body) for values that changed."""
+    t = JS.tokenize_json(json_messages(spark, sf_dir))
+    vals = t.select("msg_id", JS.json_values(F.col("tokenized")).alias("_n"), JS.json_values(F.col("body")).alias("_o"))
+    pairs = vals.select("msg_id", F.arrays_zip("_n", "_o").alias("_z"))
+    ex = explode_spans(pairs, "_z", ["msg_id"]).select(
+        "msg_id", F.col("_e._n.ord").alias("value_ord"), F.col("_e._n.value").alias("new_value"),
+        F.col("_e._o.value").alias("old_value"))
+    return ex.where(F.col("new_value") != F.col("old_value")).select("msg_id", "value_ord", "new_value")
