@@ -941,3 +941,15 @@ def c6_tokenize_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         "msg_id", F.col("_e._n.ord").alias("value_ord"), F.col("_e._n.value").alias("new_value"),
         F.col("_e._o.value").alias("old_value"))
     return ex.where(F.col("new_value") != F.col("old_value")).select("msg_id", "value_ord", "new_value")
+
+
+# --- A1, B7 -------------------------------------------------------------------------------------------
+@register("a1_read_messages", "SELECT doc_id, text, lang FROM documents")
+def a1_read_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanshield.sources.tables import read_messages
+    return read_messages(spark, f"{sf_dir.rstrip('/')}/documents.parquet", body_col="text").select("doc_id", "text", "lang")
+
+
+# B7 is off by default (as in the reference). No oracle: its pattern needs a Unicode word boundary
+# before Cyrillic legal forms, which DuckDB's RE2 (ASCII \b) cannot express; rows-only check.
+register("b7_company")(_single("company"))
