@@ -184,6 +184,31 @@ def scan(text: Column, names=None, with_company: bool = False) -> Column:
     return F.when(text.isNull() | (F.length(text) == 0), empty_array(DETECTION_TYPE)).otherwise(resolved)
 
 
+_COLUMN_CACHE: dict = {}
+
+
+def cached_column(key: tuple, build) -> Column:
+    """Build a (large) Column expression once per Spark context and reuse it.
+
+    The detector expressions have thousands of nodes; building them costs thousands of py4j calls
+    per query. Unresolved Column objects (referring to columns by name) are reusable JVM objects.
+    """
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    full = (id(sc), key)
+    col = _COLUMN_CACHE.get(full)
+    if col is None:
+        col = build()
+        _COLUMN_CACHE[full] = col
+    return col
+
+
+def scan_named(text_col: str, names=None, with_company: bool = False) -> Column:
+    """``scan(F.col(text_col))`` built once per context."""
+    key = ("scan", text_col, tuple(names) if names is not None else None, with_company)
+    return cached_column(key, lambda: scan(F.col(text_col), names=names, with_company=with_company))
+
+
 DETECTORS = {
     "secret_prefix": secret_prefix_detections,
     "secret_kv": secret_kv_detections,
@@ -200,7 +225,8 @@ def detect(df: DataFrame, text_col: str, out: str = "detections", detector: str
     """Add ``out`` = the detections of ``text_col`` (one detector, or the full ``scan``)."""
     df = spread(df, key if key in df.columns else None)
     text = F.col(text_col)
-    col = scan(text, **kw) if detector is None else DETECTORS[detector](text)
+    col = scan_named(text_col, **kw) if detector is None else \
+        cached_column(("detector", detector, text_col), lambda: DETECTORS[detector](text))
     return df.withColumn(out, col)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanshield import patterns as P
 from spanshield.functions.parallel import spread
 from spanshield.functions.spans import explode_spans, rebuild
-from spanshield.operators.detect import scan
+from spanshield.operators.detect import cached_column, scan, scan_named
 
 
 def session_key(user: Column, domain: Column) -> Column:
@@ -43,8 +43,9 @@ def mask_text(df: DataFrame, text_col: str, out: str = "masked_text", det_col: s
               key: str | None = "msg_id", **scan_kw) -> DataFrame:
     """Replace each detected span by its masked form; keep the detections."""
     df = spread(df, key if key in df.columns else None)
-    return (df.withColumn(det_col, scan(F.col(text_col), **scan_kw))
-            .withColumn(out, rebuild(F.col(text_col), F.col(det_col), "masked")))
+    rebuilt = cached_column(("rebuild", text_col, det_col, "masked"),
+                            lambda: rebuild(F.col(text_col), F.col(det_col), "masked"))
+    return df.withColumn(det_col, scan_named(text_col, **scan_kw)).withColumn(out, rebuilt)
 
 
 def add_tokens(dets: Column, skey: Column) -> Column:
@@ -64,12 +65,15 @@ def tokenize(df: DataFrame, text_col: str, user_col: str = "user_id", domain_col
     """
     df = spread(df, key if key in df.columns else None)
     skey = session_key(F.col(user_col), F.col(domain_col))
-    dets = add_tokens(scan(F.col(text_col), **scan_kw), skey)
-    if keep is not None:
-        dets = F.filter(dets, keep)
-    return (df.withColumn("session_key", skey)
-            .withColumn(det_col, dets)
-            .withColumn(out, rebuild(F.col(text_col), F.col(det_col), "token")))
+    if keep is None:
+        kw_key = tuple(sorted((k, tuple(v) if isinstance(v, list) else v) for k, v in scan_kw.items()))
+        dets = cached_column(("tokens", text_col, "session_key", kw_key),
+                             lambda: add_tokens(scan_named(text_col, **scan_kw), F.col("session_key")))
+    else:
+        dets = F.filter(add_tokens(scan(F.col(text_col), **scan_kw), F.col("session_key")), keep)
+    rebuilt = cached_column(("rebuild", text_col, det_col, "token"),
+                            lambda: rebuild(F.col(text_col), F.col(det_col), "token"))
+    return df.withColumn("session_key", skey).withColumn(det_col, dets).withColumn(out, rebuilt)
 
 
 def restore_rejected(df: DataFrame, text_col: str, verdicts: DataFrame, key_cols=("msg_id",),

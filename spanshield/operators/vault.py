@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanshield import patterns as P
 from spanshield.functions.spans import explode_spans, find_spans_located, guarded, rebuild
+from spanshield.operators.detect import cached_column
 
 VAULT_COLS = ["core", "session_key", "value", "stored_at", "last_access"]
 
@@ -79,7 +80,7 @@ def token_core(token: Column) -> Column:
 
 
 def explode_tokens(df: DataFrame, text_col: str, keep=("msg_id",)) -> DataFrame:
-    t = df.select(*keep, find_tokens(F.col(text_col)).alias("_toks"))
+    t = df.select(*keep, cached_column(("find_tokens", text_col), lambda: find_tokens(F.col(text_col))).alias("_toks"))
     return explode_spans(t, "_toks", list(keep), pos="ord") \
         .select(*keep, "ord", F.col("_e.start").alias("start"), F.col("_e.end").alias("end"),
                 F.col("_e.text").alias("token_text"), F.col("_e.core").alias("core"))
@@ -102,7 +103,8 @@ def detokenize(replies: DataFrame, vault: DataFrame, text_col: str = "body", id_
     spark = replies.sparkSession
     n = num_partitions or max(spark.sparkContext.defaultParallelism,
                               int(spark.conf.get("spark.sql.shuffle.partitions")))
-    r = replies.repartition(n, id_col).withColumn("_toks", find_tokens(F.col(text_col)))
+    toks_col = cached_column(("find_tokens", text_col), lambda: find_tokens(F.col(text_col)))
+    r = replies.repartition(n, id_col).withColumn("_toks", toks_col)
     toks = explode_spans(r, "_toks", [id_col, session_col]) \
         .select(id_col, session_col, "_e.start", "_e.end", F.col("_e.text").alias("token_text"), "_e.core")
     glob = vault.where(F.col("session_key").isNull()).select("core", F.col("value").alias("v_global"))
@@ -117,9 +119,13 @@ def detokenize(replies: DataFrame, vault: DataFrame, text_col: str = "body", id_
     fallback = F.lit(unknown) if unknown is not None else F.col("token_text")
     per_msg = j.groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce(*vals, fallback).alias("value")))).alias("_repl"))
-    restored = r.join(per_msg, id_col, "left") \
-        .withColumn(out, F.when(F.col("_repl").isNull(), F.col(text_col))
-                    .otherwise(rebuild(F.col(text_col), F.col("_repl"), "value")))
+    rebuilt = cached_column(("rebuild", text_col, "_repl", "value"),
+                            lambda: F.when(F.col("_repl").isNull(), F.col(text_col))
+                            .otherwise(rebuild(F.col(text_col), F.col("_repl"), "value")))
+    # full outer = left outer here (every token row comes from a reply); unlike a left join it lets
+    # Catalyst infer no not-null filter into the token branch, so both branches keep the identical
+    # reply exchange and Spark reuses it instead of recomputing the replies
+    restored = r.join(per_msg, id_col, "full_outer").withColumn(out, rebuilt)
     return restored.drop("_toks", "_repl")
 
 
