@@ -18,7 +18,12 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     if df.isStreaming:  # a stream is partitioned by its source; nothing to inspect here
         return df
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if not force and df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        current = None if force else df.rdd.getNumPartitions()
+    except Exception:  # Spark Connect: no RDD view; fall back to the session's shuffle width
+        target = min_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        current = None
+    if current is not None and current >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)

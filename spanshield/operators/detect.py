@@ -194,7 +194,7 @@ def cached_column(key: tuple, build) -> Column:
     per query. Unresolved Column objects (referring to columns by name) are reusable JVM objects.
     """
     from pyspark import SparkContext
-    sc = SparkContext._active_spark_context
+    sc = getattr(SparkContext, "_active_spark_context", None)
     full = (id(sc), key)
     col = _COLUMN_CACHE.get(full)
     if col is None:

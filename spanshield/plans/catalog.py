@@ -179,9 +179,8 @@ def d2_expire_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
          row_number() OVER (PARTITION BY session_key, core ORDER BY stored_at DESC, value DESC) AS rn
   FROM (SELECT * FROM {VAULT_SQL}
         UNION ALL SELECT core, session_key, upper(value) AS value, stored_at + INTERVAL 1 HOUR AS stored_at,
-                         stored_at + INTERVAL 1 HOUR AS last_access FROM {VAULT_SQL} WHERE type_hint = 1)
-  WINDOW w AS (PARTITION BY session_key, core)) WHERE rn = 1""".replace(
-    "WHERE type_hint = 1", "WHERE left(core, 3) = 'EML'"))
+                         stored_at + INTERVAL 1 HOUR AS last_access FROM {VAULT_SQL} WHERE left(core, 3) = 'EML')
+  WINDOW w AS (PARTITION BY session_key, core)) WHERE rn = 1""")
 def a5_write_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     vault = V.build_vault(vault_entries(spark, sf_dir))
     upd = vault.where(F.left(F.col("core"), F.lit(3)) == "EML").select(
