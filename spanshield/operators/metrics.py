@@ -41,24 +41,30 @@ def file_scans_by(scans: DataFrame) -> DataFrame:
     return scans.groupBy("format", "outcome").agg(F.count(F.lit(1)).alias("scans"))
 
 
-def active_connections(log: DataFrame, bucket: str = "1 hour") -> DataFrame:
+def active_connections(log: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """H6: open connections after each instant, from +1 (start) / -1 (end) events.
 
-    A global running sum would put every row in one partition. Instead: net change per instant
-    (a hash aggregate), per-bucket totals turned into bucket offsets (one row per bucket), and
-    running sums *within* each bucket partition plus its offset.
+    A running sum over one global order would put every row in one task. This is a two-level
+    parallel prefix sum: net change per instant (a hash aggregate with map-side partials), range
+    partitioning on time (the sampled bounds split a busy period over several tasks, so no hot hour
+    lands in one task), per-range totals turned into offsets (one row per range partition), and
+    running sums inside each range plus its offset.
     """
+    spark = log.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     end_ts = F.col("ts") + F.make_interval(secs=F.col("duration_s"))
     deltas = log.select(F.explode(F.array(
         F.struct(F.col("ts").alias("t"), F.lit(1).alias("d")),
         F.struct(end_ts.alias("t"), F.lit(-1).alias("d")))).alias("x")).select("x.t", "x.d")
-    per_t = deltas.groupBy("t").agg(F.sum("d").cast("long").alias("d")) \
-        .withColumn("bucket", F.window("t", bucket)["start"])
-    offsets = per_t.groupBy("bucket").agg(F.sum("d").alias("bd")) \
-        .withColumn("offset", F.coalesce(F.sum("bd").over(
-            Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("bd")
-    w = Window.partitionBy("bucket").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return per_t.join(offsets, "bucket").select(F.col("t").alias("ts"), (F.col("offset") + F.sum("d").over(w)).cast("long").alias("active"))
+    per_t = deltas.groupBy("t").agg(F.sum("d").cast("long").alias("d"))
+    ranged = per_t.repartitionByRange(n, "t").withColumn("part", F.spark_partition_id())
+    offsets = ranged.groupBy("part").agg(F.sum("d").alias("pd")) \
+        .withColumn("offset", F.coalesce(F.sum("pd").over(
+            Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("pd")
+    w = Window.partitionBy("part").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    running = ranged.withColumn("local", F.sum("d").over(w))
+    return running.join(F.broadcast(offsets), "part") \
+        .select(F.col("t").alias("ts"), (F.col("offset") + F.col("local")).cast("long").alias("active"))
 
 
 def active_users(log: DataFrame, exact: bool = True) -> DataFrame:
