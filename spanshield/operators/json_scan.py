@@ -80,13 +80,15 @@ def tokenize_json(df: DataFrame, body_col: str = "body", user_col: str = "user_i
     body = F.col(body_col)
     is_json = F.try_parse_json(body).isNotNull()
 
-    def per_value(v):
-        dets = add_tokens(scan(v["value"]), skey)
-        new = rebuild(v["value"], dets, "token")
-        return F.struct(v["start"].alias("start"), v["end"].alias("end"),
-                        F.when(is_json, _encode(new)).otherwise(new).alias("literal"), F.size(dets).alias("n"))
-
-    vals = F.transform(json_values(body), per_value)
-    changed = F.filter(vals, lambda x: x["n"] > 0)
-    return df.withColumn(out, F.when(body.isNull(), body).otherwise(rebuild(body, changed, "literal"))) \
-        .withColumn("n_tokens", F.aggregate(vals, F.lit(0), lambda a, x: a + x["n"]))
+    # each heavy expression is computed once and then read through lambda variables: referencing a
+    # Column twice inside a lambda would copy (and re-evaluate) the whole scan
+    with_dets = F.transform(json_values(body), lambda v: v.withField("dets", add_tokens(scan(v["value"]), skey)))
+    rebuilt = F.transform(with_dets, lambda v: F.struct(v["start"].alias("start"), v["end"].alias("end"),
+                                                        rebuild(v["value"], v["dets"], "token").alias("new"),
+                                                        F.size(v["dets"]).alias("n")))
+    vals = F.transform(rebuilt, lambda v: F.struct(v["start"].alias("start"), v["end"].alias("end"),
+                                                   F.when(is_json, _encode(v["new"])).otherwise(v["new"]).alias("literal"),
+                                                   v["n"].alias("n")))
+    staged = df.withColumn("_vals", vals).withColumn("_changed", F.filter("_vals", lambda x: x["n"] > 0))
+    return staged.withColumn(out, F.when(body.isNull(), body).otherwise(rebuild(body, F.col("_changed"), "literal"))) \
+        .withColumn("n_tokens", F.aggregate("_vals", F.lit(0), lambda a, x: a + x["n"])).drop("_vals", "_changed")
