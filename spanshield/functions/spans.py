@@ -99,12 +99,9 @@ def resolve_greedy(spans: Column, element_type: T.DataType = DETECTION_TYPE) ->
 
 
 def sort_by_start(spans: Column) -> Column:
-    """Sort a span array by ``start`` (then ``end``)."""
-    return F.array_sort(
-        spans,
-        lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1)
-        .when(a["end"] < b["end"], -1).when(a["end"] > b["end"], 1).otherwise(0),
-    )
+    """Sort a span array by ``start`` (then the other fields): the natural struct order, whose first
+    field is ``start``; no comparator lambda is evaluated per pair."""
+    return F.array_sort(spans)
 
 
 def rebuild(text: Column, spans: Column, replacement_field: str) -> Column:
