@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from .shared import WORD_PATTERN, materialize, word_count
 
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 4096
 
 
 def source_targets(totals: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
