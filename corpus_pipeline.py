@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanshield.llm import exact_dedup, mixing, packing, simhash
+from spanshield.llm import exact_dedup, mixing, packing, simhash, toxicity
 from spanshield.llm.shared import materialize, word_count
 
 # Compression distances and fingerprints have no counterpart in SQL; tests/llm holds the stages
@@ -17,6 +17,15 @@ from spanshield.llm.shared import materialize, word_count
 ORACLE_SQL = None
 
 
+def tox(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learned from the labelled two thirds, does not reject."""
+    training = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
+    model = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), training)
+    verdict = docs.withColumnRenamed("score", "_own") if "score" in docs.columns else docs
+    passed = toxicity.toxicity(verdict, model, keep_text=True).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    return (passed.withColumnRenamed("_own", "score") if "score" in docs.columns else passed).select(*docs.columns)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal but for white space."""
     return exact_dedup.kept_documents(docs, exact_dedup.fresh_index(spark))
@@ -39,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, word_count(F.col("text")), cluster=F.col("doc_id"))
 
 
-STAGES = [("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("packing", pack)]
+STAGES = [("toxicity", tox), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
