@@ -270,6 +270,8 @@ def repeated_offsets(right: np.ndarray, left: np.ndarray, lo: np.ndarray, hi: np
         class_r[by_right] = np.cumsum(share_r < length - o)
         class_l[by_left] = np.cumsum(share_l < o)
         here = np.flatnonzero((lo <= o) & (o <= hi))
+        if len(here) < 2:
+            continue
         key = class_r[here] * (n + 1) + class_l[here]
         order = np.argsort(key, kind="stable")
         k = key[order]
