@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_TOXIC = 6_000       # bounds of the labelled sample: rows of either kind, characters of a row
-SAMPLE_ORDINARY = 12_000
-SAMPLE_CHARS = 20_000
+SAMPLE_TOXIC = 3_000       # bounds of the labelled sample: rows of either kind, characters of a row
+SAMPLE_ORDINARY = 4_000
+SAMPLE_CHARS = 6_000
 TOXIC_BYTES = 4096
 ORDINARY_BYTES = 32768
 WINDOW = 160
@@ -46,7 +46,7 @@ def _novel(texts: list[bytes]) -> list[list[bytes]]:
     out = []
     for t in texts:
         w = normalized(t).split()
-        own = set(zip(w, w[1:], w[2:])) or {tuple(w)}
+        own = set(map(hash, zip(w, w[1:], w[2:]))) or {hash(tuple(w))}
         if len(own & seen) <= 0.3 * len(own):
             seen |= own
             out.append(w)
@@ -108,16 +108,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
-    """A model from labelled texts; the last quarter of each kind calibrates."""
+def fit(toxic: list[bytes], ordinary: list[bytes], stands_for: float = 1.0) -> Model:
+    """A model from labelled texts; the last quarter of each kind calibrates. An ordinary text of
+    the sample stands for so many times the rows that a toxic one stands for."""
     if len(toxic) < 4 or len(ordinary) < 4:
         return Model()
     cut_t, cut_o = len(toxic) * 3 // 4, len(ordinary) * 3 // 4
-    own, other = _novel(toxic[:cut_t]), _novel(ordinary[:cut_o])
-    in_toxic = Counter(w for t in own for w in set(t))
-    in_ordinary = Counter(w for t in other for w in set(t))
+    own, other = _novel(toxic[:cut_t]), [normalized(t).split() for t in ordinary[:cut_o]]
     least = max(3, 0.01 * len(own))
-    marks = {w for w, n in in_toxic.items() if n >= least and n / len(own) >= 20 * (in_ordinary[w] + 0.5) / len(other)}
+    in_toxic = {w: n for w, n in Counter(w for t in own for w in set(t)).items() if n >= least}
+    in_ordinary = Counter(w for t in other for w in set(t) if w in in_toxic)
+    marks = {w for w, n in in_toxic.items() if n / len(own) >= 20 * (in_ordinary[w] + 0.5) / len(other)}
     marked = [b" " + b" ".join(k) + b" " for k in ([w for w in t if w in marks] for t in own) if k]
     plain = [b" " + b" ".join(t[i:i + 40]) + b" " for t in other for i in range(0, min(len(t), 400), 40)]
     if not marked or not plain:
@@ -131,8 +132,8 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     # shift the curve so that THRESHOLD sits where the held rows are told apart best
     z = x @ w
     order = np.argsort(-z, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    hits, wrong = np.cumsum(y[order]), np.cumsum(1 - y[order]) * stands_for
+    f1 = 2 * hits / (hits + wrong + y.sum())
     best = int(np.argmax(f1))
     at = z[order[best]]
     after = z[order[best + 1]] if best + 1 < len(z) else at - 1
@@ -149,12 +150,13 @@ def fit_on(docs: DataFrame, labels: DataFrame, training: Column, *, id_col: str
         F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text")).where("text is not null").join(marks, F.col("id") == F.col("l_id"))
     known = known.select("toxic", "text", F.xxhash64("id", "text").alias("h"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
-    out = []
+    out, shares = [], []
     for kind, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)):
         share = min(1.0, most / max(1, sizes.get(kind, 0)))
+        shares.append(share)
         rows = known.where(((F.col("toxic") > 0).cast("int") == kind) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))).select("h", "text").collect()
         out.append([r["text"].encode() for r in sorted(rows, key=lambda r: (r["h"], r["text"]))])
-    return fit(*out)
+    return fit(*out, stands_for=shares[0] / shares[1])
 
 
 def toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", keep_text: bool = False) -> DataFrame:
