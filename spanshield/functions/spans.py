@@ -36,47 +36,59 @@ def empty_array(element_type: T.DataType) -> Column:
     return F.array().cast(T.ArrayType(element_type))
 
 
-def find_spans(text: Column, pattern: str) -> Column:
-    """All non-overlapping matches of ``pattern`` as ``array<struct<start, end, text>>``."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    # zip_with pads the shorter array (matches) with null: the last gap has no match after it.
-    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gl"), m.alias("m")))
-    init = F.struct(F.lit(0).alias("pos"), empty_array(SPAN_TYPE).alias("spans"))
+CHUNK = 64  # folds run over chunks of this many matches: appending to one long array copies it each time
 
-    def step(acc, x):
-        start = acc["pos"] + x["gl"]
-        end = start + F.length(x["m"])
-        span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"),
-                        x["m"].alias("text"))
-        return F.struct(
-            F.coalesce(end, start).cast("int").alias("pos"),
-            F.when(x["m"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span)))
-            .alias("spans"),
-        )
 
-    found = F.aggregate(pairs, init, step, lambda acc: acc["spans"])
-    return F.when(text.isNull(), empty_array(SPAN_TYPE)).otherwise(found)
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once (an expression used twice is copied, and a copy
+    inside a lambda is evaluated per element)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def find_spans_located(text: Column, pattern: str) -> Column:
-    """Like ``find_spans`` for *context-free* patterns (no anchors, ``\\b`` or look-around).
+def chunks(items: Column) -> Column:
+    """The array cut into arrays of at most ``CHUNK`` elements."""
+    return let(items, lambda a: F.when(F.size(a) <= CHUNK, F.array(a)).otherwise(F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(a) - 1) / CHUNK).cast("int")), lambda i: F.slice(a, i * CHUNK + 1, F.lit(CHUNK)))))
 
-    For such a pattern the leftmost occurrence of a match's text after the previous match end is
-    the match itself (an earlier occurrence would have matched first), so positions come from
-    ``locate`` and the second regex pass (``split``) is not needed.
+
+def find_spans(text: Column, pattern: str, before: int = 0) -> Column:
+    """All non-overlapping matches of ``pattern`` as ``array<struct<start, end, text>>``; with
+    ``before`` each also has the field ``before``, up to so many characters in front of it.
+
+    Positions are running sums of gap and match lengths. The fold over the matches goes chunk by
+    chunk, so its cost grows with the matches, not with their square.
     """
+    span_type = SPAN_TYPE if not before else T.StructType([*SPAN_TYPE.fields, T.StructField("before", T.StringType())])
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    init = F.struct(F.lit(0).alias("pos"), empty_array(SPAN_TYPE).alias("spans"))
+    gaps = F.split(text, pattern, -1)
+
+    def pair(g, m):
+        near = [F.right(g, F.lit(before)).alias("near")] if before else []
+        return F.struct(F.length(g).alias("gl"), m.alias("m"), *near)
+
+    # zip_with pads the shorter array (matches) with null: the last gap has no match after it.
+    pairs = F.filter(F.zip_with(gaps, matches, pair), lambda x: x["m"].isNotNull())
+
+    def step(acc, x):
+        start = acc["pos"] + x["gl"]
+        end = start + F.length(x["m"])
+        span = [start.cast("int").alias("start"), end.cast("int").alias("end"), x["m"].alias("text")]
+        if not before:
+            return F.struct(end.cast("int").alias("pos"), F.concat(acc["spans"], F.array(F.struct(*span))).alias("spans"))
+        return let(F.right(F.concat(acc["tail"], x["near"]), F.lit(before)), lambda b: F.struct(
+            end.cast("int").alias("pos"), F.concat(acc["spans"], F.array(F.struct(*span, b.alias("before")))).alias("spans"),
+            F.right(F.concat(b, F.right(x["m"], F.lit(before))), F.lit(before)).alias("tail")))
 
-    def step(acc, m):
-        start = F.call_function("locate", m, text, acc["pos"] + 1) - 1
-        end = start + F.length(m)
-        span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), m.alias("text"))
-        return F.struct(end.cast("int").alias("pos"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def chunk_step(acc, chunk):
+        tail = [acc["tail"].alias("tail")] if before else []
+        part = F.aggregate(chunk, F.struct(acc["pos"].alias("pos"), empty_array(span_type).alias("spans"), *tail), step)
+        return let(part, lambda r: F.struct(r["pos"].alias("pos"), F.concat(acc["parts"], F.array(r["spans"])).alias("parts"),
+                                            *([r["tail"].alias("tail")] if before else [])))
 
-    return F.when(text.isNull(), empty_array(SPAN_TYPE)).otherwise(
-        F.aggregate(matches, init, step, lambda acc: acc["spans"]))
+    init = F.struct(F.lit(0).alias("pos"), F.array().cast(T.ArrayType(T.ArrayType(span_type))).alias("parts"),
+                    *([F.lit("").alias("tail")] if before else []))
+    found = F.flatten(F.aggregate(chunks(pairs), init, chunk_step, lambda acc: acc["parts"]))
+    return F.when(text.isNull(), empty_array(span_type)).otherwise(found)
 
 
 def guarded(cond: Column, spans: Column, element_type: T.DataType = SPAN_TYPE) -> Column:
@@ -88,14 +100,14 @@ def overlaps(a, b) -> Column:
     return (a["start"] < b["end"]) & (a["end"] > b["start"])
 
 
-def resolve_greedy(spans: Column, element_type: T.DataType = DETECTION_TYPE) -> Column:
-    """Keep a span only if it overlaps no span kept before it (array order = priority)."""
+def resolve_by_priority(parts: list[Column], element_type: T.DataType = DETECTION_TYPE) -> Column:
+    """Join the span arrays of several detectors, highest priority first: a span stays unless it
+    overlaps one that an earlier detector placed. Spans of one detector never overlap each other,
+    so a text that only one detector finds something in is never compared pair by pair."""
     return F.aggregate(
-        spans,
-        empty_array(element_type),
-        lambda acc, x: F.when(F.exists(acc, lambda a: overlaps(a, x)), acc)
-        .otherwise(F.concat(acc, F.array(x))),
-    )
+        F.array(*parts), empty_array(element_type),
+        lambda acc, part: F.when(F.size(acc) == 0, part).when(F.size(part) == 0, acc).otherwise(
+            F.concat(acc, F.filter(part, lambda x: ~F.exists(acc, lambda a: overlaps(a, x))))))
 
 
 def sort_by_start(spans: Column) -> Column:
@@ -105,18 +117,27 @@ def sort_by_start(spans: Column) -> Column:
 
 
 def rebuild(text: Column, spans: Column, replacement_field: str) -> Column:
-    """Replace every span (sorted, non-overlapping) by its ``replacement_field`` value."""
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
+    """Replace every span (sorted, non-overlapping) by its ``replacement_field`` value.
+
+    ``substring`` walks a text from its start; each chunk of spans therefore works on its own piece.
+    """
+    def chunk_step(acc, chunk):
+        last = F.element_at(chunk, -1)["end"]
+        piece = F.substring(text, acc["pos"] + 1, last - acc["pos"])
 
-    def step(acc, s):
-        gap = F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])
-        return F.struct(s["end"].alias("pos"),
-                        F.concat(acc["parts"], F.array(gap, s[replacement_field])).alias("parts"))
+        def step(inner, s):
+            gap = F.substring(inner["piece"], inner["pos"] - acc["pos"] + 1, s["start"] - inner["pos"])
+            return F.struct(s["end"].alias("pos"), inner["piece"].alias("piece"),
+                            F.concat(inner["parts"], F.array(gap, s[replacement_field])).alias("parts"))
 
-    folded = F.aggregate(spans, init, step)
-    tail = F.substring(text, folded["pos"] + 1, F.lit(2147483647))
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.array_join(F.concat(folded["parts"], F.array(tail)), ""))
+        first = F.struct(acc["pos"].alias("pos"), piece.alias("piece"), F.array().cast("array<string>").alias("parts"))
+        done = F.aggregate(chunk, first, step, lambda inner: F.array_join(inner["parts"], ""))
+        return F.struct(last.alias("pos"), F.concat(acc["parts"], F.array(done)).alias("parts"))
+
+    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
+    built = let(F.aggregate(chunks(spans), init, chunk_step), lambda f: F.array_join(
+        F.concat(f["parts"], F.array(F.substring(text, f["pos"] + 1, F.lit(2147483647)))), ""))
+    return F.when(F.size(spans) == 0, text).otherwise(built)
 
 
 def utf8_prefix_bytes(s: Column, max_bytes: int) -> Column:

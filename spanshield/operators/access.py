@@ -1,7 +1,7 @@
 """Access analytics (A2, I1-I6, I9): target resolution, loopback, policies, revocation.
 
-Config-sized tables (targets, policies) are broadcast only after their row count is checked
-(``small_table``); everything else is an equi/semi/anti join that Catalyst plans by size.
+All joins are equi-joins, so Catalyst picks the strategy by the actual sizes; nothing is counted or
+broadcast by hand.
 """
 
 from __future__ import annotations
@@ -33,20 +33,6 @@ TARGETS = [("api.deepseek.com", 443, None), ("api.openai.com", 443, None), ("htt
 # Addresses routed directly (glob patterns) and the private 172.16.0.0/12 range.
 DIRECT_GLOBS = ["localhost", "127.*", "10.*", "192.168.*"]
 
-SMALL_TABLE_ROWS = 100_000
-
-
-class TableTooLarge(ValueError):
-    pass
-
-
-def small_table(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Broadcast ``df`` after checking it is config-sized; refuse otherwise (no unbounded broadcast)."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise TableTooLarge(f"{n} rows > {max_rows}: not broadcast")
-    return F.broadcast(df)
-
 
 def load_targets(spark: SparkSession, rows=None) -> DataFrame:
     """A2: allowlist of inspected hosts with default port and tls."""
@@ -65,8 +51,7 @@ def bare_host(host: Column) -> Column:
 
 def resolve_target(log: DataFrame, targets: DataFrame, host_col: str = "host") -> DataFrame:
     """Strip the port, match the allowlist exactly; unknown hosts -> port 443, tls, not inspected."""
-    t = small_table(targets.select(F.col("host").alias("t_host"), F.col("port").alias("t_port"),
-                                   F.col("tls").alias("t_tls")))
+    t = targets.select(F.col("host").alias("t_host"), F.col("port").alias("t_port"), F.col("tls").alias("t_tls"))
     j = log.withColumn("target", bare_host(F.col(host_col))).join(t, F.col("target") == F.col("t_host"), "left")
     return j.select(*log.columns, "target",
                     F.coalesce("t_port", F.lit(DEFAULT_PORT)).alias("target_port"),
@@ -84,10 +69,11 @@ def drop_loopback(log: DataFrame, host_col: str = "host") -> DataFrame:
 
 
 def split_inspected(msgs: DataFrame, body_col: str = "body") -> DataFrame:
-    """Flags used to route a message: inspected target, over the 10 MB cap, streaming request."""
-    return msgs.withColumn("too_large", F.octet_length(body_col) > MAX_BODY_BYTES) \
+    """Flags used to route a message: inspected target, streaming request, and ``rejected``: an
+    inspected body over the 10 MB limit is refused (never passed on unscanned), all others are scanned."""
+    return msgs.withColumn("rejected", F.col("inspected") & F.coalesce(F.octet_length(body_col) > MAX_BODY_BYTES, F.lit(False))) \
         .withColumn("streaming", F.col(body_col).contains(STREAM_MARKER)) \
-        .withColumn("scan", F.col("inspected") & ~F.col("too_large"))
+        .withColumn("scan", F.col("inspected") & ~F.col("rejected"))
 
 
 def key_match(pattern: Column, path: Column) -> Column:
@@ -98,15 +84,14 @@ def key_match(pattern: Column, path: Column) -> Column:
 
 def enforce_policies(requests: DataFrame, users: DataFrame, policies: DataFrame) -> DataFrame:
     """I4: ``allowed`` = some policy has the user's role (default ``user``), a matching path pattern
-    and the same method or ``*``. Broadcast theta semi/anti joins against the checked policy table."""
+    and the same method or ``*``. The policies of a role are one array, joined by role and tested
+    in the row: the log is read once."""
     roles = users.select(F.col("id").alias("user_id"), F.col("role").alias("_role"))
     r = requests.join(roles, "user_id", "left").withColumn("_role", F.coalesce("_role", F.lit(DEFAULT_ROLE)))
-    p = small_table(policies)
-    cond = (F.col("_role") == F.col("p_role")) & key_match(F.col("pattern"), F.col("path")) \
-        & ((F.col("p_method") == "*") | (F.col("p_method") == F.col("method")))
-    allowed = r.join(p, cond, "left_semi").withColumn("allowed", F.lit(True))
-    denied = r.join(p, cond, "left_anti").withColumn("allowed", F.lit(False))
-    return allowed.unionByName(denied).withColumnRenamed("_role", "role")
+    by_role = policies.groupBy("p_role").agg(F.collect_set(F.struct("pattern", "p_method")).alias("_policies"))
+    j = r.join(by_role, F.col("_role") == F.col("p_role"), "left")
+    hit = F.exists("_policies", lambda p: key_match(p["pattern"], F.col("path")) & ((p["p_method"] == "*") | (p["p_method"] == F.col("method"))))
+    return j.withColumn("allowed", F.coalesce(hit, F.lit(False))).drop("p_role", "_policies").withColumnRenamed("_role", "role")
 
 
 def drop_revoked(requests: DataFrame, revoked: DataFrame) -> DataFrame:
@@ -137,11 +122,13 @@ def route_class(log: DataFrame, targets: DataFrame, host_col: str = "host") -> D
     direct = (~h.contains(".")) | in_private_172(h)
     for g in DIRECT_GLOBS:
         direct = direct | h.rlike(_glob_to_regex(g))
-    base = log.withColumn("_h", h).withColumn("_direct", direct)
-    t = small_table(targets.select(F.col("host").alias("_t")))
-    sub = F.endswith(F.col("_h"), F.concat(F.lit("."), F.col("_t")))
-    proxied = base.join(t, sub, "left_semi").withColumn("_p", F.lit(True))
-    others = base.join(t, sub, "left_anti").withColumn("_p", F.lit(False))
-    both = proxied.unionByName(others)
-    return both.withColumn("route", F.when(F.col("_direct") | ~F.col("_p"), F.lit("DIRECT")).otherwise(F.lit("PROXY"))) \
+    # every proper suffix of the host at a dot, against the targets by equality. Hosts, not requests,
+    # are exploded: a distinct host is looked up once
+    hosts = log.select(h.alias("_h")).distinct()
+    labels = F.split("_h", "\\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.call_function("substring_index", F.col("_h"), F.lit("."), -i))
+    subs = hosts.where(F.size(labels) > 1).select("_h", F.explode(suffixes).alias("_suffix"))
+    proxied = subs.join(targets.select(F.col("host").alias("_suffix")), "_suffix", "left_semi").select(F.col("_h").alias("_p")).distinct()
+    j = log.withColumn("_h", h).withColumn("_direct", direct).join(proxied, F.col("_h") == F.col("_p"), "left")
+    return j.withColumn("route", F.when(F.col("_direct") | F.col("_p").isNull(), F.lit("DIRECT")).otherwise(F.lit("PROXY"))) \
         .drop("_h", "_direct", "_p")

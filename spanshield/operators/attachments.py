@@ -16,7 +16,7 @@ from spanshield.operators.rewrite import add_tokens, session_key
 
 # The data-URI pattern (quotes included), strict padded base64, the blocked marker.
 DATA_URI_RE = '"data:([^";]+);base64,([^"]+)"'
-BASE64_RE = "^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
+BASE64_RE = "^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/][AQgw]==|[A-Za-z0-9+/]{2}[AEIMQUYcgkosw048]=)?$"
 BLOCKED_TEXT = "[BLOCKED: uninspectable content]"
 BLOCKED_TOKEN = "BLOCKED"
 # Magic-byte prefixes (hex) checked in order -> format.

@@ -10,24 +10,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanshield import patterns as P
 from spanshield.functions import masks
 from spanshield.functions.parallel import spread
 from spanshield.functions.spans import (
     DETECTION_TYPE,
+    SPAN_TYPE,
     empty_array,
     explode_spans,
     find_spans,
-    find_spans_located,
     guarded,
-    resolve_greedy,
+    resolve_by_priority,
     sort_by_start,
     utf8_prefix_bytes,
 )
 
-MAX_INT = 2147483647
-
 
 def _has(text: Column, *needles: str) -> Column:
     cond = None
@@ -79,31 +78,37 @@ def _as_detections(spans: Column, vtype: str, mask_fn, keep=None) -> Column:
 
 
 # --- B1 -------------------------------------------------------------------------------------------
-def secret_prefix_detections(text: Column) -> Column:
-    """Prefix secrets: ``sk-``/``pk-``/``authorization:``/``x-api-key:`` + value of >= 16 bytes."""
-    prefixes = guarded(prefilter_secret_prefix(text), find_spans_located(text, P.SECRET_PREFIX_RE))
-
-    def candidate(p):
-        rest = F.substring(text, p["end"] + 1, MAX_INT)
-        run = F.regexp_extract(rest, P.SECRET_VALUE_RE, 0)
-        value = F.when(F.length(run) < F.length(rest), run) \
-            .otherwise(utf8_prefix_bytes(rest, P.SECRET_VALUE_MAX_BYTES))
-        matched = F.concat(p["text"], value)
-        return F.struct(p["start"].alias("start"), (p["start"] + F.length(matched)).alias("end"),
-                        matched.alias("text"), (F.octet_length(value) >= P.SECRET_VALUE_MIN_BYTES).alias("ok"))
-
-    cands = F.filter(F.transform(prefixes, candidate), lambda c: c["ok"])
+def secret_prefix_detections(text: Column, compat: bool = False) -> Column:
+    """Prefix secrets: ``sk-``/``pk-``/``authorization:``/``x-api-key:`` + value of >= 16 bytes.
+
+    The value runs to its stop character or the end of the text. One regex takes prefix and value,
+    so a prefix inside a value is part of that value. ``compat`` cuts a value that no stop character
+    ends at 64 bytes, as the reference does (the rest of the secret then stays in the text).
+    """
+    found = guarded(prefilter_secret_prefix(text), find_spans(text, P.SECRET_PREFIX_VALUE_RE))
+
+    def candidate(s):
+        value = F.regexp_replace(s["text"], "^" + P.SECRET_PREFIX_RE, "")
+        if compat:
+            cut = F.when(s["end"] == F.length(text), utf8_prefix_bytes(value, P.SECRET_VALUE_MAX_BYTES)).otherwise(value)
+            matched = F.left(s["text"], F.length(s["text"]) - F.length(value) + F.length(cut))
+        else:
+            cut, matched = value, s["text"]
+        return F.struct(s["start"].alias("start"), (s["start"] + F.length(matched)).alias("end"),
+                        matched.alias("text"), (F.octet_length(cut) >= P.SECRET_VALUE_MIN_BYTES).alias("ok"))
+
+    cands = F.filter(F.transform(found, candidate), lambda c: c["ok"])
     return _as_detections(cands, "SECRET", masks.mask_secret)
 
 
 # --- B2, B3 ---------------------------------------------------------------------------------------
 def secret_kv_detections(text: Column) -> Column:
-    return _as_detections(guarded(prefilter_secret_kv(text), find_spans_located(text, P.SECRET_KV_RE)),
+    return _as_detections(guarded(prefilter_secret_kv(text), find_spans(text, P.SECRET_KV_RE)),
                           "SECRET", masks.mask_secret_kv)
 
 
 def api_key_detections(text: Column) -> Column:
-    return _as_detections(guarded(prefilter_api_key(text), find_spans_located(text, P.API_KEY_RE)),
+    return _as_detections(guarded(prefilter_api_key(text), find_spans(text, P.API_KEY_RE)),
                           "SECRET", masks.mask_secret)
 
 
@@ -118,39 +123,43 @@ def fio_detections(text: Column, names=None) -> Column:
     def keep(s):
         words = F.slice(F.split(s["text"], f"{P.WS}+", -1), 1, 2)
         return F.exists(words, lambda w: is_first_name(w, names))
-    return _as_detections(guarded(prefilter_fio(text), find_spans_located(text, P.FIO_RE)),
+    return _as_detections(guarded(prefilter_fio(text), find_spans(text, P.FIO_RE)),
                           "PII_FIO", masks.mask_fio, keep)
 
 
 # --- B5 -------------------------------------------------------------------------------------------
-def email_lookback(text: Column, start: Column) -> Column:
-    """The up to 60 bytes before ``start``; empty when byte ``start-60`` splits a character."""
+def email_lookback(before: Column) -> Column:
+    """Of up to 60 characters in front of a match the last 60 bytes; empty when that cut splits a
+    character."""
     n = P.EMAIL_LOOKBACK_BYTES
-    chars = F.substring(text, F.greatest(start - (n - 1), F.lit(1)), F.least(start, F.lit(n)))
-    raw = F.encode(chars, "UTF-8")
+    raw = F.encode(before, "UTF-8")
     nb = F.octet_length(raw)
     tail = F.substring(raw, nb - (n - 1), n)
     first = F.hex(F.substring(tail, 1, 1))
     continuation = (first >= F.lit("80")) & (first <= F.lit("BF"))
-    return F.when(nb <= n, chars).when(continuation, F.lit("")).otherwise(F.decode(tail, "UTF-8"))
+    return F.when(nb <= n, before).when(continuation, F.lit("")).otherwise(F.decode(tail, "UTF-8"))
 
 
 IPV4_RE = "^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
 
 
-def is_service_address(email: Column, text: Column, start: Column) -> Column:
+def is_service_address(email: Column, before: Column) -> Column:
     local = F.substring_index(email, "@", 1)
     domain = F.substring_index(email, "@", -1)
-    before = email_lookback(text, start)
+    before = email_lookback(before)
     return (F.lower(local).isin(P.SERVICE_USERS)                                   # B5a
             | domain.rlike(IPV4_RE) | domain.contains(":")                          # B5b
             | before.contains("://")                                                # B5c
             | before.endswith("ssh ") | before.endswith("git@") | before.contains("git clone "))  # B5d
 
 
+EMAIL_SPAN_TYPE = T.StructType([*SPAN_TYPE.fields, T.StructField("before", T.StringType())])
+
+
 def email_detections(text: Column) -> Column:
-    return _as_detections(guarded(prefilter_email(text), find_spans(text, P.EMAIL_RE)), "PII_EMAIL", masks.mask_email,
-                          lambda s: ~is_service_address(s["text"], text, s["start"]))
+    found = find_spans(text, P.EMAIL_RE, before=P.EMAIL_LOOKBACK_BYTES)
+    return _as_detections(guarded(prefilter_email(text), found, EMAIL_SPAN_TYPE), "PII_EMAIL", masks.mask_email,
+                          lambda s: ~is_service_address(s["text"], s["before"]))
 
 
 # --- B6 -------------------------------------------------------------------------------------------
@@ -162,7 +171,7 @@ def is_valid_phone(s: Column) -> Column:
 
 
 def phone_detections(text: Column) -> Column:
-    return _as_detections(guarded(prefilter_phone(text), find_spans_located(text, P.PHONE_RE)), "PII_PHONE", masks.mask_phone,
+    return _as_detections(guarded(prefilter_phone(text), find_spans(text, P.PHONE_RE)), "PII_PHONE", masks.mask_phone,
                           lambda s: is_valid_phone(s["text"]))
 
 
@@ -180,7 +189,7 @@ def scan(text: Column, names=None, with_company: bool = False) -> Column:
     if with_company:
         parts.append(company_detections(text))
     parts += [email_detections(text), phone_detections(text)]
-    resolved = sort_by_start(resolve_greedy(F.concat(*parts), DETECTION_TYPE))
+    resolved = sort_by_start(resolve_by_priority(parts, DETECTION_TYPE))
     return F.when(text.isNull() | (F.length(text) == 0), empty_array(DETECTION_TYPE)).otherwise(resolved)
 
 
@@ -195,7 +204,10 @@ def cached_column(key: tuple, build) -> Column:
     """
     from pyspark import SparkContext
     sc = getattr(SparkContext, "_active_spark_context", None)
-    full = (id(sc), key)
+    app = sc.applicationId if sc is not None else None   # ids of objects may come again, this does not
+    for old in [k for k in _COLUMN_CACHE if k[0] != app]:
+        del _COLUMN_CACHE[old]
+    full = (app, key)
     col = _COLUMN_CACHE.get(full)
     if col is None:
         col = build()

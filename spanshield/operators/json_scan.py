@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanshield.session import ensure_json_keys
 from spanshield.functions.spans import SPAN_TYPE, empty_array, explode_spans, rebuild
 from spanshield.operators.detect import scan
 from spanshield.operators.rewrite import add_tokens, session_key
@@ -66,6 +67,7 @@ def json_values(body: Column) -> Column:
 
 def scan_json(df: DataFrame, body_col: str = "body", keep=("msg_id",)) -> DataFrame:
     """One row per detection inside a JSON string value (or the raw body when not JSON)."""
+    ensure_json_keys(df.sparkSession)
     v = df.select(*keep, json_values(F.col(body_col)).alias("_v"))
     ex = explode_spans(v, "_v", list(keep)).select(*keep, F.col("_e.ord").alias("value_ord"),
                                                    scan(F.col("_e.value")).alias("_d"))
@@ -76,6 +78,7 @@ def scan_json(df: DataFrame, body_col: str = "body", keep=("msg_id",)) -> DataFr
 def tokenize_json(df: DataFrame, body_col: str = "body", user_col: str = "user_id", domain_col: str = "host",
                   out: str = "tokenized") -> DataFrame:
     """Replace detections inside string values by tokens; keys and structure untouched."""
+    ensure_json_keys(df.sparkSession)
     skey = session_key(F.col(user_col), F.col(domain_col))
     body = F.col(body_col)
     is_json = F.try_parse_json(body).isNotNull()

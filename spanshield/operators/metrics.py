@@ -41,30 +41,28 @@ def file_scans_by(scans: DataFrame) -> DataFrame:
     return scans.groupBy("format", "outcome").agg(F.count(F.lit(1)).alias("scans"))
 
 
-def active_connections(log: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def active_connections(log: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """H6: open connections after each instant, from +1 (start) / -1 (end) events.
 
     A running sum over one global order would put every row in one task. This is a two-level
-    parallel prefix sum: net change per instant (a hash aggregate with map-side partials), range
-    partitioning on time (the sampled bounds split a busy period over several tasks, so no hot hour
-    lands in one task), per-range totals turned into offsets (one row per range partition), and
-    running sums inside each range plus its offset.
+    prefix sum over time buckets, which are a function of the instant alone: net change per instant
+    (map-side partials), bucket totals turned into offsets (one row per bucket of the log's time
+    span), running sums inside each bucket plus its offset. Choose ``bucket_seconds`` so that a
+    bucket's distinct instants fit a task.
     """
-    spark = log.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     end_ts = F.col("ts") + F.make_interval(secs=F.col("duration_s"))
     deltas = log.select(F.explode(F.array(
         F.struct(F.col("ts").alias("t"), F.lit(1).alias("d")),
         F.struct(end_ts.alias("t"), F.lit(-1).alias("d")))).alias("x")).select("x.t", "x.d")
-    per_t = deltas.groupBy("t").agg(F.sum("d").cast("long").alias("d"))
-    ranged = per_t.repartitionByRange(n, "t").withColumn("part", F.spark_partition_id())
-    offsets = ranged.groupBy("part").agg(F.sum("d").alias("pd")) \
-        .withColumn("offset", F.coalesce(F.sum("pd").over(
-            Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("pd")
-    w = Window.partitionBy("part").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    running = ranged.withColumn("local", F.sum("d").over(w))
-    return running.join(F.broadcast(offsets), "part") \
-        .select(F.col("t").alias("ts"), (F.col("offset") + F.col("local")).cast("long").alias("active"))
+    bucket = F.floor(F.unix_micros(F.col("t").cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).alias("bucket")
+    # grouped with its bucket as a key of its own: the exchange of the window below is the only other one
+    per_t = deltas.groupBy(bucket, "t").agg(F.sum("d").cast("long").alias("d"))
+    earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = deltas.groupBy(bucket.alias("b")).agg(F.sum("d").alias("pd")).select(
+        "b", F.coalesce(F.sum("pd").over(earlier), F.lit(0)).alias("offset"))
+    running = per_t.withColumn("local", F.sum("d").over(Window.partitionBy("bucket").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    return running.join(offsets, F.col("bucket") == F.col("b")).select(
+        F.col("t").alias("ts"), (F.col("offset") + F.col("local")).cast("long").alias("active"))
 
 
 def active_users(log: DataFrame, exact: bool = True) -> DataFrame:

@@ -31,7 +31,7 @@ def full_hash(value: Column, skey: Column) -> Column:
 
 
 def token_core_of(vtype: Column, value: Column, skey: Column) -> Column:
-    """``TYPE_hex6``: the first 6 hex digits of SHA-256(value || session key)."""
+    """``TYPE_hex``: the first ``TOKEN_HEX_LEN`` hex digits of SHA-256(value || session key)."""
     return F.concat(type_prefix(vtype), F.lit("_"), F.substring(full_hash(value, skey), 1, P.TOKEN_HEX_LEN))
 
 
@@ -58,7 +58,7 @@ def add_tokens(dets: Column, skey: Column) -> Column:
 def tokenize(df: DataFrame, text_col: str, user_col: str = "user_id", domain_col: str = "host",
              out: str = "tokenized", det_col: str = "detections", keep=None, key: str | None = "msg_id",
              **scan_kw) -> DataFrame:
-    """Replace each detection by ``[TYPE_hex6]`` (deterministic per value and session).
+    """Replace each detection by ``[TYPE_hex]`` (deterministic per value and session).
 
     ``keep``: optional boolean lambda over a detection; detections where it is false are put back
     unchanged (C7: verdict-rejected detections restored before the rebuild, one pass).

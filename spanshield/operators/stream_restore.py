@@ -4,7 +4,8 @@ Two steps, so that only byte buffering is stateful:
 
 1. ``segment_chunks``: per stream, in ``seq`` order, decode UTF-8 across chunk edges and cut the
    text into segments that no token can straddle. The tail that could still belong to a token
-   (up to ``HOLD_CHARS``) is held back until more bytes arrive or the stream ends.
+   is held back until more bytes arrive or the stream ends. There is no limit on a reply's size
+   unless one is asked for (``max_bytes``); a reply over it always ends with ``[truncated]``.
 2. the segments go through the batch restore (D5), segment by segment; their concatenation is
    exactly D5 applied to the whole reply.
 
@@ -26,31 +27,40 @@ from pyspark.sql import functions as F
 from spanshield import patterns as P
 from spanshield.operators.vault import detokenize
 
-# Hold-back window (a partial token is at most this long) and the stream size cap.
-HOLD_CHARS = 1024
-MAX_STREAM_BYTES = 50 * 1024 * 1024
+# The reference's size limit of a reply, as an option, and its mark.
+REFERENCE_STREAM_BYTES = 50 * 1024 * 1024
 TRUNCATED = "[truncated]"
+# No written token form without inner white space is longer than this.
+HOLD_CHARS = 64
 
 SEGMENT_SCHEMA = "stream_id long, seg long, text string"
 _TOKEN_RE = re.compile(P.python_regex(P.TOKEN_ANY_RE))
+# a bracketed form that the end of the text leaves open; its inner white space may be of any length
+_OPEN_RE = re.compile(P.python_regex(f"\\[{P.WS}*(?:[A-Z]{{1,3}}(?:_[a-f0-9]{{0,{P.TOKEN_HEX_LEN}}})?{P.WS}*)?") + r"\Z")
 
 
 class Segmenter:
     """Byte buffer of one stream; ``feed`` returns the text that is safe to emit."""
 
-    def __init__(self, pending: bytes = b"", carry: str = "", received: int = 0):
+    def __init__(self, pending: bytes = b"", carry: str = "", received: int = 0, max_bytes: int | None = None):
         self.decoder = codecs.getincrementaldecoder("utf-8")("replace")
         self.decoder.setstate((pending, 0))
         self.carry = carry
         self.received = received
+        self.max_bytes = max_bytes
 
     def feed(self, chunk: bytes) -> str:
-        if self.received >= MAX_STREAM_BYTES:
-            return ""
-        room = MAX_STREAM_BYTES - self.received
-        self.received += len(chunk)
-        text = self.carry + self.decoder.decode(chunk[:room], final=False)
+        if self.max_bytes is not None:
+            room = max(0, self.max_bytes - self.received)
+            self.received += len(chunk)
+            chunk = chunk[:room]
+        else:
+            self.received += len(chunk)
+        text = self.carry + self.decoder.decode(chunk, final=False)
         cut = max(0, len(text) - HOLD_CHARS)
+        last = text.rfind("[")   # the only form that can be longer than what is held back anyway
+        if 0 <= last < cut and _OPEN_RE.match(text, last):
+            cut = last
         if cut > 0:
             for m in _TOKEN_RE.finditer(text):
                 if m.end() <= cut:
@@ -64,7 +74,7 @@ class Segmenter:
     def finish(self) -> str:
         text = self.carry + self.decoder.decode(b"", final=True)
         self.carry = ""
-        if self.received > MAX_STREAM_BYTES:
+        if self.max_bytes is not None and self.received > self.max_bytes:
             text += TRUNCATED
         return text
 
@@ -72,7 +82,7 @@ class Segmenter:
         return self.decoder.getstate()[0], self.carry, self.received
 
 
-def segment_chunks(chunks: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def segment_chunks(chunks: DataFrame, num_partitions: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """``(stream_id, seq, chunk BINARY)`` -> ``(stream_id, seg, text)`` safe segments."""
     spark = chunks.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -87,7 +97,7 @@ def segment_chunks(chunks: DataFrame, num_partitions: int | None = None) -> Data
                 if sid != cur:
                     if segmenter is not None:
                         out.append((cur, seg, segmenter.finish()))
-                    cur, seg, segmenter = sid, 0, Segmenter()
+                    cur, seg, segmenter = sid, 0, Segmenter(max_bytes=max_bytes)
                 text = segmenter.feed(bytes(chunk) if chunk is not None else b"")
                 if text:
                     out.append((cur, seg, text))
@@ -102,7 +112,7 @@ def segment_chunks(chunks: DataFrame, num_partitions: int | None = None) -> Data
 def restore_segments(segments: DataFrame, sessions: DataFrame, vault: DataFrame, unknown=P.REDACTED) -> DataFrame:
     """Batch restore (D5) of each segment; ``sessions``: ``(stream_id, session_key)``."""
     replies = segments.join(sessions, "stream_id", "left") \
-        .select((F.col("stream_id") * F.lit(1_000_000) + F.col("seg")).alias("_sid"), "stream_id", "seg",
+        .select(F.struct("stream_id", "seg").alias("_sid"), "stream_id", "seg",
                 "session_key", F.col("text").alias("body"))
     return detokenize(replies, vault, id_col="_sid", unknown=unknown).select("stream_id", "seg", "restored")
 

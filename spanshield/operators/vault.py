@@ -8,11 +8,11 @@ against the vault, so only referenced vault rows move.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanshield import patterns as P
-from spanshield.functions.spans import explode_spans, find_spans_located, guarded, rebuild
+from spanshield.functions.spans import explode_spans, find_spans, guarded, rebuild
 from spanshield.operators.detect import cached_column
 
 VAULT_COLS = ["core", "session_key", "value", "stored_at", "last_access"]
@@ -30,18 +30,22 @@ def build_vault(entries: DataFrame, per_session: bool = True) -> DataFrame:
     """Core -> value, last write wins (by ts, then message id, then ordinal).
 
     Rows with ``session_key`` null are the global scope; with ``per_session`` the session-scoped
-    rows are produced too.
+    rows are produced too. Both come from one aggregation of the entries. A core that stands for
+    more than one value is left out of the global scope: its values are found by session.
     """
     order = F.struct("ts", "msg_id", "ord")
-    g = (entries.groupBy("core")
-         .agg(F.max_by("value", order).alias("value"), F.max("ts").alias("stored_at"))
-         .select("core", F.lit(None).cast("string").alias("session_key"), "value", "stored_at",
-                 F.col("stored_at").alias("last_access")))
+    per = entries.groupBy("session_key", "core").agg(
+        F.max(F.struct(order.alias("at"), F.col("value"))).alias("last"), F.max("ts").alias("stored_at"),
+        F.min("value").alias("lo"), F.max("value").alias("hi"))
+    # a session's last write and the scope's: the one group of the core over all its sessions
+    scoped = per.groupBy("core").agg(
+        F.max("last").alias("last"), F.max("stored_at").alias("stored_at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    g = scoped.where(F.col("lo") == F.col("hi")).select(
+        "core", F.lit(None).cast("string").alias("session_key"), F.col("last.value").alias("value"), "stored_at",
+        F.col("stored_at").alias("last_access"))
     if not per_session:
         return g
-    s = (entries.groupBy("session_key", "core")
-         .agg(F.max_by("value", order).alias("value"), F.max("ts").alias("stored_at"))
-         .select("core", "session_key", "value", "stored_at", F.col("stored_at").alias("last_access")))
+    s = per.select("core", "session_key", F.col("last.value").alias("value"), "stored_at", F.col("stored_at").alias("last_access"))
     return g.unionByName(s)
 
 
@@ -63,18 +67,21 @@ def expire_vault(vault: DataFrame, now: Column, ttl_seconds: int = 2_592_000, ha
     """
     last = F.col("last_access")
     if hash_ttl:
-        last = F.max("last_access").over(Window.partitionBy("session_key"))
+        # the newest access of a scope by partial aggregation: the global scope is one hot key
+        newest = vault.groupBy("session_key").agg(F.max("last_access").alias("_newest")) \
+            .where(F.col("_newest") >= now - F.make_interval(secs=F.lit(ttl_seconds))).withColumnRenamed("session_key", "_scope")
+        return vault.join(newest, F.col("session_key").eqNullSafe(F.col("_scope")), "left_semi")
     return vault.where(last >= now - F.make_interval(secs=F.lit(ttl_seconds)))
 
 
 def find_tokens(text: Column) -> Column:
     """D3: all written token forms as ``array<struct<start, end, text, core>>`` (leftmost, longest)."""
-    spans = guarded(F.instr(text, "_") > 0, find_spans_located(text, P.TOKEN_ANY_RE))  # every form has "_"
+    spans = guarded(F.instr(text, "_") > 0, find_spans(text, P.TOKEN_ANY_RE))  # every form has "_"
     return F.transform(spans, lambda s: s.withField("core", token_core(s["text"])))
 
 
 def token_core(token: Column) -> Column:
-    """Canonical ``TYPE_hex6`` of any written form, else the input."""
+    """Canonical ``TYPE_hex`` of any written form, else the input."""
     core = F.regexp_extract(token, P.TOKEN_CORE_RE, 0)
     return F.when(core == "", token).otherwise(core)
 

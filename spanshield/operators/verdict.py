@@ -21,6 +21,7 @@ PROMPT_HEADER = (
 PROMPT_FOOTER = "\nAnswer with ONLY comma-separated 1 or 0. Example: 1,0,1"
 LABELS = {"PII_FIO": "PERSON_NAME", "PII_COMPANY": "COMPANY_NAME", "PII_EMAIL": "EMAIL", "PII_PHONE": "PHONE"}
 MAX_ITEMS = 10
+REFERENCE_PACK = 1024
 CONTEXT_RADIUS_BYTES = 50
 DETECTED = "[DETECTED]"
 NO_CONTEXT = "[context unavailable]"
@@ -114,20 +115,26 @@ def embedding_flags(vectors: DataFrame, reference: DataFrame, threshold: float =
     """E4 (design-only in the reference): max cosine similarity against a small reference set;
     rows at or above ``threshold`` go to the second tier.
 
-    The reference set is size-checked, packed into one row and broadcast on a constant key, so each
-    vector row meets the whole set in-row (no pair rows are emitted).
+    The reference set is packed into rows of at most ``REFERENCE_PACK`` vectors; one pack is
+    broadcast on a constant key, so each vector row meets it in-row (no pair rows are emitted). With
+    more packs a vector row meets each of them and keeps the largest similarity.
     """
-    from spanshield.operators.access import small_table
-
     def norm(c):
         return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
 
-    packed = small_table(reference.select(F.col(ref_col).alias("r"))).agg(
-        F.collect_list(F.struct(F.col("r"), norm(F.col("r")).alias("nr"))).alias("refs")).withColumn("_k", F.lit(0))
+    packs = max(1, -(-reference.count() // REFERENCE_PACK))
+    packed = reference.select(F.col(ref_col).alias("r")).groupBy(F.pmod(F.xxhash64("r"), F.lit(packs)).alias("_k")).agg(
+        F.collect_list(F.struct(F.col("r"), norm(F.col("r")).alias("nr"))).alias("refs"))
     v = vectors.select(id_col, F.transform(vec_col, lambda x: x.cast("double")).alias("v")) \
-        .withColumn("nv", norm(F.col("v"))).withColumn("_k", F.lit(0))
-    j = v.join(F.broadcast(packed), "_k")
+        .withColumn("nv", norm(F.col("v")))
+    if packs == 1:
+        j = v.withColumn("_k", F.lit(0).cast("long")).join(F.broadcast(packed), "_k")
+    else:
+        j = v.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long")))).join(packed, "_k")
     cos = F.transform("refs", lambda r: F.aggregate(F.zip_with("v", r["r"], lambda a, b: a * b), F.lit(0.0),
                                                      lambda acc, x: acc + x) / (F.col("nv") * r["nr"]))
-    return j.select(id_col, F.array_max(cos).alias("max_cos")) \
+    best = j.select(id_col, F.array_max(cos).alias("max_cos"))
+    if packs > 1:
+        best = best.groupBy(id_col).agg(F.max("max_cos").alias("max_cos"))
+    return best \
         .withColumn("flagged", F.col("max_cos") >= F.lit(threshold))

@@ -77,7 +77,10 @@ COMPANY_FORMS = ["ООО", "ЗАО", "ОАО", "АО", "ИП", "ПАО", "НКО
 # Token written forms: [CORE] (inner spaces allowed), q_CORE], ‹CORE›, the JSON-escaped
 # spelling \\u2039CORE\\u203a, and bare CORE.
 TOKEN_TYPES = ["KEY", "FIO", "ORG", "EML", "PHN"]
-TOKEN_HEX_LEN = 6
+# New tokens carry TOKEN_HEX_LEN hex digits (64 bits: no collisions at any vault size in practice);
+# the 6-digit form is still read, so replies that hold old tokens restore.
+TOKEN_HEX_LEN = 16
+LEGACY_HEX_LEN = 6
 REDACTED = "[REDACTED]"
 SESSION_KEY_FORMAT = "map:session:{user}:{domain}"
 ANON_USER = "anon"
@@ -90,6 +93,7 @@ SECRET_PREFIX_RE = "(?i)(?:" + "|".join(p.replace("-", "\\-") for p in SECRET_PR
 SECRET_VALUE_RE = f"^[^{WS_CHARS}{SECRET_VALUE_STOP}]*"
 # the look-ahead on the first letters only prunes start positions cheaply; it accepts every
 # character any key word can start with under Unicode case folding
+SECRET_PREFIX_VALUE_RE = SECRET_PREFIX_RE + SECRET_VALUE_RE[1:]
 SECRET_KV_RE = ("(?iu)(?=[abpst])(?:" + "|".join(k.replace("-", "\\-") for k in SECRET_KV_KEYS) + ")"
                 + f"{WS}*[:=]{WS}*[\"']?[a-zA-Z0-9_\\-.]{{12,}}")
 API_KEY_RE = "(?:sk|pk)-(?:[a-zA-Z0-9]{20,}|[a-zA-Z0-9]{4,}-[a-zA-Z0-9]{16,})"
@@ -99,7 +103,7 @@ COMPANY_RE = ("(?iU)\\b(?:" + "|".join(COMPANY_FORMS) + ")" + f"{WS}+[\"«]?[А-
 PHONE_RE = (f"(?:\\+7|8){WS}*\\(?{DIGIT}{{3}}\\)?{WS}*{DIGIT}{{3}}[{WS_CHARS}-]?{DIGIT}{{2}}"
             f"[{WS_CHARS}-]?{DIGIT}{{2}}")
 
-TOKEN_CORE_RE = "(?:" + "|".join(TOKEN_TYPES) + f")_[a-f0-9]{{{TOKEN_HEX_LEN}}}"
+TOKEN_CORE_RE = "(?:" + "|".join(TOKEN_TYPES) + f")_(?:[a-f0-9]{{{TOKEN_HEX_LEN}}}|[a-f0-9]{{{LEGACY_HEX_LEN}}})"
 # One alternation over the five written forms; delimited forms come first so that at a given
 # start the longest form wins (two forms never start at the same place with different cores).
 TOKEN_ANY_RE = (f"\\[{WS}*{TOKEN_CORE_RE}{WS}*\\]"

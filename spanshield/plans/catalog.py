@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanshield.functions.spans import explode_spans, resolve_greedy
+from spanshield.functions.spans import explode_spans
 from spanshield.operators import detect as D
 from spanshield.plans import derived
 from spanshield.plans import oracle_sql as O
@@ -34,8 +34,6 @@ def _single(detector: str):
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = derived.messages(spark, sf_dir)
         col = D.DETECTORS[detector](F.col("body"))
-        if detector == "secret_prefix":
-            col = resolve_greedy(col)
         return D.explode_detections(m.select("msg_id", col.alias("detections")), keep=["msg_id"]).select(*SPAN_COLS)
     return build
 
@@ -108,7 +106,8 @@ def vault_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 VAULT_SQL = f"""(
   SELECT core, CAST(NULL AS VARCHAR) AS session_key, value, stored_at, stored_at AS last_access FROM (
     SELECT core, value, max(ts) OVER (PARTITION BY core) AS stored_at,
-           row_number() OVER (PARTITION BY core ORDER BY ts DESC, msg_id DESC, ord DESC) AS rn FROM {ENTRIES_SQL}) WHERE rn = 1
+           min(value) OVER (PARTITION BY core) = max(value) OVER (PARTITION BY core) AS one,
+           row_number() OVER (PARTITION BY core ORDER BY ts DESC, msg_id DESC, ord DESC) AS rn FROM {ENTRIES_SQL}) WHERE rn = 1 AND one
   UNION ALL
   SELECT core, session_key, value, stored_at, stored_at AS last_access FROM (
     SELECT core, session_key, value, max(ts) OVER (PARTITION BY session_key, core) AS stored_at,
@@ -222,7 +221,7 @@ def f2_audit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(DISTINCT CASE WHEN type = 'PII_COMPANY' THEN core END) AS company, count(DISTINCT CASE WHEN type = 'PII_EMAIL' THEN core END) AS email,
   count(DISTINCT CASE WHEN type = 'PII_PHONE' THEN core END) AS phone, count(DISTINCT core) AS total FROM {TOKENS_SQL} GROUP BY msg_id""")
 def f3_detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return AU.detection_summary(c5_tokens(spark, sf_dir))
+    return AU.detection_summary(tokenized_messages(spark, sf_dir))
 
 
 @register("f4_query_audit", f"""SELECT * FROM {EVENTS_SQL} WHERE ts >= TIMESTAMP '2024-01-01 03:00:00'
@@ -406,14 +405,14 @@ register("h7_active_users", f"SELECT target, count(DISTINCT user_id) AS active_u
 register("h8_errors_by_target", f"SELECT target, count(*) AS errors FROM {RESOLVED_SQL} WHERE status >= 500 GROUP BY target")(
     lambda spark, sf_dir: ME.errors_by_target(resolved_log(spark, sf_dir)))
 
-MSG_RESOLVED_SQL = f"""(SELECT m.msg_id, t.host IS NOT NULL AS inspected, strlen(m.body) > {AC.MAX_BODY_BYTES} AS too_large,
+MSG_RESOLVED_SQL = f"""(SELECT m.msg_id, t.host IS NOT NULL AS inspected, t.host IS NOT NULL AND strlen(m.body) > {AC.MAX_BODY_BYTES} AS rejected,
   contains(m.body, '{AC.STREAM_MARKER}') AS streaming FROM {MSG_SQL} m LEFT JOIN {TARGETS_SQL} t ON t.host = split_part(m.host, ':', 1))"""
 
 
-@register("i3_split_inspected", f"SELECT msg_id, inspected, too_large, streaming, inspected AND NOT too_large AS scan FROM {MSG_RESOLVED_SQL}")
+@register("i3_split_inspected", f"SELECT msg_id, inspected, rejected, streaming, inspected AND NOT rejected AS scan FROM {MSG_RESOLVED_SQL}")
 def i3_split_inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = AC.resolve_target(derived.messages(spark, sf_dir), AC.load_targets(spark))
-    return AC.split_inspected(m).select("msg_id", "inspected", "too_large", "streaming", "scan")
+    return AC.split_inspected(m).select("msg_id", "inspected", "rejected", "streaming", "scan")
 
 
 def _key_match_sql(pattern: str, path: str) -> str:
@@ -926,7 +925,7 @@ def b9_scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("c6_tokenize_json", f"""SELECT v.msg_id, v.value_ord, r.out AS new_value FROM {O.rebuild_sql(
     f"(SELECT id, text FROM {JSON_VALS_SQL})",
-    f'''(SELECT v.id, s.start, s."end", '[' || {O.type_prefix('s.type')} || '_' || left(sha256(s.text || m.skey), 6) || ']' AS repl
+    f'''(SELECT v.id, s.start, s."end", '[' || {O.type_prefix('s.type')} || '_' || left(sha256(s.text || m.skey), {O.P.TOKEN_HEX_LEN}) || ']' AS repl
         FROM ({O.scan_sql(f"(SELECT id, text FROM {JSON_VALS_SQL})")}) s JOIN {JSON_VALS_SQL} v ON v.id = s.id
         JOIN (SELECT msg_id, 'map:session:' || coalesce(user_id, 'anon') || ':' || host AS skey FROM {JSON_MSG_SQL}) m
           ON m.msg_id = v.msg_id)''', "out")} r JOIN {JSON_VALS_SQL} v ON v.id = r.id

@@ -45,9 +45,9 @@ def messages(spark: SparkSession, sf_dir: str, with_fixtures: bool = True, extra
     )
     if with_fixtures:
         d = d.unionByName(fixture_df(spark, "messages"))
-    # the driver's tables are single parquet row groups (one task reads all of them): spread the
-    # text over the cores before the regex-heavy projections
-    return spread(d, "msg_id", force=True)
+    # a table that is one file of one row group is read by one task: only then is the text dealt out
+    # before the regex-heavy projections; a table of many files is scanned where it is read
+    return spread(d, "msg_id", force=True) if len(docs.inputFiles()) <= 1 else d
 
 
 def messages_sql(with_fixtures: bool = True) -> str:

@@ -112,17 +112,13 @@ def service_address(email: str, text: str, start: str) -> str:
             f"OR contains({before}, 'git clone '))")
 
 
-def byte_cap(s: str, n: int) -> str:
-    return f"left({s}, list_max(list_filter(range(0, {n + 1}), lambda k: strlen(left({s}, k)) <= {n})))"
-
-
 def detector_ctes(src: str, names=None) -> dict[str, str]:
     """Candidate spans per detector (after each detector's own filter): id, start, end, type, text, masked."""
     names = names if names is not None else P.first_names()
     value_re = q(re2(P.SECRET_VALUE_RE))
     b1 = f"""(SELECT id, start, start + length(mt) AS "end", 'SECRET' AS type, mt AS text, {mask_secret('mt')} AS masked
-      FROM (SELECT s.id, s.start, s.text || (CASE WHEN length(run) < length(rest) THEN run ELSE {byte_cap('rest', P.SECRET_VALUE_MAX_BYTES)} END) AS mt,
-                   CASE WHEN length(run) < length(rest) THEN run ELSE {byte_cap('rest', P.SECRET_VALUE_MAX_BYTES)} END AS val
+      FROM (SELECT s.id, s.start, s.text || run AS mt,
+                   run AS val
             FROM (SELECT p.*, substring(src.text, p."end" + 1) AS rest, regexp_extract(substring(src.text, p."end" + 1), {value_re}) AS run
                   FROM {spans_cte(src, SECRET_PREFIX_RE2)} p JOIN {src} src ON src.id = p.id) s)
       WHERE strlen(val) >= {P.SECRET_VALUE_MIN_BYTES})"""

@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # a repeated key in a JSON body: the last value wins, the body stays JSON
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -42,6 +44,11 @@ def get_spark(app: str = "spanshield", cpus: int | str = "*", shuffle_partitions
     return spark
 
 
+def ensure_json_keys(spark: SparkSession) -> None:
+    """Let JSON objects repeat a key (the last value wins) in a session that was built elsewhere."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory, creating a scratch one only when unset.
 
@@ -51,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         current = current.get() if current.isDefined() else None
+    if not current and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="spanshield-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
