@@ -216,7 +216,7 @@ def test_exact_dedup_index_persists(spark, docs):
     assert rerun.where("kept").count() == 0 and again.rows().count() == n
     more = docs.limit(1).withColumn("text", F.lit("something new"))
     assert exact_dedup.exact_dedup(more, again).where("kept").count() == 1
-    plan = again.new_rows(docs.select(F.lit("x").alias("text_sha256")))._jdf.queryExecution().toString()
+    plan = again.new_rows(docs.select(F.col("text").alias("text_sha256")))._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "LeftAnti" in plan
 
 
