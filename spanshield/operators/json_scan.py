@@ -75,6 +75,20 @@ def scan_json(df: DataFrame, body_col: str = "body", keep=("msg_id",)) -> DataFr
         .select(*keep, "value_ord", "det_ord", "_e.start", "_e.end", "_e.type", "_e.text")
 
 
+def json_detections(df: DataFrame, body_col: str = "body", user_col: str = "user_id", domain_col: str = "host",
+                    keep=("msg_id",)) -> DataFrame:
+    """One row per detection inside a JSON string value, with its session key, token, core and hash:
+    what the vault (D1), the audit (F1) and the verdicts need. ``ord`` orders them in the body."""
+    ensure_json_keys(df.sparkSession)
+    skey = session_key(F.col(user_col), F.col(domain_col))
+    v = df.select(*keep, skey.alias("session_key"), json_values(F.col(body_col)).alias("_v"))
+    ex = explode_spans(v, "_v", [*keep, "session_key"]).select(
+        *keep, "session_key", F.col("_e.ord").alias("value_ord"), add_tokens(scan(F.col("_e.value")), F.col("session_key")).alias("_d"))
+    return explode_spans(ex, "_d", [*keep, "session_key", "value_ord"], pos="det_ord").select(
+        *keep, "session_key", F.struct("value_ord", "det_ord").alias("ord"), "_e.type", F.col("_e.text").alias("value"),
+        "_e.masked", "_e.token", "_e.core", "_e.hash")
+
+
 def tokenize_json(df: DataFrame, body_col: str = "body", user_col: str = "user_id", domain_col: str = "host",
                   out: str = "tokenized") -> DataFrame:
     """Replace detections inside string values by tokens; keys and structure untouched."""

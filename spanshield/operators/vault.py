@@ -96,11 +96,12 @@ def explode_tokens(df: DataFrame, text_col: str, keep=("msg_id",)) -> DataFrame:
 def detokenize(replies: DataFrame, vault: DataFrame, text_col: str = "body", id_col: str = "msg_id",
                session_col: str = "session_key", request_map: DataFrame | None = None,
                unknown: str | None = P.REDACTED, out: str = "restored",
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, json_bodies: bool = False) -> DataFrame:
     """D5 (and D6 with ``unknown=None``): replace every token by its value.
 
     Lookup order: request map -> global vault -> session vault -> ``[REDACTED]`` (D6 keeps the
-    token text).
+    token text). ``json_bodies``: in a body that is JSON a value is written JSON-escaped, so the body
+    stays JSON.
 
     Plan: the replies are hash-partitioned by id once; the token rows derived from them keep that
     partitioning, so the regroup by id and the join back to the replies add no shuffle of the
@@ -112,8 +113,11 @@ def detokenize(replies: DataFrame, vault: DataFrame, text_col: str = "body", id_
                               int(spark.conf.get("spark.sql.shuffle.partitions")))
     toks_col = cached_column(("find_tokens", text_col), lambda: find_tokens(F.col(text_col)))
     r = replies.repartition(n, id_col).withColumn("_toks", toks_col)
-    toks = explode_spans(r, "_toks", [id_col, session_col]) \
-        .select(id_col, session_col, "_e.start", "_e.end", F.col("_e.text").alias("token_text"), "_e.core")
+    if json_bodies:
+        r = r.withColumn("_json", F.try_parse_json(text_col).isNotNull())
+    more = ["_json"] if json_bodies else []
+    toks = explode_spans(r, "_toks", [id_col, session_col, *more]) \
+        .select(id_col, session_col, *more, "_e.start", "_e.end", F.col("_e.text").alias("token_text"), "_e.core")
     glob = vault.where(F.col("session_key").isNull()).select("core", F.col("value").alias("v_global"))
     sess = vault.where(F.col("session_key").isNotNull()) \
         .select(F.col("session_key").alias(session_col), "core", F.col("value").alias("v_session"))
@@ -124,8 +128,12 @@ def detokenize(replies: DataFrame, vault: DataFrame, text_col: str = "body", id_
         j = j.join(rm, [id_col, "core"], "left")
         vals = [F.col("v_request")] + vals
     fallback = F.lit(unknown) if unknown is not None else F.col("token_text")
+    value = F.coalesce(*vals, fallback)
+    if json_bodies:
+        quoted = F.to_json(F.array(F.coalesce(*vals)))   # ["..."]
+        value = F.when(F.col("_json") & F.coalesce(*vals).isNotNull(), F.substring(quoted, F.lit(3), F.length(quoted) - 4)).otherwise(value)
     per_msg = j.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce(*vals, fallback).alias("value")))).alias("_repl"))
+        F.array_sort(F.collect_list(F.struct("start", "end", value.alias("value")))).alias("_repl"))
     rebuilt = cached_column(("rebuild", text_col, "_repl", "value"),
                             lambda: F.when(F.col("_repl").isNull(), F.col(text_col))
                             .otherwise(rebuild(F.col(text_col), F.col("_repl"), "value")))
@@ -133,7 +141,7 @@ def detokenize(replies: DataFrame, vault: DataFrame, text_col: str = "body", id_
     # Catalyst infer no not-null filter into the token branch, so both branches keep the identical
     # reply exchange and Spark reuses it instead of recomputing the replies
     restored = r.join(per_msg, id_col, "full_outer").withColumn(out, rebuilt)
-    return restored.drop("_toks", "_repl")
+    return restored.drop("_toks", "_repl", "_json")
 
 
 def vault_collisions(entries: DataFrame) -> DataFrame:

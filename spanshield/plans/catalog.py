@@ -173,6 +173,30 @@ def d2_expire_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.expire_vault(vault, now)
 
 
+_NEARLY_30_DAYS_ON = "2024-01-31 04:00:00"
+
+
+@register("d2_expire_partly", f"SELECT * FROM {VAULT_SQL} WHERE last_access >= TIMESTAMP '{_NEARLY_30_DAYS_ON}' - INTERVAL 30 DAY")
+def d2_expire_partly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of the first hours are gone, the later ones stay."""
+    return V.expire_vault(V.build_vault(vault_entries(spark, sf_dir)), F.lit(_NEARLY_30_DAYS_ON).cast("timestamp"))
+
+
+@register("d2_expire_scopes", f"""SELECT core, session_key, value, stored_at, last_access FROM (
+    SELECT *, max(last_access) OVER (PARTITION BY session_key) AS newest FROM {VAULT_SQL})
+  WHERE newest >= TIMESTAMP '{_NEARLY_30_DAYS_ON}' - INTERVAL 30 DAY""")
+def d2_expire_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scope lives as long as its newest entry."""
+    return V.expire_vault(V.build_vault(vault_entries(spark, sf_dir)), F.lit(_NEARLY_30_DAYS_ON).cast("timestamp"), hash_ttl=True)
+
+
+@register("d8_collisions_found", f"""SELECT left(core, 5) AS core, count(DISTINCT value) AS n_values, count(DISTINCT hash) AS n_hashes
+  FROM {ENTRIES_SQL} GROUP BY left(core, 5) HAVING count(DISTINCT value) > 1""")
+def d8_collisions_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on tokens cut to one hex digit, where values do collide."""
+    return V.vault_collisions(vault_entries(spark, sf_dir).withColumn("core", F.substring("core", 1, 5)))
+
+
 @register("a5_write_vault", f"""SELECT core, session_key, value, stored_at, last_access FROM (
   SELECT core, session_key, value, max(stored_at) OVER w AS stored_at, max(last_access) OVER w AS last_access,
          row_number() OVER (PARTITION BY session_key, core ORDER BY stored_at DESC, value DESC) AS rn
@@ -231,6 +255,17 @@ def f4_query_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
                           violation_type=["SECRET", "PII_EMAIL"])
 
 
+@register("a4_write_audit", f"SELECT user_id, resource, violation_type, masked_context, token, request_path, ts FROM {EVENTS_SQL}")
+def a4_write_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written to a new audit table in the shared folder and read back."""
+    from uuid import uuid4
+
+    from spanshield.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark)}/audit-{uuid4().hex}"
+    AU.write_audit(violation_events(spark, sf_dir), path)
+    return AU.read_audit(spark, path).select(*AU.AUDIT_COLS)
+
+
 # --- G: usage, quotas, reports -----------------------------------------------------------------
 LOG_SQL = derived.request_log_sql()
 USERS_SQL = derived.users_sql()
@@ -351,6 +386,13 @@ def a7_delete_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage
 
 
+@register("a7_delete_user_rows", f"SELECT id, username, status FROM {USERS_SQL} WHERE status <> 'disabled'")
+def a7_delete_user_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = derived.users(spark, sf_dir)
+    left, _ = US.delete_users(users, _usage(spark, sf_dir), users.where(F.col("status") == "disabled"))
+    return left.select("id", "username", "status")
+
+
 @register("a8_update_users", f"""SELECT id, username, CASE WHEN status = 'disabled' THEN 'active' ELSE status END AS status,
   CASE WHEN status = 'disabled' THEN 'admin' ELSE role END AS role,
   CASE WHEN status = 'disabled' THEN CAST(10 AS BIGINT) ELSE quota_req_day END AS quota_req_day,
@@ -903,13 +945,15 @@ def json_messages(spark, sf_dir):
     m = derived.messages(spark, sf_dir, with_fixtures=False)
     body = F.concat(F.lit('{"model":"m","messages":[{"role":"user","content":'), _json_str(F.col("body")),
                     F.lit('}],"user":'), _json_str(F.coalesce(F.col("user_id"), F.lit("anon"))), F.lit("}"))
-    d = m.select("msg_id", "user_id", "host", body.alias("body"))
-    return d.unionByName(fixture_df(spark, "messages").select("msg_id", "user_id", "host", "body"))
+    cols = ["msg_id", "user_id", "host", "path", "ts"]
+    d = m.select(*cols, body.alias("body")).unionByName(fixture_df(spark, "messages").select(*cols, "body"))
+    return d.unionByName(fixture_df(spark, "json_messages"))
 
 
-JSON_MSG_SQL = f"""(SELECT msg_id, user_id, host, '{{"model":"m","messages":[{{"role":"user","content":' || to_json(body)
+JSON_MSG_SQL = f"""(SELECT msg_id, user_id, host, path, ts, '{{"model":"m","messages":[{{"role":"user","content":' || to_json(body)
     || '}}],"user":' || to_json(coalesce(user_id, 'anon')) || '}}' AS body FROM {derived.messages_sql(with_fixtures=False)}
-  UNION ALL SELECT msg_id, user_id, host, body FROM {fixture_sql('messages')})"""
+  UNION ALL SELECT msg_id, user_id, host, path, ts, body FROM {fixture_sql('messages')}
+  UNION ALL SELECT * FROM {fixture_sql('json_messages')})"""
 JSON_VALS_SQL = f"""(SELECT row_number() OVER (ORDER BY msg_id, value_ord) AS id, msg_id, value_ord, text FROM (
     SELECT m.msg_id, CAST(row_number() OVER (PARTITION BY m.msg_id ORDER BY t.id) - 1 AS INTEGER) AS value_ord,
            json_extract_string(t.value, '$') AS text
@@ -941,6 +985,48 @@ def c6_tokenize_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.where(F.col("new_value") != F.col("old_value")).select("msg_id", "value_ord", "new_value")
 
 
+JSON_TOKENS_SQL = f"""(SELECT v.msg_id, v.value_ord, s.ord AS det_ord, s.type, s.text AS value, s.masked, m.skey AS session_key, m.ts,
+    m.user_id, m.host, m.path, {O.type_prefix('s.type')} || '_' || left(sha256(s.text || m.skey), {O.P.TOKEN_HEX_LEN}) AS core
+  FROM ({O.scan_sql(f"(SELECT id, text FROM {JSON_VALS_SQL})")}) s JOIN {JSON_VALS_SQL} v ON v.id = s.id
+  JOIN (SELECT *, 'map:session:' || coalesce(user_id, 'anon') || ':' || host AS skey FROM {JSON_MSG_SQL}) m ON m.msg_id = v.msg_id)"""
+_JSON_RANK = "ORDER BY ts DESC, msg_id DESC, value_ord DESC, det_ord DESC"
+
+
+def json_entries(spark, sf_dir):
+    return JS.json_detections(json_messages(spark, sf_dir), keep=("msg_id", "ts"))
+
+
+@register("d1_vault_json", f"""SELECT core, CAST(NULL AS VARCHAR) AS session_key, value, stored_at, stored_at AS last_access FROM (
+    SELECT core, value, max(ts) OVER (PARTITION BY core) AS stored_at, row_number() OVER (PARTITION BY core {_JSON_RANK}) AS rn
+    FROM {JSON_TOKENS_SQL}) WHERE rn = 1
+  UNION ALL
+  SELECT core, session_key, value, stored_at, stored_at AS last_access FROM (
+    SELECT core, session_key, value, max(ts) OVER (PARTITION BY session_key, core) AS stored_at,
+           row_number() OVER (PARTITION BY session_key, core {_JSON_RANK}) AS rn FROM {JSON_TOKENS_SQL}) WHERE rn = 1""")
+def d1_vault_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.build_vault(json_entries(spark, sf_dir))
+
+
+@register("d5_detokenize_json", f"SELECT msg_id, value_ord, text AS value FROM {JSON_VALS_SQL}")
+def d5_detokenize_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokenized JSON bodies restored from the vault that their own detections filled: every string
+    value comes back, and the body is JSON again."""
+    m = json_messages(spark, sf_dir)
+    t = JS.tokenize_json(m).select("msg_id", R.session_key(F.col("user_id"), F.col("host")).alias("session_key"), F.col("tokenized").alias("body"))
+    back = V.detokenize(t, V.build_vault(json_entries(spark, sf_dir)), unknown=None, json_bodies=True)
+    vals = back.select("msg_id", JS.json_values(F.col("restored")).alias("_v"))
+    return explode_spans(vals, "_v", ["msg_id"]).select("msg_id", F.col("_e.ord").alias("value_ord"), F.col("_e.value").alias("value"))
+
+
+@register("f1_events_json", f"""SELECT msg_id, value_ord, det_ord, user_id, host AS resource, type AS violation_type,
+    type || ': masked=' || masked || ' token=[' || core || ']' AS masked_context, '[' || core || ']' AS token, path AS request_path, ts FROM {JSON_TOKENS_SQL}""")
+def f1_events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = JS.json_detections(json_messages(spark, sf_dir), keep=("msg_id", "user_id", "host", "path", "ts"))
+    return d.select("msg_id", "ord.value_ord", "ord.det_ord", "user_id", F.col("host").alias("resource"), F.col("type").alias("violation_type"),
+                    F.concat("type", F.lit(": masked="), "masked", F.lit(" token="), "token").alias("masked_context"), "token",
+                    F.col("path").alias("request_path"), "ts")
+
+
 # --- A1, B7 -------------------------------------------------------------------------------------------
 @register("a1_read_messages", "SELECT doc_id, text, lang FROM documents")
 def a1_read_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,16 @@ ATTACHMENT_MESSAGES = [
 ]
 ATTACHMENT_SCHEMA = "msg_id BIGINT, user_id STRING, host STRING, body STRING"
 
+# Bodies whose values need escaping when they are restored, a repeated key, nested and odd values.
+JSON_MESSAGES = [
+    (-301, "alice", "api.openai.com", "/v1/chat", _TS, '{"a":"line\\n\\"quoted\\" mail x@corp.example","b":1}'),
+    (-302, "bob", "api.openai.com", "/v1/chat", _TS, '{"cfg":"password=\\"abcdefghijklmnop\\" and\\ttab","n":[null,true,"root@corp.example y@corp.example"]}'),
+    (-303, None, "api.qwen.ai", "/v1/chat", _TS, '{"password=abcdefghijklmnop":"x","a":1,"a":"mail z@corp.example"}'),
+    (-304, None, "api.qwen.ai", "/v1/chat", _TS, '{"u":"\\u043f\\u043e\\u0447\\u0442\\u0430 q@corp.example","e":""}'),
+]
+
 FIXTURES = {
+    "json_messages": (JSON_MESSAGES, MESSAGES_SCHEMA),
     "attachments": (ATTACHMENT_MESSAGES, ATTACHMENT_SCHEMA),
     "messages": (MESSAGES, MESSAGES_SCHEMA),
     "token_replies": (TOKEN_REPLIES, TOKEN_REPLIES_SCHEMA),
