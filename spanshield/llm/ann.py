@@ -25,8 +25,8 @@ from .shared import materialize
 
 SUBSTRINGS = 8
 WIDTH = 64 // SUBSTRINGS
-SAMPLE = 20_000
-SAMPLE_QUERIES = 512
+SAMPLE = 10_000
+SAMPLE_QUERIES = 256
 BLOCK = 4096
 SCAN_QUERIES = 1024
 FLUSH = 400_000
