@@ -25,9 +25,9 @@ def violation_events(tokenized: DataFrame, det_col: str = "detections", user_col
 
 
 def attachment_events(file_dets: DataFrame, user_col: str = "user_id", resource_col: str = "host",
-                      ts_col: str = "ts") -> DataFrame:
+                      ts_col: str = "ts", keep=()) -> DataFrame:
     """F1 for attachments: path ``attachment``, token ``MASK``, masked text as the context."""
-    return file_dets.select(F.col(user_col).alias("user_id"), F.col(resource_col).alias("resource"),
+    return file_dets.select(*keep, F.col(user_col).alias("user_id"), F.col(resource_col).alias("resource"),
                             F.col("type").alias("violation_type"), F.col("masked").alias("masked_context"),
                             F.lit("MASK").alias("token"), F.lit("attachment").alias("request_path"),
                             F.col(ts_col).alias("ts"))

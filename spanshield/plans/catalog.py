@@ -829,6 +829,16 @@ def b13_scan_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scanned(spark, sf_dir).select("msg_id", "idx", "format", "outcome", F.size("detections").alias("n_detections"))
 
 
+@register("f1_attachment_events", f"""SELECT CAST(floor(t.msg_id / 100.0) AS BIGINT) AS msg_id,
+    t.ord, m.user_id, m.host AS resource, t.type AS violation_type, t.masked AS masked_context, 'MASK' AS token, 'attachment' AS request_path
+  FROM {_ATT_TOKENS} t JOIN {_ATT_AS_MSG} m ON m.msg_id = t.msg_id""")
+def f1_attachment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections inside attachments as audit events: never the value, only its masked form."""
+    found = explode_spans(_scanned(spark, sf_dir), "detections", ["msg_id", "user_id", "host"], pos="ord").select(
+        "msg_id", "ord", "user_id", "host", F.lit(None).cast("timestamp").alias("ts"), "_e.type", "_e.masked")
+    return AU.attachment_events(found, keep=("msg_id", "ord")).drop("ts")
+
+
 @register("h5_file_scans_by", f"SELECT format, outcome, count(*) AS scans FROM {SCANNED_SQL} GROUP BY ALL")
 def h5_file_scans_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ME.file_scans_by(_scanned(spark, sf_dir))
