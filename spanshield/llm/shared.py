@@ -49,11 +49,6 @@ def strip_space(col: Column) -> Column:
     return F.translate(F.coalesce(col, F.lit("")), SPACE_CHARS, "")
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Width of a shuffle as the session sets it."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     """The ``documents`` table of a data folder, narrowed to ``cols`` if any are given."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -1,9 +1,7 @@
 """The registered queries: SQL oracles, and the pipeline's stages against what they promise."""
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanshield.llm import toxicity
 from spanshield.llm.queries import ORACLES, QUERIES
 from spanshield.plans.checks import compare, duck
 
