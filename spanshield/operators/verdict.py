@@ -50,12 +50,18 @@ def label_of(vtype: Column) -> Column:
     return expr.otherwise(F.lit("OTHER"))
 
 
-def pii_items(dets: DataFrame, bodies: DataFrame, id_col: str = "msg_id", body_col: str = "body") -> DataFrame:
-    """Non-secret detections numbered per message (``item`` 1..k in start order), with context."""
-    pii = dets.where(F.col("type") != "SECRET")
+def numbered_items(dets: DataFrame, id_col: str = "msg_id") -> DataFrame:
+    """Non-secret detections with ``part`` and ``item``: prompts of at most ``MAX_ITEMS`` items."""
     w = Window.partitionBy(id_col).orderBy("ord")
-    pii = pii.withColumn("item", F.row_number().over(w)).withColumn("n_pii", F.count(F.lit(1)).over(Window.partitionBy(id_col)))
-    j = pii.join(bodies.select(id_col, body_col), id_col)
+    pii = dets.where(F.col("type") != "SECRET").withColumn("_n", F.row_number().over(w) - 1)
+    return pii.withColumn("part", F.floor(F.col("_n") / MAX_ITEMS).cast("int")) \
+        .withColumn("item", (F.col("_n") % MAX_ITEMS + 1).cast("int")).drop("_n")
+
+
+def pii_items(dets: DataFrame, bodies: DataFrame, id_col: str = "msg_id", body_col: str = "body") -> DataFrame:
+    """Non-secret detections in prompts of at most ``MAX_ITEMS`` per message (``part`` 0.., ``item`` 1..
+    within the part, in start order), with context."""
+    j = numbered_items(dets, id_col).join(bodies.select(id_col, body_col), id_col)
     return j.withColumn("line", F.concat(F.col("item").cast("string"), F.lit(". ["), label_of(F.col("type")),
                                          F.lit("] \""), F.col("text"), F.lit("\" — context: "),
                                          context_around(F.col(body_col), F.col("text")), F.lit("\n")))
@@ -63,13 +69,14 @@ def pii_items(dets: DataFrame, bodies: DataFrame, id_col: str = "msg_id", body_c
 
 def build_verdict_requests(dets: DataFrame, bodies: DataFrame, id_col: str = "msg_id",
                            body_col: str = "body") -> DataFrame:
-    """One prompt per message with 1..10 PII items; ``prompt_hash`` = SHA-256 of the prompt."""
-    items = pii_items(dets, bodies, id_col, body_col).where(F.col("n_pii") <= MAX_ITEMS)
-    g = items.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("item", "line"))).alias("lines"), F.max("n_pii").alias("n_items"))
+    """Prompts of 1..10 PII items per message, as many as its items need, so that every item is
+    judged; ``prompt_hash`` = SHA-256 of the prompt."""
+    items = pii_items(dets, bodies, id_col, body_col)
+    g = items.groupBy(id_col, "part").agg(
+        F.array_sort(F.collect_list(F.struct("item", "line"))).alias("lines"), F.max("item").cast("long").alias("n_items"))
     prompt = F.concat(F.lit(PROMPT_HEADER), F.array_join(F.transform("lines", lambda x: x["line"]), ""),
                       F.lit(PROMPT_FOOTER))
-    return g.select(id_col, "n_items", prompt.alias("prompt")).withColumn("prompt_hash", F.sha2("prompt", 256))
+    return g.select(id_col, "part", "n_items", prompt.alias("prompt")).withColumn("prompt_hash", F.sha2("prompt", 256))
 
 
 def distinct_requests(requests: DataFrame) -> DataFrame:
@@ -89,11 +96,10 @@ def parse_verdicts(responses: DataFrame, raw_col: str = "raw") -> DataFrame:
 
 
 def apply_verdicts(dets: DataFrame, requests: DataFrame, verdicts: DataFrame, id_col: str = "msg_id") -> DataFrame:
-    """``keep`` per detection. Secrets always kept; > 10 PII items keep all; a missing verdict
-    (error, short answer) keeps; extra verdicts are ignored."""
-    w = Window.partitionBy(id_col).orderBy("ord")
-    pii = dets.where(F.col("type") != "SECRET").select(id_col, "ord", F.row_number().over(w).alias("item"))
-    d = dets.join(pii, [id_col, "ord"], "left").join(requests.select(id_col, "prompt_hash"), id_col, "left")
+    """``keep`` per detection. Secrets always kept; a missing verdict (error, short answer) keeps;
+    extra verdicts are ignored."""
+    pii = numbered_items(dets, id_col).select(id_col, "ord", "part", "item")
+    d = dets.join(pii, [id_col, "ord"], "left").join(requests.select(id_col, "part", "prompt_hash"), [id_col, "part"], "left")
     d = d.join(verdicts, ["prompt_hash", "item"], "left")
     keep = (F.col("type") == "SECRET") | F.col("prompt_hash").isNull() | F.coalesce(F.col("keep"), F.lit(True))
     return d.select(*dets.columns, keep.alias("keep"))

@@ -564,16 +564,17 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-REQUESTS_SQL = f"""(SELECT msg_id, n_items, prompt, sha256(prompt) AS prompt_hash FROM (
-  SELECT msg_id, max(n_pii) AS n_items, {_q(VE.PROMPT_HEADER)} || string_agg(line, '' ORDER BY item) || {_q(VE.PROMPT_FOOTER)} AS prompt
-  FROM (SELECT d.msg_id, d.item, d.n_pii, CAST(d.item AS VARCHAR) || '. [' || {_label_sql('d.type')} || '] "' || d.text || '" — context: '
+ITEMS_SQL = f"""(SELECT *, CAST((n - 1) // {VE.MAX_ITEMS} AS INTEGER) AS part, CAST((n - 1) % {VE.MAX_ITEMS} + 1 AS INTEGER) AS item
+  FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY ord) AS n FROM {DETS_SQL} WHERE type <> 'SECRET'))"""
+REQUESTS_SQL = f"""(SELECT msg_id, part, n_items, prompt, sha256(prompt) AS prompt_hash FROM (
+  SELECT msg_id, part, CAST(max(item) AS BIGINT) AS n_items, {_q(VE.PROMPT_HEADER)} || string_agg(line, '' ORDER BY item) || {_q(VE.PROMPT_FOOTER)} AS prompt
+  FROM (SELECT d.msg_id, d.part, d.item, CAST(d.item AS VARCHAR) || '. [' || {_label_sql('d.type')} || '] "' || d.text || '" — context: '
                || {context_sql('m.body', 'd.text')} || chr(10) AS line
-        FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY ord) AS item, count(*) OVER (PARTITION BY msg_id) AS n_pii
-              FROM {DETS_SQL} WHERE type <> 'SECRET') d JOIN {MSG_SQL} m ON m.msg_id = d.msg_id)
-  WHERE n_pii <= {VE.MAX_ITEMS} GROUP BY msg_id))"""
+        FROM {ITEMS_SQL} d JOIN {MSG_SQL} m ON m.msg_id = d.msg_id)
+  GROUP BY msg_id, part))"""
 
 
-@register("e2_verdict_requests", f"SELECT msg_id, n_items, prompt, prompt_hash FROM {REQUESTS_SQL}")
+@register("e2_verdict_requests", f"SELECT msg_id, part, n_items, prompt, prompt_hash FROM {REQUESTS_SQL}")
 def e2_verdict_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VE.build_verdict_requests(_dets(spark, sf_dir), _bodies(spark, sf_dir))
 
@@ -615,9 +616,8 @@ def e3_parse_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KEEP_SQL = f"""(SELECT d.*, (d.type = 'SECRET' OR r.prompt_hash IS NULL OR coalesce(v.keep, TRUE)) AS keep
   FROM {DETS_SQL} d
-  LEFT JOIN (SELECT msg_id, ord, row_number() OVER (PARTITION BY msg_id ORDER BY ord) AS item FROM {DETS_SQL} WHERE type <> 'SECRET') p
-    ON p.msg_id = d.msg_id AND p.ord = d.ord
-  LEFT JOIN {REQUESTS_SQL} r ON r.msg_id = d.msg_id
+  LEFT JOIN {ITEMS_SQL} p ON p.msg_id = d.msg_id AND p.ord = d.ord
+  LEFT JOIN {REQUESTS_SQL} r ON r.msg_id = d.msg_id AND r.part = p.part
   LEFT JOIN {VERDICTS_SQL} v ON v.prompt_hash = r.prompt_hash AND v.item = p.item)"""
 
 
@@ -918,17 +918,27 @@ register("i7_lockout_ip", _lock_sql("ip", FO.IP_MAX_FAILS, FO.IP_LOCK_S))(
     lambda spark, sf_dir: FO.lockout(derived.login_attempts(spark, sf_dir), "ip", FO.IP_MAX_FAILS, FO.IP_LOCK_S))
 
 
-@register("i8_throttle", f"""WITH RECURSIVE e AS (
-    SELECT req_id AS event_id, split_part(host, ':', 1) AS key, ts FROM {LOG_SQL} WHERE status >= 500),
-  nx AS (SELECT a.event_id, (SELECT b.event_id FROM e b WHERE b.key = a.key AND b.ts >= a.ts + INTERVAL {FO.THROTTLE_WINDOW_S} SECOND
-                             ORDER BY b.ts, b.event_id LIMIT 1) AS next_id FROM e a),
-  r AS (SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS rn FROM e) WHERE rn = 1
-        UNION ALL SELECT nx.next_id FROM r JOIN nx ON nx.event_id = r.event_id WHERE nx.next_id IS NOT NULL)
-  SELECT e.event_id, e.key, e.ts FROM r JOIN e ON e.event_id = r.event_id""")
-def i8_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = derived.request_log(spark, sf_dir).where(F.col("status") >= 500) \
-        .withColumn("key", AC.bare_host(F.col("host")))
-    return FO.throttle(errors, "key", id_col="req_id")
+def _throttle_sql(seconds: int) -> str:
+    return f"""WITH RECURSIVE e AS (
+    SELECT req_id AS event_id, split_part(host, ':', 1) AS key, ts FROM {LOG_SQL}),
+  firsts AS (SELECT key, ts, min(event_id) AS event_id FROM e GROUP BY key, ts),
+  nx AS (SELECT event_id, first_value(event_id) OVER (PARTITION BY key ORDER BY ts
+           RANGE BETWEEN INTERVAL {seconds} SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS next_id FROM firsts),
+  r AS (SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS rn FROM firsts) WHERE rn = 1
+        UNION ALL SELECT c.next_id FROM r JOIN nx c ON c.event_id = r.event_id WHERE c.next_id IS NOT NULL)
+  SELECT e.event_id, e.key, e.ts FROM r JOIN e ON e.event_id = r.event_id"""
+
+
+def _throttle(seconds: int):
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = derived.request_log(spark, sf_dir).withColumn("key", AC.bare_host(F.col("host")))
+        return FO.throttle(events, "key", window_s=seconds, id_col="req_id")
+    return build
+
+
+# all events, under the default window and under one that holds many events of a key
+register("i8_throttle", _throttle_sql(FO.THROTTLE_WINDOW_S))(_throttle(FO.THROTTLE_WINDOW_S))
+register("i8_throttle_wide", _throttle_sql(6 * 3600))(_throttle(6 * 3600))
 
 
 # --- D7: chunked replies ------------------------------------------------------------------------------
