@@ -525,6 +525,49 @@ def test_lm_windows_are_causal_and_score_each_token_once():
     assert np.allclose(parts, whole, atol=1e-5)
 
 
+def test_lm_windows_hold_every_subword_once():
+    rng = np.random.default_rng(6)
+    lens = np.array([1, 31, 32, 33, 64, 500, 1])
+    ids = rng.integers(0, 90, lens.sum())
+    out, text, nth = lm.windows_of(ids, lens)
+    for t, want in enumerate(np.split(ids, np.cumsum(lens)[:-1])):
+        own = out[text == t][np.argsort(nth[text == t])]
+        targets = own[:, 1:].reshape(-1)
+        assert targets[targets >= 0].tolist() == want.tolist()
+        assert own[:, 0].tolist() == [-1, *want[lm.CONTEXT - 1::lm.CONTEXT][:len(own) - 1].tolist()]
+
+
+def test_lm_counts_cover_whole_texts(spark, monkeypatch):
+    """Pairs of (class, next subword) and the company come from all of a long text, not one window."""
+    rng = random.Random(12)
+    texts = [words(rng, 3000, 50), words(rng, 5, 50), "", words(rng, 700, 20) + " " + "y" * 400 + " w1", "w1 \u6f22\u5b57"]
+    counts = Counter(w for t in texts for w in [*lm.words_of(t.encode()), lm.END_WORD])
+    rows = spark.createDataFrame([(i, t.encode(), True) for i, t in enumerate(texts)] + [(9, b"not read", False)], "doc_id long, text binary, train boolean")
+    totals = spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, c long")
+    ranks = spark.sparkContext.broadcast(open(lm.TOKENIZER, "rb").read())
+    company = []
+    classes = lm._classes
+    monkeypatch.setattr(lm, "_classes", lambda counts, rank, opens, met, n: company.append((rank, met)) or classes(counts, rank, opens, met, n))
+    model = lm._fit(rows, totals, ranks, lm.CLASSES, 1)
+    subwords = lm.Subwords(ranks.value)
+    size, n_classes = subwords.end + 1, len(model.inside) - 1
+    table, seen = np.zeros((n_classes + 1, size)), np.ones(size)
+    rank, met = company[0]
+    want = np.zeros_like(met)
+    for t in texts:
+        ids = subwords.spell([*lm.words_of(t.encode()), lm.END_WORD])[0]
+        np.add.at(table, (np.r_[n_classes, model.classes[ids[:-1]]], ids), 1)
+        np.add.at(seen, ids, 1)
+        for lo in range(0, len(ids), lm.CONTEXT):
+            r = rank[ids[lo:lo + lm.CONTEXT]]
+            for i in r[r < lm.COMMON]:
+                want[i, np.unique(r[r < lm.COMPANY])] += 1
+    assert (met == want).all()
+    share = seen / np.bincount(model.classes, weights=seen)[model.classes]
+    own = np.vstack([np.bincount(model.classes, weights=row, minlength=n_classes)[model.classes] for row in table])
+    assert np.allclose(model.inside, np.log10((table + lm.BACKOFF * share) / (own + lm.BACKOFF)), atol=1e-4)
+
+
 # ---- toxicity
 
 def test_toxicity_held_out(spark):
