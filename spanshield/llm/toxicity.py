@@ -12,19 +12,22 @@ through a logistic curve whose 0.7 is calibrated on rows that trained neither di
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_TOXIC = 3_000       # bounds of the labelled sample: rows of either kind, characters of a row
+from .shared import materialize
+
+SAMPLE_TOXIC = 3_000       # bounds of the labelled sample: rows of either kind
 SAMPLE_ORDINARY = 4_000
-SAMPLE_CHARS = 6_000
+CHUNKS = 30_000            # pieces of text that train a dictionary
+CHUNK_BYTES = 1024
 TOXIC_BYTES = 4096
 ORDINARY_BYTES = 32768
 WINDOW = 160
@@ -40,17 +43,16 @@ def normalized(text: bytes) -> bytes:
     return b" " + _SPACE.sub(b" ", text.translate(_LOWER)).strip(b" ") + b" "
 
 
-def _novel(texts: list[bytes]) -> list[list[bytes]]:
-    """The words of each text, without texts that mostly repeat earlier ones' three-word shingles."""
-    seen: set = set()
-    out = []
-    for t in texts:
-        w = normalized(t).split()
-        own = set(map(hash, zip(w, w[1:], w[2:]))) or {hash(tuple(w))}
-        if len(own & seen) <= 0.3 * len(own):
-            seen |= own
-            out.append(w)
-    return out
+def _shingles(words: list[bytes]) -> set[int]:
+    """Hashes of a text's three-word shingles (of all its words if there are fewer)."""
+    parts = [b" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
+    return {xxhash.xxh64_intdigest(p) - (1 << 63) for p in parts}
+
+
+def _chunks(words: list[bytes]) -> list[bytes]:
+    """All of a text in pieces of 40 words, and no longer than CHUNK_BYTES."""
+    out = [b" " + b" ".join(words[i:i + 40]) + b" " for i in range(0, len(words), 40)]
+    return [c[i:i + CHUNK_BYTES] for c in out for i in range(0, len(c), CHUNK_BYTES)]
 
 
 def _dictionary(size: int, samples: list[bytes]) -> bytes:
@@ -108,26 +110,92 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], stands_for: float = 1.0) -> Model:
-    """A model from labelled texts; the last quarter of each kind calibrates. An ordinary text of
-    the sample stands for so many times the rows that a toxic one stands for."""
-    if len(toxic) < 4 or len(ordinary) < 4:
+def fit_on(docs: DataFrame, labels: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model from the rows of ``docs`` that ``training`` marks and ``labels`` (doc_id, toxic) knows.
+    The sample is bounded by SAMPLE_TOXIC and SAMPLE_ORDINARY and picked by hash; a quarter of
+    either kind calibrates. Sampled texts are read whole, in tasks: the driver gets word counts, at
+    most CHUNKS pieces for each dictionary, picked by hash from everywhere in the texts, and the
+    features of the calibrating rows."""
+    labelled = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic"))
+    known = docs.where(F.coalesce(training, F.lit(False))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    known = known.where("text is not null").join(labelled, F.col("id") == F.col("l_id"))
+    known = known.select((F.col("toxic") > 0).cast("int").alias("kind"), F.xxhash64("id", "text").alias("h"), F.col("text").cast("binary").alias("text"))
+    sizes = {r["kind"]: r["count"] for r in known.groupBy("kind").count().collect()}
+    shares = [min(1.0, most / max(1, sizes.get(kind, 0))) for kind, most in ((0, SAMPLE_ORDINARY), (1, SAMPLE_TOXIC))]
+    drawn = F.pmod("h", F.lit(1 << 30)) < F.when(F.col("kind") == 1, int(shares[1] * (1 << 30))).otherwise(int(shares[0] * (1 << 30)))
+    sample = materialize(known.where(drawn), "toxicity-sample")
+    places = [(r["kind"], r["h"]) for r in sample.select("kind", "h").collect()]
+    hashes = [sorted(h for k, h in places if k == kind) for kind in (0, 1)]
+    if min(map(len, hashes)) < 4:
         return Model()
-    cut_t, cut_o = len(toxic) * 3 // 4, len(ordinary) * 3 // 4
-    own, other = _novel(toxic[:cut_t]), [normalized(t).split() for t in ordinary[:cut_o]]
-    least = max(3, 0.01 * len(own))
-    in_toxic = {w: n for w, n in Counter(w for t in own for w in set(t)).items() if n >= least}
-    in_ordinary = Counter(w for t in other for w in set(t) if w in in_toxic)
-    marks = {w for w, n in in_toxic.items() if n / len(own) >= 20 * (in_ordinary[w] + 0.5) / len(other)}
-    marked = [b" " + b" ".join(k) + b" " for k in ([w for w in t if w in marks] for t in own) if k]
-    plain = [b" " + b" ".join(t[i:i + 40]) + b" " for t in other for i in range(0, min(len(t), 400), 40)]
-    if not marked or not plain:
+    cuts = [h[len(h) * 3 // 4] for h in hashes]
+    held = F.col("h") >= F.when(F.col("kind") == 1, cuts[1]).otherwise(cuts[0])
+    n_other = sum(h < cuts[0] for h in hashes[0])
+
+    # toxic rows without those that mostly repeat other rows' shingles
+    def shingled(batches):
+        for b in batches:
+            for t, h in zip(b.column("text"), b.column("h").to_numpy()):
+                own = np.array(list(_shingles(normalized(t.as_py()).split())), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), h)), pa.array(own)], names=["h", "s"])
+
+    pieces = sample.where(~held & (F.col("kind") == 1)).select("h", "text").mapInArrow(shingled, "h long, s long").distinct()
+    total = {r["h"]: r["count"] for r in pieces.groupBy("h").count().collect()}
+    first = {r["h"]: r["count"] for r in pieces.groupBy("s").agg(F.min("h").alias("h")).groupBy("h").count().collect()}
+    novel = {h for h, n in total.items() if first.get(h, 0) >= 0.7 * n}
+    if not novel:
+        return Model()
+
+    def worded(batches):
+        for b in batches:
+            for t, h, kind in zip(b.column("text"), b.column("h").to_pylist(), b.column("kind").to_pylist()):
+                if not kind or h in novel:
+                    own = list(set(normalized(t.as_py()).split()))
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(np.full(len(own), kind, np.int32))], names=["word", "kind"])
+
+    once = sample.where(~held).dropDuplicates(["kind", "h"])
+    counted = once.mapInArrow(worded, "word binary, kind int").groupBy("word").agg(F.sum("kind").alias("bad"), F.sum(1 - F.col("kind")).alias("good"))
+    least = max(3, 0.01 * len(novel))
+    marks = {bytes(r["word"]) for r in counted.where(F.col("bad") >= least).collect() if r["bad"] / len(novel) >= 20 * (r["good"] + 0.5) / n_other}
+
+    def cut(batches):
+        for b in batches:
+            for t, h, kind in zip(b.column("text"), b.column("h").to_pylist(), b.column("kind").to_pylist()):
+                words = normalized(t.as_py()).split()
+                own = [(0, c) for c in _chunks(words)] if not kind else [(1, c) for c in _chunks([w for w in words if w in marks])] if h in novel else []
+                if own:
+                    part, chunk = zip(*own)
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(chunk, pa.binary()), pa.array(np.full(len(own), h)),
+                                                      pa.array(np.arange(len(own)))], names=["part", "chunk", "h", "nth"])
+
+    chunks = materialize(once.mapInArrow(cut, "part int, chunk binary, h long, nth long").withColumn("key", F.xxhash64("h", "nth")), "toxicity-chunks")
+    n_chunks = {r["part"]: r["count"] for r in chunks.groupBy("part").count().collect()}
+    if not n_chunks.get(0):
         return Model()
-    model = Model(_dictionary(TOXIC_BYTES, marked), _dictionary(ORDINARY_BYTES, plain))
-    pair = model.compressors()
-    held = [(t, 1) for t in toxic[cut_t:]] + [(t, 0) for t in ordinary[cut_o:]]
-    x = np.array([features(window_distances(t, *pair)) for t, _ in held])
-    y = np.array([v for _, v in held], float)
+
+    def drawn_chunks(part):
+        share = min(1.0, CHUNKS / max(1, n_chunks.get(part, 0)))
+        rows = chunks.where((F.col("part") == part) & (F.pmod("key", F.lit(1 << 30)) < int(share * (1 << 30)))).select("key", "chunk").collect()
+        return [bytes(r["chunk"]) for r in sorted(rows, key=lambda r: (r["key"], bytes(r["chunk"])))]
+
+    if not n_chunks.get(1):
+        return Model()
+    model = Model(_dictionary(TOXIC_BYTES, drawn_chunks(1)), _dictionary(ORDINARY_BYTES, drawn_chunks(0)))
+
+    def measured(batches):
+        pair = model.compressors()
+        for b in batches:
+            x = [features(window_distances(t.as_py(), *pair)).tolist() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("h"), pa.array(x, pa.list_(pa.float64()))], names=["kind", "h", "x"])
+
+    rows = sample.where(held).mapInArrow(measured, "kind int, h long, x array<double>").collect()
+    rows = sorted(rows, key=lambda r: (-r["kind"], r["h"]))
+    return calibrate(model, np.array([r["x"] for r in rows]), np.array([r["kind"] for r in rows], float), shares[1] / shares[0])
+
+
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray, stands_for: float = 1.0) -> Model:
+    """``model`` with the curve of held rows' features. An ordinary text of the sample stands for so
+    many times the rows that a toxic one stands for."""
     w = _logistic(x, y)
     # shift the curve so that THRESHOLD sits where the held rows are told apart best
     z = x @ w
@@ -142,23 +210,6 @@ def fit(toxic: list[bytes], ordinary: list[bytes], stands_for: float = 1.0) -> M
     return model
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from the rows of ``docs`` that ``training`` marks and ``labels`` (doc_id, toxic) knows.
-    The sample is bounded by SAMPLE_TOXIC, SAMPLE_ORDINARY and SAMPLE_CHARS and picked by hash."""
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic"))
-    known = docs.where(F.coalesce(training, F.lit(False))).select(
-        F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text")).where("text is not null").join(marks, F.col("id") == F.col("l_id"))
-    known = known.select("toxic", "text", F.xxhash64("id", "text").alias("h"))
-    sizes = {r["toxic"]: r["count"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
-    out, shares = [], []
-    for kind, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)):
-        share = min(1.0, most / max(1, sizes.get(kind, 0)))
-        shares.append(share)
-        rows = known.where(((F.col("toxic") > 0).cast("int") == kind) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))).select("h", "text").collect()
-        out.append([r["text"].encode() for r in sorted(rows, key=lambda r: (r["h"], r["text"]))])
-    return fit(*out, stands_for=shares[0] / shares[1])
-
-
 def toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) added in place of the text, or beside it with ``keep_text``.
 

@@ -600,3 +600,26 @@ def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     model = toxicity.fit_on(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
     assert toxicity.toxicity(docs, model, keep_text=True).first()["score"] == 0.0
+
+
+def test_toxicity_reads_sampled_rows_whole(spark):
+    """Insults that only come after 6,000 characters and 400 words are learned and calibrated."""
+    rng = random.Random(21)
+    bad = ["horrid", "vermin", "loathsome", "imbecile", "filthy"]
+    rows = []
+    for i in range(160):
+        w = words(rng, 2000, 3000).split()
+        if i % 4 == 0:
+            for _ in range(5):
+                w.insert(rng.randrange(1700, len(w)), rng.choice(bad))
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, toxicity.fit_on(docs, known, F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).toPandas()
+    held = got[[zlib.crc32(str(i).encode()) % 3 == 1 for i in got["doc_id"]]]
+    assert ((held["score"] >= toxicity.THRESHOLD) == (held["doc_id"] % 4 == 0)).mean() > 0.95
+
+
+def test_toxicity_chunks_cover_the_text():
+    text = [b"w%d" % i for i in range(1003)] + [b"x" * 5000]
+    assert b"".join(toxicity._chunks(text)).split() == b"".join(b" " + b" ".join(text[i:i + 40]) + b" " for i in range(0, 1004, 40)).split()
