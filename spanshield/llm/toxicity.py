@@ -1,12 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text, one on ordinary text and one on what marks
-toxic text: words that toxic rows of the sample use far more often than ordinary ones, near copies
-counted once. A text is read in short overlapping windows; each is compressed with the ordinary
-dictionary alone and with the toxic one added, and the bytes that the toxic dictionary saves are
-the window's distance. Literals are kept raw, so a window that holds nothing of the toxic
-dictionary has distance zero but for chance matches. The largest distances and their sum go
-through a logistic curve whose 0.7 is calibrated on rows that trained neither dictionary.
+Three zstandard dictionaries are trained on labelled text: one on ordinary text, one on toxic text,
+and one on what marks toxic text, words that toxic rows of the sample use far more often than
+ordinary ones, near copies counted once. A text is read in short overlapping windows; each is
+compressed with the ordinary dictionary alone, with the toxic one added, and with the marks added;
+the bytes that either saves are the window's two distances. Literals are kept raw, so a window that
+holds nothing of a dictionary has distance zero but for chance matches. The largest distances and
+their sums go through a logistic curve whose 0.7 is calibrated on rows that trained no dictionary.
 """
 
 from __future__ import annotations
@@ -28,11 +28,12 @@ SAMPLE_TOXIC = 3_000       # bounds of the labelled sample: rows of either kind
 SAMPLE_ORDINARY = 4_000
 CHUNKS = 30_000            # pieces of text that train a dictionary
 CHUNK_BYTES = 1024
-TOXIC_BYTES = 4096
+MARK_BYTES = 4096
+TOXIC_BYTES = 32768
 ORDINARY_BYTES = 32768
 WINDOW = 160
 OVERLAP = 24
-MIN_MATCH = 7
+MIN_MATCH = 6      # a word of four letters and the blanks around it
 THRESHOLD = 0.7
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -67,6 +68,7 @@ def _dictionary(size: int, samples: list[bytes]) -> bytes:
 class Model:
     """The dictionaries' contents and the calibrated curve; ``weights`` None: nothing to learn from."""
     toxic: bytes = b""
+    marks: bytes = b""
     ordinary: bytes = b""
     weights: np.ndarray | None = None
 
@@ -75,7 +77,7 @@ class Model:
             window_log=18, chain_log=15, hash_log=17, search_log=1, min_match=MIN_MATCH, target_length=1,
             strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False)
         out = []
-        for content in (self.ordinary, self.ordinary + self.toxic):
+        for content in (self.ordinary, self.ordinary + self.toxic, self.ordinary + self.marks):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
             out.append(zstandard.ZstdCompressor(compression_params=p, dict_data=d))
@@ -87,18 +89,26 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(features(distances) @ self.weights, -40, 40))))
 
 
-def window_distances(text: bytes, ordinary, toxic) -> np.ndarray:
-    """Bytes that the toxic dictionary saves on each window of the whole text."""
+def window_distances(text: bytes, ordinary, toxic, marks) -> np.ndarray:
+    """Bytes that the toxic dictionary and the marks save on each window of the whole text: a row a window."""
     t = normalized(text)
-    plain, marked = ordinary.compress, toxic.compress
-    step = WINDOW - OVERLAP
-    return np.array([len(plain(w)) - len(marked(w)) for w in (t[i:i + WINDOW] for i in range(0, max(1, len(t) - OVERLAP), step))])
+    plain, bad, marked = ordinary.compress, toxic.compress, marks.compress
+    out = []
+    for i in range(0, max(1, len(t) - OVERLAP), WINDOW - OVERLAP):
+        w = t[i:i + WINDOW]
+        n = len(plain(w))
+        out.append((n - len(bad(w)), n - len(marked(w))))
+    return np.array(out)
 
 
 def features(d: np.ndarray) -> np.ndarray:
-    top = np.sort(np.r_[d, 0, 0, 0])[::-1]
-    over = np.maximum(d - 3, 0)
-    return np.array([1.0, top[0], top[1], top[2], np.log1p(over.sum()), over.sum() / len(d), np.log1p(len(d))]) / np.array([1, 4, 4, 4, 1, 1, 4])
+    """Of either distance the largest three, the sum and the mean; and the number of windows."""
+    out = [1.0, np.log1p(len(d)) / 4]
+    for own in d.T:
+        top = np.sort(np.r_[own, 0, 0, 0])[::-1]
+        over = np.maximum(own - 3, 0).sum()
+        out += [top[0] / 4, top[1] / 4, top[2] / 4, np.log1p(over), over / len(d)]
+    return np.array(out)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -162,13 +172,18 @@ def fit_on(docs: DataFrame, labels: DataFrame, training: Column, *, id_col: str
         for b in batches:
             for t, h, kind in zip(b.column("text"), b.column("h").to_pylist(), b.column("kind").to_pylist()):
                 words = normalized(t.as_py()).split()
-                own = [(0, c) for c in _chunks(words)] if not kind else [(1, c) for c in _chunks([w for w in words if w in marks])] if h in novel else []
+                own = [(kind, c) for c in _chunks(words)]
+                if kind and h in novel:
+                    own += [(2, c) for c in _chunks([w for w in words if w in marks])]
                 if own:
                     part, chunk = zip(*own)
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(chunk, pa.binary()), pa.array(np.full(len(own), h)),
                                                       pa.array(np.arange(len(own)))], names=["part", "chunk", "h", "nth"])
 
-    chunks = materialize(once.mapInArrow(cut, "part int, chunk binary, h long, nth long").withColumn("key", F.xxhash64("h", "nth")), "toxicity-chunks")
+    chunks = once.mapInArrow(cut, "part int, chunk binary, h long, nth long").withColumn("key", F.xxhash64("h", "nth"))
+    # a toxic piece counts once; marks and ordinary pieces as often as they come
+    alone = F.when(F.col("part") != 1, F.col("key"))
+    chunks = materialize(chunks.groupBy("part", "chunk", alone.alias("alone")).agg(F.min("key").alias("key")).drop("alone"), "toxicity-chunks")
     n_chunks = {r["part"]: r["count"] for r in chunks.groupBy("part").count().collect()}
     if not n_chunks.get(0):
         return Model()
@@ -180,7 +195,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, training: Column, *, id_col: str
 
     if not n_chunks.get(1):
         return Model()
-    model = Model(_dictionary(TOXIC_BYTES, drawn_chunks(1)), _dictionary(ORDINARY_BYTES, drawn_chunks(0)))
+    model = Model(_dictionary(TOXIC_BYTES, drawn_chunks(1)), _dictionary(MARK_BYTES, drawn_chunks(2)), _dictionary(ORDINARY_BYTES, drawn_chunks(0)))
 
     def measured(batches):
         pair = model.compressors()

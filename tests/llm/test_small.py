@@ -623,3 +623,33 @@ def test_toxicity_reads_sampled_rows_whole(spark):
 def test_toxicity_chunks_cover_the_text():
     text = [b"w%d" % i for i in range(1003)] + [b"x" * 5000]
     assert b"".join(toxicity._chunks(text)).split() == b"".join(b" " + b" ".join(text[i:i + 40]) + b" " for i in range(0, 1004, 40)).split()
+
+
+def test_toxicity_learns_toxic_text_and_short_words(spark):
+    """The dictionary holds toxic phrases of everyday words, and a four-letter word can score alone."""
+    rng = random.Random(31)
+    phrase = "w5 w9 w5 w7 w9 w9 w7 w5"
+    rows = []
+    for i in range(400):
+        w = words(rng, rng.randrange(60, 200), 300).split()
+        if i % 4 == 0:
+            for _ in range(4):
+                w.insert(rng.randrange(len(w)), phrase)
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit_on(docs, known, F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    assert phrase.encode() in model.toxic + b" " + model.marks
+    got = toxicity.toxicity(docs, model).toPandas()
+    held = got[[zlib.crc32(str(i).encode()) % 3 == 1 for i in got["doc_id"]]]
+    assert ((held["score"] >= toxicity.THRESHOLD) == (held["doc_id"] % 4 == 0)).mean() > 0.9
+
+
+def test_toxicity_short_words_can_score_alone():
+    rng = random.Random(32)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    ordinary = toxicity._dictionary(toxicity.ORDINARY_BYTES, [say(40).encode() for _ in range(2000)])
+    pair = toxicity.Model(b"", b" scum vile lout ", ordinary).compressors()
+    found = [toxicity.window_distances(f"{say(12)} {rng.choice(['scum', 'vile'])} {say(12)}".encode(), *pair)[:, 1].max() > 0 for _ in range(200)]
+    assert np.mean(found) > 0.3
