@@ -127,7 +127,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "
 
     part = min(1.0, sample / n_points)
     drawn = points.where(F.pmod(F.xxhash64("point", F.lit("ann")), F.lit(1 << 20)) <= int(part * (1 << 20))).select("point", "vec")
-    drawn = drawn.orderBy("point").toPandas()
+    drawn = drawn.orderBy(F.xxhash64("point", F.lit("ann-order")), "point").toPandas()  # learn() takes parts of it from the front
     coder = learn(np.array(drawn["vec"].tolist()).reshape(-1, dim), k)
 
     def encode(batches):

@@ -318,6 +318,25 @@ def test_ann_probes_reach_every_code_in_the_radius():
             assert any((diff >> (8 * j) & 255).bit_count() <= radii[j] for j in range(8))
 
 
+def test_ann_learns_from_all_of_a_table_ordered_by_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(3, 0.02, (1200, 16)), rng.normal(0, 1, (1200, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = []
+    learn = ann.learn
+    monkeypatch.setattr(ann, "learn", lambda sample, k, *a: seen.append(sample) or learn(sample, k, *a))
+    got = ann.search(df, F.col("vec_id") % 50 == 0, sample=1000).toPandas()
+    dense = (seen[0][:ann.SAMPLE_QUERIES].mean(axis=1) > 1.5).mean()
+    assert 0.35 < dense < 0.65
+    hit = total = 0
+    for q in range(0, 2400, 50):
+        far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        hit += len(set(np.argsort(far)[:10].tolist()) & set(got[got.query_id == q]["vec_id"]))
+        total += 10
+    assert hit / total >= 0.95
+
+
 # ---- simhash
 
 def brute_simhash(text):
