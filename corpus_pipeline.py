@@ -32,10 +32,16 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (SimHash, three words, three bits) the one with the smallest id."""
-    found = simhash.near_duplicates(docs, keep_rows=True)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return first.dropDuplicates(["component_id"]).select(*docs.columns)
+    """Of each group of near copies (SimHash, three words, three bits) the one with the smallest id,
+    one without an id if none has any; among several the one with the smallest hash of the row."""
+    root = "_root"
+    while root in docs.columns:
+        root += "_"
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    found = simhash.near_duplicates(docs, keep_rows=True, root_col=root)
+    least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = least.groupBy(root).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("_row"))
+    return kept.select("_row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

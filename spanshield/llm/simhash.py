@@ -179,10 +179,11 @@ def _mark(edges: DataFrame):
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                    max_bits: int = 3, seed: int = 42, keep_rows: bool = False) -> DataFrame:
+                    max_bits: int = 3, seed: int = 42, keep_rows: bool = False, root_col: str | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links of at
     most ``max_bits`` differing bits, itself included); with ``keep_rows`` the columns of ``docs``
-    and ``component_id`` instead.
+    and ``component_id`` instead. ``root_col`` names one more column, the smallest fingerprint (long)
+    of the component: ids that are null or repeated do not tell components apart, it does.
 
     Null and wordless texts have fingerprint 0 and link like any other. Repeated rows and texts
     share a fingerprint and so a component. Null ids never name a component unless it has no other.
@@ -201,10 +202,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = points.join(roots, points["fingerprint"] == roots["node"], "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(names, "root").select("fingerprint", "component_id")
+    more = [F.col("root").alias(root_col)] if root_col else []
+    named = placed.join(names, "root").select("fingerprint", "component_id", *more)
+    more = [root_col] if root_col else []
     out = printed.join(named, "fingerprint")
     if keep_rows:
         out = out.drop("fingerprint")
         out = out.withColumnRenamed("_own", "fingerprint") if "_own" in out.columns else out
-        return out.select(*docs.columns, "component_id")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+        return out.select(*docs.columns, "component_id", *more)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", *more)

@@ -41,3 +41,15 @@ def test_pipeline_takes_odd_tables(spark, sf_dir):
             at = stage(spark, at, sf_dir)
             assert at.columns == table.columns
         corpus_pipeline.STAGES[-1][1](spark, at, sf_dir).count()
+
+
+def test_near_stage_keeps_one_row_of_every_component(spark, sf_dir):
+    """Unlike texts whose ids are null or the same are components of their own."""
+    say = lambda k, n=60: " ".join(f"{k}{(i * i * 7 + i) % 97}" for i in range(n))
+    rows = [(None, say("a"), "s"), (None, say("b"), "s"), (None, say("b"), "t"), (5, say("c"), "s"), (5, say("d"), "s"), (6, say("d"), "s"), (7, say("c"), "t"),
+            (None, say("d"), "s"), (8, say("e"), "s"), (8, say("e"), "s"), (8, say("e"), "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.near(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0, r["text"][0]) for r in out.collect()))
+    assert got == [(0, "a"), (0, "b"), (5, "c"), (5, "d"), (8, "e")]
