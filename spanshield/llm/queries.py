@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup, lm, mixing, packing, simhash, suffix_dedup, toxicity, url_filter
+from . import (ann, centroids, chat, divergence, exact_dedup, lm, mixing, packing, prints, simhash, suffix_dedup,
+               toxicity, url_filter)
 from .shared import documents, materialize, word_count
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -73,6 +74,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir, "text", "lang", "source"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prints.compare_with_next(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_url_filter": op2_url_filter,
@@ -84,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_lm": op9_lm,
     "op10_toxicity": op10_toxicity,
+    "op11_divergence": op11_divergence,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_clustering": op13_clustering,
 }
 
 ORACLES: dict[str, str] = {
@@ -116,4 +132,50 @@ WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS chars,
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
        doc_id = first_value(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+    "op11_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kt AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS lc FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+lt AS (SELECT lang, sum(lc) AS ln, CAST(count(*) AS HUGEINT) AS v FROM kt GROUP BY lang),
+u AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS c FROM w SEMI JOIN kt USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+gt AS (SELECT g.lang, g.source, coalesce((SELECT sum(c) FROM u WHERE u.lang = g.lang AND u.source = g.source), 0) AS n,
+              coalesce(lt.ln, 0) AS ln, coalesce(lt.v, 0) AS v FROM g LEFT JOIN lt USING (lang)),
+p AS (SELECT gt.lang, gt.source, kt.term, coalesce(u.c, 0) AS c,
+             1 + 1000000000 * (coalesce(u.c, 0) + 5) // (gt.n + 5 * gt.v) AS p, 1 + 1000000000 * (kt.lc + 5) // (gt.ln + 5 * gt.v) AS q
+      FROM gt JOIN kt USING (lang) LEFT JOIN u ON u.lang = gt.lang AND u.source = gt.source AND u.term = kt.term),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+                 coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term
+                           WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE c > 0 AND p > q),
+a AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+             CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM a WHERE part = 'pair' OR rank <= 50""",
+    "op13_clustering": """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda y: CAST(y AS DOUBLE)) AS xs FROM embeddings WHERE len(embedding) = 64),
+k AS (SELECT vec_id, list_transform(xs, lambda y: CAST(floor(64 * y) AS HUGEINT)) AS xs FROM e
+      WHERE len(list_filter(xs, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+v AS (SELECT vec_id, unnest(xs) AS x, unnest(range(64)) AS i FROM k),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS num FROM k QUALIFY num < 16),
+c0 AS (SELECT num, i, x FROM s JOIN v USING (vec_id)),
+a0 AS (SELECT vec_id, arg_min(num, (d, num)) AS num, min(d) AS d FROM
+        (SELECT v.vec_id, c.num, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c0 c USING (i) GROUP BY v.vec_id, c.num) GROUP BY vec_id),
+m0 AS (SELECT num, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM a0 JOIN v USING (vec_id) GROUP BY num, i),
+c1 AS (SELECT c.num, c.i, coalesce(m0.x, c.x) AS x FROM c0 c LEFT JOIN m0 ON m0.num = c.num AND m0.i = c.i),
+a1 AS (SELECT vec_id, arg_min(num, (d, num)) AS num, min(d) AS d FROM
+        (SELECT v.vec_id, c.num, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c1 c USING (i) GROUP BY v.vec_id, c.num) GROUP BY vec_id),
+m1 AS (SELECT num, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM a1 JOIN v USING (vec_id) GROUP BY num, i),
+c2 AS (SELECT c.num, c.i, coalesce(m1.x, c.x) AS x FROM c1 c LEFT JOIN m1 ON m1.num = c.num AND m1.i = c.i),
+a2 AS (SELECT vec_id, arg_min(num, (d, num)) AS num, min(d) AS d FROM
+        (SELECT v.vec_id, c.num, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c2 c USING (i) GROUP BY v.vec_id, c.num) GROUP BY vec_id),
+m2 AS (SELECT num, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM a2 JOIN v USING (vec_id) GROUP BY num, i),
+c3 AS (SELECT c.num, c.i, coalesce(m2.x, c.x) AS x FROM c2 c LEFT JOIN m2 ON m2.num = c.num AND m2.i = c.i),
+a3 AS (SELECT vec_id, arg_min(num, (d, num)) AS num, min(d) AS d FROM
+        (SELECT v.vec_id, c.num, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c3 c USING (i) GROUP BY v.vec_id, c.num) GROUP BY vec_id),
+h AS (SELECT num, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY num)
+SELECT vec_id, CAST(num AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY num) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a3 JOIN h USING (num)""",
 }
