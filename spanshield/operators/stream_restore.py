@@ -110,21 +110,27 @@ def segment_chunks(chunks: DataFrame, num_partitions: int | None = None, max_byt
 
 
 def restore_segments(segments: DataFrame, sessions: DataFrame, vault: DataFrame, unknown=P.REDACTED) -> DataFrame:
-    """Batch restore (D5) of each segment; ``sessions``: ``(stream_id, session_key)``."""
+    """Batch restore (D5) of each segment; ``sessions``: ``(stream_id, session_key)``. Other columns of
+    the segments pass through."""
+    more = [c for c in segments.columns if c not in ("stream_id", "seg", "text")]
     replies = segments.join(sessions, "stream_id", "left") \
-        .select(F.struct("stream_id", "seg").alias("_sid"), "stream_id", "seg",
+        .select(F.struct("stream_id", "seg").alias("_sid"), "stream_id", "seg", *more,
                 "session_key", F.col("text").alias("body"))
-    return detokenize(replies, vault, id_col="_sid", unknown=unknown).select("stream_id", "seg", "restored")
+    return detokenize(replies, vault, id_col="_sid", unknown=unknown).select("stream_id", "seg", *more, "restored")
 
 
-def detokenize_stream(chunks: DataFrame, sessions: DataFrame, vault: DataFrame) -> DataFrame:
-    """D7 batch form: restored text per stream (segments restored, then joined in order)."""
-    seg = restore_segments(segment_chunks(chunks), sessions, vault)
-    return seg.groupBy("stream_id").agg(
+def joined(segments: DataFrame) -> DataFrame:
+    """The restored segments of each stream put together in order."""
+    return segments.groupBy("stream_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "restored"))), lambda x: x["restored"]), "")
         .alias("restored"))
 
 
+def detokenize_stream(chunks: DataFrame, sessions: DataFrame, vault: DataFrame) -> DataFrame:
+    """D7 batch form: restored text per stream (segments restored, then joined in order)."""
+    return joined(restore_segments(segment_chunks(chunks), sessions, vault))
+
+
 def split_into_chunks(replies: DataFrame, id_col: str = "msg_id", body_col: str = "body") -> DataFrame:
     """Cut each reply's UTF-8 bytes into chunks of 1..13 bytes (varying by stream), so chunk edges
     fall inside multi-byte characters and tokens."""

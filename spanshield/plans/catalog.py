@@ -918,6 +918,34 @@ register("i7_lockout_ip", _lock_sql("ip", FO.IP_MAX_FAILS, FO.IP_LOCK_S))(
     lambda spark, sf_dir: FO.lockout(derived.login_attempts(spark, sf_dir), "ip", FO.IP_MAX_FAILS, FO.IP_LOCK_S))
 
 
+# all attempts in one recursion: a map from user and address to its counter and lock
+BOTH_LOCK_SQL = f"""WITH RECURSIVE a AS MATERIALIZED (
+    SELECT attempt_id, ts, ok, username, ip, 'u' || username AS uk, 'i' || ip AS ik,
+           row_number() OVER (ORDER BY ts, attempt_id) AS rn FROM {derived.shared_logins_sql()}),
+  r AS (
+    SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS attempt_id, CAST(NULL AS VARCHAR) AS username, CAST(NULL AS VARCHAR) AS ip,
+           CAST(NULL AS VARCHAR) AS outcome, CAST(MAP {{}} AS MAP(VARCHAR, STRUCT(f INTEGER, t TIMESTAMP))) AS m
+    UNION ALL
+    SELECT rn, attempt_id, username, ip, outcome,
+           CASE WHEN outcome = 'refused' THEN m
+                WHEN outcome = 'ok' THEN map_concat(m, MAP {{uk: {{'f': 0, 't': CAST(NULL AS TIMESTAMP)}}, ik: {{'f': 0, 't': CAST(NULL AS TIMESTAMP)}}}})
+                ELSE map_concat(m, MAP {{uk: {{'f': CASE WHEN ul THEN 0 ELSE uf END, 't': CASE WHEN ul THEN ts + INTERVAL {FO.USER_LOCK_S} SECOND END}},
+                                         ik: {{'f': CASE WHEN il THEN 0 ELSE "if" END, 't': CASE WHEN il THEN ts + INTERVAL {FO.IP_LOCK_S} SECOND END}}}}) END AS m
+    FROM (SELECT *, CASE WHEN refused THEN 'refused' WHEN ok THEN 'ok' WHEN ul AND il THEN 'locked_both' WHEN ul THEN 'locked_user'
+                         WHEN il THEN 'locked_ip' ELSE 'fail' END AS outcome
+          FROM (SELECT *, uf >= {FO.USER_MAX_FAILS} AS ul, "if" >= {FO.IP_MAX_FAILS} AS il
+                FROM (SELECT a.*, r.m, coalesce(r.m[a.uk].t > a.ts, false) OR coalesce(r.m[a.ik].t > a.ts, false) AS refused,
+                             coalesce(r.m[a.uk].f, 0) + 1 AS uf, coalesce(r.m[a.ik].f, 0) + 1 AS "if"
+                      FROM r JOIN a ON a.rn = r.rn + 1))))
+  SELECT attempt_id, username, ip, outcome FROM r WHERE rn > 0"""
+
+
+@register("i7_lockout_both", BOTH_LOCK_SQL)
+def i7_lockout_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User and address locks at once, on attempts where users share addresses."""
+    return FO.lockout_both(derived.shared_logins(spark, sf_dir))
+
+
 def _throttle_sql(seconds: int) -> str:
     return f"""WITH RECURSIVE e AS (
     SELECT req_id AS event_id, split_part(host, ':', 1) AS key, ts FROM {LOG_SQL}),

@@ -148,3 +148,19 @@ def login_attempts_sql() -> str:
     return """(SELECT event_id AS attempt_id, ts, 'user' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS username,
         '10.0.' || CAST(user_id % 7 AS VARCHAR) || '.' || CAST(user_id % 11 AS VARCHAR) AS ip,
         event_type <> 'error' AS ok FROM events)"""
+
+
+def shared_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One login attempt per event where users come from several addresses and share them; most fail."""
+    ev = read_table(spark, sf_dir, "events")
+    u = F.col("user_id")
+    return ev.select(F.col("event_id").alias("attempt_id"), "ts",
+                     F.concat(F.lit("user"), F.lpad(u.cast("string"), 4, "0")).alias("username"),
+                     F.concat(F.lit("10.0."), (u % 7).cast("string"), F.lit("."), ((u + F.col("event_id")) % 3).cast("string")).alias("ip"),
+                     F.col("event_type").isin("signup", "purchase").alias("ok"))
+
+
+def shared_logins_sql() -> str:
+    return """(SELECT event_id AS attempt_id, ts, 'user' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS username,
+        '10.0.' || CAST(user_id % 7 AS VARCHAR) || '.' || CAST((user_id + event_id) % 3 AS VARCHAR) AS ip,
+        event_type IN ('signup', 'purchase') AS ok FROM events)"""

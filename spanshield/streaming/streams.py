@@ -1,33 +1,49 @@
 """Structured Streaming forms of the batch operators.
 
-The same column expressions and fold steps as the batch operators are reused, so a stream over a
-set of files produces what the batch operator produces over the same files (tests check this).
-
-* S1 stateless: ``readStream -> tokenize -> writeStream``.
-* S2/S3 event-time windows with a watermark (late rows beyond it are dropped by Spark); a
-  zone-less ``TIMESTAMP_NTZ`` event time is read as UTC.
-* S4/S5 per-key state with ``applyInPandasWithState``; rows of one key inside a micro-batch are
-  processed in time order, state carries over between micro-batches.
-* S6 per-stream byte buffer in state; restoration of the emitted segments is the batch D5 inside
-  ``foreachBatch`` (a static join with the vault per micro-batch).
+The batch operators' column expressions and fold steps are reused, so a stream gives what the batch
+operator gives over the same rows.
+
+* S1 is stateless. S2 and S3 are event-time windows; S2's tick total is a second aggregation over
+  the first. A zone-less ``TIMESTAMP_NTZ`` event time is read as UTC.
+* S4 and S5 hold rows in typed list state until the watermark has passed them and fold them in time
+  order then, whatever the order they came in; the fold's state is a typed value that an event-time
+  timer removes as soon as no later row can need it.
+* S6 keeps a stream's bytes and the chunks that came too early in typed state. A last mark ends it,
+  or a timer once the stream has been silent for ``idle``. Segments meet the vault in a
+  stream-static join inside ``foreachBatch``.
+
+Rows later than the watermark are dropped, as everywhere in Structured Streaming. ``transformWithState``
+needs the RocksDB state store: start these queries in ``stateful_session(spark)``.
 """
 
 from __future__ import annotations
 
-import base64
-import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spanshield import patterns as P
 from spanshield.operators import folds as FO
 from spanshield.operators import rewrite as R
 from spanshield.operators.stream_restore import SEGMENT_SCHEMA, Segmenter, restore_segments
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stateful_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session on the same Spark application whose streams keep their state in RocksDB;
+    ``partitions`` is the number of state partitions, fixed for a query's life."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    if partitions:
+        own.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return own
+
 
 # --- S1 ------------------------------------------------------------------------------------------
 def stream_protect(messages: DataFrame, text_col: str = "body") -> DataFrame:
@@ -37,13 +53,17 @@ def stream_protect(messages: DataFrame, text_col: str = "body") -> DataFrame:
 
 # --- S2 ------------------------------------------------------------------------------------------
 def stream_audit(events: DataFrame, tick: str = "5 seconds", watermark: str = "10 seconds") -> DataFrame:
-    """Audit counts per event-time tick and (type, resource, user or anon); append mode emits a
-    tick once the watermark passes its end. The per-tick total is a sum over these rows."""
-    return (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-            .groupBy(F.window("ts", tick).alias("w"), "violation_type", "resource",
-                     F.coalesce(F.col("user_id"), F.lit(P.ANON_USER)).alias("user"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select(F.col("w.start").alias("tick_start"), "violation_type", "resource", "user", "n"))
+    """Audit counts per event-time tick and (type, resource, user or anon) with the tick's total;
+    append mode emits a tick once the watermark passes its end.
+
+    The total is a second windowed aggregation, over the first one's rows; the join back is by tick."""
+    counts = (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+              .groupBy(F.window("ts", tick).alias("w"), "violation_type", "resource",
+                       F.coalesce(F.col("user_id"), F.lit(P.ANON_USER)).alias("user"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy(F.window(F.window_time("w"), tick).alias("tw")).agg(F.sum("n").alias("tick_total"))
+    return counts.join(totals, F.col("w") == F.col("tw")).select(
+        F.col("w.start").alias("tick_start"), "violation_type", "resource", "user", "n", "tick_total")
 
 
 # --- S3 ------------------------------------------------------------------------------------------
@@ -58,90 +78,220 @@ def stream_usage(log: DataFrame, watermark: str = "1 hour") -> DataFrame:
                     "bytes_out"))
 
 
-# --- S4, S5: keyed folds with state --------------------------------------------------------------
-STATE_SCHEMA = "blob string"
-
-
-def _encode(obj) -> str:
-    return base64.b64encode(pickle.dumps(obj)).decode("ascii")
-
-
-def _decode(s: str):
-    return pickle.loads(base64.b64decode(s))
-
-
-def _stateful_fold(df: DataFrame, keys: list[str], order: list[str], schema: str,
-                   make_step: Callable, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
-    out_cols = [c.strip().split()[0] for c in schema.split(",")]
-
-    def func(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        step, init = make_step()
-        st = _decode(state.get[0]) if state.exists else init()
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="stable")
+# --- S4, S5: folds in event time -----------------------------------------------------------------
+class OrderedFold(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed them, then folds them in order.
+
+    ``rows`` are (at, id, ...) with ``at`` in microseconds. ``step(state, row)`` gives the next state
+    (a tuple of the state schema, or None for none) and an output row or None. ``ends(state)`` says
+    from which instant on the state makes no difference any more (None: never)."""
+
+    def __init__(self, row_schema: T.StructType, state_schema: T.StructType, out_cols: list[str], step: Callable, ends: Callable):
+        self.row_schema, self.state_schema, self.out_cols, self.step, self.ends = row_schema, state_schema, out_cols, step, ends
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.row_schema)
+        self.state = handle.getValueState("state", self.state_schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            columns = []
+            for f in self.row_schema:  # a column of numbers with nulls comes as floats
+                kind = int if isinstance(f.dataType, T.LongType) else bool if isinstance(f.dataType, T.BooleanType) else str
+                columns.append([None if pd.isna(v) else kind(v) for v in pdf[f.name].tolist()])
+            new = list(zip(*columns))
+            self.held.appendList(new)
+            least = min(r[0] for r in new)
+            first = least if first is None else min(first, least)
+        self.handle.registerTimer(-(-first // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted((tuple(r) for r in self.held.get()), key=lambda r: r[:2])
+        ready = [r for r in held if r[0] <= passed]
+        state = tuple(self.state.get()) if self.state.exists() else None
         out = []
-        for r in rows.itertuples(index=False):
-            st, emitted = step(st, r)
+        for row in ready:
+            state, emitted = self.step(state, row)
             if emitted is not None:
                 out.append(emitted)
-        state.update((_encode(st),))
-        yield pd.DataFrame(out, columns=out_cols)
-
-    return df.groupBy(*keys).applyInPandasWithState(func, schema, STATE_SCHEMA, "append", timeout)
-
-
-def stream_admission(log: DataFrame, users: DataFrame) -> DataFrame:
-    """Quota admission per (user, day) with the running usage in state."""
-    return _stateful_fold(FO.admission_input(log, users), ["user_id", "day"], ["ts", "req_id"],
-                          FO.ADMISSION_SCHEMA, FO.admission_step)
+        rest = held[len(ready):]
+        if ready:
+            self.held.put(rest) if rest else self.held.clear()
+        end = None if state is None else self.ends(state)
+        if state is not None and end is not None and end <= passed and not rest:
+            state = None
+        if state is not None:
+            self.state.update(state)
+        elif self.state.exists():
+            self.state.clear()
+        if rest:
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        elif state is not None and end is not None:
+            self.handle.registerTimer(-(-end // 1000))
+        if out:
+            yield pd.DataFrame(out, columns=self.out_cols)
+
+    def close(self) -> None:
+        pass
+
+
+def _ordered(df: DataFrame, keys: list[str], rows: str, state: str, out: str, step: Callable, ends: Callable,
+             watermark: str) -> DataFrame:
+    """``df`` has ``keys``, ``ts`` and the columns of ``rows`` (a schema) but for ``at``, which is made here."""
+    kept = T.StructType.fromDDL(rows)
+    timed = (df.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("at", F.unix_micros("ts"))
+             .withWatermark("ts", watermark))
+    names = [c.strip().split()[0] for c in out.split(",")]
+    timed = timed.select("ts", *dict.fromkeys([*keys, *kept.fieldNames()]))
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        OrderedFold(kept, T.StructType.fromDDL(state), names, step, ends), out, "append", "eventTime")
+
+
+DAY_US = 86_400 * 1_000_000
+_LIMITS = ("quota_req_day", "quota_tok_in", "quota_tok_out", "quota_bytes_in", "quota_bytes_out")
+
+
+def stream_admission(log: DataFrame, users: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """Quota admission (G8) per (user, UTC day); the running usage is gone once the day is over.
+
+    A null amount counts 0. ``users`` is static and joined before the state."""
+    amounts = ("tok_in", "tok_out", "bytes_in", "bytes_out")
+    d = FO.admission_input(log.withColumn("ts", F.col("ts").cast("timestamp")), users)
+    d = d.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in amounts})
+    rows = "at long, req_id long, user_id string, " + ", ".join(f"{c} long" for c in (*amounts, *_LIMITS))
+
+    def step(state, row):
+        at, req_id, user_id, *numbers = row
+        used, delta, limits = (state or (0,) * 5 + (0,))[:5], (1, *numbers[:4]), numbers[4:]
+        day = at // DAY_US
+        ok = all(most is None or a + b <= most for a, b, most in zip(used, delta, limits))
+        if ok:
+            used = tuple(int(a + b) for a, b in zip(used, delta))
+        return (*used, day), (req_id, user_id, pd.Timestamp(day * DAY_US, unit="us").date(), ok)
+
+    return _ordered(d, ["user_id", "day"], rows, "req long, tok_in long, tok_out long, bytes_in long, bytes_out long, day long",
+                    FO.ADMISSION_SCHEMA, step, lambda state: (state[5] + 1) * DAY_US, watermark)
 
 
 def stream_lockout(attempts: DataFrame, key_col: str = "username", max_fails: int = FO.USER_MAX_FAILS,
-                   lock_seconds: int = FO.USER_LOCK_S) -> DataFrame:
-    """Consecutive-failure lockout per key."""
+                   lock_seconds: int = FO.USER_LOCK_S, watermark: str = "1 hour") -> DataFrame:
+    """Consecutive-failure lockout per key (I7). A success leaves no state, a lock goes when it
+    ends; a count of failures stays, for failures never age out."""
     d = attempts.select("attempt_id", "ts", "ok", F.col(key_col).alias("key"))
-    return _stateful_fold(d, ["key"], ["ts", "attempt_id"], FO.LOCKOUT_SCHEMA, FO.lockout_step(max_fails, lock_seconds))
+    lock = lock_seconds * 1_000_000
+
+    def step(state, row):
+        at, attempt_id, key, ok = row
+        fails, until = state or (0, None)
+        if until is not None and at < until:
+            return (fails, until), (attempt_id, key, "refused", pd.Timestamp(until, unit="us"))
+        if ok:
+            return None, (attempt_id, key, "ok", None)
+        if fails + 1 >= max_fails:
+            return (0, at + lock), (attempt_id, key, "locked", pd.Timestamp(at + lock, unit="us"))
+        return (fails + 1, None), (attempt_id, key, "fail", None)
+
+    return _ordered(d, ["key"], "at long, attempt_id long, key string, ok boolean", "fails int, until long",
+                    FO.LOCKOUT_SCHEMA, step, lambda state: state[1] if state[0] == 0 else None, watermark)
 
 
 def stream_throttle(events: DataFrame, key_col: str, id_col: str = "event_id",
-                    window_s: int = FO.THROTTLE_WINDOW_S) -> DataFrame:
-    """At most one event per key per window from the last emitted one."""
-    d = events.select(F.col(id_col).alias("event_id"), "ts", F.col(key_col).alias("key"))
-    return _stateful_fold(d, ["key"], ["ts", "event_id"], FO.THROTTLE_SCHEMA, FO.throttle_step(window_s))
+                    window_s: int = FO.THROTTLE_WINDOW_S, watermark: str = "1 hour") -> DataFrame:
+    """At most one event per key per window from the last emitted one (I8); the last emitted time
+    goes once the window is over."""
+    d = events.select(F.col(id_col).cast("long").alias("event_id"), "ts", F.col(key_col).alias("key"))
+    window = window_s * 1_000_000
 
+    def step(state, row):
+        at, event_id, key = row
+        if state is None or at - state[0] >= window:
+            return (at,), (event_id, key, pd.Timestamp(at, unit="us"))
+        return state, None
 
-# --- S6 ------------------------------------------------------------------------------------------
-def stream_segments(chunks: DataFrame) -> DataFrame:
-    """S6, stateful half: per stream, decode across chunk edges and emit token-safe segments.
+    return _ordered(d, ["key"], "at long, event_id long, key string", "last long", FO.THROTTLE_SCHEMA, step,
+                    lambda state: state[0] + window, watermark)
 
-    ``chunks``: ``stream_id, seq, chunk BINARY, fin BOOLEAN`` (``fin`` marks the last chunk, which
-    flushes the held-back tail and drops the state)."""
 
-    def func(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        sid = key[0]
-        if state.exists:
-            pending, carry, received, seg = _decode(state.get[0])
+# --- S6 ------------------------------------------------------------------------------------------
+class StreamRestorer(StatefulProcessor):
+    """A stream's byte buffer in typed state. Chunks are taken in ``seq`` order; one that came too early
+    waits for those before it. The last mark ends the stream once all before it are there; a stream
+    silent for ``idle_ms`` ends with what has come."""
+
+    BUFFER = T.StructType([T.StructField("pending", T.BinaryType()), T.StructField("carry", T.StringType())]
+                          + [T.StructField(c, T.LongType()) for c in ("received", "seg", "next", "last", "due")])
+    EARLY = T.StructType([T.StructField("seq", T.LongType()), T.StructField("chunk", T.BinaryType())])
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.buffer = handle.getValueState("buffer", self.BUFFER)
+        self.early = handle.getListState("early", self.EARLY)
+
+    def _take(self, key, new: list, last: int | None, due: int, ended: bool) -> Iterator[pd.DataFrame]:
+        if self.buffer.exists():
+            pending, carry, received, seg, at, known, due_before = self.buffer.get()
+            last, due = known if known is not None else last, max(due, due_before)
         else:
-            pending, carry, received, seg = b"", "", 0, 0
-        sg = Segmenter(pending, carry, received)
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
-        out, finished = [], False
-        for chunk, fin in zip(rows["chunk"].tolist(), rows["fin"].tolist()):
-            text = sg.feed(bytes(chunk) if chunk is not None else b"")
-            if text:
-                out.append((sid, seg, text))
-                seg += 1
-            if fin:
-                out.append((sid, seg, sg.finish()))
-                seg += 1
-                finished = True
-        if finished:
-            state.remove()
+            pending, carry, received, seg, at = b"", "", 0, 0, 0
+        segmenter = Segmenter(bytes(pending), carry, received)
+        waiting = sorted({int(s): bytes(c) for s, c in [*(tuple(r) for r in self.early.get()), *new] if s >= at}.items())
+        out, rest = [], []
+        for seq, chunk in waiting:
+            if seq == at or ended:
+                text, at = segmenter.feed(chunk), seq + 1
+                if text:
+                    out.append((key[0], seg, text, False))
+                    seg += 1
+            else:
+                rest.append((seq, chunk))
+        if ended or (last is not None and at > last):
+            out.append((key[0], seg, segmenter.finish(), True))
+            self.buffer.clear()
+            self.early.clear()
         else:
-            state.update((_encode((*sg.state(), seg)),))
-        yield pd.DataFrame(out, columns=["stream_id", "seg", "text"])
-
-    return chunks.groupBy("stream_id").applyInPandasWithState(
-        func, SEGMENT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+            self.early.put(rest) if rest else self.early.clear()
+            self.buffer.update((*segmenter.state(), seg, at, last, due))
+            self.handle.registerTimer(due)
+        yield pd.DataFrame(out, columns=["stream_id", "seg", "text", "ends"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new, last, due = [], None, 0
+        for pdf in rows:
+            for seq, chunk, fin, at in zip(pdf["seq"].tolist(), pdf["chunk"].tolist(), pdf["fin"].tolist(), pdf["at"].tolist()):
+                new.append((int(seq), bytes(chunk) if chunk is not None else b""))
+                last = int(seq) if fin else last
+                due = max(due, int(at) // 1000 + self.idle_ms)
+        return self._take(key, new, last, due, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # a timer of an earlier chunk is not yet the end; the latest chunk's own one is still to come
+        if not self.buffer.exists() or self.buffer.get()[6] > timerValues.getCurrentWatermarkInMs():
+            return iter(())
+        return self._take(key, [], None, 0, True)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_segments(chunks: DataFrame, idle: int = 30, watermark: str = "10 seconds") -> DataFrame:
+    """S6, stateful half: per stream, decode across chunk edges and emit token-safe segments,
+    ``(stream_id, seg, text, ends)``; the last one of a stream has ``ends`` set.
+
+    ``chunks``: ``stream_id, seq, chunk BINARY, fin BOOLEAN, ts``. ``fin`` marks the last chunk; a stream
+    without one ends ``idle`` seconds of event time after its latest chunk. Either flushes what was held
+    back and drops the state. A chunk that comes after that starts the stream anew."""
+    timed = (chunks.select("stream_id", F.col("seq").cast("long").alias("seq"), "chunk", F.coalesce("fin", F.lit(False)).alias("fin"),
+                           F.col("ts").cast("timestamp").alias("ts"))
+             .withColumn("at", F.unix_micros("ts")).withWatermark("ts", watermark))
+    return timed.groupBy("stream_id").transformWithStateInPandas(
+        StreamRestorer(idle * 1000), f"{SEGMENT_SCHEMA}, ends boolean", "append", "eventTime")
 
 
 def restore_batch_writer(sessions: DataFrame, vault: DataFrame, sink: Callable[[DataFrame, int], None]):

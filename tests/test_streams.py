@@ -1,129 +1,142 @@
 """Streams over files equal the batch operators over the same rows (S1-S6), plus D7 chunking."""
+import datetime
+import json
 import os
-import time
-import uuid
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from spanshield.operators import audit as AU
 from spanshield.operators import folds as FO
 from spanshield.operators import rewrite as R
-from spanshield.operators import stream_restore as SR
-from spanshield.operators import usage as US
 from spanshield.operators import vault as V
 from spanshield.plans import catalog as C
 from spanshield.plans import derived
+from spanshield.plans import stream_catalog as SC
+from spanshield.plans.checks import compare, duck
 from spanshield.streaming import streams as S
 
 
 @pytest.fixture(scope="module")
-def scratch(spark):
-    base = os.path.join(spark.conf.get("spark.checkpoint.dir"), "stream-tests-" + uuid.uuid4().hex[:8])
-    return base
-
-
-def _run_stream(spark, df, scratch, name, mode="append"):
-    out = []
-
-    def sink(batch, epoch):
-        out.extend(batch.collect())
-
-    q = (df.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", os.path.join(scratch, name, "ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination(600)
-    return out
-
-
-def _as_source(spark, df, scratch, name, parts=3):
-    path = os.path.join(scratch, name, "in")
-    df.repartition(parts).write.mode("overwrite").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def _rows(rows, cols):
-    return sorted(tuple(r[c] for c in cols) for r in rows)
-
-
-def test_s1_protect(spark, sf_dir, scratch):
-    msgs = derived.messages(spark, sf_dir)
-    src = _as_source(spark, msgs, scratch, "s1")
-    got = _run_stream(spark, S.stream_protect(src).select("msg_id", "tokenized"), scratch, "s1")
-    want = R.tokenize(msgs, "body").select("msg_id", "tokenized").collect()
-    assert _rows(got, ["msg_id", "tokenized"]) == _rows(want, ["msg_id", "tokenized"])
-
-
-def test_s2_audit(spark, sf_dir, scratch):
-    ev = C.violation_events(spark, sf_dir)
-    src = _as_source(spark, ev.select("user_id", "resource", "violation_type", "ts"), scratch, "s2", parts=1)
-    got = _run_stream(spark, S.stream_audit(src), scratch, "s2")
-    want = C.f2_audit_batches(spark, sf_dir).collect()
-    cols = ["tick_start", "violation_type", "resource", "user", "n"]
-    # append mode emits a tick once the watermark passes it; availableNow flushes all at the end
-    assert set(_rows(got, cols)) <= set(_rows(want, cols))
-    assert len(got) > 0
-
-
-def test_s3_usage(spark, sf_dir, scratch):
-    log = derived.request_log(spark, sf_dir)
-    src = _as_source(spark, log, scratch, "s3")
-    # files arrive in random time order: a watermark wider than the data keeps every row
-    got = _run_stream(spark, S.stream_usage(src, watermark="40 days"), scratch, "s3", mode="update")
-    latest = {}
-    for r in got:
-        latest[(r.user_id, r.day)] = r
-    want = US.usage_daily(log).collect()
-    cols = ["user_id", "day", "req", "tok_in", "tok_out", "bytes_in", "bytes_out"]
-    assert _rows(latest.values(), cols) == _rows(want, cols)
-
-
-def test_s4_admission(spark, sf_dir, scratch):
-    log = derived.request_log(spark, sf_dir)
-    users = derived.users(spark, sf_dir)
-    src = _as_source(spark, log.orderBy("ts"), scratch, "s4", parts=1)
-    got = _run_stream(spark, S.stream_admission(src, users), scratch, "s4")
-    want = FO.quota_admission(log, users).collect()
-    cols = ["req_id", "admitted"]
-    assert _rows(got, cols) == _rows(want, cols)
-    assert any(not r.admitted for r in want) and any(r.admitted for r in want)
-
-
-def test_s5_lockout_and_throttle(spark, sf_dir, scratch):
-    att = derived.login_attempts(spark, sf_dir)
-    src = _as_source(spark, att.orderBy("ts"), scratch, "s5a", parts=1)
-    got = _run_stream(spark, S.stream_lockout(src), scratch, "s5a")
-    want = FO.lockout(att).collect()
-    assert _rows(got, ["attempt_id", "outcome"]) == _rows(want, ["attempt_id", "outcome"])
-    err = derived.request_log(spark, sf_dir).where("status >= 500").withColumn("key", F.split_part("host", F.lit(":"), F.lit(1)))
-    src = _as_source(spark, err.orderBy("ts"), scratch, "s5b", parts=1)
-    got = _run_stream(spark, S.stream_throttle(src, "key", id_col="req_id"), scratch, "s5b")
-    want = FO.throttle(err, "key", id_col="req_id").collect()
-    assert _rows(got, ["event_id"]) == _rows(want, ["event_id"])
-
-
-def test_s6_and_d7_restore(spark, sf_dir, scratch):
-    rep = C.replies(spark, sf_dir)
-    vault = V.build_vault(C.vault_entries(spark, sf_dir))
-    chunks = SR.split_into_chunks(rep)
-    last = chunks.groupBy("stream_id").agg(F.max("seq").alias("m"))
-    chunks = chunks.join(last, "stream_id").withColumn("fin", F.col("seq") == F.col("m")).drop("m")
-    sessions = rep.select(F.col("msg_id").alias("stream_id"), "session_key")
-    # a chunk stream arrives in order per stream: append the files by ascending seq range
-    path = os.path.join(scratch, "s6", "in")
-    for lo, hi in [(0, 40), (40, 400), (400, 1 << 30)]:
-        chunks.where((F.col("seq") >= lo) & (F.col("seq") < hi)).coalesce(2).write.mode("append").parquet(path)
-        time.sleep(1.1)
-    src = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    restored = []
-    writer = S.restore_batch_writer(sessions, vault, lambda b, e: restored.extend(b.collect()))
-    q = (S.stream_segments(src).writeStream.outputMode("append").foreachBatch(writer)
-         .option("checkpointLocation", os.path.join(scratch, "s6", "ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination(600)
-    by_stream = {}
-    for r in sorted(restored, key=lambda r: (r.stream_id, r.seg)):
-        by_stream[r.stream_id] = by_stream.get(r.stream_id, "") + r.restored
-    want = {r.msg_id: r.restored for r in V.detokenize(rep, vault).select("msg_id", "restored").collect()}
-    assert by_stream == want
+def own(spark):
+    return S.stateful_session(spark, 4)
+
+
+def batches(own, frames, name):
+    """A stream with one micro-batch a frame."""
+    path = SC.folder(own, name)
+    for df in frames:
+        df.coalesce(1).write.mode("append").parquet(path)
+    return own.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def shuffled(spark, rows, schema, parts, seed=1):
+    """``rows`` dealt over micro-batches at random: order across them is lost."""
+    random.Random(seed).shuffle(rows)
+    return [spark.createDataFrame(rows[i::parts], schema) for i in range(parts)]
+
+
+def rows_of(df, cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+
+
+SC_DIR = os.environ.get("SPANSHIELD_TEST_SF", "/root/testdata/sf0.001")
+instant = datetime.datetime.fromisoformat
+END = "2031-01-01 00:00:00"  # a row of a later time moves the watermark past all others
+
+
+def test_s2_total_and_late_rows(spark, own):
+    schema = "ts timestamp, violation_type string, resource string, user_id string"
+    at = "2024-01-01 00:00:{:02d}"
+    first = [(at.format(i % 20), "SECRET", "h", f"u{i % 3}" if i % 5 else None) for i in range(60)]
+    late = [(at.format(1), "LATE", "h", "u0")]
+    frames = [spark.createDataFrame([(instant(t), *r) for t, *r in rows], schema)
+              for rows in (first[:40], [*first[40:], (at.format(50), "NEW", "h", "u1")], [(at.format(51), "NEW", "h", "u2")], late,
+                           [(END, "END", "h", "u1")])]
+    got = SC.ran(spark, S.stream_audit(batches(own, frames, "late"), watermark="20 seconds"), "late")
+    kept = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    want = AU.audit_batches(kept)
+    cols = ["tick_start", "violation_type", "resource", "user", "n", "tick_total"]
+    # the late row met a watermark of 00:00:30 and is gone; END's own tick stays open
+    assert rows_of(got, cols) == rows_of(want, cols)
+
+
+def test_s4_over_shuffled_batches_and_state_ends(spark, own):
+    log = derived.request_log(spark, SC_DIR).where("ts < '2024-01-06'")
+    users = derived.users(spark, SC_DIR)
+    rows = [tuple(r) for r in log.collect()]
+    frames = shuffled(spark, rows, log.schema, 3)
+    end = spark.createDataFrame([(-1, "nobody", instant(END), *rows[0][3:])], log.schema)
+    src = batches(own, [*frames, end], "s4")
+    out = S.stream_admission(src, own.createDataFrame(users.collect(), users.schema), watermark="10 days")
+    got = SC.ran(spark, out, "s4t").where("req_id >= 0")
+    want = FO.quota_admission(log, users)
+    assert rows_of(got, ["req_id", "admitted"]) == rows_of(want, ["req_id", "admitted"])
+    flags = {r[1] for r in rows_of(want, ["req_id", "admitted"])}
+    assert flags == {True, False}
+
+
+def state_rows(own, df, name):
+    """Run ``df`` and count the rows that its state store holds in the end."""
+    q = (df.writeStream.outputMode("append").format("parquet").option("path", SC.folder(own, name + "-o"))
+         .option("checkpointLocation", SC.folder(own, name + "-c")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return [p["stateOperators"][0]["customMetrics"].get("rocksdbNumInternalKeys", 0) or p["stateOperators"][0]["numRowsTotal"]
+            for p in (x if isinstance(x, dict) else json.loads(x.json) for x in q.recentProgress)]
+
+
+def test_s4_state_is_gone_after_the_day(own, spark):
+    log = derived.request_log(spark, SC_DIR).where("ts < '2024-01-03'")
+    end = log.limit(1).withColumn("ts", F.lit(END).cast(log.schema["ts"].dataType))
+    users = derived.users(spark, SC_DIR)
+    src = batches(own, [log, end, end.withColumn("ts", F.col("ts") + F.expr("interval 3 days"))], "s4e")
+    out = S.stream_admission(src, own.createDataFrame(users.collect(), users.schema), watermark="1 hour")
+    held = state_rows(own, out, "s4e")
+    assert max(held) > 20 and held[-1] <= 4, held
+
+
+def test_s5_over_shuffled_batches(spark, own):
+    att = derived.login_attempts(spark, SC_DIR).withColumn("ok", F.col("attempt_id") % 5 == 0)
+    rows = [tuple(r) for r in att.collect()]
+    end = spark.createDataFrame([(-1, instant(END), "nobody", "10.0.0.0", True)], att.schema)
+    frames = [*shuffled(spark, rows, att.schema, 3), end]
+    got = SC.ran(spark, S.stream_lockout(batches(own, frames, "s5"), watermark="60 days"), "s5").where("attempt_id >= 0")
+    want = FO.lockout(att)
+    cols = ["attempt_id", "outcome", "locked_until"]
+    assert rows_of(got, cols) == rows_of(want, cols)
+    assert {r.outcome for r in want.select("outcome").distinct().collect()} >= {"ok", "fail", "locked"}
+    events = att.select(F.col("attempt_id").alias("event_id"), "ts", F.col("ip").alias("key"))
+    rows = [tuple(r) for r in events.collect()]
+    frames = [*shuffled(spark, rows, events.schema, 3, seed=2), spark.createDataFrame([(-1, instant(END), "nobody")], events.schema)]
+    got = SC.ran(spark, S.stream_throttle(batches(own, frames, "s5t"), "key", window_s=7200, watermark="60 days"), "s5t").where("event_id >= 0")
+    assert rows_of(got, ["event_id"]) == rows_of(FO.throttle(events, "key", 7200), ["event_id"])
+
+
+def test_s6_early_chunks_silent_streams_and_nulls(spark, own):
+    texts = {1: "plain text", 2: "мир [SEC_00000000000000aa] end", 3: "silent [SEC_0000000000", 4: ""}
+    rows, last = [], {}
+    for sid, text in texts.items():
+        data = text.encode()
+        parts = [data[i:i + 3] for i in range(0, len(data), 3)] or [None]
+        last[sid] = len(parts) - 1
+        rows += [(sid, seq, bytearray(p) if p is not None else None, sid != 3 and seq == len(parts) - 1, instant(f"2024-01-01 00:00:{seq:02d}"))
+                 for seq, p in enumerate(parts)]
+    schema = "stream_id long, seq long, chunk binary, fin boolean, ts timestamp"
+    frames = [*shuffled(spark, rows, schema, 3), spark.createDataFrame([(9, 0, bytearray(b"x"), True, instant(END))], schema),
+              spark.createDataFrame([(10, 0, bytearray(b"y"), None, instant(END))], schema)]
+    got = SC.ran(spark, S.stream_segments(batches(own, frames, "s6"), watermark="1 minute"), "s6").collect()
+    text = {}
+    for r in sorted(got, key=lambda r: (r.stream_id, r.seg)):
+        text[r.stream_id] = text.get(r.stream_id, "") + r.text
+    assert text == {**texts, 9: "x"}
+    assert sorted(r.stream_id for r in got if r.ends) == [1, 2, 3, 4, 9]
+
+
+@pytest.mark.parametrize("name", sorted(n for n in C.REGISTRY if n.startswith(("s1_", "s2_", "s3_", "s4_", "s5_", "s6_"))))
+def test_registered_streams(spark, sf_dir, name):
+    result = compare(C.REGISTRY[name][0](spark, sf_dir), duck(sf_dir), C.REGISTRY[name][1])
+    assert result["ok"] and result["rows_spark"] > 0, result
 
 
 def test_roundtrip(spark, sf_dir):
