@@ -116,7 +116,7 @@ def restore_segments(segments: DataFrame, sessions: DataFrame, vault: DataFrame,
     replies = segments.join(sessions, "stream_id", "left") \
         .select(F.struct("stream_id", "seg").alias("_sid"), "stream_id", "seg", *more,
                 "session_key", F.col("text").alias("body"))
-    return detokenize(replies, vault, id_col="_sid", unknown=unknown).select("stream_id", "seg", *more, "restored")
+    return detokenize(replies, vault, id_col="_sid", unknown=unknown, split=False).select("stream_id", "seg", *more, "restored")
 
 
 def joined(segments: DataFrame) -> DataFrame:

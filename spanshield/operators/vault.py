@@ -15,6 +15,7 @@ from spanshield import patterns as P
 from spanshield.functions.spans import explode_spans, find_spans, guarded, rebuild
 from spanshield.operators.detect import cached_column
 
+TTL_SECONDS = 2_592_000  # 30 days
 VAULT_COLS = ["core", "session_key", "value", "stored_at", "last_access"]
 
 
@@ -59,7 +60,7 @@ def write_vault(vault: DataFrame, updates: DataFrame) -> DataFrame:
             .select(*VAULT_COLS))
 
 
-def expire_vault(vault: DataFrame, now: Column, ttl_seconds: int = 2_592_000, hash_ttl: bool = False) -> DataFrame:
+def expire_vault(vault: DataFrame, now: Column, ttl_seconds: int = TTL_SECONDS, hash_ttl: bool = False) -> DataFrame:
     """Drop entries not written or read within the TTL (30 days).
 
     ``hash_ttl=True`` reproduces the reference's scope-wide TTL: a scope (global or one session)
@@ -93,34 +94,41 @@ def explode_tokens(df: DataFrame, text_col: str, keep=("msg_id",)) -> DataFrame:
                 F.col("_e.text").alias("token_text"), F.col("_e.core").alias("core"))
 
 
-def detokenize(replies: DataFrame, vault: DataFrame, text_col: str = "body", id_col: str = "msg_id",
-               session_col: str = "session_key", request_map: DataFrame | None = None,
+def has_token(text: Column) -> Column:
+    """Whether a text may hold a token form; every form holds a core."""
+    return F.coalesce((F.instr(text, "_") > 0) & text.rlike(P.TOKEN_CORE_RE), F.lit(False))
+
+
+def detokenize(replies: DataFrame, vault: DataFrame | tuple[DataFrame, DataFrame], text_col: str = "body",
+               id_col: str = "msg_id", session_col: str = "session_key", request_map: DataFrame | None = None,
                unknown: str | None = P.REDACTED, out: str = "restored",
-               num_partitions: int | None = None, json_bodies: bool = False) -> DataFrame:
+               num_partitions: int | None = None, json_bodies: bool = False, split: bool = True) -> DataFrame:
     """D5 (and D6 with ``unknown=None``): replace every token by its value.
 
     Lookup order: request map -> global vault -> session vault -> ``[REDACTED]`` (D6 keeps the
-    token text). ``json_bodies``: in a body that is JSON a value is written JSON-escaped, so the body
-    stays JSON.
-
-    Plan: the replies are hash-partitioned by id once; the token rows derived from them keep that
-    partitioning, so the regroup by id and the join back to the replies add no shuffle of the
-    reply bodies (both branches read the same exchange). Only token rows (id, span, core) meet the
-    vault, and only vault rows of referenced cores survive the join.
+    token text). ``vault``: one table, or the two scopes apart (``VaultTables.scopes``).
+    ``json_bodies``: in a body that is JSON a value is written JSON-escaped, so the body stays JSON.
+
+    Plan: bodies without a token pass by without any exchange. The others are hash-partitioned by id
+    once; the token rows derived from them keep that partitioning, so the regroup by id and the join
+    back add no further shuffle of bodies. Only token rows (id, span, core) meet the vault, and only
+    vault rows of referenced cores survive the join. ``split=False`` reads the replies once, for
+    input that is dear to compute again.
     """
     spark = replies.sparkSession
     n = num_partitions or max(spark.sparkContext.defaultParallelism,
                               int(spark.conf.get("spark.sql.shuffle.partitions")))
     toks_col = cached_column(("find_tokens", text_col), lambda: find_tokens(F.col(text_col)))
-    r = replies.repartition(n, id_col).withColumn("_toks", toks_col)
+    plain = replies.where(~has_token(F.col(text_col))).withColumn(out, F.col(text_col)) if split else None
+    r = (replies.where(has_token(F.col(text_col))) if split else replies).repartition(n, id_col).withColumn("_toks", toks_col)
     if json_bodies:
         r = r.withColumn("_json", F.try_parse_json(text_col).isNotNull())
     more = ["_json"] if json_bodies else []
     toks = explode_spans(r, "_toks", [id_col, session_col, *more]) \
         .select(id_col, session_col, *more, "_e.start", "_e.end", F.col("_e.text").alias("token_text"), "_e.core")
-    glob = vault.where(F.col("session_key").isNull()).select("core", F.col("value").alias("v_global"))
-    sess = vault.where(F.col("session_key").isNotNull()) \
-        .select(F.col("session_key").alias(session_col), "core", F.col("value").alias("v_session"))
+    glob, sess = vault if isinstance(vault, tuple) else (vault.where(F.col("session_key").isNull()), vault.where(F.col("session_key").isNotNull()))
+    glob = glob.select("core", F.col("value").alias("v_global"))
+    sess = sess.select(F.col("session_key").alias(session_col), "core", F.col("value").alias("v_session"))
     j = toks.join(glob, "core", "left").join(sess, [session_col, "core"], "left")
     vals = [F.col("v_global"), F.col("v_session")]
     if request_map is not None:
@@ -140,8 +148,8 @@ def detokenize(replies: DataFrame, vault: DataFrame, text_col: str = "body", id_
     # full outer = left outer here (every token row comes from a reply); unlike a left join it lets
     # Catalyst infer no not-null filter into the token branch, so both branches keep the identical
     # reply exchange and Spark reuses it instead of recomputing the replies
-    restored = r.join(per_msg, id_col, "full_outer").withColumn(out, rebuilt)
-    return restored.drop("_toks", "_repl", "_json")
+    restored = r.join(per_msg, id_col, "full_outer").withColumn(out, rebuilt).drop("_toks", "_repl", "_json")
+    return restored if plain is None else restored.unionByName(plain)
 
 
 def vault_collisions(entries: DataFrame) -> DataFrame:

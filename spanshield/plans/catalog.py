@@ -6,6 +6,7 @@ only ever *added* to driver rows. Column names are aliased identically on both s
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from spanshield.functions.spans import explode_spans
 from spanshield.operators import detect as D
 from spanshield.plans import derived
 from spanshield.plans import oracle_sql as O
+from spanshield.session import ensure_checkpoint_dir
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -60,6 +62,7 @@ def b8_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- C: rewriting ---------------------------------------------------------------------------------
 from spanshield.operators import rewrite as R  # noqa: E402
 from spanshield.operators import vault as V  # noqa: E402
+from spanshield.operators import vault_store as VS  # noqa: E402
 from spanshield.sources.fixtures import fixture_df, fixture_sql  # noqa: E402
 
 MSG_SQL = derived.messages_sql()
@@ -103,6 +106,20 @@ def vault_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.token_entries(tokenized_messages(spark, sf_dir))
 
 
+def tokenized_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokenized messages as a written table, for queries that read it more than once."""
+    path = f"{ensure_checkpoint_dir(spark)}/tokenized-{uuid.uuid4().hex}"
+    t = tokenized_messages(spark, sf_dir).select("msg_id", "session_key", "ts", "detections", "tokenized")
+    t.write.parquet(path)
+    return spark.read.schema(t.schema).parquet(path)
+
+
+def replies_of(tokenized: DataFrame) -> DataFrame:
+    """Model replies: the tokenized messages echoed back, plus replies with every token form."""
+    t = tokenized.select("msg_id", "session_key", F.col("tokenized").alias("body"))
+    return t.unionByName(fixture_df(tokenized.sparkSession, "token_replies"))
+
+
 VAULT_SQL = f"""(
   SELECT core, CAST(NULL AS VARCHAR) AS session_key, value, stored_at, stored_at AS last_access FROM (
     SELECT core, value, max(ts) OVER (PARTITION BY core) AS stored_at,
@@ -126,9 +143,7 @@ def d8_vault_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model replies: the tokenized messages echoed back, plus replies with every token form."""
-    t = tokenized_messages(spark, sf_dir).select("msg_id", "session_key", F.col("tokenized").alias("body"))
-    return t.unionByName(fixture_df(spark, "token_replies"))
+    return replies_of(tokenized_messages(spark, sf_dir))
 
 
 REPLIES_SQL = f"""(SELECT t.id AS msg_id, m.skey AS session_key, t.tokenized AS body FROM {TOKENIZED_SQL} t
@@ -156,8 +171,9 @@ def _detok_sql(unknown_redacted: bool) -> str:
 
 def _detok(unknown):
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        vault = V.build_vault(vault_entries(spark, sf_dir))
-        return V.detokenize(replies(spark, sf_dir), vault, unknown=unknown).select("msg_id", "restored")
+        tokenized = tokenized_table(spark, sf_dir)
+        vault = V.build_vault(V.token_entries(tokenized))
+        return V.detokenize(replies_of(tokenized), vault, unknown=unknown).select("msg_id", "restored")
     return build
 
 
@@ -197,20 +213,67 @@ def d8_collisions_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.vault_collisions(vault_entries(spark, sf_dir).withColumn("core", F.substring("core", 1, 5)))
 
 
-@register("a5_write_vault", f"""SELECT core, session_key, value, stored_at, last_access FROM (
+A5_SQL = f"""SELECT core, session_key, value, stored_at, last_access FROM (
   SELECT core, session_key, value, max(stored_at) OVER w AS stored_at, max(last_access) OVER w AS last_access,
          row_number() OVER (PARTITION BY session_key, core ORDER BY stored_at DESC, value DESC) AS rn
   FROM (SELECT * FROM {VAULT_SQL}
         UNION ALL SELECT core, session_key, upper(value) AS value, stored_at + INTERVAL 1 HOUR AS stored_at,
                          stored_at + INTERVAL 1 HOUR AS last_access FROM {VAULT_SQL} WHERE left(core, 3) = 'EML')
-  WINDOW w AS (PARTITION BY session_key, core)) WHERE rn = 1""")
+  WINDOW w AS (PARTITION BY session_key, core)) WHERE rn = 1"""
+
+
+def email_updates(vault: DataFrame) -> DataFrame:
+    """Every e-mail entry stored anew an hour later, in capitals."""
+    later = F.col("stored_at") + F.expr("INTERVAL 1 HOUR")
+    return vault.where(F.left(F.col("core"), F.lit(3)) == "EML").select(
+        "core", "session_key", F.upper("value").alias("value"), later.alias("stored_at"), later.alias("last_access"))
+
+
+@register("a5_write_vault", A5_SQL)
 def a5_write_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     vault = V.build_vault(vault_entries(spark, sf_dir))
-    upd = vault.where(F.left(F.col("core"), F.lit(3)) == "EML").select(
-        "core", "session_key", F.upper("value").alias("value"),
-        (F.col("stored_at") + F.expr("INTERVAL 1 HOUR")).alias("stored_at"),
-        (F.col("stored_at") + F.expr("INTERVAL 1 HOUR")).alias("last_access"))
-    return V.write_vault(vault, upd)
+    return V.write_vault(vault, email_updates(vault))
+
+
+def new_vault(spark: SparkSession, vault: DataFrame) -> VS.VaultTables:
+    tables = VS.VaultTables(spark, f"vault_{uuid.uuid4().hex}", buckets=8)
+    tables.create(vault.withColumns({c: F.col(c).cast("timestamp") for c in ("stored_at", "last_access")}))
+    return tables
+
+
+def _as_before(spark: SparkSession, vault: DataFrame, like: DataFrame) -> DataFrame:
+    return vault.withColumns({c: F.col(c).cast(like.schema[c].dataType) for c in ("stored_at", "last_access")})
+
+
+@register("a5_vault_table", A5_SQL)
+def a5_vault_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upsert on the persistent vault: appended to its log, merged on read."""
+    vault = V.build_vault(V.token_entries(tokenized_table(spark, sf_dir)))
+    tables = new_vault(spark, vault)
+    tables.upsert(email_updates(tables.read()))
+    return _as_before(spark, tables.read(), vault)
+
+
+READ_AT, EXPIRED_AT = "2024-01-29 12:00:00", "2024-01-31 06:00:00"
+
+
+@register("d2_refresh_on_read", f"""WITH v AS {VAULT_SQL}, asked AS (
+    SELECT DISTINCT t.core, r.session_key FROM {O.find_tokens_sql(REPLY_SRC)} t JOIN {REPLIES_SQL} r ON r.msg_id = t.id WHERE r.msg_id % 3 = 0),
+  hit AS (SELECT DISTINCT core, CAST(NULL AS VARCHAR) AS session_key FROM asked WHERE core IN (SELECT core FROM v WHERE session_key IS NULL)
+          UNION ALL SELECT core, session_key FROM asked WHERE core NOT IN (SELECT core FROM v WHERE session_key IS NULL))
+  SELECT * FROM (SELECT v.core, v.session_key, v.value, v.stored_at,
+    CASE WHEN hit.core IS NOT NULL THEN greatest(v.last_access, TIMESTAMP '{READ_AT}') ELSE v.last_access END AS last_access
+    FROM v LEFT JOIN hit ON hit.core = v.core AND hit.session_key IS NOT DISTINCT FROM v.session_key)
+  WHERE last_access >= TIMESTAMP '{EXPIRED_AT}' - INTERVAL 30 DAY""")
+def d2_refresh_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third reply is restored on day 29; what it read outlives day 30, the rest goes."""
+    tokenized = tokenized_table(spark, sf_dir)
+    vault = V.build_vault(V.token_entries(tokenized))
+    tables = new_vault(spark, vault)
+    asked = V.explode_tokens(replies_of(tokenized).where(F.pmod("msg_id", F.lit(3)) == 0), "body", keep=("msg_id", "session_key"))
+    tables.touch(VS.touched(asked.withColumn("at", F.lit(READ_AT).cast("timestamp")), tables.scopes()))
+    tables.compact(now=F.lit(EXPIRED_AT).cast("timestamp"))
+    return _as_before(spark, tables.read(), vault)
 
 
 # --- F: audit ---------------------------------------------------------------------------------------

@@ -114,7 +114,7 @@ def test_s5_over_shuffled_batches(spark, own):
 
 
 def test_s6_early_chunks_silent_streams_and_nulls(spark, own):
-    texts = {1: "plain text", 2: "мир [SEC_00000000000000aa] end", 3: "silent [SEC_0000000000", 4: ""}
+    texts = {1: "plain text", 2: "мир [KEY_00000000000000aa] end", 3: "silent [KEY_0000000000", 4: ""}
     rows, last = [], {}
     for sid, text in texts.items():
         data = text.encode()
