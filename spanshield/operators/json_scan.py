@@ -89,9 +89,31 @@ def json_detections(df: DataFrame, body_col: str = "body", user_col: str = "user
         "_e.masked", "_e.token", "_e.core", "_e.hash")
 
 
+def with_json_detections(df: DataFrame, body_col: str = "body", user_col: str = "user_id", domain_col: str = "host",
+                         out: str = "detections") -> DataFrame:
+    """Each body with its detections in the row, in order of value and place, tokens included."""
+    ensure_json_keys(df.sparkSession)
+    skey = session_key(F.col(user_col), F.col(domain_col))
+    found = F.transform(json_values(F.col(body_col)), lambda v: add_tokens(scan(v["value"]), skey))
+    return df.withColumn(out, F.coalesce(F.flatten(found), F.filter(add_tokens(scan(F.lit("")), skey), lambda d: F.lit(False))))
+
+
+def restore_rejected_json(df: DataFrame, rejected: DataFrame, det_col: str = "detections", id_col: str = "msg_id",
+                          body_col: str = "body", out: str = "tokenized", **names) -> DataFrame:
+    """C7 on JSON bodies: ``df`` has its detections in the row (``with_json_detections``), ``rejected``
+    (id, ord) names those to put back. A token goes wherever it stands in the body: a value that was
+    rejected once stays as it is everywhere in that message."""
+    gone = rejected.groupBy(id_col).agg(F.collect_set("ord").alias("_ords"))
+    cores = F.transform(F.filter(det_col, lambda d, i: F.array_contains("_ords", i)), lambda d: d["core"])
+    none = F.array().cast("array<string>")
+    hit = df.join(gone, id_col, "left").withColumn("_gone", F.coalesce(F.when(F.col("_ords").isNotNull(), cores), none))
+    return tokenize_json(hit.drop("_ords"), body_col, out=out, without="_gone", **names).drop("_gone")
+
+
 def tokenize_json(df: DataFrame, body_col: str = "body", user_col: str = "user_id", domain_col: str = "host",
-                  out: str = "tokenized") -> DataFrame:
-    """Replace detections inside string values by tokens; keys and structure untouched."""
+                  out: str = "tokenized", without: str | None = None) -> DataFrame:
+    """Replace detections inside string values by tokens; keys and structure untouched.
+    ``without``: a column with the cores that are not replaced."""
     ensure_json_keys(df.sparkSession)
     skey = session_key(F.col(user_col), F.col(domain_col))
     body = F.col(body_col)
@@ -99,7 +121,11 @@ def tokenize_json(df: DataFrame, body_col: str = "body", user_col: str = "user_i
 
     # each heavy expression is computed once and then read through lambda variables: referencing a
     # Column twice inside a lambda would copy (and re-evaluate) the whole scan
-    with_dets = F.transform(json_values(body), lambda v: v.withField("dets", add_tokens(scan(v["value"]), skey)))
+    def found(value):
+        dets = add_tokens(scan(value), skey)
+        return dets if without is None else F.filter(dets, lambda d: ~F.array_contains(without, d["core"]))
+
+    with_dets = F.transform(json_values(body), lambda v: v.withField("dets", found(v["value"])))
     rebuilt = F.transform(with_dets, lambda v: F.struct(v["start"].alias("start"), v["end"].alias("end"),
                                                         rebuild(v["value"], v["dets"], "token").alias("new"),
                                                         F.size(v["dets"]).alias("n")))

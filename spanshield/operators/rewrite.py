@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanshield import patterns as P
 from spanshield.functions.parallel import spread
-from spanshield.functions.spans import explode_spans, rebuild
+from spanshield.functions.spans import rebuild
 from spanshield.operators.detect import cached_column, scan, scan_named
 
 
@@ -76,17 +76,16 @@ def tokenize(df: DataFrame, text_col: str, user_col: str = "user_id", domain_col
     return df.withColumn("session_key", skey).withColumn(det_col, dets).withColumn(out, rebuilt)
 
 
-def restore_rejected(df: DataFrame, text_col: str, verdicts: DataFrame, key_cols=("msg_id",),
+def restore_rejected(df: DataFrame, text_col: str, rejected: DataFrame, id_col: str = "msg_id",
                      det_col: str = "detections", out: str = "tokenized") -> DataFrame:
-    """Keep only the detections whose verdict is true (missing verdict = keep), then rebuild.
-
-    ``verdicts``: ``(*key_cols, ord, keep)``. The verdict table is joined on the exploded
-    detections and folded back per message.
-    """
-    keys = list(key_cols)
-    ex = explode_spans(df, det_col, keys, pos="ord")
-    kept = (ex.join(verdicts, keys + ["ord"], "left")
-            .where(F.coalesce(F.col("keep"), F.lit(True)))
-            .groupBy(*keys).agg(F.array_sort(F.collect_list("_e")).alias("kept")))
-    base = df.join(kept, keys, "left").withColumn("kept", F.coalesce(F.col("kept"), F.filter(F.col(det_col), lambda d: F.lit(False))))
-    return base.withColumn(out, rebuild(F.col(text_col), F.col("kept"), "token")).drop("kept")
+    """Put back the detections that ``rejected`` (id, ord) names, tokenize the others.
+
+    Only detections that are not secrets can be rejected. Messages without any pass by without an
+    exchange; the others meet their rejected ordinals, one row a message, by id."""
+    asked = F.exists(det_col, lambda d: d["type"] != "SECRET")
+    gone = rejected.groupBy(id_col).agg(F.collect_set("ord").alias("_gone"))
+    plain = df.where(~F.coalesce(asked, F.lit(False))).withColumn(out, rebuild(F.col(text_col), F.col(det_col), "token"))
+    hit = df.where(asked).join(gone, id_col, "left")
+    left = F.filter(det_col, lambda d, i: F.col("_gone").isNull() | ~F.array_contains("_gone", i))
+    hit = hit.withColumn("_left", left).withColumn(out, rebuild(F.col(text_col), F.col("_left"), "token"))
+    return hit.drop("_gone", "_left").unionByName(plain)

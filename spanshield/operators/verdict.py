@@ -1,16 +1,17 @@
 """False-positive filter around an external judge.
 
-The judge itself is outside Spark; these operators build its requests (one prompt per message,
-deduplicated by hash = the reference's cache key), parse its answers, and apply the verdicts with
-the reference's fail-open rules. All are joins and aggregations; nothing loops on the driver.
+The judge itself is outside Spark; these operators build its requests (deduplicated by hash = the
+reference's cache key), parse its answers, and apply the verdicts with the reference's fail-open
+rules. A message's detections lie in its row, so contexts, item numbers and prompts are computed
+there: no body is shuffled, and only prompt hashes meet the answers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanshield.functions.spans import utf8_prefix_bytes
+from spanshield.functions.spans import explode_spans, let, utf8_prefix_bytes
 
 # Prompt text, labels and limits of the judge protocol.
 PROMPT_HEADER = (
@@ -50,33 +51,41 @@ def label_of(vtype: Column) -> Column:
     return expr.otherwise(F.lit("OTHER"))
 
 
-def numbered_items(dets: DataFrame, id_col: str = "msg_id") -> DataFrame:
-    """Non-secret detections with ``part`` and ``item``: prompts of at most ``MAX_ITEMS`` items."""
-    w = Window.partitionBy(id_col).orderBy("ord")
-    pii = dets.where(F.col("type") != "SECRET").withColumn("_n", F.row_number().over(w) - 1)
-    return pii.withColumn("part", F.floor(F.col("_n") / MAX_ITEMS).cast("int")) \
-        .withColumn("item", (F.col("_n") % MAX_ITEMS + 1).cast("int")).drop("_n")
+def contexts(body: Column, dets: Column) -> Column:
+    """B14 in the row: each detection with the field ``context``."""
+    return F.transform(dets, lambda d: d.withField("context", context_around(body, d["text"])))
 
 
-def pii_items(dets: DataFrame, bodies: DataFrame, id_col: str = "msg_id", body_col: str = "body") -> DataFrame:
-    """Non-secret detections in prompts of at most ``MAX_ITEMS`` per message (``part`` 0.., ``item`` 1..
-    within the part, in start order), with context."""
-    j = numbered_items(dets, id_col).join(bodies.select(id_col, body_col), id_col)
-    return j.withColumn("line", F.concat(F.col("item").cast("string"), F.lit(". ["), label_of(F.col("type")),
-                                         F.lit("] \""), F.col("text"), F.lit("\" — context: "),
-                                         context_around(F.col(body_col), F.col("text")), F.lit("\n")))
+def prompts(body: Column, dets: Column) -> Column:
+    """A message's prompts, ``array<struct<part, n_items, prompt, ords>>``: its non-secret detections in
+    order, at most ``MAX_ITEMS`` a prompt, each item with its context; ``ords`` are the items' places
+    among all detections."""
+    numbered = F.transform(dets, lambda d, i: F.struct(i.alias("ord"), d["type"].alias("type"), d["text"].alias("text")))
+    pii = F.filter(numbered, lambda d: d["type"] != "SECRET")
 
+    def line(x, i):
+        return F.concat((i + 1).cast("string"), F.lit(". ["), label_of(x["type"]), F.lit("] \""), x["text"],
+                        F.lit("\" — context: "), context_around(body, x["text"]), F.lit("\n"))
 
-def build_verdict_requests(dets: DataFrame, bodies: DataFrame, id_col: str = "msg_id",
-                           body_col: str = "body") -> DataFrame:
+    def prompt(items, part):
+        text = F.concat(F.lit(PROMPT_HEADER), F.array_join(F.transform(items, line), ""), F.lit(PROMPT_FOOTER))
+        return F.struct(part.alias("part"), F.size(items).cast("long").alias("n_items"), text.alias("prompt"),
+                        F.transform(items, lambda x: x["ord"]).alias("ords"))
+
+    # an empty list has one empty part, which is dropped
+    parts = let(pii, lambda a: F.transform(
+        F.sequence(F.lit(0), F.floor((F.greatest(F.size(a), F.lit(1)) - 1) / MAX_ITEMS).cast("int")),
+        lambda p: prompt(F.slice(a, p * MAX_ITEMS + 1, F.lit(MAX_ITEMS)), p)))
+    return F.filter(parts, lambda p: p["n_items"] > 0)
+
+
+def build_verdict_requests(messages: DataFrame, id_col: str = "msg_id", body_col: str = "body",
+                           det_col: str = "detections") -> DataFrame:
     """Prompts of 1..10 PII items per message, as many as its items need, so that every item is
-    judged; ``prompt_hash`` = SHA-256 of the prompt."""
-    items = pii_items(dets, bodies, id_col, body_col)
-    g = items.groupBy(id_col, "part").agg(
-        F.array_sort(F.collect_list(F.struct("item", "line"))).alias("lines"), F.max("item").cast("long").alias("n_items"))
-    prompt = F.concat(F.lit(PROMPT_HEADER), F.array_join(F.transform("lines", lambda x: x["line"]), ""),
-                      F.lit(PROMPT_FOOTER))
-    return g.select(id_col, "part", "n_items", prompt.alias("prompt")).withColumn("prompt_hash", F.sha2("prompt", 256))
+    judged; ``prompt_hash`` = SHA-256 of the prompt, ``ords`` = the items' ordinals. Nothing is shuffled."""
+    p = messages.select(id_col, prompts(F.col(body_col), F.col(det_col)).alias("_p"))
+    ex = explode_spans(p, "_p", [id_col]).select(id_col, "_e.part", "_e.n_items", "_e.prompt", "_e.ords")
+    return ex.withColumn("prompt_hash", F.sha2("prompt", 256))
 
 
 def distinct_requests(requests: DataFrame) -> DataFrame:
@@ -95,14 +104,20 @@ def parse_verdicts(responses: DataFrame, raw_col: str = "raw") -> DataFrame:
         .select("prompt_hash", (F.col("pos") + 1).alias("item"), (F.trim("t") == "1").alias("keep"))
 
 
-def apply_verdicts(dets: DataFrame, requests: DataFrame, verdicts: DataFrame, id_col: str = "msg_id") -> DataFrame:
-    """``keep`` per detection. Secrets always kept; a missing verdict (error, short answer) keeps;
+def rejected(requests: DataFrame, verdicts: DataFrame, id_col: str = "msg_id") -> DataFrame:
+    """``(id, ord)`` of the detections that the judge answered 0 to: the requests' hashes and ordinals
+    meet the answers, nothing else moves. A missing verdict (error, short answer) rejects nothing;
     extra verdicts are ignored."""
-    pii = numbered_items(dets, id_col).select(id_col, "ord", "part", "item")
-    d = dets.join(pii, [id_col, "ord"], "left").join(requests.select(id_col, "part", "prompt_hash"), [id_col, "part"], "left")
-    d = d.join(verdicts, ["prompt_hash", "item"], "left")
-    keep = (F.col("type") == "SECRET") | F.col("prompt_hash").isNull() | F.coalesce(F.col("keep"), F.lit(True))
-    return d.select(*dets.columns, keep.alias("keep"))
+    no = verdicts.where(~F.col("keep")).select("prompt_hash", "item").distinct()
+    items = requests.select(id_col, "prompt_hash", F.posexplode("ords").alias("item", "ord")).withColumn("item", F.col("item") + 1)
+    return items.join(no, ["prompt_hash", "item"], "left_semi").select(id_col, "ord")
+
+
+def apply_verdicts(dets: DataFrame, requests: DataFrame, verdicts: DataFrame, id_col: str = "msg_id") -> DataFrame:
+    """Detection rows (``id``, ``ord``, ...) with ``keep``. Secrets are never asked about, so never
+    dropped."""
+    no = rejected(requests, verdicts, id_col).withColumn("_no", F.lit(True))
+    return dets.join(no, [id_col, "ord"], "left").select(*dets.columns, F.col("_no").isNull().alias("keep"))
 
 
 def label_centroids(vectors: DataFrame, vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -117,26 +132,24 @@ def label_centroids(vectors: DataFrame, vec_col: str = "embedding", label_col: s
 
 
 def embedding_flags(vectors: DataFrame, reference: DataFrame, threshold: float = 0.65,
-                    vec_col: str = "embedding", id_col: str = "vec_id", ref_col: str = "centroid") -> DataFrame:
+                    vec_col: str = "embedding", id_col: str = "vec_id", ref_col: str = "centroid", packs: int = 1) -> DataFrame:
     """E4 (design-only in the reference): max cosine similarity against a small reference set;
     rows at or above ``threshold`` go to the second tier.
 
-    The reference set is packed into rows of at most ``REFERENCE_PACK`` vectors; one pack is
-    broadcast on a constant key, so each vector row meets it in-row (no pair rows are emitted). With
-    more packs a vector row meets each of them and keeps the largest similarity.
+    The reference set is dealt by hash into ``packs`` rows, about ``REFERENCE_PACK`` vectors each if the
+    caller, who knows the set, gives a pack for as many. A vector row meets every pack and compares
+    inside the row; no pair rows are emitted, nothing runs while the plan is built, and Spark picks the
+    join by the packs' actual size.
     """
     def norm(c):
         return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
 
-    packs = max(1, -(-reference.count() // REFERENCE_PACK))
     packed = reference.select(F.col(ref_col).alias("r")).groupBy(F.pmod(F.xxhash64("r"), F.lit(packs)).alias("_k")).agg(
         F.collect_list(F.struct(F.col("r"), norm(F.col("r")).alias("nr"))).alias("refs"))
     v = vectors.select(id_col, F.transform(vec_col, lambda x: x.cast("double")).alias("v")) \
         .withColumn("nv", norm(F.col("v")))
-    if packs == 1:
-        j = v.withColumn("_k", F.lit(0).cast("long")).join(F.broadcast(packed), "_k")
-    else:
-        j = v.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long")))).join(packed, "_k")
+    every = F.lit(0).cast("long") if packs == 1 else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long")))
+    j = v.withColumn("_k", every).join(packed, "_k")
     cos = F.transform("refs", lambda r: F.aggregate(F.zip_with("v", r["r"], lambda a, b: a * b), F.lit(0.0),
                                                      lambda acc, x: acc + x) / (F.col("nv") * r["nr"]))
     best = j.select(id_col, F.array_max(cos).alias("max_cos"))

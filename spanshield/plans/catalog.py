@@ -594,14 +594,6 @@ from spanshield.operators import verdict as VE  # noqa: E402
 DETS_SQL = f"(SELECT id AS msg_id, ord, start, \"end\", type, text, masked FROM {SCAN_SQL})"
 
 
-def _dets(spark, sf_dir):
-    return b8_scan(spark, sf_dir)
-
-
-def _bodies(spark, sf_dir):
-    return derived.messages(spark, sf_dir).select("msg_id", "body")
-
-
 def context_sql(body: str, needle: str, radius: int = VE.CONTEXT_RADIUS_BYTES) -> str:
     pos = f"strpos({body}, {needle})"
     pre = f"substring({body}, 1, {pos} - 1)"
@@ -615,8 +607,9 @@ def context_sql(body: str, needle: str, radius: int = VE.CONTEXT_RADIUS_BYTES) -
 @register("b14_context_window", f"""SELECT d.msg_id, d.ord, {context_sql('m.body', 'd.text')} AS context
   FROM {DETS_SQL} d JOIN {MSG_SQL} m ON m.msg_id = d.msg_id""")
 def b14_context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _dets(spark, sf_dir).join(_bodies(spark, sf_dir), "msg_id")
-    return d.select("msg_id", "ord", VE.context_around(F.col("body"), F.col("text")).alias("context"))
+    m = D.detect(derived.messages(spark, sf_dir), "body")
+    near = m.select("msg_id", VE.contexts(F.col("body"), F.col("detections")).alias("_d"))
+    return explode_spans(near, "_d", ["msg_id"], pos="ord").select("msg_id", "ord", F.col("_e.context").alias("context"))
 
 
 def _label_sql(t: str) -> str:
@@ -627,19 +620,35 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-ITEMS_SQL = f"""(SELECT *, CAST((n - 1) // {VE.MAX_ITEMS} AS INTEGER) AS part, CAST((n - 1) % {VE.MAX_ITEMS} + 1 AS INTEGER) AS item
-  FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY ord) AS n FROM {DETS_SQL} WHERE type <> 'SECRET'))"""
-REQUESTS_SQL = f"""(SELECT msg_id, part, n_items, prompt, sha256(prompt) AS prompt_hash FROM (
-  SELECT msg_id, part, CAST(max(item) AS BIGINT) AS n_items, {_q(VE.PROMPT_HEADER)} || string_agg(line, '' ORDER BY item) || {_q(VE.PROMPT_FOOTER)} AS prompt
-  FROM (SELECT d.msg_id, d.part, d.item, CAST(d.item AS VARCHAR) || '. [' || {_label_sql('d.type')} || '] "' || d.text || '" — context: '
-               || {context_sql('m.body', 'd.text')} || chr(10) AS line
-        FROM {ITEMS_SQL} d JOIN {MSG_SQL} m ON m.msg_id = d.msg_id)
-  GROUP BY msg_id, part))"""
+def items_sql(dets: str) -> str:
+    return f"""(SELECT *, CAST((n - 1) // {VE.MAX_ITEMS} AS INTEGER) AS part, CAST((n - 1) % {VE.MAX_ITEMS} + 1 AS INTEGER) AS item
+      FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY ord) AS n FROM {dets} WHERE type <> 'SECRET'))"""
+
+
+def requests_sql(dets: str, bodies: str) -> str:
+    return f"""(SELECT msg_id, part, n_items, prompt, sha256(prompt) AS prompt_hash FROM (
+      SELECT msg_id, part, CAST(max(item) AS BIGINT) AS n_items, {_q(VE.PROMPT_HEADER)} || string_agg(line, '' ORDER BY item) || {_q(VE.PROMPT_FOOTER)} AS prompt
+      FROM (SELECT d.msg_id, d.part, d.item, CAST(d.item AS VARCHAR) || '. [' || {_label_sql('d.type')} || '] "' || d.text || '" — context: '
+                   || {context_sql('m.body', 'd.text')} || chr(10) AS line
+            FROM {items_sql(dets)} d JOIN {bodies} m ON m.msg_id = d.msg_id)
+      GROUP BY msg_id, part))"""
+
+
+REQUESTS_SQL = requests_sql(DETS_SQL, MSG_SQL)
+
+
+def verdict_requests(messages: DataFrame) -> DataFrame:
+    """The requests as a written table: the judge outside reads it, and its answers come back by hash."""
+    path = f"{ensure_checkpoint_dir(messages.sparkSession)}/requests-{uuid.uuid4().hex}"
+    r = VE.build_verdict_requests(messages)
+    r.write.parquet(path)
+    return messages.sparkSession.read.schema(r.schema).parquet(path)
 
 
 @register("e2_verdict_requests", f"SELECT msg_id, part, n_items, prompt, prompt_hash FROM {REQUESTS_SQL}")
 def e2_verdict_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return VE.build_verdict_requests(_dets(spark, sf_dir), _bodies(spark, sf_dir))
+    m = D.detect(derived.messages(spark, sf_dir), "body")
+    return VE.build_verdict_requests(m).drop("ords")
 
 
 def judge_responses(requests: DataFrame) -> DataFrame:
@@ -656,43 +665,55 @@ def judge_responses(requests: DataFrame) -> DataFrame:
     return VE.distinct_requests(requests).select("prompt_hash", raw.alias("raw"))
 
 
-RESPONSES_SQL = f"""(SELECT prompt_hash, CASE
+def responses_sql(requests: str) -> str:
+    return f"""(SELECT prompt_hash, CASE
     WHEN c IN ('0','1','2','3') THEN array_to_string(items, ',') WHEN c IN ('4','5','6','7') THEN array_to_string(items, ', ')
     WHEN c IN ('8','9','a','b') THEN array_to_string(items, chr(10)) ELSE 'Sure, here you go: ' || array_to_string(items, ',') END AS raw
   FROM (SELECT prompt_hash, c, list_transform(range(1, k + 1), lambda i: CASE WHEN i % 2 = 1 THEN '1' ELSE '0' END) AS items
         FROM (SELECT DISTINCT prompt_hash, left(prompt_hash, 1) AS c,
                 CASE WHEN left(prompt_hash, 1) IN ('2','3') THEN n_items + 1 WHEN left(prompt_hash, 1) IN ('6','7') THEN n_items - 1
-                     ELSE n_items END AS k FROM {REQUESTS_SQL})))"""
+                     ELSE n_items END AS k FROM {requests})))"""
+
 
-VERDICTS_SQL = f"""(SELECT prompt_hash, CAST(pos AS INTEGER) AS item, trim(t) = '1' AS keep FROM (
+def verdicts_sql(requests: str) -> str:
+    return f"""(SELECT prompt_hash, CAST(pos AS INTEGER) AS item, trim(t) = '1' AS keep FROM (
   SELECT prompt_hash, unnest(parts) AS t, unnest(range(1, len(parts) + 1)) AS pos FROM (
     SELECT prompt_hash, list_filter(string_split_regex(regexp_replace(raw, '[^0-9,\\n ]', '', 'g'), '[,\\n ]'),
                                     lambda t: trim(t) IN ('0', '1')) AS parts
-    FROM {RESPONSES_SQL} WHERE left(ltrim(raw), 1) IN ('0', '1', '[', '{{'))))"""
+    FROM {responses_sql(requests)} WHERE left(ltrim(raw), 1) IN ('0', '1', '[', '{{'))))"""
+
+
+VERDICTS_SQL = verdicts_sql(REQUESTS_SQL)
 
 
 @register("e3_parse_verdicts", f"SELECT * FROM {VERDICTS_SQL}")
 def e3_parse_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req = VE.build_verdict_requests(_dets(spark, sf_dir), _bodies(spark, sf_dir))
+    req = verdict_requests(D.detect(derived.messages(spark, sf_dir), "body"))
     return VE.parse_verdicts(judge_responses(req))
 
 
-KEEP_SQL = f"""(SELECT d.*, (d.type = 'SECRET' OR r.prompt_hash IS NULL OR coalesce(v.keep, TRUE)) AS keep
-  FROM {DETS_SQL} d
-  LEFT JOIN {ITEMS_SQL} p ON p.msg_id = d.msg_id AND p.ord = d.ord
-  LEFT JOIN {REQUESTS_SQL} r ON r.msg_id = d.msg_id AND r.part = p.part
-  LEFT JOIN {VERDICTS_SQL} v ON v.prompt_hash = r.prompt_hash AND v.item = p.item)"""
+def keep_sql(dets: str, requests: str) -> str:
+    return f"""(SELECT d.*, (d.type = 'SECRET' OR r.prompt_hash IS NULL OR coalesce(v.keep, TRUE)) AS keep
+      FROM {dets} d
+      LEFT JOIN {items_sql(dets)} p ON p.msg_id = d.msg_id AND p.ord = d.ord
+      LEFT JOIN {requests} r ON r.msg_id = d.msg_id AND r.part = p.part
+      LEFT JOIN {verdicts_sql(requests)} v ON v.prompt_hash = r.prompt_hash AND v.item = p.item)"""
 
 
-def _kept(spark, sf_dir):
-    dets = _dets(spark, sf_dir)
-    req = VE.build_verdict_requests(dets, _bodies(spark, sf_dir))
-    return VE.apply_verdicts(dets, req, VE.parse_verdicts(judge_responses(req)))
+KEEP_SQL = keep_sql(DETS_SQL, REQUESTS_SQL)
+
+
+def rejected_by_judge(messages: DataFrame) -> DataFrame:
+    req = verdict_requests(messages)
+    return VE.rejected(req, VE.parse_verdicts(judge_responses(req)))
 
 
 @register("e1_apply_verdicts", f"SELECT msg_id, ord, type, text, keep FROM {KEEP_SQL}")
 def e1_apply_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(spark, sf_dir).select("msg_id", "ord", "type", "text", "keep")
+    m = D.detect(derived.messages(spark, sf_dir), "body")
+    req = verdict_requests(m)
+    dets = D.explode_detections(m, keep=["msg_id"]).select("msg_id", "ord", "type", "text")
+    return VE.apply_verdicts(dets, req, VE.parse_verdicts(judge_responses(req)))
 
 
 @register("c7_restore_rejected", f"""SELECT r.id AS msg_id, r.restored_body FROM {O.rebuild_sql(MSG_SRC,
@@ -700,8 +721,7 @@ def e1_apply_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     'restored_body')} r""")
 def c7_restore_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tokenized_messages(spark, sf_dir)
-    verdicts = _kept(spark, sf_dir).select("msg_id", "ord", "keep")
-    return R.restore_rejected(t, "body", verdicts, out="restored_body").select("msg_id", "restored_body")
+    return R.restore_rejected(t, "body", rejected_by_judge(t), out="restored_body").select("msg_id", "restored_body")
 
 
 @register("e4_embedding_flag", """WITH ex AS (SELECT label, i, CAST(embedding[i] AS DOUBLE) AS x
@@ -1100,6 +1120,29 @@ JSON_TOKENS_SQL = f"""(SELECT v.msg_id, v.value_ord, s.ord AS det_ord, s.type, s
     m.user_id, m.host, m.path, {O.type_prefix('s.type')} || '_' || left(sha256(s.text || m.skey), {O.P.TOKEN_HEX_LEN}) AS core
   FROM ({O.scan_sql(f"(SELECT id, text FROM {JSON_VALS_SQL})")}) s JOIN {JSON_VALS_SQL} v ON v.id = s.id
   JOIN (SELECT *, 'map:session:' || coalesce(user_id, 'anon') || ':' || host AS skey FROM {JSON_MSG_SQL}) m ON m.msg_id = v.msg_id)"""
+# detections numbered over a body's values, as one prompt list sees them; a rejected token goes everywhere
+_JSON_DETS_SQL = f"(SELECT msg_id, row_number() OVER (PARTITION BY msg_id ORDER BY value_ord, det_ord) - 1 AS ord, type, value AS text, core FROM {JSON_TOKENS_SQL})"
+_JSON_GONE_SQL = f"(SELECT DISTINCT msg_id, core FROM {keep_sql(_JSON_DETS_SQL, requests_sql(_JSON_DETS_SQL, JSON_MSG_SQL))} WHERE NOT keep)"
+
+
+@register("c7_restore_json", f"""SELECT v.msg_id, v.value_ord, r.out AS new_value FROM {O.rebuild_sql(
+    f"(SELECT id, text FROM {JSON_VALS_SQL})",
+    f'''(SELECT id, start, "end", '[' || core || ']' AS repl FROM (
+        SELECT v.id, v.msg_id, s.start, s."end", {O.type_prefix('s.type')} || '_' || left(sha256(s.text || m.skey), {O.P.TOKEN_HEX_LEN}) AS core
+        FROM ({O.scan_sql(f"(SELECT id, text FROM {JSON_VALS_SQL})")}) s JOIN {JSON_VALS_SQL} v ON v.id = s.id
+        JOIN (SELECT msg_id, 'map:session:' || coalesce(user_id, 'anon') || ':' || host AS skey FROM {JSON_MSG_SQL}) m
+          ON m.msg_id = v.msg_id) t ANTI JOIN {_JSON_GONE_SQL} g ON g.msg_id = t.msg_id AND g.core = t.core)''', "out")} r
+  JOIN {JSON_VALS_SQL} v ON v.id = r.id WHERE r.out <> v.text""")
+def c7_restore_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokenized values of JSON bodies from which the judge's rejections are put back, JSON-escaped."""
+    m = JS.with_json_detections(json_messages(spark, sf_dir))
+    t = JS.restore_rejected_json(m, rejected_by_judge(m))
+    vals = t.select("msg_id", JS.json_values(F.col("tokenized")).alias("_n"), JS.json_values(F.col("body")).alias("_o"))
+    ex = explode_spans(vals.select("msg_id", F.arrays_zip("_n", "_o").alias("_z")), "_z", ["msg_id"]).select(
+        "msg_id", F.col("_e._n.ord").alias("value_ord"), F.col("_e._n.value").alias("new_value"), F.col("_e._o.value").alias("old_value"))
+    return ex.where(F.col("new_value") != F.col("old_value")).drop("old_value")
+
+
 _JSON_RANK = "ORDER BY ts DESC, msg_id DESC, value_ord DESC, det_ord DESC"
 
 
@@ -1145,6 +1188,30 @@ def a1_read_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_messages(spark, f"{sf_dir.rstrip('/')}/documents.parquet", body_col="text").select("doc_id", "text", "lang")
 
 
-# B7 is off by default (as in the reference). No oracle: its pattern needs a Unicode word boundary
-# before Cyrillic legal forms, which DuckDB's RE2 (ASCII \b) cannot express; rows-only check.
-register("b7_company")(_single("company"))
+# B7 is off by default (as in the reference). RE2's word boundary is ASCII: the oracle spells the
+# Unicode one out as a class and finds each match anew from the end of the one before.
+_WORD = "\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}"
+_B7_CORE = "(?i:" + "|".join(O.P.COMPANY_FORMS) + ")" + f"{O.P.WS}+[\"«]?(?i:[А-ЯЁA-Z])[{_WORD}{O.P.WS_CHARS}\\-.]{{1,40}}"
+_B7_RE = f"(^|[^{_WORD}])({_B7_CORE})"
+
+
+def _mask_company_sql(s: str) -> str:
+    legal = f"regexp_extract({s}, '^[^ \"«]*')"
+    after = f"substring({s}, length({legal}) + 2)"
+    name = f"trim({after}, '\"«»')"
+    quote = f"(CASE WHEN left({after}, 1) IN ('\"', '«') THEN left({after}, 1) ELSE '' END)"
+    return (f"(CASE WHEN length({legal}) < length({s}) THEN {legal} || ' ' || {quote} || coalesce(nullif(left({name}, 1), ''), '*') || '***' "
+            f"ELSE left({s}, 4) || '***' END)")
+
+
+@register("b7_company", f"""WITH RECURSIVE src AS (SELECT id, text FROM {MSG_SRC} WHERE text IS NOT NULL),
+  f AS (SELECT id, text, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS "end", CAST(NULL AS VARCHAR) AS hit FROM src
+    UNION ALL
+    SELECT id, text, pos + length(pre) AS start, pos + length(pre) + length(hit) AS "end", hit FROM (
+      SELECT id, text, hit, pre, "end" + strpos(substring(text, "end" + 1), pre || hit) - 1 AS pos FROM (
+        SELECT id, text, "end", regexp_extract(substring(text, "end" + 1), {O.q(_B7_RE)}, 1) AS pre,
+               regexp_extract(substring(text, "end" + 1), {O.q(_B7_RE)}, 2) AS hit FROM f) WHERE hit <> ''))
+  SELECT id AS msg_id, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", 'PII_COMPANY' AS type, hit AS text,
+         {_mask_company_sql('hit')} AS masked FROM f WHERE hit IS NOT NULL""")
+def b7_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _single("company")(spark, sf_dir)

@@ -177,8 +177,9 @@ def test_every_item_of_a_long_message_is_judged(spark):
     from spanshield.operators import verdict
     body = " ".join(f"p{i}@corp.example" for i in range(23))
     df = spark.createDataFrame([message(1, body), message(2, "one q@corp.example")], MSG)
-    dets = detect.explode_detections(detect.detect(df, "body"), keep=["msg_id"]).select("msg_id", "ord", "type", "text")
-    requests = verdict.build_verdict_requests(dets, df)
+    found = detect.detect(df, "body")
+    dets = detect.explode_detections(found, keep=["msg_id"]).select("msg_id", "ord", "type", "text")
+    requests = verdict.build_verdict_requests(found)
     assert sorted((r["msg_id"], r["part"], r["n_items"]) for r in requests.collect()) == [(1, 0, 10), (1, 1, 10), (1, 2, 3), (2, 0, 1)]
     answers = requests.select("prompt_hash", F.lit("0,1,0,1,0,1,0,1,0,1").alias("raw"))
     kept = verdict.apply_verdicts(dets, requests, verdict.parse_verdicts(answers)).where("msg_id = 1").orderBy("ord").collect()
