@@ -77,7 +77,7 @@ def expire_vault(vault: DataFrame, now: Column, ttl_seconds: int = TTL_SECONDS,
 
 def find_tokens(text: Column) -> Column:
     """D3: all written token forms as ``array<struct<start, end, text, core>>`` (leftmost, longest)."""
-    spans = guarded(F.instr(text, "_") > 0, find_spans(text, P.TOKEN_ANY_RE))  # every form has "_"
+    spans = guarded(F.contains(text, F.lit("_")), find_spans(text, P.TOKEN_ANY_RE))  # every form has "_"
     return F.transform(spans, lambda s: s.withField("core", token_core(s["text"])))
 
 
@@ -96,7 +96,7 @@ def explode_tokens(df: DataFrame, text_col: str, keep=("msg_id",)) -> DataFrame:
 
 def has_token(text: Column) -> Column:
     """Whether a text may hold a token form; every form holds a core."""
-    return F.coalesce((F.instr(text, "_") > 0) & text.rlike(P.TOKEN_CORE_RE), F.lit(False))
+    return F.coalesce((F.contains(text, F.lit("_"))) & text.rlike(P.TOKEN_CORE_RE), F.lit(False))
 
 
 def detokenize(replies: DataFrame, vault: DataFrame | tuple[DataFrame, DataFrame], text_col: str = "body",
