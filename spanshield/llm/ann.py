@@ -13,6 +13,7 @@ find fewer than k points within the radius are answered by an exact scan in bloc
 from __future__ import annotations
 
 import itertools
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize
+from .shared import materialize, scratch_dir
 
 SUBSTRINGS = 8
 WIDTH = 64 // SUBSTRINGS
@@ -144,8 +145,11 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "
     short = wanted.join(per_point, F.col("point") == F.col("asker"), "left").where(
         F.coalesce("count", F.lit(0)) < min(k + 1, n_members)).select("point", "vec")
     short = materialize(short, "ann-short").toLocalIterator()
+    scanned = f"{scratch_dir(spark)}/ann-scan-{uuid.uuid4().hex}"  # one table, however many blocks of queries
+    found.limit(0).write.parquet(scanned)
     while chunk := list(itertools.islice(short, SCAN_QUERIES)):
-        found = found.unionByName(materialize(_scan(coded, chunk, k + 1, dim), "ann-scan"))
+        _scan(coded, chunk, k + 1, dim).write.mode("append").parquet(scanned)
+    found = found.unionByName(spark.read.schema(found.schema).parquet(scanned))
 
     nearest = Window.partitionBy("asker").orderBy("far", "other")
     best = found.distinct().withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1)

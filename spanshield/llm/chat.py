@@ -80,7 +80,7 @@ class _Conversation:
 
     def __init__(self, conv_id, budget: int, history: int):
         self.conv_id, self.budget, self.history = conv_id, budget, history
-        self.system, self.recent, self.fresh = None, [], []
+        self.system, self.spoken, self.recent, self.fresh = None, None, [], []  # system turn before, and in, the window
         self.upto = self.base = self.fixed = self.window = 0
 
     def add(self, role: str, text: str):
@@ -94,11 +94,11 @@ class _Conversation:
             while self.recent and self.fixed + n > self.budget:
                 self.fixed -= self.recent.pop(0)[2]
         self.fresh.append((role, text, n))
-        if role == "system" and self.upto == n:
-            self.system = (role, text, n)
+        if role == "system":
+            self.spoken = self.fresh[-1]
 
     def close(self) -> tuple:
-        repeats = ([self.system] if self.window and self.system else []) + self.recent
+        repeats = ([self.system] if self.system else []) + self.recent
         parts, loss, at = [], [], 0
         for i, (role, text, _) in enumerate(repeats + self.fresh):
             turn, start, end = render(role, text)
@@ -110,11 +110,14 @@ class _Conversation:
                sum(t[2] for t in repeats + self.fresh), loss)
         tail, room = [], self.history
         for t in reversed(self.recent + self.fresh):
+            if t is self.spoken:  # it heads the next windows anyway
+                continue
             room -= t[2]
-            if room < 0 or (self.system and t is self.fresh[0] and not self.window):
+            if room < 0:
                 break
             tail.insert(0, t)
-        self.recent, self.fresh, self.window = tail, [], self.window + 1
+        self.system = self.spoken or self.system
+        self.recent, self.fresh, self.spoken, self.window = tail, [], None, self.window + 1
         return row
 
 

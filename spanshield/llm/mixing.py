@@ -92,22 +92,29 @@ def mix(rows: DataFrame, size: Column, *, id_col: str = "doc_id", source_col: st
                          taken.cast("long").alias("taken"))
 
 
-def emit_mix(docs: DataFrame, mixed: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """The mixed corpus itself, with the columns of ``docs``: a row for every whole pass over a
-    document and one with its first words where the budget ends inside it. Rows that the mix does
-    not take, those without words among them, are left out."""
+def emit_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+             chars_col: str | None = "n_chars", **options) -> DataFrame:
+    """The mixed corpus itself, with the columns of ``docs``, whatever their names: a row for every whole
+    pass over a document and one with its first words where the budget ends inside it. Rows that the
+    mix does not take, those without words among them, are left out. ``options`` are those of ``mix``."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                         F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"))
+    mixed = mix(packed, word_count(F.col("row").getField(text_col)), id_col="id", source_col="source", **options)
     full = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0).cast("int")
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
-    copies = mixed.withColumn("part", part).withColumn("copies", F.concat(
-        F.array_repeat(F.lit(0), full), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>"))))
-    cut = F.explode("copies").alias("cut")
-    rows = copies.select(*[F.col(f"`{c}`") for c in docs.columns], cut)
-    head = F.when(F.col("cut") == 0, F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("cut")))
-    rows = rows.withColumn(text_col, head)
-    if chars_col and chars_col in docs.columns:
-        rows = rows.withColumn(chars_col, F.when(F.col("cut") == 0, F.col(chars_col)).otherwise(
-            F.length(text_col)).cast(docs.schema[chars_col].dataType))
-    return rows.select(*docs.columns)
+    cuts = F.concat(F.array_repeat(F.lit(0), full), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
+    rows = mixed.select("row", F.explode(cuts).alias("cut"))
+    text = F.col("row").getField(text_col)
+    text = F.when(F.col("cut") == 0, text).otherwise(first_words(text, F.col("cut")))
+    out = []
+    for c in docs.columns:
+        value = F.col("row").getField(c)
+        if c == text_col:
+            value = text
+        elif c == chars_col:
+            value = F.when(F.col("cut") == 0, value).otherwise(F.length(text)).cast(docs.schema[c].dataType)
+        out.append(value.alias(c))
+    return rows.select(*out)
 
 
 def first_words(text: Column, n: Column) -> Column:

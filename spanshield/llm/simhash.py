@@ -155,7 +155,8 @@ def links(points: DataFrame, max_bits: int = 3) -> DataFrame:
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge (u, v). Large-star
-    and small-star steps on tables; each round is written, so a lost executor costs one round."""
+    and small-star steps on tables; each round is written, so a lost executor costs one round. More
+    than ``max_rounds`` rounds, which no graph of this size needs, are an error."""
     now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc-0")
     mark = _mark(now)
     for i in range(max_rounds):
@@ -170,6 +171,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         before, mark = mark, _mark(now)
         if mark == before:
             break
+    else:
+        raise RuntimeError(f"components not done after {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -179,35 +182,29 @@ def _mark(edges: DataFrame):
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                    max_bits: int = 3, seed: int = 42, keep_rows: bool = False, root_col: str | None = None) -> DataFrame:
+                    max_bits: int = 3, seed: int = 42, keep_rows: bool = False) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links of at
-    most ``max_bits`` differing bits, itself included); with ``keep_rows`` the columns of ``docs``
-    and ``component_id`` instead. ``root_col`` names one more column, the smallest fingerprint (long)
-    of the component: ids that are null or repeated do not tell components apart, it does.
+    most ``max_bits`` differing bits, itself included). With ``keep_rows`` instead: ``row`` (a struct of
+    all columns of ``docs``, whatever their names), ``component_id`` and ``root``, the smallest
+    fingerprint (long) of the component: ids that are null or repeated do not tell components apart,
+    it does.
 
     Null and wordless texts have fingerprint 0 and link like any other. Repeated rows and texts
     share a fingerprint and so a component. Null ids never name a component unless it has no other.
     """
-    kept = docs if keep_rows else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    if keep_rows:
-        printed = fingerprints(docs.withColumnRenamed("fingerprint", "_own") if "fingerprint" in docs.columns else docs,
-                               text_col=text_col, keep_text=True, shingle=shingle, seed=seed)
-        printed = materialize(printed, "simhash-rows")
-        ids = F.col(id_col).cast("long")
-    else:
-        printed = materialize(fingerprints(kept, shingle=shingle, seed=seed), "simhash-rows")
-        ids = F.col("doc_id")
-    points = materialize(printed.groupBy("fingerprint").agg(F.min(ids).alias("least")), "simhash-points")
+    ids = F.col(f"`{id_col}`").cast("long").alias("doc_id")
+    rows = docs.select(ids, F.col(f"`{text_col}`").alias("text"))
+    if keep_rows:  # the text goes beside the other columns, once
+        others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+        rows = docs.select(ids, F.struct(*others).alias("others"), F.col(f"`{text_col}`").alias("text"))
+    printed = materialize(fingerprints(rows, keep_text=keep_rows, shingle=shingle, seed=seed), "simhash-rows")
+    points = materialize(printed.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "simhash-points")
     roots = components(links(points, max_bits))
     placed = points.join(roots, points["fingerprint"] == roots["node"], "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    more = [F.col("root").alias(root_col)] if root_col else []
-    named = placed.join(names, "root").select("fingerprint", "component_id", *more)
-    more = [root_col] if root_col else []
-    out = printed.join(named, "fingerprint")
+    out = printed.join(placed.join(names, "root").select("fingerprint", "component_id", "root"), "fingerprint")
     if keep_rows:
-        out = out.drop("fingerprint")
-        out = out.withColumnRenamed("_own", "fingerprint") if "_own" in out.columns else out
-        return out.select(*docs.columns, "component_id", *more)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", *more)
+        row = F.struct(*[(F.col("text") if c == text_col else F.col("others").getField(c)).alias(c) for c in docs.columns])
+        return out.select(row.alias("row"), "component_id", "root")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

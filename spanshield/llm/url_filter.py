@@ -20,6 +20,7 @@ from .shared import lower_ascii, materialize
 
 MIN_BITS = 1024
 LITERAL_BYTES = 1 << 20
+SHARD_BYTES = 4096  # of a filter past LITERAL_BYTES: what a key's row meets and reads
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -45,14 +46,14 @@ class Cascade:
     """Exact membership of any key of the universe that the cascade was built over."""
     levels: list[Level] = field(default_factory=list)
 
-    def contains(self, key: Column, tables: list[Column] | None = None) -> Column:
+    def contains(self, key: Column, hits: list[Column] | None = None) -> Column:
+        """Whether ``key`` is listed; ``hits``: the levels' tests where they are known already."""
         if not self.levels:
             return F.lit(False)
         answer = F.lit((len(self.levels) - 1) % 2 == 0)
         for i in reversed(range(len(self.levels))):
-            lv = self.levels[i]
-            bits = F.lit(lv.literal) if lv.literal is not None else tables[i]
-            answer = F.when(_test(key, i, lv, bits), answer).otherwise(F.lit(i % 2 == 1))
+            hit = hits[i] if hits else _test(key, i, self.levels[i], F.lit(self.levels[i].literal))
+            answer = F.when(hit, answer).otherwise(F.lit(i % 2 == 1))
         return answer
 
 
@@ -78,7 +79,7 @@ def _test(key: Column, level: int, lv: Level, bits: Column) -> Column:
 def _encode(keys: DataFrame, n: int, p: float, level: int, literal_bytes: int) -> Level:
     hashes = max(1, min(20, round(math.log2(1 / p))))
     total = max(MIN_BITS, math.ceil(n * math.log2(1 / p) / math.log(2)))
-    shards = max(1, math.ceil(total / 8 / literal_bytes))
+    shards = 1 if total <= 8 * literal_bytes else math.ceil(total / 8 / min(literal_bytes, SHARD_BYTES))
     lv = Level(bits=8 * math.ceil(total / shards / 8), hashes=hashes, shards=shards)
     pos = keys.select(_shard(F.col("key"), level, lv).alias("shard"), F.explode(F.array(*_positions(F.col("key"), level, lv))).alias("p"))
     octets = pos.groupBy("shard", F.shiftright("p", 3).alias("at")).agg(
@@ -89,10 +90,13 @@ def _encode(keys: DataFrame, n: int, p: float, level: int, literal_bytes: int) -
             raw[r["at"]] = r["octet"]
         lv.literal = bytes(raw)
         return lv
-    filled = octets.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("at", "octet"))).alias("m"))
-    lv.table = materialize(filled.select("shard", F.unhex(F.array_join(F.transform(
-        F.sequence(F.lit(0), F.lit(lv.bits // 8 - 1)),
-        lambda i: F.lpad(F.hex(F.coalesce(F.element_at("m", i), F.lit(0))), 2, "0")), "")).alias("words")), "url-shards")
+    # a row for every byte of a shard that holds anything, put together in order
+    blank = octets.select("shard").distinct().select("shard", F.explode(F.sequence(F.lit(0), F.lit(lv.bits // 8 - 1))).alias("at"),
+                                                     F.lit(0).cast("tinyint").alias("octet"))
+    every = octets.select("shard", "at", F.col("octet").cast("int").alias("octet")).unionByName(blank.withColumn("octet", F.col("octet").cast("int")))
+    every = every.groupBy("shard", "at").agg(F.max("octet").alias("octet"))
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "octet"))), lambda x: F.lpad(F.hex(x["octet"]), 2, "0")), "")
+    lv.table = materialize(every.groupBy("shard").agg(F.unhex(words).alias("words")), "url-shards")
     return lv
 
 
@@ -186,15 +190,16 @@ def _judge_sharded(urls: DataFrame, cands: Column, allow: Cascade, block: Cascad
     keys = urls.select("host", "path").distinct().select("host", "path", F.explode(cands).alias("c"))
     distinct = keys.select(F.col("c.key").alias("key")).distinct()
     for name, cascade in (("allow", allow), ("block", block)):
-        cols = []
+        hits = []
         for i, lv in enumerate(cascade.levels):
-            cols.append(None)
-            if lv.literal is None:
-                cols[i] = F.col(f"{name}_{i}")
-                distinct = distinct.withColumn("shard", _shard(F.col("key"), i, lv)).join(
-                    lv.table.withColumnRenamed("words", f"{name}_{i}"), "shard", "left").drop("shard")
-                distinct = distinct.withColumn(f"{name}_{i}", F.coalesce(f"{name}_{i}", F.lit(bytes(lv.bits // 8))))
-        distinct = distinct.withColumn(name, cascade.contains(F.col("key"), cols)).drop(*[f"{name}_{i}" for i in range(len(cols))])
+            hits.append(F.col(f"{name}_{i}"))
+            if lv.literal is not None:
+                distinct = distinct.withColumn(f"{name}_{i}", _test(F.col("key"), i, lv, F.lit(lv.literal)))
+            else:  # the shard is read where it is met; only the answer goes on
+                met = distinct.withColumn("shard", _shard(F.col("key"), i, lv)).join(lv.table, "shard", "left")
+                test = F.coalesce(_test(F.col("key"), i, lv, F.col("words")), F.lit(False))
+                distinct = met.withColumn(f"{name}_{i}", test).drop("shard", "words")
+        distinct = distinct.withColumn(name, cascade.contains(F.col("key"), hits)).drop(*[f"{name}_{i}" for i in range(len(hits))])
     listed = distinct.where("allow or block")
     best = (keys.withColumn("key", F.col("c.key")).join(listed, "key")
             .groupBy("host", "path").agg(F.max(F.struct(F.col("c.len").alias("len"), F.col("c.host_len").alias("host_len"), "allow", "block", "key")).alias("best")))

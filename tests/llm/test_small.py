@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -69,12 +70,37 @@ def test_mixing_targets_by_hand(spark):
 def test_mixing_emits_rows(docs):
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
     mixed = mixing.mix(plain, word_count(F.col("text")))
-    out = mixing.emit_mix(plain, mixed)
+    out = mixing.emit_mix(plain)
     assert out.columns == plain.columns
     want = mixed.agg(F.sum("taken")).first()[0]
     assert out.agg(F.sum(word_count(F.col("text")))).first()[0] == want
 
 
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, size long, taken string, target int, row string, cut int, " \
+        "part string, copies int, id string, score string, fingerprint long, component_id long, root string, others int, _own string, kind int"
+
+
+def clashing(spark, n=60):
+    """Documents with extra columns named as the operators name their own; their values tell the row."""
+    rng = random.Random(12)
+    rows = [(i, words(rng, 30 + i % 7), "en", f"s{i % 3}", i, 100 + i, f"t{i}", i, f"r{i}", i, f"p{i}", i, f"i{i}", f"x{i}", i, 7000 + i, f"q{i}", i, f"o{i}", i)
+            for i in range(n)]
+    return spark.createDataFrame(rows, CLASH), {r[0]: r for r in rows}
+
+
+def check_clash(out, rows):
+    got = out.collect()
+    assert out.columns == [c.split()[0] for c in CLASH.split(", ")] and got
+    for r in got:
+        assert tuple(r)[5:] == rows[r["doc_id"]][5:]
+    return got
+
+
+def test_extra_columns_come_through_the_mix(spark):
+    docs, rows = clashing(spark)
+    check_clash(mixing.emit_mix(docs), rows)
+
+
 def test_mixing_empty(empty):
     assert mixing.mix(empty, word_count(F.col("text"))).count() == 0
 
@@ -117,6 +143,19 @@ def test_url_cascade_has_levels_and_is_exact(spark):
     assert {r["key"] for r in got} == {f"k{i}" for i in range(0, 20000, 7)}
 
 
+def test_url_filter_holds_long_lists(spark, monkeypatch):
+    """300,000 listed keys in filters past the literal bound, met by shard."""
+    urls = spark.range(40_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 20_000, F.lit(".example/p")).alias("url"))
+    rules = spark.range(300_000).select(F.concat(F.lit("h"), F.col("id") * 2, F.lit(".example")).alias("host"), F.lit("/").alias("path"),
+                                        F.when(F.col("id") % 10 == 0, "allow").otherwise("block").alias("verdict"))
+    started = time.time()
+    got = url_filter.judge_urls(urls, rules, literal_bytes=1 << 16).collect()
+    assert time.time() - started < 60 and len(got) == 40_000
+    for r in got:
+        n = r["page_id"] % 20_000
+        assert (r["rule"], r["verdict"]) == ((f"h{n}.example/", "allow" if n % 20 == 0 else "block") if n % 2 == 0 else (None, "allow"))
+
+
 def test_url_filter_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge_urls(pages, url_filter.rules_table(spark, RULES)).count() == 0
@@ -403,10 +442,19 @@ def test_simhash_embedding_bounds_distance(spark):
         assert d == sum(abs(count(a, i) - count(b, i)) for i in range(32)) <= ((a ^ b) & (2**64 - 1)).bit_count()
 
 
-def test_simhash_rows_and_empty(docs, empty):
+def test_simhash_rows_and_empty(spark, docs, empty):
     out = simhash.near_duplicates(docs, keep_rows=True)
-    assert out.columns == docs.columns + ["component_id"] and out.count() == docs.count()
+    assert out.columns == ["row", "component_id", "root"] and out.count() == docs.count()
+    assert Counter(map(tuple, out.select("row.*").collect())) == Counter(map(tuple, docs.collect()))
     assert simhash.near_duplicates(empty).count() == 0
+    named, rows = clashing(spark)
+    check_clash(simhash.near_duplicates(named, keep_rows=True).select("row.*"), rows)
+
+
+def test_simhash_says_when_components_are_not_done(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        simhash.components(path, max_rounds=1)
 
 
 # ---- chat
@@ -458,6 +506,23 @@ def test_chat_windows_keep_system_and_history(spark):
         assert targets == [t for r, t in turns[w["repeated"]:] if r == "assistant"]
 
 
+def test_chat_system_turn_after_a_greeting(spark):
+    rows = [(1, 0, "user", "hello"), (1, 1, "system", "be brief")] + [(1, i, ["user", "assistant"][i % 2], f"t{i} " + "w " * 20) for i in range(2, 20)]
+    rows.append((1, 20, "system", "be long"))
+    rows += [(1, i, ["user", "assistant"][i % 2], f"t{i} " + "w " * 20) for i in range(21, 40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_windows(df, budget=100, history=30).orderBy("window").collect()
+    seen, system = 0, None
+    for w in out:
+        turns = chat.parse(w["text"])
+        repeated, fresh = turns[:w["repeated"]], turns[w["repeated"]:]
+        assert [t for t in repeated if t[0] == "system"] == ([("system", system)] if system else [])
+        assert fresh == [(r[2], r[3]) for r in rows[seen:seen + len(fresh)]] and w["tokens"] <= 100
+        seen += len(fresh)
+        system = next((t for r, t in reversed(fresh) if r == "system"), system)
+    assert seen == len(rows) and system == "be long"
+
+
 def test_chat_escape_is_reversible_and_closed():
     rng = random.Random(3)
     parts = [*chat.CONTROL, "\\", "<", ">", "/", "[", "]", "s", " ", "\n", "x", "SYS", "INST"]
