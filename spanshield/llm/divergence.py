@@ -11,7 +11,7 @@ All shares are exact: ``1 + floor(scale * (count + alpha) / (N + alpha * V))`` i
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ SCALE = 10**9
 TOP_TERMS = 50
 SEGMENT = 65_536
 SALTS = 16
-FLUSH = 200_000  # distinct (group, term) entries that a task holds before it hands them on
+FLUSH = 600_000  # distinct (group, term) entries that a task holds before it hands them on
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 _DIGITS = 1000  # the long division goes three digits at a time, so its remainders stay in 64 bits
 _PARTIAL = "lang string, source string, term string, n long, docs long"
@@ -41,31 +41,32 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                           for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
 
     def run(batches):
-        held: dict = defaultdict(lambda: [0, 0])
+        held: dict = defaultdict(lambda: (Counter(), Counter()))
+        rows: Counter = Counter()
 
         def emit():
-            keys = list(held)
-            columns = [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)]
-            columns.append(pa.array([None if k[2] is None else k[2].decode("utf-8", "replace") for k in keys], pa.string()))
-            columns += [pa.array([held[k][i] for k in keys], pa.int64()) for i in (0, 1)]
+            for (lang, source), (n, found_in) in held.items():
+                terms = pa.array(list(n), pa.binary()).cast(pa.string(), safe=False)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(lang, len(n)), pa.repeat(source, len(n)), terms, pa.array(list(n.values()), pa.int64()),
+                     pa.array([found_in[t] for t in n], pa.int64())], names=["lang", "source", "term", "n", "docs"])
             held.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
             langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-            for lang, source, text in zip(langs, sources, batch.column("text").cast(pa.large_binary())):
-                held[lang, source, None][1] += 1
-                seen: dict = defaultdict(int)
-                for term in _TERM.findall(text.as_py().lower()):  # bytes: lowers A-Z alone
-                    seen[term] += 1
-                for term, n in seen.items():
-                    entry = held[lang, source, term]
-                    entry[0] += n
-                    entry[1] += 1
-                if len(held) > FLUSH:
-                    yield emit()
-        if held:
-            yield emit()
+            for at, (lang, source, text) in enumerate(zip(langs, sources, batch.column("text").cast(pa.large_binary()))):
+                rows[lang, source] += 1
+                terms = _TERM.findall(text.as_py().lower())  # bytes: lowers A-Z alone
+                n, found_in = held[lang, source]
+                n.update(terms)
+                found_in.update(set(terms))
+                if at % 64 == 0 and sum(len(n) for n, _ in held.values()) > FLUSH:
+                    yield from emit()
+        yield from emit()
+        if rows:
+            none = pa.nulls(len(rows), pa.string()), pa.array([0] * len(rows), pa.int64()), pa.array(list(rows.values()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in rows], pa.string()) for i in (0, 1)] + list(none),
+                                             names=["lang", "source", "term", "n", "docs"])
 
     return texts.mapInArrow(run, _PARTIAL)
 
@@ -137,9 +138,8 @@ def price(ids_a, counts_a, total_a: int, ids_b, counts_b, total_b: int, kept: in
 def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The sorted ids and counts of the one segment of a co-group's side, none if it has none."""
     if not table.num_rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    entries = table.column("entries").combine_chunks().flatten()
-    return entries.field("id").to_numpy(), entries.field("n").to_numpy()
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return tuple(table.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "counts"))
 
 
 def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
@@ -160,10 +160,14 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     # a term's list has at most one entry a source
     terms = (counted.where(F.col("term").isNotNull()).groupBy("lang", "term")
              .agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.collect_list(F.struct("source", "n")).alias("uses"))
-             .where(F.col("docs") >= min_docs).withColumn("id", F.monotonically_increasing_id()))
-    terms = materialize(terms.select("lang", "term", "lang_n", "uses", "id"), "audit-terms")
-    uses = terms.select("lang", "term", "lang_n", "id", F.explode("uses").alias("use")).select(
-        "lang", "use.source", "term", "lang_n", "id", "use.n")
+             .where(F.col("docs") >= min_docs))
+    terms = materialize(terms.select("lang", "term", "lang_n", "uses"), "audit-terms")
+    cuts = max(1, -(-terms.count() // segment))
+    terms = terms.withColumn("cut", F.pmod(F.xxhash64("term"), F.lit(cuts)))
+    # an id is a term's place in its cut: about ``segment`` terms in order
+    placed = terms.withColumn("id", F.row_number().over(Window.partitionBy("lang", "cut").orderBy("term")))
+    uses = terms.select("lang", "term", "lang_n", F.explode("uses").alias("use")).select(
+        "lang", "use.source", "term", "lang_n", "use.n")
 
     langs = terms.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count(F.lit(1)).alias("kept"))
     totals = uses.groupBy("lang", "source").agg(F.sum("n").alias("total"))
@@ -189,14 +193,13 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
         "x.lang", F.col("x.source").alias("a"), F.col("y.source").alias("b"), "x.kept",
         F.col("x.total").alias("total_a"), F.col("y.total").alias("total_b"))
     pairs = materialize(pairs, "audit-pairs")
-    low = F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
-    cut = F.concat_ws("-", F.shiftright("id", 33), F.floor(low / F.lit(segment)))
-    segments = materialize(uses.groupBy("lang", "source", cut.alias("cut")).agg(
-        F.sort_array(F.collect_list(F.struct("id", "n"))).alias("entries")), "audit-segments")
+    entries = F.sort_array(F.collect_list(F.struct("id", "use.n")))
+    segments = placed.select("lang", "cut", "id", F.explode("uses").alias("use")).groupBy("lang", "use.source", "cut").agg(entries.alias("e"))
+    segments = materialize(segments.select("lang", "source", "cut", F.col("e.id").alias("ids"), F.col("e.n").alias("counts")), "audit-segments")
 
     def side(name: str) -> DataFrame:
         meets = pairs.withColumnRenamed(name, "source").join(segments, ["lang", "source"]).withColumnRenamed("source", name)
-        columns = ["lang", "a", "b", "cut", "kept", "total_a", "total_b", "entries"]
+        columns = ["lang", "a", "b", "cut", "kept", "total_a", "total_b", "ids", "counts"]
         return meets.select(*columns).toDF(*columns)  # fresh columns: both sides come from the same tables
 
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("lang", "a", "b")]
