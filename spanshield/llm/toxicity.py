@@ -122,18 +122,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def fit_on(docs: DataFrame, labels: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the rows of ``docs`` that ``training`` marks and ``labels`` (doc_id, toxic) knows.
-    The sample is bounded by SAMPLE_TOXIC and SAMPLE_ORDINARY and picked by hash; a quarter of
-    either kind calibrates. Sampled texts are read whole, in tasks: the driver gets word counts, at
+    The sample is bounded by SAMPLE_TOXIC and SAMPLE_ORDINARY ids, picked by hash; of rows that share an
+    id the one with the least hash counts, rows with a null id or text do not. A quarter of either
+    kind calibrates. An empty table, or one without labels of both kinds, gives a model that scores 0. Sampled texts are read whole, in tasks: the driver gets word counts, at
     most CHUNKS pieces for each dictionary, picked by hash from everywhere in the texts, and the
     features of the calibrating rows."""
     labelled = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic"))
-    known = docs.where(F.coalesce(training, F.lit(False))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = known.where("text is not null").join(labelled, F.col("id") == F.col("l_id"))
-    known = known.select((F.col("toxic") > 0).cast("int").alias("kind"), F.xxhash64("id", "text").alias("h"), F.col("text").cast("binary").alias("text"))
+    read = docs.where(F.coalesce(training, F.lit(False)) & F.col(text_col).isNotNull())
+    # ids meet labels without their texts; the drawn ids, bounded, then find the texts where they lie
+    known = read.select(F.col(id_col).alias("id")).distinct().join(labelled, F.col("id") == F.col("l_id"))
+    known = materialize(known.select("id", (F.col("toxic") > 0).cast("int").alias("kind")), "toxicity-known")
     sizes = {r["kind"]: r["count"] for r in known.groupBy("kind").count().collect()}
     shares = [min(1.0, most / max(1, sizes.get(kind, 0))) for kind, most in ((0, SAMPLE_ORDINARY), (1, SAMPLE_TOXIC))]
-    drawn = F.pmod("h", F.lit(1 << 30)) < F.when(F.col("kind") == 1, int(shares[1] * (1 << 30))).otherwise(int(shares[0] * (1 << 30)))
-    sample = materialize(known.where(drawn), "toxicity-sample")
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.when(F.col("kind") == 1, int(shares[1] * (1 << 30))).otherwise(int(shares[0] * (1 << 30)))
+    drawn = F.broadcast(known.where(drawn).select(F.col("id").alias("d_id"), "kind"))  # about SAMPLE_TOXIC + SAMPLE_ORDINARY ids
+    own = read.join(drawn, F.col(id_col) == F.col("d_id")).select("d_id", "kind", F.xxhash64("d_id", text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
+    # of rows that share an id, one
+    sample = own.groupBy("d_id", "kind").agg(F.min(F.struct("h", "text")).alias("r")).select("kind", "r.h", "r.text")
+    sample = materialize(sample, "toxicity-sample")
     places = [(r["kind"], r["h"]) for r in sample.select("kind", "h").collect()]
     hashes = [sorted(h for k, h in places if k == kind) for kind in (0, 1)]
     if min(map(len, hashes)) < 4:
