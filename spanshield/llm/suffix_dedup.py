@@ -26,7 +26,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
@@ -36,6 +36,8 @@ GRAM = 160
 WORD = 32
 BLOCK = 2048
 GROUP_LIMIT = 32768
+HOT_KEYS = 1000     # a key with more than one in so many of all rows is joined by broadcast
+HOT_ROWS = 1000     # and with more rows than this
 CHUNK = 1 << 20
 _INDEX_BITS = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -352,13 +354,23 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(octets).alias("tk"), octets.alias("bytes"))
 
 
+def _join_apart(rows: DataFrame, facts: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """``rows`` joined to ``facts`` (a key once). Keys that ``hot`` marks hold more than one in HOT_KEYS of
+    all rows, so there are at most HOT_KEYS of them: they are broadcast, and their rows stay where they
+    are; only the others are shuffled."""
+    few = F.broadcast(facts.where(hot))
+    rest = rows.join(few.select(*keys), keys, "left_anti").join(facts.where(~hot), keys)
+    return rows.join(few, keys).unionByName(rest)
+
+
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, tk, spans) for the rows (doc_id, tk, bytes) of ``docs`` that hold repeated strings;
     spans are start * 2**31 + end, unmerged."""
     found = materialize(_anchor_rows(docs, length, gram), "suffix-anchors")
+    often = max(HOT_ROWS, found.count() // HOT_KEYS)
     repeated = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times"), (F.min("around") == F.max("around")).alias("agree"))
-    repeated = repeated.where("times > 1").select("gram", "agree")
-    found = materialize(found.join(repeated, "gram"), "suffix-repeated")
+    repeated = materialize(repeated.where("times > 1"), "suffix-grams")
+    found = materialize(_join_apart(found, repeated, ["gram"], F.col("times") > often).drop("times"), "suffix-repeated")
     alike = found.where("agree")
     mixed = found.where("not agree")
 
@@ -392,8 +404,9 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
         partly = partly.unionByName(_count_windows(crowded, length))
     partly = materialize(partly, "suffix-partly")
 
-    whole = kinds.where("n > 1").select("gram", "around", F.lit(None).cast("int").alias("least"), F.lit(None).cast("int").alias("most"))
-    decided = mixed.join(whole.unionByName(partly), ["gram", "around"])
+    whole = kinds.where("n > 1").select("gram", "around", "n", F.lit(None).cast("int").alias("least"), F.lit(None).cast("int").alias("most"))
+    facts = whole.unionByName(partly.withColumn("n", F.lit(1).cast("long")))
+    decided = _join_apart(mixed, facts, ["gram", "around"], F.col("n") > often).drop("n")
     start = F.col("pos") - F.coalesce("most", "hi")
     end = F.col("pos") - F.coalesce("least", "lo") + length
     spans = alike.select("doc_id", "tk", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("end"))

@@ -212,6 +212,9 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch):
     check_suffix(spark, texts, length=100, gram=40)
     monkeypatch.setattr(suffix_dedup, "GROUP_LIMIT", 1)   # every group counts its windows
     check_suffix(spark, texts, length=100, gram=40)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 2)      # what comes three times goes the way of hot anchors
+    monkeypatch.setattr(suffix_dedup, "HOT_KEYS", 1 << 30)
+    check_suffix(spark, texts, length=100, gram=40)
 
 
 def test_suffix_dedup_long_text_in_pieces(spark, monkeypatch):
