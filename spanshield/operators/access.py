@@ -68,10 +68,12 @@ def drop_loopback(log: DataFrame, host_col: str = "host") -> DataFrame:
     return log.where(~is_loopback(F.col(host_col)))
 
 
-def split_inspected(msgs: DataFrame, body_col: str = "body") -> DataFrame:
+def split_inspected(msgs: DataFrame, body_col: str = "body", max_body_bytes: int | None = MAX_BODY_BYTES) -> DataFrame:
     """Flags used to route a message: inspected target, streaming request, and ``rejected``: an
-    inspected body over the 10 MB limit is refused (never passed on unscanned), all others are scanned."""
-    return msgs.withColumn("rejected", F.col("inspected") & F.coalesce(F.octet_length(body_col) > MAX_BODY_BYTES, F.lit(False))) \
+    inspected body over ``max_body_bytes`` (10 MB; None: no limit) is refused, never passed on unscanned;
+    all others are scanned."""
+    over = F.lit(False) if max_body_bytes is None else F.coalesce(F.octet_length(body_col) > max_body_bytes, F.lit(False))
+    return msgs.withColumn("rejected", F.col("inspected") & over) \
         .withColumn("streaming", F.col(body_col).contains(STREAM_MARKER)) \
         .withColumn("scan", F.col("inspected") & ~F.col("rejected"))
 

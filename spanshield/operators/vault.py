@@ -2,8 +2,8 @@
 
 The vault is a table ``core, session_key, value, stored_at, last_access`` (``session_key`` null
 = the global scope). Building and upserting are hash aggregations on ``core`` (partial
-aggregation map-side); restoration is an equi-join of the *distinct* cores found in replies
-against the vault, so only referenced vault rows move.
+aggregation map-side); ``vault_store`` keeps it as a persistent table. Restoration joins the cores
+found in replies with the vault; replies without a token pass by.
 """
 
 from __future__ import annotations
@@ -153,7 +153,7 @@ def detokenize(replies: DataFrame, vault: DataFrame | tuple[DataFrame, DataFrame
 
 
 def vault_collisions(entries: DataFrame) -> DataFrame:
-    """Cores that stand for more than one value (24-bit tokens collide)."""
+    """Cores that stand for more than one value (only short tokens, as the 6-digit form, collide in practice)."""
     return (entries.groupBy("core")
             .agg(F.countDistinct("value").alias("n_values"), F.countDistinct("hash").alias("n_hashes"))
             .where(F.col("n_values") > 1))
