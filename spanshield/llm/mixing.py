@@ -3,8 +3,10 @@
 Every row gets a hash-random key. Within a source, rows are ordered by that key; the key space is
 cut into equal ranges (the keys are uniform, so the ranges are even without sampling and the same
 on every run), each range is sorted on its own, and a running sum inside the range plus the total
-of the ranges before it is the source's prefix sum. The mix takes whole epochs of a source and, of
-one more pass, the rows up to the exact budget; the row at the cut gives the words that are left.
+of the ranges before it is the source's prefix sum. Rows of one id share a key: a range that holds
+many more rows than its share is cut further, by a hash of the whole row. The mix takes whole epochs
+of a source and, of one more pass, the rows up to the exact budget; the row at the cut gives the
+words that are left.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql.window import Window
 from .shared import WORD_PATTERN, materialize, word_count
 
 ROWS_PER_RANGE = 4096
+HOT = 8  # a range with so many times its share of rows is cut
 
 
 def source_targets(totals: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
@@ -54,10 +57,14 @@ def mix(rows: DataFrame, size: Column, *, id_col: str = "doc_id", source_col: st
 
     Nulls: a null source is a source of its own, a null id sorts as the empty string, a null size
     is 0. Rows without words take 0. Repeated rows are separate rows. Ties of the key are ordered
-    by id, then size; rows equal in all three are interchangeable. An empty table gives no rows.
+    by id, then size; rows equal in all three are interchangeable. Where null or repeated ids fill a
+    range, a hash of the row comes before the key; only rows equal in every column then stay together
+    (map and variant columns have no hash and do not count). An empty table gives no rows.
     """
     keep = [c for c in rows.columns if c not in ("size", "source_size", "target", "taken")]
+    hashed = [F.col(f"`{c}`") for c in keep if not any(t in rows.schema[c].dataType.simpleString() for t in ("map<", "variant"))]
     base = rows.select(
+        F.xxhash64(F.lit(f"{seed}-row"), *hashed).alias("h"),
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
         F.coalesce(size, F.lit(0)).cast("long").alias("size"),
         F.col(source_col).isNull().cast("int").alias("s_null"),
@@ -65,23 +72,32 @@ def mix(rows: DataFrame, size: Column, *, id_col: str = "doc_id", source_col: st
         F.col(id_col).alias("id"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key"))
     draw = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    narrow = materialize(base.select("s_null", "s", "size", draw.alias("draw")), "mix-sizes")
+    narrow = materialize(base.select("s_null", "s", "size", "h", draw.alias("draw")), "mix-sizes")
     totals = narrow.groupBy("s_null", "s").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     n_ranges = F.ceil(F.col("n") / F.lit(rows_per_range)).cast("long")
     targets = materialize(source_targets(totals, weights, share, max_epochs).withColumn("n_ranges", n_ranges), "mix-targets")
     cut = (F.col("draw") * F.col("n_ranges")).bitwiseAND(F.lit((1 << 62) - 1))
-    in_range = F.shiftright(cut, 32)
+    range_of = ["s_null", "s", "range"]
 
-    ranges = (narrow.join(targets.select("s_null", "s", "n_ranges"), ["s_null", "s"])
-              .groupBy("s_null", "s", in_range.alias("range")).agg(F.sum("size").alias("range_size")))
-    earlier = Window.partitionBy("s_null", "s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    def ranged(df: DataFrame) -> DataFrame:
+        met = df.join(targets.select("s_null", "s", "n_ranges"), ["s_null", "s"])
+        return met.withColumn("range", F.shiftright(cut, 32)).drop("n_ranges", "draw")
+
+    hot = (ranged(narrow).groupBy(*range_of).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT * rows_per_range)
+           .select(*range_of, F.ceil(F.col("rows") / F.lit(rows_per_range)).cast("long").alias("slices")))
+    hot = materialize(hot, "mix-hot")  # no rows where ids are unique
+
+    def sliced(df: DataFrame) -> DataFrame:
+        slice_ = F.coalesce(F.pmod(F.col("h"), F.col("slices")), F.lit(0).cast("long"))
+        return ranged(df).join(hot, range_of, "left").withColumn("slice", slice_).drop("slices", "h")
+
+    ranges = sliced(narrow).groupBy(*range_of, "slice").agg(F.sum("size").alias("range_size"))
+    earlier = Window.partitionBy("s_null", "s").orderBy("range", "slice").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))).drop("range_size")
-    ranges = ranges.join(targets, ["s_null", "s"])
+    ranges = ranges.join(targets.drop("n_ranges"), ["s_null", "s"])
 
-    placed = (base.withColumn("draw", draw).join(targets.select("s_null", "s", "n_ranges"), ["s_null", "s"])
-              .withColumn("range", in_range).drop("n_ranges", "draw")
-              .join(ranges, ["s_null", "s", "range"]))
-    upto = (Window.partitionBy("s_null", "s", "range").orderBy("key", "id", "size")
+    placed = sliced(base.withColumn("draw", draw)).join(ranges, [*range_of, "slice"])
+    upto = (Window.partitionBy(*range_of, "slice").orderBy("key", "id", "size")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     before = F.col("start") + F.sum("size").over(upto) - F.col("size")
     budget = F.floor("target").cast("long")
