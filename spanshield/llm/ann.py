@@ -12,8 +12,6 @@ find fewer than k points within the radius are answered by an exact scan in bloc
 
 from __future__ import annotations
 
-import itertools
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize, scratch_dir
+from .shared import materialize
 
 SUBSTRINGS = 8
 WIDTH = 64 // SUBSTRINGS
@@ -30,6 +28,7 @@ SAMPLE = 10_000
 SAMPLE_QUERIES = 256
 BLOCK = 4096
 SCAN_QUERIES = 1024
+SCAN_POINTS = 65_536
 FLUSH = 400_000
 
 
@@ -144,12 +143,9 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "
     per_point = found.join(members, F.col("other") == F.col("point")).groupBy("asker").count()
     short = wanted.join(per_point, F.col("point") == F.col("asker"), "left").where(
         F.coalesce("count", F.lit(0)) < min(k + 1, n_members)).select("point", "vec")
-    short = materialize(short, "ann-short").toLocalIterator()
-    scanned = f"{scratch_dir(spark)}/ann-scan-{uuid.uuid4().hex}"  # one table, however many blocks of queries
-    found.limit(0).write.parquet(scanned)
-    while chunk := list(itertools.islice(short, SCAN_QUERIES)):
-        _scan(coded, chunk, k + 1, dim).write.mode("append").parquet(scanned)
-    found = found.unionByName(spark.read.schema(found.schema).parquet(scanned))
+    short = materialize(short, "ann-short")
+    scanned = materialize(_scan(coded, short, short.count(), n_points, k + 1, dim), "ann-scan")
+    found = found.unionByName(scanned)
 
     nearest = Window.partitionBy("asker").orderBy("far", "other")
     best = found.distinct().withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1)
@@ -227,18 +223,41 @@ def _probe(coded: DataFrame, wanted: DataFrame, radius: int, k: int, dim: int) -
     return dealt.mapInPandas(match, "asker long, other long, far double")
 
 
-def _scan(coded: DataFrame, asked: list, k: int, dim: int) -> DataFrame:
-    """Exact: each partition's k nearest points of each of at most SCAN_QUERIES queries."""
-    ids = np.array([r["point"] for r in asked], np.int64)
-    ask = np.array([r["vec"] for r in asked]).reshape(-1, dim)
+def _scan(coded: DataFrame, asked: DataFrame, n_asked: int, n_points: int, k: int, dim: int) -> DataFrame:
+    """Exact: the k nearest points of every query in each block of points. Queries are dealt into packs
+    and points into blocks; a pack meets a block in one task, so one plan serves any number of either."""
+    packs, blocks = -(-n_asked // SCAN_QUERIES), -(-n_points // SCAN_POINTS)
+    if not n_asked:
+        return coded.sparkSession.createDataFrame([], "asker long, other long, far double")
+    pack = F.pmod(F.xxhash64("point", F.lit("pack")), F.lit(packs)).cast("int")
+    block = F.pmod(F.xxhash64("point", F.lit("block")), F.lit(blocks)).cast("int")
+    asks = asked.select(pack.alias("pack"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), "point", "vec")
+    points = coded.select(F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("pack"), block.alias("block"), F.lit(1).alias("kind"), "point", "vec")
+    dealt = asks.unionByName(points).repartition("pack", "block").sortWithinPartitions("pack", "block", "kind", "point")
 
     def scan(batches):
-        for b in batches:
-            x, p = np.array(b["vec"].tolist()).reshape(-1, dim), b["point"].to_numpy()
-            parts = []
-            for i in range(len(ids)):
-                far = np.sqrt(((x - ask[i]) ** 2).sum(axis=1))
-                parts.append(_top(np.full(len(p), ids[i]), p, far, k))
-            yield pd.DataFrame(dict(zip(("asker", "other", "far"), map(np.concatenate, zip(*parts)))))
-
-    return coded.select("point", "vec").mapInPandas(scan, "asker long, other long, far double")
+        names = ("asker", "other", "far")
+        held, ids, vecs, best = None, [], [], []
+        for batch in batches:
+            done = []
+            for (p, b, kind), g in batch.groupby(["pack", "block", "kind"], sort=True):
+                x, point = np.array(g["vec"].tolist()).reshape(-1, dim), g["point"].to_numpy()
+                if held != (p, b):
+                    done += best
+                    held, ids, vecs, best = (p, b), [], [], []
+                if not kind:  # the queries of a pack come first; they go on in the next batch at times
+                    ids.append(point)
+                    vecs.append(x)
+                    continue
+                asker, ask = np.concatenate([np.empty(0, np.int64), *ids]), np.vstack([np.empty((0, dim)), *vecs])
+                for i in range(len(asker)):
+                    far = np.sqrt(((x - ask[i]) ** 2).sum(axis=1))
+                    best.append(_top(np.full(len(point), asker[i]), point, far, k))
+                if best:
+                    best = [_top(*map(np.concatenate, zip(*best)), k)]
+            if done:
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*done)))))
+        if best:
+            yield pd.DataFrame(dict(zip(names, best[0])))
+
+    return dealt.mapInPandas(scan, "asker long, other long, far double")

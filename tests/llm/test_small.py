@@ -101,6 +101,28 @@ def test_extra_columns_come_through_the_mix(spark):
     check_clash(mixing.emit_mix(docs), rows)
 
 
+@pytest.mark.parametrize("one_id", [None, 7])
+def test_mixing_cuts_a_range_that_one_id_fills(spark, monkeypatch, one_id):
+    seen, write = [], mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: seen.append(write(df, name)) or seen[-1] if name == "mix-hot" else write(df, name))
+    rows = [(one_id, "a", f"text {i}", i % 9, {"k": i}) for i in range(400)] + [(1000 + i, "b", "x", 5, None) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, w int, extra map<string,int>")
+    mixed = mixing.mix(df, F.col("w"), rows_per_range=4)
+    got = mixed.collect()
+    assert Counter((r["doc_id"], r["text"], r["extra"] and r["extra"]["k"]) for r in got) == Counter((r[0], r[2], r[4] and r[4]["k"]) for r in rows)
+    for source in "ab":
+        own = [r for r in got if r["source"] == source]
+        assert sum(r["size"] for r in own) == own[0]["source_size"]
+        assert sum(r["taken"] for r in own) == math.floor(own[0]["target"])
+        assert all(0 <= r["taken"] <= 2 * r["size"] for r in own)
+        assert sum(0 < r["taken"] % r["size"] for r in own if r["size"]) <= 1
+    again = mixing.mix(df.repartition(3, "text"), F.col("w"), rows_per_range=4).collect()
+    key = lambda r: (r["source"], r["text"], r["doc_id"] or 0, r["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    hot = {r["s"]: r["slices"] for r in seen[0].collect()}
+    assert hot == {"a": 100}  # the one id's rows in 100 slices; unique ids are not cut
+
+
 def test_mixing_empty(empty):
     assert mixing.mix(empty, word_count(F.col("text"))).count() == 0
 
@@ -344,6 +366,27 @@ def test_ann(spark):
     assert set(got.query_id) == {int(i) for i in ids if i % 100 == 0} and hit / total >= 0.9
 
 
+def test_ann_scan_in_packs_and_blocks_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SCAN_QUERIES", 7)
+    monkeypatch.setattr(ann, "SCAN_POINTS", 90)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 5)).round(1)
+    coded = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "point long, vec array<double>, code long")
+    asked = coded.where("point % 20 = 0").select("point", "vec")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = ann._scan(coded, asked, 30, 600, 4, 5).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not got.duplicated(["asker", "other"]).any()
+    for q in range(0, 600, 20):
+        far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        want = sorted(zip(far, range(600)))[:4]
+        own = got[got.asker == q].sort_values(["far", "other"])[:4]
+        assert list(zip(own["far"], own["other"])) == want
+    assert ann._scan(coded, asked.limit(0), 0, 600, 4, 5).count() == 0
+
+
 def test_ann_few_vectors_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>")
     got = ann.search(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect()
