@@ -9,9 +9,10 @@ Two steps, so that only byte buffering is stateful:
 2. the segments go through the batch restore (D5), segment by segment; their concatenation is
    exactly D5 applied to the whole reply.
 
-Batch form: hash-partition by stream, sort by seq, one ``mapInPandas`` pass (no stream is
-collected whole). The streaming form (``streaming.streams.stream_detokenize``) keeps the same
-buffer in per-stream state.
+Batch form: chunks that lie side by side are put together where they are read, then hash-partition
+by stream, sort by seq, one pass (no stream is collected whole). So what is moved, sorted and restored
+grows with the text, not with the number of chunks. The streaming form
+(``streaming.streams.stream_segments``) keeps the same buffer in per-stream state.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ import codecs
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanshield import patterns as P
+from spanshield.functions.spans import let
 from spanshield.operators.vault import detokenize
 
 # The reference's size limit of a reply, as an option, and its mark.
@@ -61,7 +65,7 @@ class Segmenter:
         last = text.rfind("[")   # the only form that can be longer than what is held back anyway
         if 0 <= last < cut and _OPEN_RE.match(text, last):
             cut = last
-        if cut > 0:
+        if cut > 0 and "_" in text:   # every form has "_"
             for m in _TOKEN_RE.finditer(text):
                 if m.end() <= cut:
                     continue
@@ -82,31 +86,95 @@ class Segmenter:
         return self.decoder.getstate()[0], self.carry, self.received
 
 
+RUN_BYTES = 16 * 1024  # about so many bytes of neighbouring chunks are put together
+_RUN_SCHEMA = "stream_id long, seq long, last long, chunk binary, sizes binary"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of one stream whose ``seq`` follow each other as one row: their bytes end to end, with the
+    size of each."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        sid, seq = batch.column("stream_id"), batch.column("seq").to_numpy(zero_copy_only=False)
+        ids, no_id = sid.fill_null(0).to_numpy(zero_copy_only=False), sid.is_null().to_numpy(zero_copy_only=False)
+        chunk = batch.column("chunk").cast(pa.binary())
+        chunk = chunk.fill_null(b"") if chunk.null_count else chunk
+        _, offsets, data = chunk.buffers()
+        ends = np.frombuffer(offsets, np.int32)[chunk.offset:chunk.offset + n + 1]
+        begins = np.ones(n, bool)
+        begins[1:] = ((ids[1:] != ids[:-1]) | (no_id[1:] != no_id[:-1]) | (seq[1:] != seq[:-1] + 1)
+                      | (ends[1:-1] // RUN_BYTES != ends[:-2] // RUN_BYTES))
+        first = np.flatnonzero(begins)
+        after = np.append(first[1:], n)
+        cuts = np.append(ends[first], ends[-1:]).astype(np.int32)
+        sizes = np.diff(ends).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [sid.take(pa.array(first)), pa.array(seq[first]), pa.array(seq[after - 1]),
+             pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts), data]),
+             pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.append(first, n) * 4).astype(np.int32)), pa.py_buffer(sizes)])],
+            names=["stream_id", "seq", "last", "chunk", "sizes"])
+
+
+def _in_order(runs: list) -> bytes:
+    """The bytes of runs (seq, chunk, sizes) that share numbers, chunk by chunk in order of ``seq``."""
+    if len(runs) == 1:
+        return runs[0][1]
+    parts = []
+    for seq, chunk, sizes in runs:
+        ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
+        parts += [(seq + i, chunk[begin:end]) for i, (begin, end) in enumerate(zip([0, *ends], ends))]
+    return b"".join(c for _, c in sorted(parts, key=lambda p: p[0]))
+
+
 def segment_chunks(chunks: DataFrame, num_partitions: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """``(stream_id, seq, chunk BINARY)`` -> ``(stream_id, seg, text)`` safe segments."""
     spark = chunks.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = chunks.select("stream_id", "seq", "chunk").repartition(n, "stream_id") \
-        .sortWithinPartitions("stream_id", "seq")
+    ordered = chunks.select(F.col("stream_id").cast("long"), F.col("seq").cast("long"), "chunk").mapInArrow(_runs, _RUN_SCHEMA) \
+        .repartition(n, "stream_id").sortWithinPartitions("stream_id", "seq")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur, seg, segmenter = None, 0, None
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cur, seg, segmenter, held, upto = None, 0, None, [], None
+        for batch in batches:
             out = []
-            for sid, chunk in zip(pdf["stream_id"].tolist(), pdf["chunk"].tolist()):
-                if sid != cur:
+
+            def take():
+                nonlocal seg, held
+                if held:
+                    text = segmenter.feed(_in_order(held))
+                    if text:
+                        out.append((cur, seg, text))
+                        seg += 1
+                held = []
+
+            for sid, seq, last, chunk, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                if segmenter is None or sid != cur:
                     if segmenter is not None:
+                        take()
                         out.append((cur, seg, segmenter.finish()))
-                    cur, seg, segmenter = sid, 0, Segmenter(max_bytes=max_bytes)
-                text = segmenter.feed(bytes(chunk) if chunk is not None else b"")
-                if text:
-                    out.append((cur, seg, text))
-                    seg += 1
-            yield pd.DataFrame(out, columns=["stream_id", "seg", "text"])
+                    cur, seg, segmenter, upto = sid, 0, Segmenter(max_bytes=max_bytes), last
+                elif seq > upto:   # no later run can hold a chunk from before this one
+                    take()
+                held.append((seq, chunk, sizes))
+                upto = max(upto, last)
+            yield _segments(out)
         if segmenter is not None:
-            yield pd.DataFrame([(cur, seg, segmenter.finish())], columns=["stream_id", "seg", "text"])
+            out = []
+            take_last = segmenter.feed(_in_order(held)) if held else ""
+            if take_last:
+                out.append((cur, seg, take_last))
+                seg += 1
+            yield _segments([*out, (cur, seg, segmenter.finish())])
+
+    return ordered.mapInArrow(run, SEGMENT_SCHEMA)
+
 
-    return ordered.mapInPandas(run, SEGMENT_SCHEMA)
+def _segments(rows: list) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())],
+                                      names=["stream_id", "seg", "text"])
 
 
 def restore_segments(segments: DataFrame, sessions: DataFrame, vault: DataFrame, unknown=P.REDACTED) -> DataFrame:
@@ -131,12 +199,21 @@ def detokenize_stream(chunks: DataFrame, sessions: DataFrame, vault: DataFrame)
     return joined(restore_segments(segment_chunks(chunks), sessions, vault))
 
 
-def split_into_chunks(replies: DataFrame, id_col: str = "msg_id", body_col: str = "body") -> DataFrame:
+def chunk_size(id_col: str = "msg_id") -> Column:
+    return (F.abs(F.col(id_col)) % 13 + 1).cast("int")
+
+
+def chunk_count(id_col: str = "msg_id", body_col: str = "body") -> Column:
+    """Into how many chunks ``split_into_chunks`` cuts a reply."""
+    return F.greatest(F.ceil(F.octet_length(body_col) / chunk_size(id_col)), F.lit(1)).cast("int")
+
+
+def split_into_chunks(replies: DataFrame, id_col: str = "msg_id", body_col: str = "body", keep=()) -> DataFrame:
     """Cut each reply's UTF-8 bytes into chunks of 1..13 bytes (varying by stream), so chunk edges
-    fall inside multi-byte characters and tokens."""
-    data = F.encode(F.col(body_col), "UTF-8")
-    size = (F.abs(F.col(id_col)) % 13 + 1).cast("int")
-    n = F.greatest(F.ceil(F.octet_length(data) / size), F.lit(1)).cast("int")
-    offs = F.sequence(F.lit(0), n - 1)
-    parts = F.transform(offs, lambda i: F.substring(data, i * size + 1, size))
-    return replies.select(F.col(id_col).alias("stream_id"), F.posexplode(parts).alias("seq", "chunk"))
+    fall inside multi-byte characters and tokens. Columns in ``keep`` go with each chunk.
+
+    The bytes are made once a reply, not once a chunk."""
+    size = chunk_size(id_col)
+    parts = let(F.encode(F.col(body_col), "UTF-8"), lambda data: F.transform(
+        F.sequence(F.lit(0), chunk_count(id_col, body_col) - 1), lambda i: F.substring(data, i * size + 1, size)))
+    return replies.select(F.col(id_col).alias("stream_id"), *keep, F.posexplode_outer(parts).alias("seq", "chunk"))

@@ -1059,8 +1059,9 @@ from spanshield.operators import stream_restore as SR  # noqa: E402
 @register("d7_detokenize_stream", _detok_sql(True))
 def d7_detokenize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies cut into 1..13-byte chunks and restored as a stream; equals D5 on the whole reply."""
-    rep = replies(spark, sf_dir)
-    vault = V.build_vault(vault_entries(spark, sf_dir))
+    tokenized = tokenized_table(spark, sf_dir)
+    rep = replies_of(tokenized)
+    vault = V.build_vault(V.token_entries(tokenized))
     chunks = SR.split_into_chunks(rep)
     sessions = rep.select(F.col("msg_id").alias("stream_id"), "session_key")
     return SR.detokenize_stream(chunks, sessions, vault).select(F.col("stream_id").alias("msg_id"), "restored")

@@ -124,10 +124,9 @@ def s5_stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reply_chunks(replies: DataFrame) -> DataFrame:
     """Replies (msg_id, body, ts) in chunks a millisecond apart; of those whose id 4 divides none is
     marked as the last."""
-    chunks = SR.split_into_chunks(replies).join(replies.select(F.col("msg_id").alias("stream_id"), "ts"), "stream_id")
-    last = chunks.groupBy("stream_id").agg(F.max("seq").alias("last"))
-    return chunks.join(last, "stream_id").select(
-        "stream_id", "seq", "chunk", ((F.col("seq") == F.col("last")) & (F.pmod("stream_id", F.lit(4)) != 0)).alias("fin"),
+    chunks = SR.split_into_chunks(replies.withColumn("_last", SR.chunk_count() - 1), keep=("ts", "_last"))
+    return chunks.select(
+        "stream_id", "seq", "chunk", ((F.col("seq") == F.col("_last")) & (F.pmod("stream_id", F.lit(4)) != 0)).alias("fin"),
         (F.col("ts") + F.make_dt_interval(secs=F.col("seq") / F.lit(1000.0))).alias("ts"))
 
 

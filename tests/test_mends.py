@@ -184,3 +184,28 @@ def test_every_item_of_a_long_message_is_judged(spark):
     answers = requests.select("prompt_hash", F.lit("0,1,0,1,0,1,0,1,0,1").alias("raw"))
     kept = verdict.apply_verdicts(dets, requests, verdict.parse_verdicts(answers)).where("msg_id = 1").orderBy("ord").collect()
     assert [r["keep"] for r in kept] == [i % 10 % 2 == 1 for i in range(23)]
+
+
+def test_d7_segments_grow_with_the_text_not_with_the_chunks(spark):
+    from spanshield.operators import stream_restore as SR
+    texts = {1: "x" * 20_000 + "[KEY_00000000000000aa]" + "я" * 50, 2: "", 13: "я [KEY_0000000000", None: "ab"}
+    rep = spark.createDataFrame([(i, t) for i, t in texts.items() if i is not None], "msg_id long, body string")
+    chunks = SR.split_into_chunks(rep)
+    assert chunks.count() == sum(max(1, -(-len(t.encode()) // (i % 13 + 1))) for i, t in texts.items() if i is not None)
+    more = spark.createDataFrame([(None, 0, bytearray(b"a")), (None, 1, bytearray(b"b"))], "stream_id long, seq int, chunk binary")
+    got = SR.segment_chunks(chunks.unionByName(more).repartition(5)).collect()
+    ordered = SR.segment_chunks(chunks.coalesce(1)).collect()
+    for rows, want in ((got, texts), (ordered, {i: t for i, t in texts.items() if i is not None})):
+        text = {}
+        for r in sorted(rows, key=lambda r: (str(r.stream_id), r.seg)):
+            text[r.stream_id] = text.get(r.stream_id, "") + r.text
+        assert text == want
+    assert len(ordered) <= 12  # 10,000 chunks of two bytes were as many segments
+
+
+def test_d7_repeated_chunk_numbers_keep_their_order(spark):
+    from spanshield.operators import stream_restore as SR
+    rows = [(7, i, bytearray(str(i).encode())) for i in range(6)]
+    one = spark.createDataFrame(rows, "stream_id long, seq int, chunk binary").coalesce(1)
+    got = SR.segment_chunks(one.union(one), max_bytes=11).orderBy("seg").collect()
+    assert "".join(r.text for r in got) == "00112233445[truncated]"
