@@ -5,9 +5,9 @@ operator gives over the same rows.
 
 * S1 is stateless. S2 and S3 are event-time windows; S2's tick total is a second aggregation over
   the first. A zone-less ``TIMESTAMP_NTZ`` event time is read as UTC.
-* S4 and S5 hold rows in typed list state until the watermark has passed them and fold them in time
-  order then, whatever the order they came in; the fold's state is a typed value that an event-time
-  timer removes as soon as no later row can need it.
+* S4 and S5 hold rows in list state, in blocks, until the watermark has passed them and fold them in
+  time order then, whatever the order they came in. Keys share buckets; an event-time timer removes a
+  key's state as soon as no later row can need it.
 * S6 keeps a stream's bytes and the chunks that came too early in typed state. A last mark ends it,
   or a timer once the stream has been silent for ``idle``. Segments meet the vault in a
   stream-static join inside ``foreachBatch``.
@@ -21,6 +21,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,59 +81,102 @@ def stream_usage(log: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 
 # --- S4, S5: folds in event time -----------------------------------------------------------------
+BUCKETS = 1024  # state keys of an ordered fold, fixed for a query's life
+ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string(), T.BooleanType(): pa.bool_()}
+_BLOCK = T.StructType([T.StructField("block", T.BinaryType())])
+_ALARM = T.StructType([T.StructField("ms", T.LongType())])
+
+
+def _arrow_schema(schema: T.StructType) -> pa.Schema:
+    return pa.schema([(f.name, ARROW[f.dataType]) for f in schema])
+
+
+def _packed(table: pa.Table) -> tuple[bytes]:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(blocks, schema: pa.Schema) -> pa.Table:
+    tables = [pa.ipc.open_stream(bytes(b[0])).read_all() for b in blocks]
+    return pa.concat_tables(tables) if tables else schema.empty_table()
+
+
 class OrderedFold(StatefulProcessor):
-    """Holds a key's rows until the watermark has passed them, then folds them in order.
+    """Holds rows until the watermark has passed them, then folds those of each key in order.
 
-    ``rows`` are (at, id, ...) with ``at`` in microseconds. ``step(state, row)`` gives the next state
-    (a tuple of the state schema, or None for none) and an output row or None. ``ends(state)`` says
-    from which instant on the state makes no difference any more (None: never)."""
+    The state's key is a bucket of many keys: calls to the state store, which cost the same whatever
+    they carry, are made once a bucket and micro-batch, not once a key. Rows are (at, id, ...) with
+    ``at`` in microseconds, ``key_of(row)`` is a row's key (a tuple of ``key_schema``).
+    ``step(state, row)`` gives the key's next state (a tuple of the state schema, or None for none) and
+    an output row or None. ``ends(state)`` says from which instant on the state makes no difference
+    any more (None: never)."""
 
-    def __init__(self, row_schema: T.StructType, state_schema: T.StructType, out_cols: list[str], step: Callable, ends: Callable):
-        self.row_schema, self.state_schema, self.out_cols, self.step, self.ends = row_schema, state_schema, out_cols, step, ends
+    def __init__(self, row_schema: T.StructType, key_schema: T.StructType, state_schema: T.StructType, out_cols: list[str],
+                 key_of: Callable, step: Callable, ends: Callable):
+        self.rows, self.n_key = _arrow_schema(row_schema), len(key_schema)
+        self.kept = pa.schema([*[f.with_name(f"key_{f.name}") for f in _arrow_schema(key_schema)], *_arrow_schema(state_schema)])
+        self.out_cols, self.key_of, self.step, self.ends = out_cols, key_of, step, ends
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.row_schema)
-        self.state = handle.getValueState("state", self.state_schema)
+        self.held = handle.getListState("held", _BLOCK)
+        self.states = handle.getListState("states", _BLOCK)
+        self.alarm = handle.getValueState("alarm", _ALARM)
+
+    def _wake(self, at: int, known: int | None) -> None:
+        """A timer at the instant ``at``, unless an earlier one is set."""
+        ms = -(-at // 1000)
+        if known is None or ms < known:
+            self.handle.registerTimer(ms)
+            self.alarm.update((ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for pdf in rows:
-            columns = []
-            for f in self.row_schema:  # a column of numbers with nulls comes as floats
-                kind = int if isinstance(f.dataType, T.LongType) else bool if isinstance(f.dataType, T.BooleanType) else str
-                columns.append([None if pd.isna(v) else kind(v) for v in pdf[f.name].tolist()])
-            new = list(zip(*columns))
-            self.held.appendList(new)
-            least = min(r[0] for r in new)
-            first = least if first is None else min(first, least)
-        self.handle.registerTimer(-(-first // 1000))
+        tables = [pa.Table.from_arrays([pa.array(pdf[f.name], from_pandas=True).cast(f.type) for f in self.rows], schema=self.rows)
+                  for pdf in rows if len(pdf)]
+        if tables:
+            new = pa.concat_tables(tables)
+            self.held.appendValue(_packed(new))
+            known = self.alarm.get()
+            self._wake(pc.min(new["at"]).as_py(), known[0] if known is not None else None)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((tuple(r) for r in self.held.get()), key=lambda r: r[:2])
-        ready = [r for r in held if r[0] <= passed]
-        state = tuple(self.state.get()) if self.state.exists() else None
+        known = self.alarm.get()
+        passed = timerValues.getCurrentWatermarkInMs()
+        if known is None or known[0] > passed:   # the rows of this timer went with an earlier one
+            return
+        passed *= 1000
+        held = _unpacked(self.held.get(), self.rows)
+        due = pc.less_equal(held["at"], passed)
+        ready = held.filter(due).sort_by([("at", "ascending"), (self.rows.names[1], "ascending")])
+        rest = held.filter(pc.invert(due))
+        states = {row[:self.n_key]: row[self.n_key:]
+                  for row in zip(*(c.to_pylist() for c in _unpacked(self.states.get(), self.kept).columns))}
         out = []
-        for row in ready:
-            state, emitted = self.step(state, row)
+        for row in zip(*(c.to_pylist() for c in ready.columns)):
+            k = self.key_of(row)
+            state, emitted = self.step(states.get(k), row)
+            if state is None:
+                states.pop(k, None)
+            else:
+                states[k] = state
             if emitted is not None:
                 out.append(emitted)
-        rest = held[len(ready):]
-        if ready:
-            self.held.put(rest) if rest else self.held.clear()
-        end = None if state is None else self.ends(state)
-        if state is not None and end is not None and end <= passed and not rest:
-            state = None
-        if state is not None:
-            self.state.update(state)
-        elif self.state.exists():
-            self.state.clear()
-        if rest:
-            self.handle.registerTimer(-(-rest[0][0] // 1000))
-        elif state is not None and end is not None:
-            self.handle.registerTimer(-(-end // 1000))
+        ends = {k: self.ends(state) for k, state in states.items()}
+        live = [(*k, *state) for k, state in states.items() if ends[k] is None or ends[k] > passed]
+        if ready.num_rows:
+            self.held.put([_packed(rest)]) if rest.num_rows else self.held.clear()
+        if live:
+            self.states.put([_packed(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*live), self.kept)], schema=self.kept))])
+        elif states or ends:
+            self.states.clear()
+        self.alarm.clear()
+        later = [e for e in ends.values() if e is not None and e > passed]
+        later += [pc.min(rest["at"]).as_py()] if rest.num_rows else []
+        if later:
+            self._wake(min(later), None)
         if out:
             yield pd.DataFrame(out, columns=self.out_cols)
 
@@ -139,42 +184,45 @@ class OrderedFold(StatefulProcessor):
         pass
 
 
-def _ordered(df: DataFrame, keys: list[str], rows: str, state: str, out: str, step: Callable, ends: Callable,
-             watermark: str) -> DataFrame:
-    """``df`` has ``keys``, ``ts`` and the columns of ``rows`` (a schema) but for ``at``, which is made here."""
-    kept = T.StructType.fromDDL(rows)
+def _ordered(df: DataFrame, keys: str, rows: str, state: str, out: str, key_of: Callable, step: Callable, ends: Callable,
+             watermark: str, buckets: int = BUCKETS) -> DataFrame:
+    """``df`` has ``ts``, the columns of ``keys`` and of ``rows`` (schemas) but for ``at``, which is made here.
+    A row without a time is never passed by a watermark: it is not held."""
+    kept, key = T.StructType.fromDDL(rows), T.StructType.fromDDL(keys)
     timed = (df.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("at", F.unix_micros("ts"))
-             .withWatermark("ts", watermark))
+             .where(F.col("at").isNotNull()).withWatermark("ts", watermark))
     names = [c.strip().split()[0] for c in out.split(",")]
-    timed = timed.select("ts", *dict.fromkeys([*keys, *kept.fieldNames()]))
-    return timed.groupBy(*keys).transformWithStateInPandas(
-        OrderedFold(kept, T.StructType.fromDDL(state), names, step, ends), out, "append", "eventTime")
+    bucket = F.pmod(F.xxhash64(*key.fieldNames()), F.lit(buckets)).cast("int").alias("bucket")
+    return timed.select("ts", bucket, *kept.fieldNames()).groupBy("bucket").transformWithStateInPandas(
+        OrderedFold(kept, key, T.StructType.fromDDL(state), names, key_of, step, ends), out, "append", "eventTime")
 
 
 DAY_US = 86_400 * 1_000_000
+NO_LIMIT = 2**63 - 1
 _LIMITS = ("quota_req_day", "quota_tok_in", "quota_tok_out", "quota_bytes_in", "quota_bytes_out")
 
 
 def stream_admission(log: DataFrame, users: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Quota admission (G8) per (user, UTC day); the running usage is gone once the day is over.
 
-    A null amount counts 0. ``users`` is static and joined before the state."""
+    A null amount counts 0, a null limit is the largest number. ``users`` is static and joined before the state."""
     amounts = ("tok_in", "tok_out", "bytes_in", "bytes_out")
     d = FO.admission_input(log.withColumn("ts", F.col("ts").cast("timestamp")), users)
-    d = d.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in amounts})
+    d = d.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in amounts}
+                      | {c: F.coalesce(F.col(c), F.lit(NO_LIMIT).cast("long")) for c in _LIMITS})
     rows = "at long, req_id long, user_id string, " + ", ".join(f"{c} long" for c in (*amounts, *_LIMITS))
 
     def step(state, row):
         at, req_id, user_id, *numbers = row
         used, delta, limits = (state or (0,) * 5 + (0,))[:5], (1, *numbers[:4]), numbers[4:]
         day = at // DAY_US
-        ok = all(most is None or a + b <= most for a, b, most in zip(used, delta, limits))
+        ok = all(a + b <= most for a, b, most in zip(used, delta, limits))
         if ok:
             used = tuple(int(a + b) for a, b in zip(used, delta))
         return (*used, day), (req_id, user_id, pd.Timestamp(day * DAY_US, unit="us").date(), ok)
 
-    return _ordered(d, ["user_id", "day"], rows, "req long, tok_in long, tok_out long, bytes_in long, bytes_out long, day long",
-                    FO.ADMISSION_SCHEMA, step, lambda state: (state[5] + 1) * DAY_US, watermark)
+    return _ordered(d, "user_id string, day long", rows, "req long, tok_in long, tok_out long, bytes_in long, bytes_out long, day_no long",
+                    FO.ADMISSION_SCHEMA, lambda row: (row[2], row[0] // DAY_US), step, lambda state: (state[5] + 1) * DAY_US, watermark)
 
 
 def stream_lockout(attempts: DataFrame, key_col: str = "username", max_fails: int = FO.USER_MAX_FAILS,
@@ -195,8 +243,8 @@ def stream_lockout(attempts: DataFrame, key_col: str = "username", max_fails: in
             return (0, at + lock), (attempt_id, key, "locked", pd.Timestamp(at + lock, unit="us"))
         return (fails + 1, None), (attempt_id, key, "fail", None)
 
-    return _ordered(d, ["key"], "at long, attempt_id long, key string, ok boolean", "fails int, until long",
-                    FO.LOCKOUT_SCHEMA, step, lambda state: state[1] if state[0] == 0 else None, watermark)
+    return _ordered(d, "key string", "at long, attempt_id long, key string, ok boolean", "fails int, until long",
+                    FO.LOCKOUT_SCHEMA, lambda row: (row[2],), step, lambda state: state[1] if state[0] == 0 else None, watermark)
 
 
 def stream_throttle(events: DataFrame, key_col: str, id_col: str = "event_id",
@@ -212,7 +260,7 @@ def stream_throttle(events: DataFrame, key_col: str, id_col: str = "event_id",
             return (at,), (event_id, key, pd.Timestamp(at, unit="us"))
         return state, None
 
-    return _ordered(d, ["key"], "at long, event_id long, key string", "last long", FO.THROTTLE_SCHEMA, step,
+    return _ordered(d, "key string", "at long, event_id long, key string", "last long", FO.THROTTLE_SCHEMA, lambda row: (row[2],), step,
                     lambda state: state[0] + window, watermark)
 
 

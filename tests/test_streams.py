@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanshield.operators import audit as AU
@@ -96,6 +97,17 @@ def test_s4_state_is_gone_after_the_day(own, spark):
     assert max(held) > 20 and held[-1] <= 4, held
 
 
+def test_s4_state_calls_go_by_bucket_not_by_user(own, spark):
+    log = derived.request_log(spark, SC_DIR).where("ts < '2024-01-03'").limit(8000 // 10)
+    log = log.crossJoin(spark.range(10 * S.BUCKETS // log.count() + 1).toDF("k")).withColumn(
+        "user_id", F.concat(F.lit("w"), F.row_number().over(Window.orderBy("req_id", "k")).cast("string"))).drop("k")
+    end = log.limit(1).withColumn("ts", F.lit(END).cast(log.schema["ts"].dataType))
+    users = own.createDataFrame([("nobody", *[None] * 5)], "id string, " + ", ".join(f"{c} long" for c in S._LIMITS))
+    out = S.stream_admission(batches(own, [log, end], "s4b"), users, watermark="1 hour")
+    assert log.count() >= 10 * S.BUCKETS
+    assert max(state_rows(own, out, "s4b")) <= 6 * S.BUCKETS   # one entry a row and two a timer of each user before
+
+
 def test_s5_over_shuffled_batches(spark, own):
     att = derived.login_attempts(spark, SC_DIR).withColumn("ok", F.col("attempt_id") % 5 == 0)
     rows = [tuple(r) for r in att.collect()]
