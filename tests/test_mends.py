@@ -209,3 +209,9 @@ def test_d7_repeated_chunk_numbers_keep_their_order(spark):
     one = spark.createDataFrame(rows, "stream_id long, seq int, chunk binary").coalesce(1)
     got = SR.segment_chunks(one.union(one), max_bytes=11).orderBy("seg").collect()
     assert "".join(r.text for r in got) == "00112233445[truncated]"
+
+
+def test_i3_no_body_is_dealt_out_by_host(spark, sf_dir):
+    from spanshield.plans import catalog as C
+    plan = C.REGISTRY["i3_split_inspected"][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(target" not in plan
