@@ -108,10 +108,14 @@ def vault_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokenized_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokenized messages as a written table, for queries that read it more than once."""
-    path = f"{ensure_checkpoint_dir(spark)}/tokenized-{uuid.uuid4().hex}"
-    t = tokenized_messages(spark, sf_dir).select("msg_id", "session_key", "ts", "detections", "tokenized")
-    t.write.parquet(path)
-    return spark.read.schema(t.schema).parquet(path)
+    return stored(tokenized_messages(spark, sf_dir).select("msg_id", "session_key", "ts", "detections", "tokenized"), "tokenized")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of the shared folder, computed once."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def replies_of(tokenized: DataFrame) -> DataFrame:
@@ -1168,7 +1172,9 @@ def d5_detokenize_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     value comes back, and the body is JSON again."""
     m = json_messages(spark, sf_dir)
     t = JS.tokenize_json(m).select("msg_id", R.session_key(F.col("user_id"), F.col("host")).alias("session_key"), F.col("tokenized").alias("body"))
-    back = V.detokenize(t, V.build_vault(json_entries(spark, sf_dir)), unknown=None, json_bodies=True)
+    # bodies and entries are read more than once below and dear to compute
+    t, entries = stored(t, "json-tokenized"), stored(json_entries(spark, sf_dir), "json-entries")
+    back = V.detokenize(t, V.build_vault(entries), unknown=None, json_bodies=True)
     vals = back.select("msg_id", JS.json_values(F.col("restored")).alias("_v"))
     return explode_spans(vals, "_v", ["msg_id"]).select("msg_id", F.col("_e.ord").alias("value_ord"), F.col("_e.value").alias("value"))
 

@@ -215,3 +215,9 @@ def test_i3_no_body_is_dealt_out_by_host(spark, sf_dir):
     from spanshield.plans import catalog as C
     plan = C.REGISTRY["i3_split_inspected"][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(target" not in plan
+
+
+def test_d5_json_bodies_are_tokenized_once(spark, sf_dir):
+    from spanshield.plans import catalog as C
+    plan = C.REGISTRY["d5_detokenize_json"][0](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents.parquet" not in plan and "sha2" not in plan  # restored from the two written tables
