@@ -59,7 +59,7 @@ def ran(spark: SparkSession, stream: DataFrame, name: str, each: Callable | None
     if each is None:
         writer.format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
-    writer.foreachBatch(lambda batch, epoch: each(batch, epoch).write.mode("overwrite").parquet(f"{out}/batch={epoch}")).start().awaitTermination()
+    writer.foreachBatch(S.kept_batch(lambda batch, epoch: each(batch, epoch).write.mode("overwrite").parquet(f"{out}/batch={epoch}"))).start().awaitTermination()
     return spark.read.parquet(out).drop("batch")
 
 

@@ -271,7 +271,7 @@ class StreamRestorer(StatefulProcessor):
     silent for ``idle_ms`` ends with what has come."""
 
     BUFFER = T.StructType([T.StructField("pending", T.BinaryType()), T.StructField("carry", T.StringType())]
-                          + [T.StructField(c, T.LongType()) for c in ("received", "seg", "next", "last", "due")])
+                          + [T.StructField(c, T.LongType()) for c in ("received", "seg", "next", "last", "due", "waiting")])
     EARLY = T.StructType([T.StructField("seq", T.LongType()), T.StructField("chunk", T.BinaryType())])
 
     def __init__(self, idle_ms: int):
@@ -282,47 +282,56 @@ class StreamRestorer(StatefulProcessor):
         self.buffer = handle.getValueState("buffer", self.BUFFER)
         self.early = handle.getListState("early", self.EARLY)
 
-    def _take(self, key, new: list, last: int | None, due: int, ended: bool) -> Iterator[pd.DataFrame]:
-        if self.buffer.exists():
-            pending, carry, received, seg, at, known, due_before = self.buffer.get()
+    def _take(self, key, new: dict, last: int | None, due: int, ended: bool, held: tuple | None) -> Iterator[pd.DataFrame]:
+        if held is not None:
+            pending, carry, received, seg, at, known, due_before, waiting = held
             last, due = known if known is not None else last, max(due, due_before)
         else:
-            pending, carry, received, seg, at = b"", "", 0, 0, 0
+            pending, carry, received, seg, at, waiting = b"", "", 0, 0, 0, 0
         segmenter = Segmenter(bytes(pending), carry, received)
-        waiting = sorted({int(s): bytes(c) for s, c in [*(tuple(r) for r in self.early.get()), *new] if s >= at}.items())
-        out, rest = [], []
-        for seq, chunk in waiting:
-            if seq == at or ended:
-                text, at = segmenter.feed(chunk), seq + 1
-                if text:
-                    out.append((key[0], seg, text, False))
-                    seg += 1
-            else:
-                rest.append((seq, chunk))
+        if waiting:
+            new = {int(s): bytes(c) for s, c in self.early.get()} | new
+        order = sorted(s for s in new if s >= at)
+        # the chunks that follow each other from the next one on (all, at the end) are fed as one
+        n = len(order) if ended else next((i for i, s in enumerate(order) if s != at + i), len(order))
+        out = []
+        if n:
+            text, at = segmenter.feed(b"".join([new[s] for s in order[:n]])), order[n - 1] + 1
+            if text:
+                out.append((key[0], seg, text, False))
+                seg += 1
+        rest = [(s, bytes(new[s])) for s in order[n:]]
         if ended or (last is not None and at > last):
             out.append((key[0], seg, segmenter.finish(), True))
-            self.buffer.clear()
-            self.early.clear()
+            if held is not None:
+                self.buffer.clear()
+            rest = []
         else:
-            self.early.put(rest) if rest else self.early.clear()
-            self.buffer.update((*segmenter.state(), seg, at, last, due))
+            self.buffer.update((*segmenter.state(), seg, at, last, due, len(rest)))
             self.handle.registerTimer(due)
-        yield pd.DataFrame(out, columns=["stream_id", "seg", "text", "ends"])
+        if rest:
+            self.early.put(rest)
+        elif waiting:
+            self.early.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["stream_id", "seg", "text", "ends"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new, last, due = [], None, 0
+        new, last, due = {}, None, 0
         for pdf in rows:
-            for seq, chunk, fin, at in zip(pdf["seq"].tolist(), pdf["chunk"].tolist(), pdf["fin"].tolist(), pdf["at"].tolist()):
-                new.append((int(seq), bytes(chunk) if chunk is not None else b""))
-                last = int(seq) if fin else last
-                due = max(due, int(at) // 1000 + self.idle_ms)
-        return self._take(key, new, last, due, False)
+            seqs, chunks = pdf["seq"].tolist(), pdf["chunk"].tolist()
+            new.update((s, c if c is not None else b"") for s, c in zip(seqs, chunks))
+            marked = [s for s, fin in zip(seqs, pdf["fin"].tolist()) if fin]
+            last = int(marked[-1]) if marked else last
+            due = max(due, int(pdf["at"].max()) // 1000 + self.idle_ms)
+        return self._take(key, new, last, due, False, self.buffer.get())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # a timer of an earlier chunk is not yet the end; the latest chunk's own one is still to come
-        if not self.buffer.exists() or self.buffer.get()[6] > timerValues.getCurrentWatermarkInMs():
+        held = self.buffer.get()
+        if held is None or held[6] > timerValues.getCurrentWatermarkInMs():
             return iter(())
-        return self._take(key, [], None, 0, True)
+        return self._take(key, {}, None, 0, True, held)
 
     def close(self) -> None:
         pass
@@ -342,9 +351,21 @@ def stream_segments(chunks: DataFrame, idle: int = 30, watermark: str = "10 seco
         StreamRestorer(idle * 1000), f"{SEGMENT_SCHEMA}, ends boolean", "append", "eventTime")
 
 
+def kept_batch(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """``write`` on a micro-batch that is kept while it runs: a plan that reads the batch twice would
+    run the stateful stage twice."""
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        batch.persist()
+        try:
+            write(batch, epoch_id)
+        finally:
+            batch.unpersist()
+    return run
+
+
 def restore_batch_writer(sessions: DataFrame, vault: DataFrame, sink: Callable[[DataFrame, int], None]):
     """S6, stateless half: a ``foreachBatch`` function restoring each micro-batch of segments with
     the batch D5 (static join with the vault) and handing the result to ``sink``."""
     def write(batch: DataFrame, epoch_id: int) -> None:
         sink(restore_segments(batch, sessions, vault), epoch_id)
-    return write
+    return kept_batch(write)

@@ -145,6 +145,13 @@ def test_s6_early_chunks_silent_streams_and_nulls(spark, own):
     assert sorted(r.stream_id for r in got if r.ends) == [1, 2, 3, 4, 9]
 
 
+def test_s6_chunks_of_a_batch_make_one_segment(spark, own):
+    rows = [(1, i, bytearray(b"x"), i == 1999, instant("2024-01-01 00:00:00")) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "stream_id long, seq long, chunk binary, fin boolean, ts timestamp")
+    got = SC.ran(spark, S.stream_segments(batches(own, [frame], "s6o")), "s6o").orderBy("seg").collect()
+    assert "".join(r.text for r in got) == "x" * 2000 and len(got) == 2  # the text, and what was held back for the end
+
+
 @pytest.mark.parametrize("name", sorted(n for n in C.REGISTRY if n.startswith(("s1_", "s2_", "s3_", "s4_", "s5_", "s6_"))))
 def test_registered_streams(spark, sf_dir, name):
     result = compare(C.REGISTRY[name][0](spark, sf_dir), duck(sf_dir), C.REGISTRY[name][1])
