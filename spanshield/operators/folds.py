@@ -218,14 +218,16 @@ def lockout_both(attempts: DataFrame, user_fails: int = USER_MAX_FAILS, user_loc
     live = d.where(F.col("u").isNotNull() | F.col("i").isNotNull())
     parts = connected_components(live.where(F.col("u").isNotNull() & F.col("i").isNotNull()).select("u", "i"), "u", "i")
     node = F.coalesce("u", "i")
-    live = live.join(parts, node == F.col("node"), "left").withColumn("part", F.coalesce("component", node)).drop("node", "component")
-    locks = {"u": (user_fails, pd.Timedelta(seconds=user_lock_s).to_pytimedelta()), "i": (ip_fails, pd.Timedelta(seconds=ip_lock_s).to_pytimedelta())}
+    # instants as microseconds: a time with a zone is dear to turn into a Python object
+    live = live.join(parts, node == F.col("node"), "left").withColumn("part", F.coalesce("component", node)).withColumn(
+        "at", F.unix_micros("ts")).drop("node", "component", "ts")
+    locks = {"u": (user_fails, user_lock_s * 1_000_000), "i": (ip_fails, ip_lock_s * 1_000_000)}
 
     def make():
         def step(state, r):
             out = (r["attempt_id"], r["username"], r["ip"])
             nodes = [n for n in (r["u"], r["i"]) if n is not None]
-            if any(state.get(n, (0, None))[1] is not None and r["ts"] < state[n][1] for n in nodes):
+            if any(state.get(n, (0, None))[1] is not None and r["at"] < state[n][1] for n in nodes):
                 return state, (*out, "refused")
             if r["ok"]:
                 for n in nodes:
@@ -235,12 +237,12 @@ def lockout_both(attempts: DataFrame, user_fails: int = USER_MAX_FAILS, user_loc
             for n in nodes:
                 most, lock = locks[n[0]]
                 count = state.get(n, (0, None))[0] + 1
-                state[n] = (0, r["ts"] + lock) if count >= most else (count, None)
+                state[n] = (0, r["at"] + lock) if count >= most else (count, None)
                 locked += [n[0]] * (count >= most)
             return state, (*out, {"": "fail", "u": "locked_user", "i": "locked_ip", "ui": "locked_both"}["".join(locked)])
         return step, dict
 
-    return plain.unionByName(_fold(live, ["part"], ["ts", "attempt_id"], BOTH_SCHEMA, make, num_partitions))
+    return plain.unionByName(_fold(live, ["part"], ["at", "attempt_id"], BOTH_SCHEMA, make, num_partitions))
 
 
 # --- I8 ------------------------------------------------------------------------------------------
