@@ -5,9 +5,10 @@ operator gives over the same rows.
 
 * S1 is stateless. S2 and S3 are event-time windows; S2's tick total is a second aggregation over
   the first. A zone-less ``TIMESTAMP_NTZ`` event time is read as UTC.
-* S4 and S5 hold rows in list state, in blocks, until the watermark has passed them and fold them in
-  time order then, whatever the order they came in. Keys share buckets; an event-time timer removes a
-  key's state as soon as no later row can need it.
+* S4 and S5 hold rows in state, as a block a bucket of keys, until the watermark has passed them and
+  fold them in time order then, whatever the order they came in. An event-time timeout removes a key's
+  state as soon as no later row can need it. They use ``applyInPandasWithState``, which hands rows over
+  by columns; ``transformWithStateInPandas`` takes every row through a Python tuple of its own.
 * S6 keeps a stream's bytes and the chunks that came too early in typed state. A last mark ends it,
   or a timer once the stream has been silent for ``idle``. Segments meet the vault in a
   stream-static join inside ``foreachBatch``.
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanshield import patterns as P
 from spanshield.operators import folds as FO
@@ -82,106 +84,86 @@ def stream_usage(log: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 # --- S4, S5: folds in event time -----------------------------------------------------------------
 BUCKETS = 1024  # state keys of an ordered fold, fixed for a query's life
-ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string(), T.BooleanType(): pa.bool_()}
-_BLOCK = T.StructType([T.StructField("block", T.BinaryType())])
-_ALARM = T.StructType([T.StructField("ms", T.LongType())])
-
+ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string(), T.BooleanType(): pa.bool_(),
+         T.DateType(): pa.date32(), T.TimestampType(): pa.timestamp("us", "UTC")}
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, ARROW[f.dataType]) for f in schema])
 
 
-def _packed(table: pa.Table) -> tuple[bytes]:
+def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
-    return (sink.getvalue().to_pybytes(),)
+    return sink.getvalue().to_pybytes()
 
 
-def _unpacked(blocks, schema: pa.Schema) -> pa.Table:
-    tables = [pa.ipc.open_stream(bytes(b[0])).read_all() for b in blocks]
-    return pa.concat_tables(tables) if tables else schema.empty_table()
+def _unpacked(block: bytes | None, schema: pa.Schema) -> pa.Table:
+    return pa.ipc.open_stream(bytes(block)).read_all() if block else schema.empty_table()
 
 
-class OrderedFold(StatefulProcessor):
-    """Holds rows until the watermark has passed them, then folds those of each key in order.
+def _made(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
 
-    The state's key is a bucket of many keys: calls to the state store, which cost the same whatever
-    they carry, are made once a bucket and micro-batch, not once a key. Rows are (at, id, ...) with
-    ``at`` in microseconds, ``key_of(row)`` is a row's key (a tuple of ``key_schema``).
-    ``step(state, row)`` gives the key's next state (a tuple of the state schema, or None for none) and
-    an output row or None. ``ends(state)`` says from which instant on the state makes no difference
-    any more (None: never)."""
 
-    def __init__(self, row_schema: T.StructType, key_schema: T.StructType, state_schema: T.StructType, out_cols: list[str],
-                 key_of: Callable, step: Callable, ends: Callable):
-        self.rows, self.n_key = _arrow_schema(row_schema), len(key_schema)
-        self.kept = pa.schema([*[f.with_name(f"key_{f.name}") for f in _arrow_schema(key_schema)], *_arrow_schema(state_schema)])
-        self.out_cols, self.key_of, self.step, self.ends = out_cols, key_of, step, ends
+def _listed(column: pa.ChunkedArray) -> list:
+    """A column as Python values. By way of numpy, but for numbers with nulls, which would become floats there."""
+    if column.null_count and pa.types.is_integer(column.type):
+        return column.to_pylist()
+    return column.to_numpy().tolist()
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", _BLOCK)
-        self.states = handle.getListState("states", _BLOCK)
-        self.alarm = handle.getValueState("alarm", _ALARM)
 
-    def _wake(self, at: int, known: int | None) -> None:
-        """A timer at the instant ``at``, unless an earlier one is set."""
-        ms = -(-at // 1000)
-        if known is None or ms < known:
-            self.handle.registerTimer(ms)
-            self.alarm.update((ms,))
+HELD = "held binary, states binary, ends long"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tables = [pa.Table.from_arrays([pa.array(pdf[f.name], from_pandas=True).cast(f.type) for f in self.rows], schema=self.rows)
-                  for pdf in rows if len(pdf)]
-        if tables:
-            new = pa.concat_tables(tables)
-            self.held.appendValue(_packed(new))
-            known = self.alarm.get()
-            self._wake(pc.min(new["at"]).as_py(), known[0] if known is not None else None)
-        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        known = self.alarm.get()
-        passed = timerValues.getCurrentWatermarkInMs()
-        if known is None or known[0] > passed:   # the rows of this timer went with an earlier one
-            return
-        passed *= 1000
-        held = _unpacked(self.held.get(), self.rows)
-        due = pc.less_equal(held["at"], passed)
-        ready = held.filter(due).sort_by([("at", "ascending"), (self.rows.names[1], "ascending")])
-        rest = held.filter(pc.invert(due))
-        states = {row[:self.n_key]: row[self.n_key:]
-                  for row in zip(*(c.to_pylist() for c in _unpacked(self.states.get(), self.kept).columns))}
-        out = []
-        for row in zip(*(c.to_pylist() for c in ready.columns)):
-            k = self.key_of(row)
-            state, emitted = self.step(states.get(k), row)
-            if state is None:
-                states.pop(k, None)
-            else:
-                states[k] = state
-            if emitted is not None:
-                out.append(emitted)
-        ends = {k: self.ends(state) for k, state in states.items()}
-        live = [(*k, *state) for k, state in states.items() if ends[k] is None or ends[k] > passed]
-        if ready.num_rows:
-            self.held.put([_packed(rest)]) if rest.num_rows else self.held.clear()
-        if live:
-            self.states.put([_packed(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*live), self.kept)], schema=self.kept))])
-        elif states or ends:
-            self.states.clear()
-        self.alarm.clear()
-        later = [e for e in ends.values() if e is not None and e > passed]
-        later += [pc.min(rest["at"]).as_py()] if rest.num_rows else []
-        if later:
-            self._wake(min(later), None)
-        if out:
-            yield pd.DataFrame(out, columns=self.out_cols)
+def ordered_fold(row_schema: T.StructType, key_schema: T.StructType, state_schema: T.StructType, out_schema: T.StructType,
+                 key_of: Callable, step: Callable, ends: Callable) -> Callable:
+    """Holds rows until the watermark has passed them, then folds those of each key in order.
 
-    def close(self) -> None:
-        pass
+    The state's key is a bucket of many keys: a call of the function, which costs the same whatever it
+    carries, is made once a bucket and micro-batch, not once a key. Rows are (at, id, ...) with
+    ``at`` in microseconds, ``key_of(row)`` is a row's key (a tuple of ``key_schema``).
+    ``step(state, row)`` gives the key's next state (a tuple of the state schema, or None for none) and
+    an output row or None; its instants are microseconds and its dates days, turned into times a column
+    at once. ``ends(state)`` says from which instant on the state makes no difference any more (None: never)."""
+    rows, out = _arrow_schema(row_schema), _arrow_schema(out_schema)
+    kept = pa.schema([*[f.with_name(f"key_{f.name}") for f in _arrow_schema(key_schema)], *_arrow_schema(state_schema)])
+    n_key = len(key_schema)
+
+    def fold(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        block, live, ended = state.get if state.exists else (None, None, None)
+        passed = state.getCurrentWatermarkMs() * 1000
+        held = pa.concat_tables([_unpacked(block, rows), *(
+            pa.Table.from_arrays([pa.array(pdf[f.name], from_pandas=True).cast(f.type) for f in rows], schema=rows) for pdf in batches if len(pdf))])
+        due = pc.less_equal(held["at"], passed)
+        ready, rest = held.filter(due).sort_by([("at", "ascending"), (rows.names[1], "ascending")]), held.filter(pc.invert(due))
+        emitted = []
+        if ready.num_rows or (ended is not None and ended <= passed):
+            states = {row[:n_key]: row[n_key:] for row in zip(*map(_listed, _unpacked(live, kept).columns))}
+            for row in zip(*map(_listed, ready.columns)):
+                k = key_of(row)
+                now, made = step(states.get(k), row)
+                if now is None:
+                    states.pop(k, None)
+                else:
+                    states[k] = now
+                if made is not None:
+                    emitted.append(made)
+            until = {k: ends(s) for k, s in states.items()}
+            still = [(*k, *s) for k, s in states.items() if until[k] is None or until[k] > passed]
+            live = _packed(_made(still, kept)) if still else None
+            ended = min((e for e in until.values() if e is not None and e > passed), default=None)
+        if rest.num_rows or live:
+            state.update((_packed(rest) if rest.num_rows else None, live, ended))
+            later = [e for e in (pc.min(rest["at"]).as_py(), ended) if e is not None]
+            if later:   # due once the watermark has passed this instant, as the rows are
+                state.setTimeoutTimestamp(max(1, -(-min(later) // 1000) - 1))
+        elif state.exists:
+            state.remove()
+        if emitted:
+            yield _made(emitted, out).to_pandas(integer_object_nulls=True, date_as_object=True)
+
+    return fold
 
 
 def _ordered(df: DataFrame, keys: str, rows: str, state: str, out: str, key_of: Callable, step: Callable, ends: Callable,
@@ -191,10 +173,10 @@ def _ordered(df: DataFrame, keys: str, rows: str, state: str, out: str, key_of:
     kept, key = T.StructType.fromDDL(rows), T.StructType.fromDDL(keys)
     timed = (df.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("at", F.unix_micros("ts"))
              .where(F.col("at").isNotNull()).withWatermark("ts", watermark))
-    names = [c.strip().split()[0] for c in out.split(",")]
     bucket = F.pmod(F.xxhash64(*key.fieldNames()), F.lit(buckets)).cast("int").alias("bucket")
-    return timed.select("ts", bucket, *kept.fieldNames()).groupBy("bucket").transformWithStateInPandas(
-        OrderedFold(kept, key, T.StructType.fromDDL(state), names, key_of, step, ends), out, "append", "eventTime")
+    fold = ordered_fold(kept, key, T.StructType.fromDDL(state), T.StructType.fromDDL(out), key_of, step, ends)
+    return timed.select("ts", bucket, *kept.fieldNames()).groupBy("bucket").applyInPandasWithState(
+        fold, out, HELD, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 DAY_US = 86_400 * 1_000_000
@@ -219,7 +201,7 @@ def stream_admission(log: DataFrame, users: DataFrame, watermark: str = "1 hour"
         ok = all(a + b <= most for a, b, most in zip(used, delta, limits))
         if ok:
             used = tuple(int(a + b) for a, b in zip(used, delta))
-        return (*used, day), (req_id, user_id, pd.Timestamp(day * DAY_US, unit="us").date(), ok)
+        return (*used, day), (req_id, user_id, day, ok)
 
     return _ordered(d, "user_id string, day long", rows, "req long, tok_in long, tok_out long, bytes_in long, bytes_out long, day_no long",
                     FO.ADMISSION_SCHEMA, lambda row: (row[2], row[0] // DAY_US), step, lambda state: (state[5] + 1) * DAY_US, watermark)
@@ -236,11 +218,11 @@ def stream_lockout(attempts: DataFrame, key_col: str = "username", max_fails: in
         at, attempt_id, key, ok = row
         fails, until = state or (0, None)
         if until is not None and at < until:
-            return (fails, until), (attempt_id, key, "refused", pd.Timestamp(until, unit="us"))
+            return (fails, until), (attempt_id, key, "refused", until)
         if ok:
             return None, (attempt_id, key, "ok", None)
         if fails + 1 >= max_fails:
-            return (0, at + lock), (attempt_id, key, "locked", pd.Timestamp(at + lock, unit="us"))
+            return (0, at + lock), (attempt_id, key, "locked", at + lock)
         return (fails + 1, None), (attempt_id, key, "fail", None)
 
     return _ordered(d, "key string", "at long, attempt_id long, key string, ok boolean", "fails int, until long",
@@ -257,7 +239,7 @@ def stream_throttle(events: DataFrame, key_col: str, id_col: str = "event_id",
     def step(state, row):
         at, event_id, key = row
         if state is None or at - state[0] >= window:
-            return (at,), (event_id, key, pd.Timestamp(at, unit="us"))
+            return (at,), (event_id, key, at)
         return state, None
 
     return _ordered(d, "key string", "at long, event_id long, key string", "last long", FO.THROTTLE_SCHEMA, lambda row: (row[2],), step,

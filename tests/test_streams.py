@@ -167,3 +167,20 @@ def test_roundtrip(spark, sf_dir):
     orig = derived.messages(spark, sf_dir).select("msg_id", F.col("body").alias("orig"))
     bad = back.join(orig, "msg_id").where(F.col("restored") != F.col("orig")).count()
     assert bad == 0
+
+
+def test_s5_holds_a_bucket_in_one_row_and_its_locks_end_at_an_instant(spark):
+    att = derived.login_attempts(spark, SC_DIR).withColumn("ok", F.col("attempt_id") % 5 == 0).withColumn("ts", F.col("ts").cast("timestamp"))
+    end = att.limit(1).withColumns({"attempt_id": F.lit(-1).cast("long"), "ts": F.lit(END).cast("timestamp")})
+    east = S.stateful_session(spark, 4)
+    east.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    out = S.stream_lockout(batches(east, [att, end], "s5z"), watermark="1 hour")
+    path, progress = SC.folder(east, "s5z-o"), []
+    q = (out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", SC.folder(east, "s5z-c"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    progress = [x if isinstance(x, dict) else json.loads(x.json) for x in q.recentProgress]
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= S.BUCKETS   # a row a bucket, no timers beside it
+    cols = ["attempt_id", "outcome", F.unix_micros("locked_until").alias("until")]
+    got, want = spark.read.parquet(path).where("attempt_id >= 0").select(*cols), FO.lockout(att).select(*cols)
+    assert rows_of(got, ["attempt_id", "outcome", "until"]) == rows_of(want, ["attempt_id", "outcome", "until"])
