@@ -636,6 +636,17 @@ def test_lm_gradients_match_differences():
             assert abs((up - down) / 2e-5 - g[name][at]) < 1e-4, name
 
 
+def test_lm_gradients_do_not_depend_on_the_parts_of_a_batch():
+    rng = np.random.default_rng(1)
+    w = lm.initial_weights(12, np.ones(5))
+    x, target = rng.integers(0, 12, (11, lm.CONTEXT)), rng.integers(0, 5, (11, lm.CONTEXT))
+    target[3:9, 20:] = -1   # parts with and without fill
+    whole = lm.gradients(w, x, None, target, 0, part=11)
+    for part in (1, 3, 4):
+        g = lm.gradients(w, x, None, target, 0, part=part)
+        assert all(np.allclose(g[k], whole[k], atol=1e-6) for k in w) and {v.dtype for v in g.values()} == {np.dtype(np.float32)}
+
+
 def test_lm_windows_are_causal_and_score_each_token_once():
     rng = np.random.default_rng(4)
     size, n_classes = 40, 6
