@@ -647,6 +647,71 @@ def test_lm_gradients_do_not_depend_on_the_parts_of_a_batch():
         assert all(np.allclose(g[k], whole[k], atol=1e-6) for k in w) and {v.dtype for v in g.values()} == {np.dtype(np.float32)}
 
 
+def test_lm_steps_as_written_out():
+    """A training step is Adam's, whatever earlier steps left in the buffers it keeps."""
+    rng = np.random.default_rng(4)
+    w = lm.initial_weights(12, np.ones(5))
+    want, m, v, state = {k: a.astype(np.float64) for k, a in w.items()}, {}, {}, {}
+    for t, n in enumerate((40, 7, 40), 1):   # whole and part batches, one or several parts
+        x, target = rng.integers(0, 12, (n, lm.CONTEXT)), rng.integers(-1, 5, (n, lm.CONTEXT))
+        for k, g in lm.gradients(want, x, None, target, 0).items():
+            m[k], v[k] = 0.9 * m.get(k, 0) + 0.1 * g, 0.99 * v.get(k, 0) + 0.01 * g * g
+            want[k] = want[k] - 0.01 * m[k] / (1 - 0.9 ** t) / (np.sqrt(v[k] / (1 - 0.99 ** t)) + 1e-8)
+        lm.train_batch(w, state, x, target, 0.01)
+    assert state["room"]["s"].shape == (lm.PART, lm.CONTEXT, lm.CONTEXT)
+    assert all(np.allclose(w[k], want[k], atol=1e-3) and w[k].dtype == np.float32 for k in want)
+
+
+def test_lm_gradients_where_logits_are_cut():
+    rng = np.random.default_rng(6)
+    w = lm.initial_weights(12, np.ones(5))
+    w["bias"][:2] = 80, -80   # as if they were 30 and -30 beside the rest of the logits
+    x, target = rng.integers(0, 12, (3, lm.CONTEXT)), rng.integers(0, 5, (3, lm.CONTEXT))
+    cut = {**w, "bias": np.array([30, -30, *w["bias"][2:]], np.float32), "wo": w["wo"] * np.array([0, 0, 1, 1, 1], np.float32)}
+    for k, g in lm.gradients(w, x, None, target, 0).items():
+        assert np.isfinite(g).all()
+    assert np.allclose(lm.gradients(w, x, None, target, 0)["bias"], lm.gradients(cut, x, None, target, 0)["bias"], atol=1e-6)
+
+
+def test_lm_company_runs_over_no_byte():
+    rng = np.random.default_rng(8)
+    rank = rng.integers(0, 100, (600, lm.CONTEXT))
+    rank[rng.random(rank.shape) < 0.5] = 3   # thousands of times
+    seen, want = np.ones((90, 64), np.int64), np.ones((90, 64), np.int64)
+    lm.add_company(seen, rank)
+    for row in rank:
+        for i in row[row < 90]:
+            want[i, np.unique(row[row < 64])] += 1
+    assert (seen == want).all() and want.max() > 5000
+    lm.add_company(seen, np.full((2, lm.CONTEXT), 99))
+    assert (seen == want).all()
+
+
+@pytest.mark.parametrize("bits", [16, 32])
+def test_lm_windows_are_written_as_bytes(spark, monkeypatch, bits):
+    """Two bytes a subword where the vocabulary has room in them, four otherwise; the same windows."""
+    texts = ["the cat sat on the mat " * 9, "", None, "one more word"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = []
+    write = lm.materialize
+    monkeypatch.setattr(lm, "materialize", lambda df, name: kept.append((name, write(df, name))) or kept[-1][1])
+    if bits == 32:
+        wide = lm.Subwords.__init__
+        monkeypatch.setattr(lm.Subwords, "__init__", lambda self, ranks: (wide(self, ranks), setattr(self, "end", 70_000))[0])
+        monkeypatch.setattr(lm.Subwords, "opens_word", lambda self, i: i % 2 == 0)
+    lm.score(rows, F.lit(True), rounds=1).collect()
+    table = dict(kept)["lm-windows"]
+    assert dict(table.dtypes)["codes"] == "binary"
+    codes = [np.frombuffer(r.codes, f"uint{bits}").astype(int) - 2 for r in table.collect()]
+    assert all(len(c) == lm.CONTEXT + 1 for c in codes)
+    subwords = lm.Subwords(open(lm.TOKENIZER, "rb").read())   # its end is 70,000, too, where bits are 32
+    want = []
+    for t in texts:
+        ids = subwords.spell([*lm.words_of((t or "").encode()), lm.END_WORD])[0]
+        want += [w.tolist() for w in lm.windows_of(ids, np.array([len(ids)]))[0]]
+    assert sorted(c.tolist() for c in codes) == sorted(want)
+
+
 def test_lm_windows_are_causal_and_score_each_token_once():
     rng = np.random.default_rng(4)
     size, n_classes = 40, 6
