@@ -239,6 +239,27 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch):
     check_suffix(spark, texts, length=100, gram=40)
 
 
+def test_suffix_dedup_hot_anchor_is_not_dealt_out(spark, monkeypatch):
+    """An anchor with many distinct surroundings stays where its rows are, wherever rows meet by anchor alone."""
+    rng = random.Random(11)
+    shared = words(rng, 20, 300)[:90]
+    texts = [words(rng, 10, 300) + " " + shared + " " + words(rng, 10, 300) for _ in range(12)]
+    texts.append(texts[0])
+    met = []
+    apart = suffix_dedup._join_apart
+
+    def spied(rows, facts, keys, hot):
+        met.append((keys, facts.where(hot).count()))
+        return apart(rows, facts, keys, hot)
+
+    monkeypatch.setattr(suffix_dedup, "_join_apart", spied)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 5)
+    monkeypatch.setattr(suffix_dedup, "HOT_KEYS", 1 << 30)
+    check_suffix(spark, texts, length=100, gram=40)
+    by_anchor = [n for keys, n in met if keys == ["gram"]]
+    assert len(by_anchor) == 2 and min(by_anchor) > 0
+
+
 def test_suffix_dedup_long_text_in_pieces(spark, monkeypatch):
     rng = random.Random(2)
     long = words(rng, 1500, 4000)
