@@ -721,6 +721,9 @@ def test_lm_windows_are_written_as_bytes(spark, monkeypatch, bits):
         monkeypatch.setattr(lm.Subwords, "__init__", lambda self, ranks: (wide(self, ranks), setattr(self, "end", 70_000))[0])
         monkeypatch.setattr(lm.Subwords, "opens_word", lambda self, i: i % 2 == 0)
     lm.score(rows, F.lit(True), rounds=1).collect()
+    assert [name for name, _ in kept] == ["lm-words", "lm-windows"]   # words are written once, with all they count
+    said = {bytes(r.word): r.c for r in kept[0][1].where("first").collect()}
+    assert said == Counter(w for t in texts for w in [*lm.words_of((t or "").encode()), lm.END_WORD])
     table = dict(kept)["lm-windows"]
     assert dict(table.dtypes)["codes"] == "binary"
     codes = [np.frombuffer(r.codes, f"uint{bits}").astype(int) - 2 for r in table.collect()]
