@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from spanshield import patterns as P
 from spanshield.functions.spans import let
-from spanshield.operators.vault import detokenize
+from spanshield.operators.vault import detokenize, has_token
 
 # The reference's size limit of a reply, as an option, and its mark.
 REFERENCE_STREAM_BYTES = 50 * 1024 * 1024
@@ -90,42 +90,48 @@ RUN_BYTES = 16 * 1024  # about so many bytes of neighbouring chunks are put toge
 _RUN_SCHEMA = "stream_id long, seq long, last long, chunk binary, sizes binary"
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def runs_of(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
     """Chunks of one stream whose ``seq`` follow each other as one row: their bytes end to end, with the
-    size of each."""
+    size of each. Also the place of each row's first chunk in the batch, which has a row at least."""
+    n = batch.num_rows
+    sid, seq = batch.column("stream_id"), batch.column("seq").to_numpy(zero_copy_only=False)
+    ids, no_id = sid.fill_null(0).to_numpy(zero_copy_only=False), sid.is_null().to_numpy(zero_copy_only=False)
+    chunk = batch.column("chunk").cast(pa.binary())
+    chunk = chunk.fill_null(b"") if chunk.null_count else chunk
+    _, offsets, data = chunk.buffers()
+    ends = np.frombuffer(offsets, np.int32)[chunk.offset:chunk.offset + n + 1]
+    begins = np.ones(n, bool)
+    begins[1:] = ((ids[1:] != ids[:-1]) | (no_id[1:] != no_id[:-1]) | (seq[1:] != seq[:-1] + 1)
+                  | (ends[1:-1] // RUN_BYTES != ends[:-2] // RUN_BYTES))
+    first = np.flatnonzero(begins)
+    after = np.append(first[1:], n)
+    cuts = np.append(ends[first], ends[-1:]).astype(np.int32)
+    sizes = np.diff(ends).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [sid.take(pa.array(first)), pa.array(seq[first]), pa.array(seq[after - 1]),
+         pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts), data]),
+         pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.append(first, n) * 4).astype(np.int32)), pa.py_buffer(sizes)])],
+        names=["stream_id", "seq", "last", "chunk", "sizes"]), first
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        sid, seq = batch.column("stream_id"), batch.column("seq").to_numpy(zero_copy_only=False)
-        ids, no_id = sid.fill_null(0).to_numpy(zero_copy_only=False), sid.is_null().to_numpy(zero_copy_only=False)
-        chunk = batch.column("chunk").cast(pa.binary())
-        chunk = chunk.fill_null(b"") if chunk.null_count else chunk
-        _, offsets, data = chunk.buffers()
-        ends = np.frombuffer(offsets, np.int32)[chunk.offset:chunk.offset + n + 1]
-        begins = np.ones(n, bool)
-        begins[1:] = ((ids[1:] != ids[:-1]) | (no_id[1:] != no_id[:-1]) | (seq[1:] != seq[:-1] + 1)
-                      | (ends[1:-1] // RUN_BYTES != ends[:-2] // RUN_BYTES))
-        first = np.flatnonzero(begins)
-        after = np.append(first[1:], n)
-        cuts = np.append(ends[first], ends[-1:]).astype(np.int32)
-        sizes = np.diff(ends).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [sid.take(pa.array(first)), pa.array(seq[first]), pa.array(seq[after - 1]),
-             pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts), data]),
-             pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.append(first, n) * 4).astype(np.int32)), pa.py_buffer(sizes)])],
-            names=["stream_id", "seq", "last", "chunk", "sizes"])
+        if batch.num_rows:
+            yield runs_of(batch)[0]
+
+
+def chunks_of(run: tuple) -> list[tuple[int, bytes]]:
+    """The chunks of a run (seq, chunk, sizes), each with its number."""
+    seq, chunk, sizes = run
+    ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
+    return [(seq + i, chunk[begin:end]) for i, (begin, end) in enumerate(zip([0, *ends], ends))]
 
 
 def _in_order(runs: list) -> bytes:
     """The bytes of runs (seq, chunk, sizes) that share numbers, chunk by chunk in order of ``seq``."""
     if len(runs) == 1:
         return runs[0][1]
-    parts = []
-    for seq, chunk, sizes in runs:
-        ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
-        parts += [(seq + i, chunk[begin:end]) for i, (begin, end) in enumerate(zip([0, *ends], ends))]
-    return b"".join(c for _, c in sorted(parts, key=lambda p: p[0]))
+    return b"".join(c for _, c in sorted((p for run in runs for p in chunks_of(run)), key=lambda p: p[0]))
 
 
 def segment_chunks(chunks: DataFrame, num_partitions: int | None = None, max_bytes: int | None = None) -> DataFrame:
@@ -177,14 +183,18 @@ def _segments(rows: list) -> pa.RecordBatch:
                                       names=["stream_id", "seg", "text"])
 
 
-def restore_segments(segments: DataFrame, sessions: DataFrame, vault: DataFrame, unknown=P.REDACTED) -> DataFrame:
+def restore_segments(segments: DataFrame, sessions: DataFrame, vault: DataFrame, unknown=P.REDACTED, split: bool = False) -> DataFrame:
     """Batch restore (D5) of each segment; ``sessions``: ``(stream_id, session_key)``. Other columns of
-    the segments pass through."""
+    the segments pass through. ``split``: segments without a token pass by without an exchange; for
+    segments that can be read twice."""
     more = [c for c in segments.columns if c not in ("stream_id", "seg", "text")]
-    replies = segments.join(sessions, "stream_id", "left") \
+    asked = segments.where(has_token(F.col("text"))) if split else segments
+    replies = asked.join(sessions, "stream_id", "left") \
         .select(F.struct("stream_id", "seg").alias("_sid"), "stream_id", "seg", *more,
                 "session_key", F.col("text").alias("body"))
-    return detokenize(replies, vault, id_col="_sid", unknown=unknown, split=False).select("stream_id", "seg", *more, "restored")
+    restored = detokenize(replies, vault, id_col="_sid", unknown=unknown, split=False).select("stream_id", "seg", *more, "restored")
+    plain = segments.where(~has_token(F.col("text"))).select("stream_id", "seg", *more, F.col("text").alias("restored"))
+    return restored.unionByName(plain) if split else restored
 
 
 def joined(segments: DataFrame) -> DataFrame:

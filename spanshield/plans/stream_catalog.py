@@ -33,23 +33,38 @@ def folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table of the shared folder."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def moved(id_col: Column, jitter_s: float, ts_col: str = "ts") -> Column:
+    """The instant by which a row is dealt to its micro-batch, in microseconds."""
+    return F.unix_micros(F.col(ts_col).cast("timestamp")) + (F.pmod(F.xxhash64(id_col), F.lit(2001)) - 1000) * int(jitter_s * 1000)
+
+
+def sliced(own: SparkSession, name: str, cuts: list[int], between: Callable, **options: str) -> DataFrame:
+    """``between(low, high)``, the rows from one cut to the next, as a stream with a micro-batch each."""
+    path, schema = folder(own, name), None
+    edges = [None, *cuts, None]
+    for low, high in zip(edges, edges[1:]):
+        part = between(low, high)
+        schema = part.schema
+        part.write.mode("append").options(**options).parquet(path)
+    files = len(own.read.schema(schema).parquet(path).inputFiles())
+    return own.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // SLICES))).parquet(path)
+
+
+def dealt(at: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    """The rows whose instant ``_at`` lies after ``low``, up to ``high``."""
+    part = at if low is None else at.where(F.col("_at") > low)
+    return (part if high is None else part.where(F.col("_at") <= high)).drop("_at")
+
+
 def as_stream(own: SparkSession, table: DataFrame, name: str, id_col: Column, jitter_s: float, ts_col: str = "ts") -> DataFrame:
     """The rows of ``table`` as a stream of SLICES micro-batches in order of time, but for ``jitter_s``."""
-    path = folder(own, name)
-    moved = F.unix_micros(F.col(ts_col).cast("timestamp")) + (F.pmod(F.xxhash64(id_col), F.lit(2001)) - 1000) * int(jitter_s * 1000)
-    at = table.withColumn("_at", moved)
+    at = table.withColumn("_at", moved(id_col, jitter_s, ts_col))
     cuts = at.agg(F.percentile_approx("_at", [i / SLICES for i in range(1, SLICES)], 10_000)).first()[0] or []
-    edges = [None, *cuts, None]
-    for low, high in zip(edges, edges[1:]):
-        part = at if low is None else at.where(F.col("_at") > low)
-        part = part if high is None else part.where(F.col("_at") <= high)
-        part.drop("_at").write.mode("append").parquet(path)
-    files = len(own.read.schema(table.schema).parquet(path).inputFiles())
-    return own.readStream.schema(table.schema).option("maxFilesPerTrigger", max(1, -(-files // SLICES))).parquet(path)
+    return sliced(own, name, cuts, lambda low, high: dealt(at, low, high))
 
 
 def ran(spark: SparkSession, stream: DataFrame, name: str, each: Callable | None = None) -> DataFrame:
@@ -59,7 +74,7 @@ def ran(spark: SparkSession, stream: DataFrame, name: str, each: Callable | None
     if each is None:
         writer.format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
-    writer.foreachBatch(S.kept_batch(lambda batch, epoch: each(batch, epoch).write.mode("overwrite").parquet(f"{out}/batch={epoch}"))).start().awaitTermination()
+    writer.foreachBatch(S.kept_batch(lambda batch, epoch: each(batch, epoch).write.mode("overwrite").parquet(f"{out}/batch={epoch}", compression="zstd"))).start().awaitTermination()
     return spark.read.parquet(out).drop("batch")
 
 
@@ -127,7 +142,35 @@ def reply_chunks(replies: DataFrame) -> DataFrame:
     chunks = SR.split_into_chunks(replies.withColumn("_last", SR.chunk_count() - 1), keep=("ts", "_last"))
     return chunks.select(
         "stream_id", "seq", "chunk", ((F.col("seq") == F.col("_last")) & (F.pmod("stream_id", F.lit(4)) != 0)).alias("fin"),
-        (F.col("ts") + F.make_dt_interval(secs=F.col("seq") / F.lit(1000.0))).alias("ts"))
+        F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("seq") * 1000).alias("ts"))
+
+
+BINS = 10_000
+SMALL_ROWS = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}   # numbers as differences
+
+
+def chunks_as_stream(own: SparkSession, replies: DataFrame, jitter_s: float) -> DataFrame:
+    """The chunks of replies (msg_id, body, ts, n_chunks) as a stream of SLICES micro-batches in order of time,
+    but for ``jitter_s``. A slice's chunks are made of the replies that reach into it, as it is written; the
+    cuts are where the replies' chunks, counted at the middle of each, come to equal shares."""
+    begin = F.unix_micros(F.col("ts").cast("timestamp"))
+    mid = replies.select((begin + F.col("n_chunks") * 500).alias("mid"), "n_chunks").where("mid IS NOT NULL")
+    lo, hi, total = mid.agg(F.min("mid"), F.max("mid"), F.sum("n_chunks")).first()
+    cuts: list[int] = []
+    if total:
+        width = max(1, -(-(hi - lo + 1) // BINS))
+        seen = 0
+        for i, n in sorted(mid.groupBy(F.expr(f"(mid - {lo}) div {width}").alias("i")).agg(F.sum("n_chunks")).collect()):   # BINS rows at most
+            seen += n
+            cuts += [lo + (i + 1) * width] * (min(SLICES - 1, seen * SLICES // total) - len(cuts))
+    slack = int(jitter_s * 1_000_000)
+
+    def between(low, high):
+        own_replies = replies if high is None else replies.where(begin - slack <= high)
+        own_replies = own_replies if low is None else own_replies.where(begin + F.col("n_chunks") * 1000 + slack > low)
+        return dealt(reply_chunks(own_replies).withColumn("_at", moved(F.struct("stream_id", "seq"), jitter_s)), low, high)
+
+    return sliced(own, "s6", cuts, between, **SMALL_ROWS)
 
 
 _REPLY_TIMES = f"""(SELECT r.msg_id, r.body, coalesce(m.ts, TIMESTAMP '2024-01-01 00:00:00') AS ts
@@ -147,7 +190,7 @@ def s6_stream_detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
         C.fixture_df(spark, "token_replies").withColumn("ts", F.lit("2024-01-01 00:00:00").cast(tokenized.schema["ts"].dataType)))
     static = {"vault": V.build_vault(V.token_entries(tokenized)), "sessions": sent.select(F.col("msg_id").alias("stream_id"), "session_key")}
     static = {k: own.read.schema(v.schema).parquet(*written(v, f"s6-{k}").inputFiles()) for k, v in static.items()}
-    src = as_stream(own, written(reply_chunks(sent), "s6-chunks"), "s6", F.struct("stream_id", "seq"), 4)
-    restored = ran(spark, S.stream_segments(src), "s6", lambda b, _: SR.restore_segments(b, static["sessions"], static["vault"]))
+    src = chunks_as_stream(own, sent.withColumn("n_chunks", SR.chunk_count()), 4)
+    restored = ran(spark, S.stream_segments(src), "s6", lambda b, _: SR.restore_segments(b, static["sessions"], static["vault"], split=True))
     ended = restored.where("ends").select("stream_id")
     return SR.joined(restored.join(ended, "stream_id", "left_semi")).select(F.col("stream_id").alias("msg_id"), "restored")

@@ -9,31 +9,31 @@ operator gives over the same rows.
   fold them in time order then, whatever the order they came in. An event-time timeout removes a key's
   state as soon as no later row can need it. They use ``applyInPandasWithState``, which hands rows over
   by columns; ``transformWithStateInPandas`` takes every row through a Python tuple of its own.
-* S6 keeps a stream's bytes and the chunks that came too early in typed state. A last mark ends it,
-  or a timer once the stream has been silent for ``idle``. Segments meet the vault in a
-  stream-static join inside ``foreachBatch``.
+* S6 puts neighbouring chunks together where they are read and keeps the open streams' bytes and what
+  came too early the same way, a bucket at once. A last mark ends a stream, or a timeout once it has been
+  silent for ``idle``. Segments meet the vault in a stream-static join inside ``foreachBatch``.
 
-Rows later than the watermark are dropped, as everywhere in Structured Streaming. ``transformWithState``
-needs the RocksDB state store: start these queries in ``stateful_session(spark)``.
+Rows later than the watermark are dropped, as everywhere in Structured Streaming. State is kept in
+RocksDB, not in the executors' heap: start these queries in ``stateful_session(spark)``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanshield import patterns as P
 from spanshield.operators import folds as FO
 from spanshield.operators import rewrite as R
-from spanshield.operators.stream_restore import SEGMENT_SCHEMA, Segmenter, restore_segments
+from spanshield.operators.stream_restore import SEGMENT_SCHEMA, Segmenter, chunks_of, restore_segments, runs_of
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -247,90 +247,118 @@ def stream_throttle(events: DataFrame, key_col: str, id_col: str = "event_id",
 
 
 # --- S6 ------------------------------------------------------------------------------------------
-class StreamRestorer(StatefulProcessor):
-    """A stream's byte buffer in typed state. Chunks are taken in ``seq`` order; one that came too early
-    waits for those before it. The last mark ends the stream once all before it are there; a stream
-    silent for ``idle_ms`` ends with what has come."""
-
-    BUFFER = T.StructType([T.StructField("pending", T.BinaryType()), T.StructField("carry", T.StringType())]
-                          + [T.StructField(c, T.LongType()) for c in ("received", "seg", "next", "last", "due", "waiting")])
-    EARLY = T.StructType([T.StructField("seq", T.LongType()), T.StructField("chunk", T.BinaryType())])
-
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.buffer = handle.getValueState("buffer", self.BUFFER)
-        self.early = handle.getListState("early", self.EARLY)
-
-    def _take(self, key, new: dict, last: int | None, due: int, ended: bool, held: tuple | None) -> Iterator[pd.DataFrame]:
-        if held is not None:
-            pending, carry, received, seg, at, known, due_before, waiting = held
-            last, due = known if known is not None else last, max(due, due_before)
-        else:
-            pending, carry, received, seg, at, waiting = b"", "", 0, 0, 0, 0
-        segmenter = Segmenter(bytes(pending), carry, received)
-        if waiting:
-            new = {int(s): bytes(c) for s, c in self.early.get()} | new
-        order = sorted(s for s in new if s >= at)
-        # the chunks that follow each other from the next one on (all, at the end) are fed as one
-        n = len(order) if ended else next((i for i, s in enumerate(order) if s != at + i), len(order))
-        out = []
-        if n:
-            text, at = segmenter.feed(b"".join([new[s] for s in order[:n]])), order[n - 1] + 1
-            if text:
-                out.append((key[0], seg, text, False))
-                seg += 1
-        rest = [(s, bytes(new[s])) for s in order[n:]]
-        if ended or (last is not None and at > last):
-            out.append((key[0], seg, segmenter.finish(), True))
-            if held is not None:
-                self.buffer.clear()
-            rest = []
-        else:
-            self.buffer.update((*segmenter.state(), seg, at, last, due, len(rest)))
-            self.handle.registerTimer(due)
-        if rest:
-            self.early.put(rest)
-        elif waiting:
-            self.early.clear()
+NEVER = -2**63   # no time, no mark
+RUNS = "stream_id long, seq long, last long, chunk binary, sizes binary, fin long, at long"
+OPEN = pa.schema([("stream_id", pa.int64()), ("no_id", pa.bool_()), ("pending", pa.binary()), ("carry", pa.string()),
+                  *((c, pa.int64()) for c in ("received", "seg", "next", "last", "due"))])
+EARLY = pa.schema([("stream_id", pa.int64()), ("no_id", pa.bool_()), ("seq", pa.int64()), ("last", pa.int64()), ("chunk", pa.binary()), ("sizes", pa.binary())])
+
+
+def _timed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks that lie side by side in a stream put together where they are read, with the number of the
+    last one marked and the latest time of each run."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        seq, ids = batch.column("seq").to_numpy(), batch.column("stream_id").fill_null(0).to_numpy()
+        if not ((ids[1:] > ids[:-1]) | (ids[1:] == ids[:-1]) & (seq[1:] >= seq[:-1])).all():
+            by = np.lexsort((seq, ids))   # streams that came mixed
+            batch, seq = batch.take(pa.array(by)), seq[by]
+        runs, first = runs_of(batch)
+        fin = np.where(batch.column("fin").to_numpy(zero_copy_only=False), seq, NEVER)
+        at = batch.column("at").fill_null(NEVER).to_numpy()
+        yield pa.RecordBatch.from_arrays([*runs.columns, *(pa.array(np.maximum.reduceat(x, first)) for x in (fin, at))],
+                                         names=[*runs.schema.names, "fin", "at"])
+
+
+def _following(runs: list, at: int, every: bool) -> tuple[bytes, int, list]:
+    """The bytes of the chunks that follow each other from number ``at`` on (all, with ``every``), the number
+    after them and the runs (seq, last, chunk, sizes) beyond. Of chunks with one number the latest counts."""
+    order = sorted(runs, key=lambda r: r[0])
+    if order and (order[0][0] < at or any(b[0] <= a[1] for a, b in zip(order, order[1:]))):
+        one = {s: c for seq, _, chunk, sizes in runs for s, c in chunks_of((seq, chunk, sizes))}
+        order = [(s, s, one[s], np.int32(len(one[s])).tobytes()) for s in sorted(one) if s >= at]
+    n = len(order)
+    if not every:
+        want = [at, *(r[1] + 1 for r in order)]
+        n = next((i for i, r in enumerate(order) if r[0] != want[i]), n)
+    return b"".join([r[2] for r in order[:n]]), order[n - 1][1] + 1 if n else at, order[n:]
+
+
+def segment_fold(idle_ms: int) -> Callable:
+    """Keeps the open streams of a bucket: a byte buffer each, and the runs that came too early. Chunks are
+    taken in ``seq`` order. The last mark ends a stream once all before it are there; a stream silent for
+    ``idle_ms`` ends with what has come. Streams without news stay packed."""
+
+    def fold(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        block, live, _ = state.get if state.exists else (None, None, None)
+        passed, out = state.getCurrentWatermarkMs(), []
+        new: dict[tuple, list] = {}
+        for pdf in batches:
+            for sid, no_id, *run in zip(*(pdf[c].tolist() for c in ("stream_id", "no_id", "seq", "last", "chunk", "sizes", "fin", "at"))):
+                new.setdefault((sid, no_id), []).append(run)
+        still, early = _unpacked(live, OPEN), _unpacked(block, EARLY)
+        news = pc.or_(pc.is_in(still["stream_id"], pa.array([sid for sid, _ in new], pa.int64())), pc.less_equal(pc.fill_null(still["due"], passed + 1), passed))
+        met = still.filter(news)
+        held = {row[:2]: row[2:] for row in zip(*(c.to_pylist() for c in met.columns))}
+        waits = pc.is_in(early["stream_id"], met["stream_id"].combine_chunks())
+        waiting: dict[tuple, list] = {}
+        for sid, no_id, *run in zip(*(c.to_pylist() for c in early.filter(waits).columns)):
+            waiting.setdefault((sid, no_id), []).append(run)
+        kept, rest = [], []
+        for key in {**held, **new}:
+            pending, carry, received, seg, at, last, due = held.get(key, (b"", "", 0, 0, 0, None, None))
+            came, sid = new.get(key, []), None if key[1] else key[0]
+            runs = [*waiting.get(key, []), *(r[:4] for r in came)]
+            marked, time = max((r[4] for r in came), default=NEVER), max((r[5] for r in came), default=NEVER)
+            last = marked if last is None and marked != NEVER else last
+            due = max(time // 1000 + idle_ms, due or 0) if time != NEVER else due
+            segmenter = Segmenter(pending, carry, received)
+            for silent in (False, True):
+                if silent and (due is None or due > passed):
+                    kept.append((*key, *segmenter.state(), seg, at, last, due))
+                    rest += [(*key, *r) for r in runs]
+                    break
+                data, after, runs = _following(runs, at, silent)
+                if after != at:
+                    text, at = segmenter.feed(data), after
+                    if text:
+                        out.append((sid, seg, text, False))
+                        seg += 1
+                if silent or (last is not None and at > last):
+                    out.append((sid, seg, segmenter.finish(), True))
+                    break
+        still, early = pa.concat_tables([still.filter(pc.invert(news)), _made(kept, OPEN)]), pa.concat_tables([early.filter(pc.invert(waits)), _made(rest, EARLY)])
+        if still.num_rows:
+            due = pc.min(still["due"]).as_py()
+            state.update((_packed(early) if early.num_rows else None, _packed(still), due))
+            if due is not None:   # passed once the watermark is there
+                state.setTimeoutTimestamp(max(1, due - 1))
+        elif state.exists:
+            state.remove()
         if out:
-            yield pd.DataFrame(out, columns=["stream_id", "seg", "text", "ends"])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new, last, due = {}, None, 0
-        for pdf in rows:
-            seqs, chunks = pdf["seq"].tolist(), pdf["chunk"].tolist()
-            new.update((s, c if c is not None else b"") for s, c in zip(seqs, chunks))
-            marked = [s for s, fin in zip(seqs, pdf["fin"].tolist()) if fin]
-            last = int(marked[-1]) if marked else last
-            due = max(due, int(pdf["at"].max()) // 1000 + self.idle_ms)
-        return self._take(key, new, last, due, False, self.buffer.get())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # a timer of an earlier chunk is not yet the end; the latest chunk's own one is still to come
-        held = self.buffer.get()
-        if held is None or held[6] > timerValues.getCurrentWatermarkInMs():
-            return iter(())
-        return self._take(key, {}, None, 0, True, held)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_segments(chunks: DataFrame, idle: int = 30, watermark: str = "10 seconds") -> DataFrame:
+            columns = dict(zip(("stream_id", "seg", "text", "ends"), zip(*out)))
+            yield pd.DataFrame(columns | {"stream_id": pd.Series(columns["stream_id"], dtype=object)})
+
+    return fold
+
+
+def stream_segments(chunks: DataFrame, idle: int = 30, watermark: str = "10 seconds", buckets: int = BUCKETS) -> DataFrame:
     """S6, stateful half: per stream, decode across chunk edges and emit token-safe segments,
     ``(stream_id, seg, text, ends)``; the last one of a stream has ``ends`` set.
 
     ``chunks``: ``stream_id, seq, chunk BINARY, fin BOOLEAN, ts``. ``fin`` marks the last chunk; a stream
     without one ends ``idle`` seconds of event time after its latest chunk. Either flushes what was held
-    back and drops the state. A chunk that comes after that starts the stream anew."""
-    timed = (chunks.select("stream_id", F.col("seq").cast("long").alias("seq"), "chunk", F.coalesce("fin", F.lit(False)).alias("fin"),
-                           F.col("ts").cast("timestamp").alias("ts"))
-             .withColumn("at", F.unix_micros("ts")).withWatermark("ts", watermark))
-    return timed.groupBy("stream_id").transformWithStateInPandas(
-        StreamRestorer(idle * 1000), f"{SEGMENT_SCHEMA}, ends boolean", "append", "eventTime")
+    back and drops the state. A chunk that comes after that starts the stream anew. Chunks read side by side
+    are one row from there on, with the time of the latest: only a row all of whose chunks are late is dropped."""
+    timed = chunks.select(F.col("stream_id").cast("long").alias("stream_id"), F.col("seq").cast("long").alias("seq"), "chunk",
+                          F.coalesce("fin", F.lit(False)).alias("fin"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).where("seq IS NOT NULL")
+    runs = timed.mapInArrow(_timed_runs, RUNS).withColumn(
+        "ts", F.when(F.col("at") != NEVER, F.timestamp_micros("at"))).withWatermark("ts", watermark)
+    return runs.select("ts", F.pmod(F.xxhash64("stream_id"), F.lit(buckets)).cast("int").alias("bucket"),
+                       F.coalesce("stream_id", F.lit(0)).cast("long").alias("stream_id"), F.col("stream_id").isNull().alias("no_id"),
+                       "seq", "last", "chunk", "sizes", "fin", "at").groupBy("bucket").applyInPandasWithState(
+        segment_fold(idle * 1000), f"{SEGMENT_SCHEMA}, ends boolean", HELD, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def kept_batch(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
@@ -349,5 +377,5 @@ def restore_batch_writer(sessions: DataFrame, vault: DataFrame, sink: Callable[[
     """S6, stateless half: a ``foreachBatch`` function restoring each micro-batch of segments with
     the batch D5 (static join with the vault) and handing the result to ``sink``."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        sink(restore_segments(batch, sessions, vault), epoch_id)
+        sink(restore_segments(batch, sessions, vault, split=True), epoch_id)
     return kept_batch(write)

@@ -184,3 +184,54 @@ def test_s5_holds_a_bucket_in_one_row_and_its_locks_end_at_an_instant(spark):
     cols = ["attempt_id", "outcome", F.unix_micros("locked_until").alias("until")]
     got, want = spark.read.parquet(path).where("attempt_id >= 0").select(*cols), FO.lockout(att).select(*cols)
     assert rows_of(got, ["attempt_id", "outcome", "until"]) == rows_of(want, ["attempt_id", "outcome", "until"])
+
+
+def test_s6_mixed_repeated_and_early_chunks_by_bucket(spark, own):
+    """2,000 streams whose chunks come mixed, early and twice; a third of them without a last mark."""
+    rng, rows, want = random.Random(7), [], {}
+    for sid in [None, *range(2000)]:
+        data = f"мир [KEY_00000000000000aa] {sid} ".encode() * rng.randint(1, 3)
+        cuts = sorted(rng.sample(range(1, len(data)), 5))
+        parts = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
+        want[sid] = data.decode()
+        rows += [(sid, i, bytearray(p), (sid or 0) % 3 != 0 and i == 5, instant(f"2024-01-01 00:00:0{i}")) for i, p in enumerate(parts)]
+    schema = "stream_id long, seq long, chunk binary, fin boolean, ts timestamp"
+    again = [r for r in rows if (r[0] or 0) % 3 == 0 and r[1] % 2][:500]   # streams that are still open
+    frames = [*shuffled(spark, rows, schema, 3), spark.createDataFrame(again, schema), spark.createDataFrame([(-1, 0, bytearray(b"x"), True, instant(END))], schema)]
+    path = SC.folder(own, "s6m-o")
+    q = (S.stream_segments(batches(own, frames, "s6m"), watermark="1 minute").writeStream.outputMode("append").format("parquet").option("path", path)
+         .option("checkpointLocation", SC.folder(own, "s6m-c")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in (x if isinstance(x, dict) else json.loads(x.json) for x in q.recentProgress)]
+    assert 0 < max(held) <= S.BUCKETS and held[-1] == 0, held   # a row a bucket; nothing is left of streams that ended
+    text, ends = {}, []
+    for r in spark.read.parquet(path).orderBy("seg").collect():
+        text[r.stream_id] = text.get(r.stream_id, "") + r.text
+        ends += [r.stream_id] * r.ends
+    assert text == want | {-1: "x"} and sorted(ends, key=repr) == sorted(text, key=repr)
+
+
+def test_s6_neighbouring_chunks_of_mixed_streams_are_one_row(spark):
+    rows = [(s, i, bytearray(bytes([65 + s]) * 3), i == 99, 1000 * i) for i in range(100) for s in (1, 2)]
+    batch = spark.createDataFrame(rows, "stream_id long, seq long, chunk binary, fin boolean, at long").toArrow().combine_chunks().to_batches()[0]
+    runs = [r for b in S._timed_runs([batch]) for r in b.to_pylist()]
+    assert [(r["stream_id"], r["seq"], r["last"], r["chunk"], r["fin"], r["at"]) for r in runs] == [
+        (s, 0, 99, bytes([65 + s]) * 300, 99, 99_000) for s in (1, 2)]
+
+
+def test_s6_slices_hold_all_chunks(spark, own):
+    replies = derived.messages(spark, SC_DIR).select("msg_id", "body", "ts").withColumn("n_chunks", SC.SR.chunk_count())
+    src = SC.chunks_as_stream(own, replies, 4)
+    cols = ["stream_id", "seq", "chunk", "fin", "ts"]
+    counts = []
+
+    def each(batch, epoch):
+        counts.append(batch.count())
+        return batch
+
+    got, want = SC.ran(own, src, "s6c", each).select(*cols), SC.reply_chunks(replies.drop("n_chunks")).select(*cols)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert len(counts) == SC.SLICES and min(counts) > 0
+    step = (F.col("ts") + F.make_dt_interval(secs=F.col("seq") / F.lit(1000.0))).alias("at")
+    assert want.select("stream_id", "seq", "ts").exceptAll(replies.select(F.col("msg_id").alias("stream_id"), "ts", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("seq"))
+                                                           .select("stream_id", "seq", step)).count() == 0
