@@ -115,7 +115,7 @@ def _passed(sql: str, table: str, id_col: str, out_id: str | None = None, delay:
 
 @C.register("s4_stream_admission", _passed(C.REGISTRY["g8_quota_admission"][1], derived.request_log_sql(), "req_id"))
 def s4_stream_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = S.stateful_session(spark, STATE_PARTITIONS)
+    own = S.stateful_session(spark, STATE_PARTITIONS, S.ROWS_AT_ONCE)
     src = as_stream(own, derived.request_log(spark, sf_dir), "s4", F.col("req_id"), 3000)
     users = own.read.schema((u := written(derived.users(spark, sf_dir), "s4-users")).schema).parquet(*u.inputFiles())
     return ran(spark, S.stream_admission(src, users, watermark="2 hours"), "s4")
@@ -123,14 +123,14 @@ def s4_stream_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @C.register("s5_stream_lockout", _passed(C.REGISTRY["i7_lockout_user"][1], derived.login_attempts_sql(), "attempt_id"))
 def s5_stream_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = S.stateful_session(spark, STATE_PARTITIONS)
+    own = S.stateful_session(spark, STATE_PARTITIONS, S.ROWS_AT_ONCE)
     src = as_stream(own, derived.login_attempts(spark, sf_dir), "s5", F.col("attempt_id"), 3000)
     return ran(spark, S.stream_lockout(src, watermark="2 hours"), "s5")
 
 
 @C.register("s5_stream_throttle", _passed(C.REGISTRY["i8_throttle_wide"][1], derived.request_log_sql(), "req_id", "event_id"))
 def s5_stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = S.stateful_session(spark, STATE_PARTITIONS)
+    own = S.stateful_session(spark, STATE_PARTITIONS, S.ROWS_AT_ONCE)
     events = derived.request_log(spark, sf_dir).select("req_id", "ts", AC.bare_host(F.col("host")).alias("key"))
     src = as_stream(own, events, "s5t", F.col("req_id"), 3000)
     return ran(spark, S.stream_throttle(src, "key", id_col="req_id", window_s=6 * 3600, watermark="2 hours"), "s5t")

@@ -14,7 +14,8 @@ operator gives over the same rows.
   silent for ``idle``. Segments meet the vault in a stream-static join inside ``foreachBatch``.
 
 Rows later than the watermark are dropped, as everywhere in Structured Streaming. State is kept in
-RocksDB, not in the executors' heap: start these queries in ``stateful_session(spark)``.
+RocksDB, not in the executors' heap: start these queries in ``stateful_session(spark)``, S4 and S5 with
+``rows_at_once=ROWS_AT_ONCE``, as a key's held rows are sent to Python again with every Arrow batch of its new ones.
 """
 
 from __future__ import annotations
@@ -35,15 +36,19 @@ from spanshield.operators import folds as FO
 from spanshield.operators import rewrite as R
 from spanshield.operators.stream_restore import SEGMENT_SCHEMA, Segmenter, chunks_of, restore_segments, runs_of
 
+ROWS_AT_ONCE = 250_000   # for ordered folds: Spark sends a state's bytes again with every so many (small) rows of its key
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stateful_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+def stateful_session(spark: SparkSession, partitions: int | None = None, rows_at_once: int | None = None) -> SparkSession:
     """A session on the same Spark application whose streams keep their state in RocksDB;
-    ``partitions`` is the number of state partitions, fixed for a query's life."""
+    ``partitions`` is the number of state partitions, fixed for a query's life, ``rows_at_once`` how many
+    rows go to Python together."""
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    if rows_at_once:
+        own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_at_once))
     if partitions:
         own.conf.set("spark.sql.shuffle.partitions", str(partitions))
     return own
@@ -91,15 +96,32 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, ARROW[f.dataType]) for f in schema])
 
 
+SLICE = 65_536   # rows that are Python values at once, and rows of a block that are packed at once
+
+
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        some, n = [], 0
+        for batch in table.to_batches(max_chunksize=SLICE):   # small ones are joined, so that blocks don't fall to pieces
+            some.append(batch)
+            n += batch.num_rows
+            if n >= SLICE:
+                writer.write_table(pa.Table.from_batches(some).combine_chunks())
+                some, n = [], 0
+        if some:
+            writer.write_table(pa.Table.from_batches(some).combine_chunks())
     return sink.getvalue().to_pybytes()
 
 
+def _blocks(block: bytes | None, schema: pa.Schema) -> Iterator[pa.Table]:
+    """The rows of a block as they were packed, SLICE at once."""
+    for batch in pa.ipc.open_stream(block) if block else ():
+        yield pa.Table.from_batches([batch], schema)
+
+
 def _unpacked(block: bytes | None, schema: pa.Schema) -> pa.Table:
-    return pa.ipc.open_stream(bytes(block)).read_all() if block else schema.empty_table()
+    return pa.concat_tables([schema.empty_table(), *_blocks(block, schema)])
 
 
 def _made(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -133,22 +155,40 @@ def ordered_fold(row_schema: T.StructType, key_schema: T.StructType, state_schem
     def fold(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         block, live, ended = state.get if state.exists else (None, None, None)
         passed = state.getCurrentWatermarkMs() * 1000
-        held = pa.concat_tables([_unpacked(block, rows), *(
-            pa.Table.from_arrays([pa.array(pdf[f.name], from_pandas=True).cast(f.type) for f in rows], schema=rows) for pdf in batches if len(pdf))])
-        due = pc.less_equal(held["at"], passed)
-        ready, rest = held.filter(due).sort_by([("at", "ascending"), (rows.names[1], "ascending")]), held.filter(pc.invert(due))
+        parts = {True: [rows.empty_table()], False: [rows.empty_table()]}   # the rows that the watermark has passed, the others
+
+        def take(table):
+            due = pc.less_equal(table["at"], passed)
+            for now, chosen in ((True, due), (False, pc.invert(due))):
+                some = table.filter(chosen)
+                if some.num_rows:
+                    parts[now].append(some)
+
+        for batch in _blocks(block, rows):
+            take(batch)
+        del block
+        for pdf in batches:
+            if len(pdf):
+                take(pa.Table.from_arrays([pa.array(pdf[f.name], from_pandas=True).cast(f.type) for f in rows], schema=rows))
+            del pdf
+        ready, rest = (pa.concat_tables(parts.pop(now)) for now in (True, False))
         emitted = []
         if ready.num_rows or (ended is not None and ended <= passed):
             states = {row[:n_key]: row[n_key:] for row in zip(*map(_listed, _unpacked(live, kept).columns))}
-            for row in zip(*map(_listed, ready.columns)):
-                k = key_of(row)
-                now, made = step(states.get(k), row)
-                if now is None:
-                    states.pop(k, None)
-                else:
-                    states[k] = now
-                if made is not None:
-                    emitted.append(made)
+            ready = ready.combine_chunks()
+            order = pc.sort_indices(ready, [("at", "ascending"), (rows.names[1], "ascending")])
+            for lo in range(0, ready.num_rows, SLICE):   # not all rows are Python values at once
+                for row in zip(*map(_listed, ready.take(order.slice(lo, SLICE)).columns)):
+                    k = key_of(row)
+                    now, made = step(states.get(k), row)
+                    if now is None:
+                        states.pop(k, None)
+                    else:
+                        states[k] = now
+                    if made is not None:
+                        emitted.append(made)
+            del ready, order
+            pa.default_memory_pool().release_unused()
             until = {k: ends(s) for k, s in states.items()}
             still = [(*k, *s) for k, s in states.items() if until[k] is None or until[k] > passed]
             live = _packed(_made(still, kept)) if still else None
@@ -160,6 +200,8 @@ def ordered_fold(row_schema: T.StructType, key_schema: T.StructType, state_schem
                 state.setTimeoutTimestamp(max(1, -(-min(later) // 1000) - 1))
         elif state.exists:
             state.remove()
+        del rest
+        pa.default_memory_pool().release_unused()   # buckets follow each other in one worker
         if emitted:
             yield _made(emitted, out).to_pandas(integer_object_nulls=True, date_as_object=True)
 

@@ -4,9 +4,11 @@ import json
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanshield.operators import audit as AU
 from spanshield.operators import folds as FO
@@ -235,3 +237,63 @@ def test_s6_slices_hold_all_chunks(spark, own):
     step = (F.col("ts") + F.make_dt_interval(secs=F.col("seq") / F.lit(1000.0))).alias("at")
     assert want.select("stream_id", "seq", "ts").exceptAll(replies.select(F.col("msg_id").alias("stream_id"), "ts", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("seq"))
                                                            .select("stream_id", "seq", step)).count() == 0
+
+
+class HeldState:
+    """What a fold needs of GroupState."""
+    exists, get, passed = False, None, 0
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+    def getCurrentWatermarkMs(self):
+        return self.passed
+
+    def setTimeoutTimestamp(self, ms):
+        pass
+
+
+def test_a_key_with_many_rows_is_held_small_and_folded_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(S, "SLICE", 1000)
+    folds, real = [], S.ordered_fold
+    monkeypatch.setattr(S, "ordered_fold", lambda *a: folds.append(real(*a)) or folds[-1])
+    sample = spark.createDataFrame([(1, instant("2024-01-01 00:00:00"), "host")], "event_id long, ts timestamp, key string")
+    S.stream_throttle(sample, "key", window_s=50)
+    rng, rows = random.Random(3), []
+    state, got, times = HeldState(), [], set()
+
+    def into(n, low, high):
+        new = [(rng.randrange(low, high), len(rows) + i, "host") for i in range(n)]
+        rows.extend(new)
+        return [pd.DataFrame(new[i:i + 700], columns=["at", "event_id", "key"]) for i in range(0, n, 700)]
+
+    # three micro-batches of a key, then the watermark beyond all; rows wait for it in small blocks
+    for k, batch in enumerate([into(20_000, 0, 10**10), into(20_000, 10**10, 2 * 10**10), into(5, 2 * 10**10, 3 * 10**10), []]):
+        state.passed = 10**7 * k
+        for pdf in folds[0]((1,), iter(batch), state):
+            got += pdf["event_id"].tolist()
+        if k < 2:
+            assert len(state.get[0]) < 12 * 20_000   # at and id have 16 bytes a row, the key 8 more
+            sizes = [b.num_rows for b in S._blocks(state.get[0], S._arrow_schema(T.StructType.fromDDL("at long, event_id long, key string")))]
+            assert sum(sizes) == 20_000 and 1000 <= max(sizes) < 2000 and len(sizes) <= 20
+    last, want = None, []
+    for at, event_id, _ in sorted(rows):
+        if last is None or at - last >= 50_000_000:
+            want.append(event_id)
+            last = at
+    assert got == want and len(want) > 300
+
+
+def test_a_state_travels_once_with_many_rows_of_its_key(spark):
+    """Spark sends a key's state again with each Arrow batch of its rows."""
+    own = S.stateful_session(spark, 4, S.ROWS_AT_ONCE)
+    rows = spark.range(30_000).select(F.lit(1).alias("k"), "id")
+
+    def count(key, pdfs, state):
+        yield pd.DataFrame({"n": [sum(1 for _ in pdfs)]})
+
+    out = batches(own, [rows], "once").groupBy("k").applyInPandasWithState(count, "n long", "x long", "append", S.GroupStateTimeout.NoTimeout)
+    assert [r.n for r in SC.ran(spark, out, "once").collect()] == [1]
